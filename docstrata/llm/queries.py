@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docstrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from docstrata.llm.mixing import OP5_SQL, op5_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_exact_dedup": op4_exact_dedup,
         "op5_mix": op5_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix": OP5_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_mix": OP5_SQL}
