@@ -106,13 +106,32 @@ def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def solve(demand: np.ndarray, capacity: int, gap: float = 5e-4, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def inverse_of(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan elimination with pivots, in one thread.
+
+    LAPACK's threads can hang in a process that also hosts Spark's gateway.
+    """
+    n = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(n)])
+    for i in range(n):
+        pivot = i + int(np.argmax(np.abs(work[i:, i])))
+        if pivot != i:
+            work[[i, pivot]] = work[[pivot, i]]
+        work[i] /= work[i, i]
+        factors = work[:, i].copy()
+        factors[i] = 0
+        work -= np.outer(factors, work[i])
+    return work[:, n:]
+
+
+def solve(demand: np.ndarray, capacity: int, gap: float = 2e-4, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Basic solution (patterns as columns, uses) of: least sequences that cover ``demand``.
 
     ``demand[s - 1]`` counts pieces of size s. The revised simplex method starts from one
-    pattern for each size; its dual values price the next pattern, until none is worth more
-    than 1 + ``gap`` sequences, which bounds the distance from the optimum by that share (or
-    ``most`` rounds: any basis is a valid packing, only less tight).
+    pattern for each size; its dual values price the next pattern. The uses divided by the
+    best pattern's worth, and the pieces' total size, are lower bounds of the optimum: it
+    stops within ``gap`` of the better one (or after ``most`` rounds: any basis is a valid
+    packing, only less tight).
     """
     sizes = np.flatnonzero(demand)
     need = demand[sizes].astype(float)
@@ -120,12 +139,14 @@ def solve(demand: np.ndarray, capacity: int, gap: float = 5e-4, most: int = 4000
     basis = np.diag([float(capacity // (s + 1)) for s in sizes])
     inverse = np.diag(1 / np.diag(basis)) if n else np.zeros((0, 0))
     uses = inverse @ need
+    bound = float((need * (sizes + 1)).sum()) / capacity
     for turn in range(most if n else 0):
         duals = inverse.sum(axis=0)  # every pattern costs one sequence
         values = np.zeros(len(demand))
         values[sizes] = np.maximum(duals, 0)
         worth, pattern = price(values, capacity)
-        if worth <= 1 + gap:
+        bound = max(bound, uses.sum() / max(worth, 1.0))
+        if worth <= 1 + gap or uses.sum() <= bound * (1 + gap):
             break
         column = pattern[sizes].astype(float)
         step = inverse @ column
@@ -134,7 +155,7 @@ def solve(demand: np.ndarray, capacity: int, gap: float = 5e-4, most: int = 4000
         out = int(np.argmin(ratio))
         basis[:, out] = column
         if turn % 100 == 99:
-            inverse = np.linalg.inv(basis)
+            inverse = inverse_of(basis)
             uses = inverse @ need
         else:
             moved = inverse[out] / step[out]

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from docstrata.llm.mixing import OP5_SQL, op5_mix
+from docstrata.llm.packing import op1_pack
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pack": op1_pack,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mix": op5_mix,
     }
