@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docstrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from docstrata.llm.mixing import OP5_SQL, op5_mix
 from docstrata.llm.packing import op1_pack
+from docstrata.llm.simhash import op6_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack": op1_pack,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mix": op5_mix,
+        "op6_simhash": op6_simhash,
     }
 
 
