@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from docstrata.llm.language import op3_language_id
 from docstrata.llm.mixing import OP5_SQL, op5_mix
 from docstrata.llm.packing import op1_pack
 from docstrata.llm.simhash import op6_simhash
@@ -15,6 +16,7 @@ from docstrata.llm.simhash import op6_simhash
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
+        "op3_language_id": op3_language_id,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mix": op5_mix,
         "op6_simhash": op6_simhash,
