@@ -61,31 +61,47 @@ def running_totals(df: DataFrame, order: list[Column], **values: Column) -> Data
 
 # -- bounded bitmaps ----------------------------------------------------------------------
 
+#: Bits of a screening bitmap (2 to this power: 1 MB) and of one of its pages.
+SCREEN_BITS, PAGE_BITS = 23, 15
 
-def bitmap_of(hashes: DataFrame, column: str, bits_log2: int) -> bytes:
-    """Bitmap of ``2**bits_log2`` bits with the bit of every hash set.
 
-    The size is fixed whatever the input is, so the result may be broadcast. It is only a
-    screen: a set bit may belong to another hash, a clear bit proves absence.
+def screened(df: DataFrame, key: Column, keys: DataFrame, bits: int = SCREEN_BITS) -> DataFrame:
+    """``df`` with ``__hit``: false proves that the row's ``key`` is not among ``keys`` (long key).
+
+    The keys set bits of one bitmap whose size is fixed, however many they are: its pages (at
+    most 2**(bits - 15) rows of 4 KB) are what is broadcast. A true hit may be wrong, so hits
+    need an exact join; the point is that rows without a hit need no shuffle.
     """
-    page = 32768  # bits of one bitmap that bitmap_construct_agg makes
-    bit = F.col(column).bitwiseAND(F.lit((1 << bits_log2) - 1))
-    rows = (
-        hashes.select(bit.alias("b"))
-        .groupBy(F.shiftright("b", 15).alias("page"))
-        .agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit(page - 1))).alias("bits"))
-        .collect()
+    mask, page = F.lit((1 << bits) - 1), F.lit((1 << PAGE_BITS) - 1)
+    bit = F.col("key").bitwiseAND(mask)
+    pages = checkpointed(
+        keys.select(F.shiftright(bit, PAGE_BITS).alias("__page"), bit.bitwiseAND(page).alias("b"))
+        .groupBy("__page")
+        .agg(F.bitmap_construct_agg("b").alias("__bits"))
     )
-    out = np.zeros(max(1, (1 << bits_log2) // page) * page // 8, dtype=np.uint8)
-    for r in rows:
-        out[r["page"] * page // 8 :][: page // 8] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return out.tobytes()
+    at = F.col("__key").bitwiseAND(mask)
+    placed = df.withColumn("__key", key).withColumn("__page", F.shiftright(at, PAGE_BITS))
+    joined = placed.join(F.broadcast(pages), "__page", "left")  # a fixed number of pages
+    within = at.bitwiseAND(page)
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(within, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    shift = F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (within % 8).cast("int") + 1)
+    return joined.select(*df.columns, F.coalesce(byte.bitwiseAND(shift) != 0, F.lit(False)).alias("__hit"))
+
 
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept by ``decided`` (doc_id, key, kept: a row for each row).
 
-def bits_set(bitmap: np.ndarray, hashes: np.ndarray, bits_log2: int) -> np.ndarray:
-    """Which of the unsigned 64-bit hashes have their bit set."""
-    b = hashes & np.uint64((1 << bits_log2) - 1)
-    return (bitmap[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    Rows are matched by doc_id and text key. Most rows were not dropped, as a bitmap of the
+    dropped keys proves without a shuffle; only the others are joined. Of rows that share both
+    id and text, one stays if one is kept.
+    """
+    row = docs.select(F.struct(*docs.columns).alias("doc"))
+    marked = screened(row, text_key(F.col("doc.text")), decided.filter("not kept").select("key"))
+    kept = decided.filter("kept").select(F.col("doc_id").alias("id"), "key")
+    maybe = marked.filter("__hit").select("doc", text_key(F.col("doc.text")).alias("doc_key"))
+    held = maybe.join(kept, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("doc_key") == F.col("key")), "left_semi")
+    once = held.groupBy(F.col("doc.doc_id").alias("id"), "doc_key").agg(F.first("doc").alias("doc"))
+    return marked.filter("not __hit").select("doc.*").union(once.select("doc.*"))
 
 
 # -- Arrow batches as flat bytes ----------------------------------------------------------
@@ -138,7 +154,6 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 _BYTE_BASE, _WORD_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_INVERSE = {b: pow(b, -1, 1 << 64) for b in (_BYTE_BASE, _WORD_BASE)}
 
 
 def rolling(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
@@ -150,7 +165,7 @@ def rolling(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: int)
     with np.errstate(over="ignore"):
         total = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(base, len(values)), out=total[1:])
-        back = powers(_INVERSE[base], len(values) + 1)
+        back = powers(pow(base, -1, 1 << 64), len(values) + 1)
         return mixed((total[ends] - total[begins]) * back[begins])
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import checkpointed, flat, slices
+from docstrata.llm.common import checkpointed, flat, screened, slices
 
 GRAM_BITS = 16
 #: Rows that the text model is fitted on, about; the rest of the corpus is scored, not fitted.
@@ -229,7 +229,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose language is known, with all their columns."""
-    carried = docs.select(F.struct(*docs.columns).alias("doc")).select("doc", F.col("doc.text").alias("text"), F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"), F.xxhash64("doc.doc_id", "doc.text", "doc.lang", "doc.source").alias("doc_id"))
-    found = identify(from_documents(carried), **options).filter("not kept").select(F.col("doc_id").alias("dropped"))
-    dropped = checkpointed(found.distinct())
-    return carried.join(dropped, F.col("doc_id") == F.col("dropped"), "left_anti").select("doc.*")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))
+    carried = whole.select("doc", F.col("doc.text").alias("text"), F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"), F.xxhash64("doc.doc_id", "doc.text", "doc.lang", "doc.source").alias("doc_id"))
+    rejected = identify(from_documents(carried), **options).filter("not kept")
+    dropped = checkpointed(rejected.select(F.col("doc_id").alias("key")).distinct())
+    marked = screened(carried, F.col("doc_id"), dropped)
+    left = marked.filter("__hit").join(dropped, F.col("doc_id") == F.col("key"), "left_anti")
+    return marked.filter("not __hit").select("doc.*").union(left.select("doc.*"))

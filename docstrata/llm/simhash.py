@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import checkpointed, text_key
+from docstrata.llm.common import checkpointed, keep_rows, text_key
 from docstrata.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -51,16 +51,16 @@ def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, key, fp) of every row: ``key`` tells apart texts that share a doc_id."""
+    """(doc_id, key, row_id, fp) of every row: ``key`` tells apart texts that share a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].cast(pa.binary())
             fps = pa.array([fingerprint(t.as_py() or b"", size) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], fps], names=["doc_id", "key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], batch["row_id"], fps], names=["doc_id", "key", "row_id", "fp"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, key bigint, fp bigint")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id bigint, key bigint, row_id bigint, fp bigint")
 
 
 # -- pairs --------------------------------------------------------------------------------
@@ -118,7 +118,7 @@ def close_pairs(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, key, fp and component_id (smallest doc_id reachable over links) of every row.
+    """doc_id, key, row_id, fp, root and component_id (smallest doc_id reachable over links) of every row.
 
     Rows with one fingerprint are collapsed before any pair is sought, so copies cost nothing
     however many there are. Null text is empty; texts without words share fingerprint 0, which
@@ -132,26 +132,19 @@ def near_groups(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = DIST
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(first, "root").select("fp", "component_id", "root")
-    return rows.join(named, "fp").select("doc_id", "key", "fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "key", "row_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one stays per component.
 
-    The row with the smallest doc_id stays (null ids last, then the smallest text key).
+    The row with the smallest doc_id stays (null ids last, then any one row).
     """
-    groups = near_groups(docs, size, distance)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")
-    kept = checkpointed(groups.groupBy("root").agg(first).select(F.col("k.doc_id").alias("id"), F.col("k.key").alias("key")))
-    row = docs.select(F.struct(*docs.columns).alias("doc"))
-    held = row.join(kept, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("id")) & (text_key(F.col("doc.text")) == F.col("key")), "left_semi")
-    # Rows that repeat both id and text are told apart by nothing: one of them stays.
-    twice = groups.groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias("id"), "key")
-    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("id")) & (text_key(F.col("doc.text")) == F.col("key"))
-    if not kept.join(twice.withColumnsRenamed({"id": "i", "key": "k"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi").take(1):
-        return held.select("doc.*")
-    once = held.join(checkpointed(twice), same, "left_semi").groupBy(F.col("doc.doc_id").alias("i"), text_key(F.col("doc.text")).alias("k")).agg(F.first("doc").alias("doc"))
-    return held.join(twice, same, "left_anti").select("doc.*").union(once.select("doc.*"))
+    groups = checkpointed(near_groups(docs, size, distance))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("k")
+    kept = groups.groupBy("root").agg(first).select("root", F.col("k.row_id").alias("kept_row"))
+    decided = groups.join(kept, "root").select("doc_id", "key", (F.col("row_id") == F.col("kept_row")).alias("kept"))
+    return keep_rows(docs, checkpointed(decided))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
