@@ -10,15 +10,14 @@ buckets, and texts that share a bucket are compared byte by byte.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docstrata.llm.common import BLANKS, checkpointed, mixed
+from docstrata.llm.common import BLANKS, checkpointed, keep_rows, mixed, screened, text_key
 
 #: Distinct digests that one filter shard holds about; it bounds a task's memory.
 SHARD_KEYS = 100_000
@@ -137,8 +136,8 @@ def group_copies(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column]
     ``in_snapshot`` says which rows the immutable snapshot holds; the rest are the new batch.
     """
     rows = checkpointed(
-        docs.select("doc_id", in_snapshot.alias("old"), normalised(F.col("text")).alias("norm"))
-        .select("doc_id", F.coalesce("old", F.lit(False)).alias("old"), digest(F.col("norm")).alias("digest"), F.monotonically_increasing_id().alias("row_id"))
+        docs.select("doc_id", in_snapshot.alias("old"), text_key(F.col("text")).alias("key"), normalised(F.col("text")).alias("norm"))
+        .select("doc_id", F.coalesce("old", F.lit(False)).alias("old"), "key", digest(F.col("norm")).alias("digest"), F.monotonically_increasing_id().alias("row_id"))
     )
     old = checkpointed(_grouped(rows.filter("old")))
     new = checkpointed(_grouped(rows.filter("not old")))
@@ -151,17 +150,22 @@ def group_copies(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column]
     return rows, checkpointed(groups.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row_id").alias("keep_row"), F.col("rows").alias("group_size")))
 
 
-def _collide(docs: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> bool:
-    """Whether two texts of one bucket differ in a byte: each copy is held against the first."""
-    repeated = groups.filter("group_size > 1").select("digest", "keep_id")
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    copies = checkpointed(texts.join(repeated, "digest"))
-    first = copies.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("first"))
-    return bool(copies.join(checkpointed(first), "digest").filter("norm != first").take(1))
+def _collide(docs: DataFrame, rows: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> bool:
+    """Whether two texts of one bucket differ in a byte: the least and the greatest then do.
+
+    Only texts of buckets with several rows are moved; a bitmap of their keys leaves the
+    others where they are, and copies meet as partial minima before the shuffle.
+    """
+    repeated = groups.filter("group_size > 1").select("digest")
+    keys = rows.join(repeated, "digest", "left_semi").select("key")
+    maybe = screened(docs.select("text"), text_key(F.col("text")), keys).filter("__hit")
+    texts = maybe.select(normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
+    ends = texts.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    return bool(ends.filter("least != most").take(1))
 
 
 def exact_dedup(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and digest of each row of ``docs`` (doc_id, text).
+    """doc_id, keep_id, group_size, kept, digest and text key of each row of ``docs`` (doc_id, text).
 
     Texts are equal when their normalised forms are the same bytes. Null text is empty, so
     null and blank texts form groups like any other (" " and "" differ). Of a group the row
@@ -172,11 +176,11 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column],
     base = docs.select("doc_id", "text", in_snapshot.alias("__old"))
     rows, groups = group_copies(base, F.col("__old"), digest)
     shown = F.col("digest")
-    if _collide(base, groups, digest):
+    if _collide(base, rows, groups, digest):
         rows, groups = group_copies(base, F.col("__old"), lambda text: text)
         shown = digest(F.col("digest"))
     out = rows.join(groups, "digest")
-    return out.select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), shown.alias("digest"))
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), shown.alias("digest"), "key")
 
 
 def halves(docs: DataFrame) -> Column:
@@ -187,16 +191,13 @@ def halves(docs: DataFrame) -> Column:
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return exact_dedup(docs, halves(docs)).withColumnRenamed("digest", "text_sha256")
+    return exact_dedup(docs, halves(docs)).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
-    row = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("digest", digest(normalised(F.col("doc.text"))))
-    decided = exact_dedup(docs.select("doc_id", "text"), halves(docs), digest).filter("kept").select(F.col("digest").alias("k_digest"), "keep_id")
-    kept = row.join(decided, (F.col("digest") == F.col("k_digest")) & F.col("doc.doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    once = Window.partitionBy("digest", "doc.doc_id").orderBy(F.xxhash64("doc"))  # rows that repeat text and id
-    return kept.withColumn("n", F.row_number().over(once)).filter("n = 1").select("doc.*")
+    decided = exact_dedup(docs.select("doc_id", "text"), halves(docs), digest)
+    return keep_rows(docs, checkpointed(decided.select("doc_id", "key", "kept")))
 
 
 OP4_SQL = r"""
