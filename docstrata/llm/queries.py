@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from docstrata.llm.language import op3_language_id
+from docstrata.llm.media import op9_media
 from docstrata.llm.mixing import OP5_SQL, op5_mix
 from docstrata.llm.packing import op1_pack
 from docstrata.llm.secrets import op8_secrets
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix": op5_mix,
         "op6_simhash": op6_simhash,
         "op8_secrets": op8_secrets,
+        "op9_media": op9_media,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
