@@ -11,6 +11,7 @@ from docstrata.llm.language import op3_language_id
 from docstrata.llm.media import op9_media
 from docstrata.llm.mixing import OP5_SQL, op5_mix
 from docstrata.llm.packing import op1_pack
+from docstrata.llm.quality import op7_quality
 from docstrata.llm.secrets import op8_secrets
 from docstrata.llm.simhash import op6_simhash
 from docstrata.llm.substring import op10_substring_dedup
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mix": op5_mix,
         "op6_simhash": op6_simhash,
+        "op7_quality": op7_quality,
         "op8_secrets": op8_secrets,
         "op9_media": op9_media,
         "op10_substring_dedup": op10_substring_dedup,
