@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docstrata.llm.chat import OP2_SQL, op2_chat
 from docstrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from docstrata.llm.language import op3_language_id
 from docstrata.llm.media import op9_media
@@ -20,6 +21,7 @@ from docstrata.llm.substring import op10_substring_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
+        "op2_chat": op2_chat,
         "op3_language_id": op3_language_id,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_mix": op5_mix,
@@ -32,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op5_mix": OP5_SQL}
+    return {"op2_chat": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_mix": OP5_SQL}
