@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docstrata.llm.common import checkpointed, running_totals, words_in
+from docstrata.llm.common import BLANKS, checkpointed, running_totals, screened, text_key, words_in
 
 KEY_BITS = 60
 #: Rows of one source whose keys are sorted together; a larger source is split by key range.
@@ -85,19 +85,33 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     A row is repeated for each epoch that takes all of it. Where a source's budget ends
     inside a document, a cut copy holds its first words, joined by one space, with n_chars
-    (if there) to match. Documents without words take no budget: each stays once.
+    (if there) to match. Documents without words take no budget: each stays once. The mix is
+    decided on ids and sizes; texts are moved once, to meet their decision. Rows that share
+    id, text and source are decided together, as they are interchangeable.
     """
     row = docs.select(F.struct(*docs.columns).alias("doc"))
-    sized = row.select(F.col("doc.doc_id").alias("doc_id"), words_in(F.col("doc.text")).alias("size"), F.col("doc.source").alias("source"), "doc")
-    mixed = mix(sized, **options)
-    whole = F.when(F.col("size") > 0, F.expr("div(taken, size)")).otherwise(F.lit(1)).cast("int")
-    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
-    copies = F.concat(F.array_repeat(F.col("size"), whole), F.when(part > 0, F.array(part)).otherwise(F.expr("array()").cast("array<bigint>")))
-    out = mixed.select("doc", "size", F.explode(copies).alias("words"))
-    cut = F.array_join(F.slice(F.filter(F.split(F.col("doc.text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(cut)
-    new = out.select("doc", "words", "size", text.alias("text"))
-    changed = {"text": F.col("text"), "n_chars": F.when(F.col("words") == F.col("size"), F.col("doc.n_chars")).otherwise(F.length("text"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    ids = row.select(F.col("doc.doc_id").alias("doc_id"), words_in(F.col("doc.text")).alias("size"), F.col("doc.source").alias("source"), text_key(F.col("doc.text")).alias("key"))
+    decided = mix(checkpointed(ids), **options)
+    whole = F.when(F.col("size") > 0, F.expr("div(taken, size)")).otherwise(F.lit(1))
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))  # of one row of a source at most
+    plan = checkpointed(
+        decided.groupBy("doc_id", "key", "source", "size")
+        .agg(F.count("*").alias("rows"), F.sum(whole).cast("int").alias("whole"), F.sum(part).alias("part"))
+        .withColumnsRenamed({"doc_id": "p_id", "key": "p_key", "source": "p_source", "size": "p_size"})
+    )
+    keyed = row.withColumn("key", text_key(F.col("doc.text")))
+    marked = screened(keyed, F.col("key"), plan.filter("rows > 1").select(F.col("p_key").alias("key")))
+    several = marked.filter("__hit").groupBy(F.col("doc.doc_id").alias("i"), "key", F.col("doc.source").alias("s")).agg(F.first("doc").alias("doc"))
+    single = marked.filter("not __hit").select("doc", "key").union(several.select("doc", "key"))
+    copies = F.concat(F.array_repeat("p_size", F.col("whole")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.expr("array()").cast("array<bigint>")))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("p_id")) & (F.col("key") == F.col("p_key")) & F.col("doc.source").eqNullSafe(F.col("p_source"))
+    out = single.join(plan, same).select("doc", F.col("p_size").alias("size"), F.explode(copies).alias("words"))
+    cut = F.array_join(F.slice(F.filter(F.split(F.col("doc.text"), f"[{BLANKS}]+"), lambda w: w != ""), 1, F.col("words").cast("int")), " ")
+    full = F.col("words") == F.col("size")
+    new = out.select("doc", full.alias("full"), F.when(full, F.col("doc.text")).otherwise(cut).alias("text"))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("full"), F.col("doc.n_chars")).otherwise(F.length("text"))
     return new.select(*(changed.get(c, F.col("doc")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from docstrata.llm.chat import OP2_SQL, op2_chat
 from docstrata.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from docstrata.llm.language import op3_language_id
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_media": op9_media,
         "op10_substring_dedup": op10_substring_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
