@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql.window import Window
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Numpy works on slices of a batch of about so many bytes, so that a worker's memory stays flat.
 SLICE_BYTES = 1 << 20
 
@@ -23,12 +26,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder.
 
     ``spark.checkpoint.dir`` names that folder; only where it is unset (tests on one
-    machine) is a temporary folder used.
+    machine) is a temporary folder used. The shuffle files of the job that wrote it are of
+    no more use then, so Spark is asked to drop them: they would otherwise fill the disks.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a table: in ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tables-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a compressed table at ``path``, read again: for rows too many to checkpoint."""
+    spark = df.sparkSession
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words_in(text: Column) -> Column:

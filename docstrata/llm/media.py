@@ -11,8 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import checkpointed, mixed, screened
+from docstrata.llm.common import checkpointed, mixed, remove_folder, screened, shared_folder, written
 
 BLOCK = 64
 RATE = 8_000
@@ -174,7 +172,7 @@ def store_media(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     whole = marked.filter("not __hit").select("text", F.lit(None).cast("array<int>").alias("foreign"))
     joined = marked.filter("__hit").join(plan.select("name", "foreign"), "name")
     once = joined.groupBy("name").agg(F.first("text").alias("text"), F.first("foreign").alias("foreign")).select("text", "foreign")
-    _entries(whole.union(once)).write.option("compression", "zstd").parquet(path)
+    written(_entries(whole.union(once)), path)
     return rows, shared
 
 
@@ -218,12 +216,6 @@ def _read_back(store: DataFrame) -> DataFrame:
     return store.mapInArrow(run, "media_sha256 string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a table: in ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-media-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def media_columns(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and
     feature of each row of ``docs`` (doc_id, text), from what was stored and read back.
@@ -238,8 +230,7 @@ def media_columns(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows, shared = store_media(docs, where)
     found = checkpointed(rebuilt(spark, where, shared))
     if path is None:
-        at = spark._jvm.org.apache.hadoop.fs.Path(where)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove_folder(spark, where)
     return rows.join(found, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 

@@ -20,10 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import checkpointed, flat, keep_rows, rolling, running_totals, screened, slices, split_words, text_key, word_hashes
+from docstrata.llm.common import (
+    checkpointed,
+    flat,
+    keep_rows,
+    remove_folder,
+    rolling,
+    running_totals,
+    screened,
+    shared_folder,
+    slices,
+    split_words,
+    text_key,
+    word_hashes,
+    written,
+)
 
 WINDOW_WORDS = 20
-ANCHOR_WORDS = 8
+ANCHOR_WORDS = 12
 #: Odd multipliers of the rolling hashes over word hashes.
 _BASE, _OTHER_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -118,18 +132,25 @@ def windows(texts: DataFrame, size: int) -> DataFrame:
 
 
 def later_windows(texts: DataFrame, size: int) -> DataFrame:
-    """(doc, start) of each window whose word sequence also starts earlier in ``texts`` (doc, text).
+    """(doc, starts) of the windows whose word sequence also starts earlier in ``texts`` (doc, text).
 
-    Nothing is gathered by key: anchors and windows are counted by partial aggregates, and
-    joined back in joins that adaptive execution can split where a passage is very common.
+    Nothing is gathered but what one document holds: anchors and windows are counted by
+    partial aggregates, and joined back in joins that adaptive execution can split where a
+    passage is very common.
     """
+    spark = texts.sparkSession
     named = anchors(texts, size)
-    repeated = named.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
-    runs = checkpointed(named.join(repeated, "anchor").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs")))  # of one document
+    repeated = checkpointed(named.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
+    likely = screened(named, F.col("anchor"), repeated.select(F.col("anchor").alias("key"))).filter("__hit").drop("__hit")
+    runs = checkpointed(likely.join(repeated, "anchor").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
     left = screened(texts, F.col("doc"), runs.select(F.col("doc").alias("key"))).filter("__hit")
-    found = checkpointed(windows(left.join(runs, "doc").select("doc", "text", "runs"), size))
+    where = shared_folder(spark, "windows")
+    found = written(windows(left.join(runs, "doc").select("doc", "text", "runs"), size), where)
     first = found.groupBy("h", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("h", "h2", "first")
-    return found.join(first, ["h", "h2"]).filter(F.struct("doc", "start") > F.col("first")).select("doc", "start")
+    late = found.join(first, ["h", "h2"]).filter(F.struct("doc", "start") > F.col("first"))
+    starts = checkpointed(late.groupBy("doc").agg(F.collect_list("start").alias("starts")))
+    remove_folder(spark, where)
+    return starts
 
 
 # -- removal ------------------------------------------------------------------------------
@@ -150,8 +171,8 @@ def _kept_words(text: bytes, starts: np.ndarray, size: int) -> tuple[bytes, int]
 
 
 def _cut(texts: DataFrame, size: int, full: bool) -> DataFrame:
-    """(doc, n_removed, kept_sha256[, kept_text]) over (doc, text, starts)."""
-    names = ["doc", "n_removed", "kept_sha256", *(["kept_text"] if full else [])]
+    """(id, k, n_removed, kept_sha256[, kept_text]) over (id, k, text, starts)."""
+    names = ["id", "k", "n_removed", "kept_sha256", *(["kept_text"] if full else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +182,10 @@ def _cut(texts: DataFrame, size: int, full: bool) -> DataFrame:
                 removed.append(n)
                 digests.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest.decode())
-            columns = [batch["doc"], pa.array(removed, pa.int64()), pa.array(digests, pa.string()), *([pa.array(kept, pa.string())] if full else [])]
+            columns = [batch["id"], batch["k"], pa.array(removed, pa.int64()), pa.array(digests, pa.string()), *([pa.array(kept, pa.string())] if full else [])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return texts.mapInArrow(run, "doc bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * full)
+    return texts.mapInArrow(run, "id bigint, k bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * full)
 
 
 def _with_order(firsts: DataFrame, unique: bool) -> DataFrame:
@@ -202,12 +223,11 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW_WORDS, full: bool = Fals
     seen = judged.filter("is_first").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     texts = _with_order(taking_part.filter("text is not null"), seen["n"] == seen["ids"])
 
-    starts = checkpointed(later_windows(texts.select("doc", "text"), size).groupBy("doc").agg(F.collect_list("start").alias("starts")))  # of one document
-    cut = screened(texts.select("doc", "doc_id", "key", "text"), F.col("doc"), starts.select(F.col("doc").alias("key"))).filter("__hit").join(starts, "doc")
-    names = ["n_removed", "kept_sha256", *(["kept_text"] if full else [])]
-    changed = _cut(cut.select("doc", "text", "starts"), size, full)
-    changed = checkpointed(changed.join(cut.select("doc", "doc_id", "key"), "doc").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), *names))
+    starts = later_windows(texts.select("doc", "text"), size)
+    cut = screened(texts, F.col("doc"), starts.select(F.col("doc").alias("key"))).filter("__hit").join(starts, "doc")
+    changed = checkpointed(_cut(cut.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "text", "starts"), size, full))
 
+    names = ["n_removed", "kept_sha256", *(["kept_text"] if full else [])]
     out = judged.join(changed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
     out = out.select("doc_id", "key", "n_words", "seq", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"), "is_first", *names)
     copy = (~F.col("is_first") | (F.col("copy") > 1)) & (F.col("n_words") >= size)
