@@ -11,8 +11,11 @@ def nearest_rank(rows: DataFrame, value: str, q: float, *by: str) -> DataFrame:
     """The value at place min(int(q n), n - 1) of each group's sorted values.
 
     This is not percentile_disc. Equal values are counted together before they are ordered,
-    and running counts find the place, so no group is collected.
+    and running counts find the place, so no group is collected. Without groups only the
+    values near the place are ordered: approximate quantiles with a proven error bound them.
     """
+    if not by:
+        return _nearest_rank_of_all(rows.filter(F.col(value).isNotNull()), value, q)
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
     up_to = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
@@ -21,6 +24,21 @@ def nearest_rank(rows: DataFrame, value: str, q: float, *by: str) -> DataFrame:
     return placed.filter(F.col("__upto") > place).groupBy(*by).agg(F.min(value).alias("at_rank"))
 
 
+#: Error of the quantiles that bound the values to be ordered.
+_QUANTILE_ERROR = 1e-3
+
+
+def _nearest_rank_of_all(rows: DataFrame, value: str, q: float) -> DataFrame:
+    wide = [max(0.0, q - 3 * _QUANTILE_ERROR), min(1.0, q + 3 * _QUANTILE_ERROR)]
+    low, high = rows.approxQuantile(value, wide, _QUANTILE_ERROR) or (None, None)
+    sizes = rows.agg(F.count("*").alias("__n"), F.count_if(F.col(value) < F.lit(low)).alias("__below"))
+    near = rows.filter(F.col(value).between(F.lit(low), F.lit(high))).groupBy(value).agg(F.count("*").alias("__c"))
+    up_to = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the few values near the place
+    placed = near.withColumn("__upto", F.sum("__c").over(up_to)).crossJoin(F.broadcast(sizes))  # one row of sizes
+    place = F.least(F.floor(F.lit(q) * F.col("__n")), F.col("__n") - 1)
+    return placed.filter(F.col("__upto") + F.col("__below") > place).agg(F.min(value).alias("at_rank"))
+
+
 def document_frequency(rows: DataFrame, document: str, item: str, note: str | None = None, order: str | None = None) -> DataFrame:
     """(item, documents, note): in how many documents an item occurs, with its first note."""
     pairs = rows.filter(F.col(item).isNotNull()).groupBy(document, item).agg(*([F.min_by(note, order).alias("__note"), F.min(order).alias("__at")] if note else [F.lit(1).alias("__at")]))

@@ -18,7 +18,7 @@ MOST_BYTES, MOST_DEPTH, MOST_ELEMENTS = 20_000_000, 100, 500_000
 LEAST_TEXT = 200
 #: Where portals keep a document: tag, attribute, value. The first that is there counts.
 CONTAINERS = (("article", None, None), ("div", "id", "content"), ("div", "class", "document"), ("main", None, None))
-_SKIPPED, _VOID = {"script", "style", "noscript", "template"}, {"br", "img", "hr", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"}
+_SKIPPED = {"script", "style", "noscript", "template"}
 
 BODY_SCHEMA = (
     "metadatos struct<identificador:string>, analisis struct<referencias:struct<anteriores:struct<anterior:array<struct<_referencia:string,palabra:struct<_codigo:string,_VALUE:string>,texto:string>>>>>, "
@@ -39,22 +39,21 @@ class _Container(HTMLParser):
         self.want, self.depth, self.done, self.skip, self.parts = (tag, attribute, value), 0, False, 0, []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.done or tag in _VOID:
+        inside = self.depth > 0
+        if self.done or not inside and not self._opens(tag, dict(attrs)):
             return
-        if self.depth:
-            self.depth += 1
-            self.skip += tag in _SKIPPED
-        elif tag == self.want[0] and (self.want[1] is None or self.want[2] in (dict(attrs).get(self.want[1]) or "").split()):
-            self.depth = 1
+        self.depth += tag == self.want[0]  # other tags may stay unclosed
+        self.skip += inside and tag in _SKIPPED
+
+    def _opens(self, tag: str, attributes: dict[str, str | None]) -> bool:
+        name, attribute, value = self.want
+        return tag == name and (attribute is None or value in (attributes.get(attribute) or "").split())
 
     def handle_endtag(self, tag: str) -> None:
-        if self.depth and tag not in _VOID:
-            if tag in _SKIPPED and self.skip:
-                self.skip -= 1
-            self.depth -= 1
-            if tag == self.want[0] and self.depth <= 0:
-                self.done = True
-            self.depth = max(self.depth, 0 if self.done else 1)
+        if self.depth and not self.done:
+            self.skip -= tag in _SKIPPED and self.skip > 0
+            self.depth -= tag == self.want[0]
+            self.done = self.depth == 0
 
     def handle_data(self, data: str) -> None:
         if self.depth and not self.skip and not self.done:

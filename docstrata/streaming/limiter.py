@@ -2,7 +2,7 @@
 
 Whether a request is accepted depends on which earlier ones were, so this is state, not a
 window function. Each rule is a small step over a key's state; batches run it with
-``applyInPandas`` over a key's ordered events, streams with ``transformWithStateInPandas``.
+``applyInPandas`` over a key's ordered events, streams with ``applyInPandasWithState``.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Requests within so many seconds; the bucket's size and refill a second; a session's life and number.
 LIMIT, WINDOW_S = 60, 60.0
@@ -116,22 +118,25 @@ def with_sessions(events: DataFrame, ttl: float = TTL_S, most: int = MOST_SESSIO
 
 
 def limited_stream(events: DataFrame, limit: int = LIMIT, window: float = WINDOW_S) -> DataFrame:
-    """The limiter over a stream: a user's accepted times are state, and expire with the window."""
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+    """The limiter over a stream: a user's accepted times are its state.
 
-    class Limiter(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.hits = handle.getListState("hits", "at double", ttlDurationMs=int(window * 2000))
-
-        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
-            pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-            rule = SlidingWindow(limit, window, [h[0] for h in self.hits.get()] if self.hits.exists() else [])
-            out = [rule.hit(at) for at in _seconds(pdf["ts"])]
-            self.hits.put([(h,) for h in rule.hits])
-            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(), "accepted": [a for a, _ in out], "retry_after": [r for _, r in out]})
-
-        def close(self) -> None:
-            pass
+    The state goes once the watermark, which trails the latest event by one window, has
+    passed the user's last event by a window more. Later events of that time are dropped.
+    """
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        rule = SlidingWindow(limit, window, list(state.get[0]) if state.exists else [])
+        out = [rule.hit(at) for at in _seconds(pdf["ts"])]
+        state.update((list(rule.hits),))
+        last = pd.Timestamp(pdf["ts"].iloc[-1]).tz_localize(zone).timestamp()
+        state.setTimeoutTimestamp(int(max((last + window) * 1000, state.getCurrentWatermarkMs() + 1)))
+        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(), "accepted": [a for a, _ in out], "retry_after": [r for _, r in out]})
 
     schema = "event_id long, user_id long, accepted boolean, retry_after int"
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").transformWithStateInPandas(Limiter(), schema, "Update", "processingTime")
+    timed = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null").withWatermark("ts", f"{window} seconds")
+    return timed.groupBy("user_id").applyInPandasWithState(run, schema, "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
