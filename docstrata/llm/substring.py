@@ -147,9 +147,11 @@ def later_windows(texts: DataFrame, size: int) -> DataFrame:
     where = shared_folder(spark, "windows")
     found = written(windows(left.join(runs, "doc").select("doc", "text", "runs"), size), where)
     first = found.groupBy("h", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("h", "h2", "first")
+    first = written(first, f"{where}-first")  # so that the join shuffles both sides anew, and may split a hot window
     late = found.join(first, ["h", "h2"]).filter(F.struct("doc", "start") > F.col("first"))
     starts = checkpointed(late.groupBy("doc").agg(F.collect_list("start").alias("starts")))
     remove_folder(spark, where)
+    remove_folder(spark, f"{where}-first")
     return starts
 
 
