@@ -1,0 +1,289 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from docstrata.llm import chat, exact_dedup, language, media, mixing, packing, quality, secrets, simhash, substring
+
+
+def order(row):
+    return (row[0] is None, row[0] or 0)
+
+
+def test_packing(edge, none, edge_rows):
+    rows = packing.pack(edge).collect()
+    starts = [r for r in rows if r["start"] == 0]
+    assert Counter(r["doc_id"] for r in starts) == Counter(r[0] for r in edge_rows)
+    assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in starts)
+    assert {r["doc_tokens"] for r in starts if r["doc_id"] in (3, 4)} == {1}
+    assert packing.pack(none).count() == 0
+
+
+def test_special_strings_are_text(spark):
+    from docstrata.llm.packing import _encoder, public_vocabulary
+
+    ids = _encoder(*public_vocabulary()).encode_ordinary("<|endoftext|>")
+    assert len(ids) > 1
+
+
+@pytest.mark.parametrize("lengths", [[2048] * 5, [1] * 3000, [1025] * 7, [2047, 1] * 10, [5], list(range(1, 300))])
+def test_patterns_cover_the_demand(lengths):
+    import numpy as np
+
+    demand = np.bincount([-(-n // 8) for n in lengths], minlength=257)[1:]
+    left, sequences = demand.copy(), 0
+    for pattern, times in packing.patterns_for(demand, 256):
+        assert sum(s * k for s, k in pattern.items()) <= 256 and times > 0
+        for s, k in pattern.items():
+            left[s - 1] -= k * times
+        sequences += times
+    assert not left.any()
+    assert sequences <= -(-int((demand * np.arange(1, 257)).sum()) // 256) * 1.05 + 2 or max(lengths) > 1024
+
+
+def test_chat(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (3, 2, "user", None), (4, 0, "user", "a"), (4, 1, "bot", "b"), (4, 2, "user", None), (4, 2, "user", None),
+             (None, 0, None, "<|x|>"), (None, None, "user", "last"), (5, 0, "user", ""), (6, 0, "user", None)] + [(7, t, "user", str(t)) for t in range(600)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("name", F.lit("own")).withColumn("place", F.lit(0))
+    got = {(r["conv_id"], r["part"]): r for r in chat.collapse_and_render(df).collect()}
+    assert set(got) == {(3, 0), (None, 0), (5, 0), (6, 0), (7, 0), (7, 1), (7, 2)}
+    assert got[3, 0]["copies"] == 2 and got[3, 0]["n_turns"] == 3
+    assert got[3, 0]["rendered"] == "<|user|>\na<|end|>\n<|bot|>\nb<|end|>\n<|user|>\n<|end|>\n"
+    assert got[None, 0]["rendered"] == "<|unknown|>\n< |x|><|end|>\n<|user|>\nlast<|end|>\n"
+    assert "".join(got[7, p]["rendered"] for p in range(3)) == "".join(f"<|user|>\n{t}<|end|>\n" for t in range(600))
+    assert chat.collapse_and_render(df.limit(0)).count() == 0
+
+
+def test_language(spark, edge, none):
+    rows = language.identify(language.from_documents(edge)).collect()
+    assert len(rows) == 14 and all(0 <= r["probability"] <= 1 for r in rows)
+    assert language.identify(language.from_documents(none)).count() == 0
+    kept = language.keep_identified(edge)
+    assert kept.columns == edge.columns and kept.count() <= 14
+    assert language.keep_identified(none).count() == 0
+
+
+def test_foreign_texts_are_rejected(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = spark.createDataFrame([(10**6, "Это русский текст, которого здесь никто не ждал " * 3, None, None, 1)], docs.schema)
+    assert language.keep_identified(docs.union(odd)).filter(F.col("doc_id") == 10**6).count() == 0
+
+
+def test_evidence_outweighs_a_short_text(spark):
+    rows = [(i, "the and of the with and the that", "en", "h1", "en") for i in range(30)] + [(100 + i, "der und das die nicht von mit", "de", "h2", "de") for i in range(30)] + [(500, "x", "de", "h2", None), (501, "x", None, "h2", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, suffix string").withColumn("page_id", F.lit(None).cast("long")).withColumn("domain", F.lit("d"))
+    got = {r["doc_id"]: r["language"] for r in language.identify(df).collect()}
+    assert got[500] == "de" and got[501] == "de"
+
+
+def normal(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda text: F.lit("one bucket for all")])
+def test_exact_dedup(edge, none, edge_rows, digest):
+    rows = exact_dedup.exact_dedup(edge, exact_dedup.halves(edge), digest).collect()
+    groups = {}
+    for r in sorted(edge_rows, key=order):
+        groups.setdefault(normal(r[1]), []).append(r[0])
+    assert len(rows) == len(edge_rows) and sum(r["kept"] for r in rows) == len(groups)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in rows) == Counter((i, ids[0], len(ids)) for ids in groups.values() for i in ids)
+    kept = exact_dedup.keep_first(edge, digest)
+    assert kept.columns == edge.columns and Counter((r["doc_id"], normal(r["text"])) for r in kept.collect()) == Counter((ids[0], t) for t, ids in groups.items())
+    assert exact_dedup.exact_dedup(none, exact_dedup.halves(none)).count() == 0
+
+
+def test_fuse_filters_have_no_false_negatives():
+    import numpy as np
+
+    for n in (0, 1, 2, 10, 1000, 50_000):
+        keys = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
+        seed, segment, segments, table = exact_dedup.build_filter(keys)
+        assert not n or exact_dedup.might_hold(keys, seed, segment, segments, table).all()
+    others = np.random.default_rng(99).integers(0, 2**63, 20_000).astype(np.uint64)
+    assert exact_dedup.might_hold(others, seed, segment, segments, table).mean() < 0.01
+
+
+def test_mixing(spark, edge, none, edge_rows):
+    sized = edge.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), "source", "lang", F.lit(7).alias("target"))
+    rows = mixing.mix(sized).collect()
+    assert len(rows) == len(edge_rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) < 1 for s in sizes) and abs(sum(target.values()) - 1.5 * sum(sizes.values())) < 1e-6
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(sized).collect()))
+    out = mixing.mix_documents(edge)
+    assert out.columns == edge.columns and out.count() > 0
+    assert mixing.mix_documents(none).count() == 0 and mixing.mix(sized.limit(0)).count() == 0
+
+
+def test_a_hot_source_is_split(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(3).cast("long").alias("size"), F.when(F.col("id") < 25_000, "hot").otherwise(F.col("id").cast("string")).alias("source"))
+    got = mixing.mix(df).filter("source = 'hot'").agg(F.sum("taken").alias("t"), F.first("target").alias("target")).first()
+    assert abs(got["t"] - got["target"]) < 1
+
+
+def test_simhash(edge, none, edge_rows):
+    rows = simhash.near_groups(edge).collect()
+    prints = [brute.fingerprint(r[1]) for r in edge_rows]
+    roots, least = brute.components(prints), {}
+    for r, p in sorted(zip(edge_rows, prints, strict=True), key=lambda x: order(x[0])):
+        least.setdefault(roots[p], r[0])
+    assert Counter((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in rows) == Counter((r[0], p, least[roots[p]]) for r, p in zip(edge_rows, prints, strict=True))
+    kept = simhash.keep_one(edge)
+    assert kept.columns == edge.columns and kept.count() == len(least)
+    assert simhash.near_groups(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_all_links_are_found(spark):
+    import random
+
+    random.seed(3)
+    values = set()
+    for _ in range(60):
+        base = random.getrandbits(64)
+        values |= {base} | {base ^ sum(1 << b for b in random.sample(range(64), k)) for k in range(1, 7)}
+    signed = [v - 2**64 if v >= 2**63 else v for v in values]
+    pairs = {tuple(sorted((r["u"], r["v"]))) for r in simhash.close_pairs(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
+    got = simhash.close_pairs(spark.createDataFrame([(v,) for v in signed], "fp long")).count()
+    wanted = {tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    assert pairs == wanted and got == len(wanted)
+
+
+def test_components_of_a_long_path(spark):
+    from docstrata.llm.components import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (300, 301), (301, 300)], "u long, v long")
+    roots = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert all(roots[i] == 0 for i in range(1, 201)) and roots[301] == 300
+    assert components(edges.limit(0)).count() == 0
+
+
+def test_quality(spark, edge, none):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (6, 0), (7, 1), (8, None), (None, 1)], "doc_id long, quality int")
+    rows = quality.score(edge, quality.fit(edge, labels)).collect()
+    assert len(rows) == 14 and all(0 <= r["score"] <= 1 for r in rows)
+    unfit = quality.fit(none, labels)
+    assert quality.score(edge, unfit).count() == 14 and quality.score(none, unfit).count() == 0
+
+
+def brute_spans(text):
+    base = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        base += [(m.start(), 0, f"assign:{m.start()}:{m.end()}")] * (len(m[2]) >= 12)
+    base += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    base += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [s for *_, s in sorted(base)]
+
+
+def test_secrets(spark, edge, none, edge_rows, small):
+    for df in (edge, spark.read.parquet(f"{small}/documents.parquet")):
+        texts = Counter((r["doc_id"], hashlib.sha256(",".join(brute_spans(r["text"] or "")).encode()).hexdigest()) for r in df.collect())
+        assert Counter((r["doc_id"], r["base_sha256"]) for r in secrets.find_secrets(df).collect()) == texts
+    assert secrets.find_secrets(none).count() == 0
+    masked = secrets.mask_secrets(edge)
+    assert masked.columns == edge.columns and "hunter2" not in masked.filter("doc_id = 9").first()["text"]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [("key q8Zx0p2LmN4vB7tY1cR5wE9uK3sD6fG end", True), ("repeats itself aB3aB3aB3aB3aB3aB3aB3aB3", False), ("id 123e4567-e89b-12d3-a456-426614174000", False), ("sha256: q8Zx0p2LmN4vB7tY1cR5wE9uK3sD6fG", False), ("EXAMPLEaB3kd93kdLKD93kdkslaDKD93", False), ("aVeryLongCamelCaseIdentifierName", False), ("abcdefghijklmnopqrstuvwxyz0123456789AB", False), ("1111111111111111111111111", False)],
+)
+def test_entropy_and_allow_list(text, found):
+    assert bool(secrets.random_spans(text)) is found
+
+
+def test_incremental_entropy():
+    import math
+
+    text = "aB3kd93kdLKD93kdkslaDKD93ksla0DKEaaaaaaaaaaaaaaaaaaaaaaaaa"
+    plain = [-sum(c / 20 * math.log2(c / 20) for c in Counter(text[i : i + 20]).values()) for i in range(len(text) - 19)]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(secrets.window_entropies(text), plain, strict=True))
+
+
+def test_media(edge, none, edge_rows):
+    rows = media.media_columns(edge).collect()
+    payloads = {r[0]: media.payload_of((r[1] or "").encode()) for r in edge_rows if r[0] not in (None, 2)}
+    assert len(rows) == len(edge_rows)
+    for r in rows:
+        if r["doc_id"] in payloads:
+            p = payloads[r["doc_id"]]
+            assert (r["payload_sha256"], r["tail_crc32"], r["media_sha256"]) == (hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), hashlib.sha256(media.wav(p)).hexdigest())
+    assert media.media_columns(none).count() == 0
+
+
+def test_texts_of_one_payload_are_one_medium(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a\x00"), (3, "a")], "doc_id long, text string")
+    rows = media.media_columns(df).collect()
+    assert len({r["media_sha256"] for r in rows}) == 1 and sorted(r["n_bytes"] for r in rows) == [1, 1, 2]
+
+
+def test_shared_chunks_are_stored_once(spark, tmp_path):
+    import random
+
+    random.seed(1)
+    common = "".join(random.choice("abcdefgh ") for _ in range(60_000))
+    df = spark.createDataFrame([(i, f"{i} head {i * 7919} " + common + f" tail {i}") for i in range(6)], "doc_id long, text string")
+    store = str(tmp_path / "store")
+    rows = media.media_columns(df, store).collect()
+    assert all(r["payload_sha256"] == hashlib.sha256(media.payload_of(t.encode())).hexdigest() for r in rows for i, t in [(x["doc_id"], x["text"]) for x in df.collect()] if i == r["doc_id"])
+    stored = spark.read.parquet(store).select(F.sum(F.aggregate("own", F.lit(0), lambda s, c: s + F.octet_length(c))).alias("n")).first()["n"]
+    assert stored < 2.5 * len(common)
+
+
+def test_gear_hash_is_rolling():
+    import numpy as np
+
+    data = np.random.default_rng(0).integers(0, 256, 500).astype(np.uint8)
+    gear, h, plain = media._gear(), 0, []
+    for b in data:
+        h = ((h << 1) + int(gear[b])) & 0xFFFFFFFF
+        plain.append(h)
+    assert media.gear_hashes(data).tolist() == plain
+    chunks = media.chunks_of(bytes(100_000) + data.tobytes())
+    assert b"".join(chunks) == bytes(100_000) + data.tobytes() and max(map(len, chunks)) <= media.MOST
+
+
+def test_substring(edge, none, edge_rows):
+    def key(row):
+        return (*order(row),)
+
+    found = substring.substring_dedup(edge, full=True)
+    rows = found.collect()
+    assert len(rows) == len(edge_rows) and found.columns == ["doc_id", "key", "n_words", "n_removed", "kept_sha256", "kept_text"]
+    # Rows that share an id are ordered by text key; here no window is shared between such texts.
+    wanted = brute.substring([(r[0], r[1]) for r in sorted(edge_rows, key=key)])
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows) == Counter(wanted)
+    assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in rows if r["kept_text"] is not None)
+    assert substring.substring_dedup(none).count() == 0
+
+
+def test_substring_by_chance(spark):
+    import random
+
+    random.seed(5)
+    base = [random.choice("abcd") for _ in range(400)]
+    rows = [(i, " ".join(random.choice("abcd") if random.random() < 0.04 else w for w in base[random.randrange(300) :])) for i in range(25)] + [(30, " ".join("a" * 1 for _ in range(90)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(tuple(r) for r in substring.substring_dedup(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert found == sorted(brute.substring(rows))
+
+
+def test_long_texts_take_little_memory_at_once():
+    from docstrata.llm.common import slices
+
+    import numpy as np
+
+    sizes = [10, 3 << 20, 5, 1 << 19, 1 << 19, 1 << 19]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    parts = list(slices(offsets))
+    assert [p[0] for p in parts] == [0] + [p[1] for p in parts[:-1]] and parts[-1][1] == len(sizes)
