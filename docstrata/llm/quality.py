@@ -94,7 +94,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     """
     w = np.zeros((1 << FEATURE_BITS) + 1)
     alpha, sign = np.zeros(len(rows)), np.where(y > 0, 1.0, -1.0)
-    square = np.array([v @ v + 1.0 for v in values])
+    square = np.array([float(v @ v) + 1.0 for v in values])
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
@@ -128,7 +128,7 @@ def logistic_curve(margins: np.ndarray, y: np.ndarray, rounds: int = 50) -> tupl
 
 
 def _scaled(rows: list[np.ndarray], ratios: np.ndarray) -> list[np.ndarray]:
-    return [ratios[r] / max(np.sqrt((ratios[r] ** 2).sum()), 1e-9) for r in rows]
+    return [(ratios[r] / max(np.sqrt((ratios[r] ** 2).sum()), 1e-9)).astype(np.float32) for r in rows]
 
 
 class Model:
@@ -189,9 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows: i
     """
     one = labels.filter(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(target).alias("label"), F.max(target).alias("most"))
     chosen = one.filter("label = most").select(F.col("doc_id").alias("id"), F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # at most fit_rows ids
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # at most fit_rows ids
     got = _vectors(texts.groupBy("id", "label").agg(F.first("text").alias("text")).select("label", "text")).toPandas()
-    return Model([np.asarray(f, dtype=np.int64) for f in got["features"]], got["label"].to_numpy(dtype=np.int64))
+    return Model([np.asarray(f, dtype=np.int32) for f in got["features"]], got["label"].to_numpy(dtype=np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
