@@ -15,7 +15,7 @@ from docstrata.llm.common import BLANKS, checkpointed, running_totals, screened,
 
 KEY_BITS = 60
 #: Rows of one source whose keys are sorted together; a larger source is split by key range.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_096
 
 
 def random_key(doc_id: Column, seed: str) -> Column:
@@ -60,9 +60,9 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
     keyed = base.withColumn("__source", name).withColumn("__key", random_key(F.col("doc_id"), seed))
     keyed = keyed.join(plan, "__source").withColumn("__range", F.floor(F.col("__key") / F.lit(float(1 << KEY_BITS)) * F.col("__ranges")))
-    # What the ranges of a source hold, and so what stands before each, needs no sorted rows.
-    narrow = rows.select("doc_id", "size", name.alias("__source")).join(plan.select("__source", "__ranges"), "__source")
-    ranges = narrow.groupBy("__source", F.floor(random_key(F.col("doc_id"), seed) / F.lit(float(1 << KEY_BITS)) * F.col("__ranges")).alias("__range")).agg(F.sum("size").alias("__held"))
+    # A window over (source, range) would run where the join left its rows: a hot source in one task.
+    keyed = keyed.repartition("__source", "__range")
+    ranges = keyed.groupBy("__source", "__range").agg(F.sum("size").alias("__held"))
     earlier = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = checkpointed(ranges.select("__source", "__range", F.coalesce(F.sum("__held").over(earlier), F.lit(0)).alias("__offset")))
     within = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
