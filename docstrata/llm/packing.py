@@ -30,7 +30,7 @@ GRAIN = 8
 #: The id that ends every document.
 END_ID = 1
 #: Pieces of a class that one task ranks about.
-RANK_ROWS = 20_000
+RANK_ROWS = 1_024
 
 PIECES = "doc_id bigint, row_key bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
