@@ -9,14 +9,14 @@ from docstrata.config import CODE, LEXICON, LICENSE, SECRET, SETTINGS
 from docstrata.functions.identifiers import storage_path
 from docstrata.functions.text import around, cut_with_flag, delimited, normalise, only_context, precept_numbers, short_hash, terms_present
 from docstrata.operators import anchors, clauses, extraction, measure, prefilter, queues, references, rules
-from docstrata.plans.common import sql_list, sql_normalised, sql_terms, table
+from docstrata.plans.common import spread, sql_list, sql_normalised, sql_terms, table
 
 _DIRECT, _CONTEXT = list(LEXICON.direct), list(LEXICON.context)
 
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     """Documents as the prefilter takes them: short ones have only a title, tiny ones can't be read."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     touched = references.cited_passages(docs, table(spark, d, "benchmark")).groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("touched"))
     shaped = docs.join(touched, "doc_id", "left").select(
         "doc_id", "lang", "source", F.element_at(F.split("text", "\n", 2), 1).alias("title"), F.when(F.col("n_chars") >= 200, F.col("text")).alias("body"),
@@ -50,7 +50,7 @@ def prefilter_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").withColumn("found", terms_present(normalise(F.col("text")), list(LEXICON.terms)))
+    return spread(table(spark, d, "documents")).withColumn("found", terms_present(normalise(F.col("text")), list(LEXICON.terms)))
 
 
 def lexicon_hits_ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -104,12 +104,12 @@ def keyset_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clauses(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return clauses.clauses(docs, LICENSE).union(clauses.clauses(docs, SECRET)).union(clauses.clauses(docs, CODE))
 
 
 def clauses_license(spark: SparkSession, d: str) -> DataFrame:
-    return clauses.clauses(table(spark, d, "documents").select("doc_id", "text"), LICENSE)
+    return clauses.clauses(spread(table(spark, d, "documents").select("doc_id", "text")), LICENSE)
 
 
 def clause_span_verify(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +127,7 @@ def rule_catalogue(spark: SparkSession, d: str) -> DataFrame:
     families = found.groupBy("doc_id").agg(F.count_if(F.col("family") == "license").alias("n_suppressions"), F.count_if(F.col("family") == "secret").alias("n_repeals"), F.count_if(F.col("family") == "shouted").alias("n_modifications"))
     organs = organ.groupBy("doc_id").agg(F.count("*").alias("n_organ"))
     watched = table(spark, d, "benchmark").select("item_id", (F.length("text") >= 250).alias("specific"), "text")
-    cited = references.cited_passages(table(spark, d, "documents"), watched).join(watched.drop("text"), "item_id")
+    cited = references.cited_passages(spread(table(spark, d, "documents")), watched).join(watched.drop("text"), "item_id")
     ids = cited.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("suppressed"), F.array_sort(F.collect_set(F.when(F.col("specific"), F.col("item_id")))).alias("suppressed_specific"))
     facts = families.join(organs, "doc_id", "left").join(ids, "doc_id", "left").withColumn("n_organ", F.coalesce("n_organ", F.lit(0)))
     none = F.array().cast("array<bigint>")
@@ -139,19 +139,19 @@ def rule_catalogue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_edges(spark: SparkSession, d: str) -> DataFrame:
-    return references.cited_passages(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return references.cited_passages(spread(table(spark, d, "documents")), table(spark, d, "benchmark"))
 
 
 _CITED = r"(?:MIT License|Apache License|GNU General Public License|Creative Commons)"
 
 
 def citation_strongest(spark: SparkSession, d: str) -> DataFrame:
-    return references.strongest(references.citation_mentions(table(spark, d, "documents").select("doc_id", "text"), _CITED))
+    return references.strongest(references.citation_mentions(spread(table(spark, d, "documents").select("doc_id", "text")), _CITED))
 
 
 def verb_window(spark: SparkSession, d: str) -> DataFrame:
     """How often each verb governs a citation, and how many of those edges modify something."""
-    mentions = references.citation_mentions(table(spark, d, "documents").select("doc_id", "text"), _CITED)
+    mentions = references.citation_mentions(spread(table(spark, d, "documents").select("doc_id", "text")), _CITED)
     return mentions.groupBy("key", "verb").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("documents"))
 
 
@@ -233,7 +233,7 @@ def search_accent_insensitive(spark: SparkSession, d: str) -> DataFrame:
     """Any of three fields holds the needle, whatever its accents and case."""
     plain = lambda c: normalise(F.coalesce(c, F.lit("")))
     hit = F.contains(plain(F.col("text")), F.lit("cion")) | F.contains(plain(F.col("source")), F.lit("cion")) | F.contains(plain(F.col("lang")), F.lit("cion"))
-    return table(spark, d, "documents").filter(hit).select("doc_id", "lang")
+    return spread(table(spark, d, "documents")).filter(hit).select("doc_id", "lang")
 
 
 def positional_zip(spark: SparkSession, d: str) -> DataFrame:

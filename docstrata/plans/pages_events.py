@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from docstrata.config import LEXICON, Lexicon, Watched
 from docstrata.functions.text import collapse, normalise, terms_present
 from docstrata.operators import measure, rules, versions
-from docstrata.plans.common import sql_list, sql_normalised, sql_terms, table
+from docstrata.plans.common import spread, sql_list, sql_normalised, sql_terms, table
 from docstrata.sources import bodies, consolidated, summaries
 from docstrata.streaming import limiter, windows
 
@@ -79,12 +79,12 @@ def body_dispatch(spark: SparkSession, d: str) -> DataFrame:
     """Documents and pages as bytes, each read by its own branch."""
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), F.col("text").cast("binary").alias("content"))
     pages = table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("key"), F.col("html").cast("binary").alias("content"))
-    return bodies.dispatched(docs.union(pages)).groupBy("format", "derivation").agg(F.count("*").alias("bodies"))
+    return bodies.dispatched(spread(docs).union(spread(pages))).groupBy("format", "derivation").agg(F.count("*").alias("bodies"))
 
 
 def html_container_text(spark: SparkSession, d: str) -> DataFrame:
     """Texts of the declared containers, by the event parser."""
-    return bodies.html_texts(table(spark, d, "pages"), "page_id", "html").select("page_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+    return bodies.html_texts(spread(table(spark, d, "pages")), "page_id", "html").select("page_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 def html_article_crop(spark: SparkSession, d: str) -> DataFrame:
