@@ -185,7 +185,7 @@ def powers(base: int, n: int) -> np.ndarray:
 _POWERS: dict[int, np.ndarray] = {}
 
 
-_BYTE_BASE, _WORD_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+_BYTE_BASE = 0xD6E8FEB86659FD93
 
 
 def rolling(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
@@ -222,13 +222,3 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return rolling(data, begins, ends, _BYTE_BASE)
-
-
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` consecutive word hashes."""
-    starts = np.arange(max(0, len(words) - size + 1))
-    return rolling(words, starts, starts + size, _WORD_BASE)
-
-
-def default_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
