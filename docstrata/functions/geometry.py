@@ -40,6 +40,12 @@ def decoded_deltas(deltas: Column, scale: tuple[float, float], shift: tuple[floa
     return F.aggregate(deltas, start, step)["out"]
 
 
+def stitched(arcs: Column, order: Column) -> Column:
+    """One ring from shared arcs: an index of ~i takes arc i backwards; joints count once."""
+    one = F.transform(order, lambda i: F.when(i >= 0, F.element_at(arcs, (i + 1).cast("int"))).otherwise(F.reverse(F.element_at(arcs, (-i).cast("int")))))
+    return F.concat(F.element_at(one, 1), F.flatten(F.transform(F.slice(one, F.lit(2), F.size(one)), lambda a: F.slice(a, F.lit(2), F.size(a)))))
+
+
 def _kept(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Douglas-Peucker over a stack: which points of a line stay."""
     keep = np.zeros(len(points), dtype=bool)

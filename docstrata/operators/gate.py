@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docstrata.functions.text import cut_with_flag
+
 WAITING, APPROVED, REJECTED = "waiting", "approved", "rejected"
 MOST_NOTE = 2_000
 
@@ -65,3 +67,19 @@ def first_per_group(rows: DataFrame, group: str, order: list[Column], n: int = 1
     """The first rows of each group; row_number over the group, cut while it is ranked."""
     ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     return ranked.filter(F.col("__n") <= n).drop("__n")
+
+
+def public_alert(rows: DataFrame, most: int = 700) -> DataFrame:
+    """What the public sees of an alert: the visible sign, whole spans only, a cut text that says so.
+
+    ``rows`` has id, day, title, sign, human_sign, text, spans (array of start, finish, fragment).
+    """
+    whole = F.filter("spans", lambda s: s["start"].isNotNull() & s["finish"].isNotNull() & s["fragment"].isNotNull())
+    shown = cut_with_flag(F.col("text"), most)
+    empty = F.array().cast("array<struct<start:int,finish:int,fragment:string>>")
+    return rows.select("id", "day", F.coalesce("title", F.lit("")).alias("title"), visible_sign(F.col("human_sign"), F.col("sign")).alias("sign"), shown["text"].alias("text"), shown["cut"].alias("cut"), F.coalesce(whole, empty).alias("spans"))
+
+
+def public_finding(rows: DataFrame) -> DataFrame:
+    """What the public sees of a finding: by the rule's own sign, without light and recommendation."""
+    return rows.select("id", "day", "title", "sign", "summary", "refutation", "citations")

@@ -44,6 +44,12 @@ def missing(items: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
     return items.join(named, same, "left_anti")
 
 
+def open_days(wanted: DataFrame, done: DataFrame) -> DataFrame:
+    """Days of ``wanted`` (source, first, last) that no finished range of ``done`` covers: a backfill resumes there."""
+    days = lambda r: r.filter("first <= last").select("source", F.explode(F.sequence("first", "last")).alias("day"))
+    return days(wanted).distinct().join(days(done), ["source", "day"], "left_anti")
+
+
 def seeded_order(key: Column, seed: str) -> Column:
     """A shuffled order that every engine reproduces: the digest of seed and key."""
     return F.sha2(F.concat(F.lit(seed), key.cast("string")), 256)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docstrata.config import CODE, LEXICON, LICENSE, SECRET, SETTINGS
 from docstrata.functions.identifiers import storage_path
 from docstrata.functions.text import around, cut_with_flag, delimited, normalise, only_context, precept_numbers, short_hash, terms_present
-from docstrata.operators import anchors, clauses, extraction, measure, prefilter, queues, references, rules
+from docstrata.operators import anchors, clauses, extraction, gate, measure, prefilter, queues, references, rules
 from docstrata.plans.common import spread, sql_list, sql_normalised, sql_terms, table
 
 _DIRECT, _CONTEXT = list(LEXICON.direct), list(LEXICON.context)
@@ -135,6 +135,24 @@ def rule_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return rules.classify(facts, rules.catalogue()).select("doc_id", "n_suppressions", "n_repeals", "n_modifications", "rule", "verdict", "severity", "confidence")
 
 
+def candidate_rule(spark: SparkSession, d: str) -> DataFrame:
+    """What a candidate rule would add: shouting with a number, in cited documents or not, where the catalogue is silent."""
+    fires = F.col("text").rlike(r"[A-Z]{3,}!!") & (F.size(precept_numbers(F.col("text"))) > 0)
+    docs = spread(table(spark, d, "documents")).select("doc_id", "lang", fires.alias("fires"))
+    verdicts = rule_catalogue(spark, d).filter("rule is not null").select("doc_id", F.lit(True).alias("ruled"))
+    cited = citation_edges(spark, d).select("doc_id").distinct().withColumn("cited", F.lit(True))
+    rows = docs.join(verdicts, "doc_id", "left").join(cited, "doc_id", "left")
+    silent = F.col("ruled").isNull()
+    return rows.groupBy("lang").agg(F.count_if("fires").alias("fires"), F.count_if(F.col("fires") & silent).alias("new"), F.count_if(F.col("fires") & silent & F.col("cited").isNotNull()).alias("new_and_cited"), F.count("*").alias("documents"))
+
+
+def alerts_public(spark: SparkSession, d: str) -> DataFrame:
+    """The public view of documents with clauses: whole spans, cut texts."""
+    spans = _clauses(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "finish", "fragment"))).alias("spans"))  # of one document
+    rows = table(spark, d, "documents").join(spans, "doc_id").select(F.col("doc_id").alias("id"), F.lit("2026-01-05").alias("day"), "source", "text", "spans", F.lit(None).cast("string").alias("human_sign"), F.lit("unclear").alias("sign"), F.col("source").alias("title"))
+    return gate.public_alert(rows).select("id", "title", "sign", "cut", F.size("spans").alias("spans"), F.length("text").alias("chars"))
+
+
 # -- citations and anchors ----------------------------------------------------------------
 
 
@@ -265,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prefilter_rows, prefilter_funnel, lexicon_hits_ranked, context_noise_split, stale_queue, stale_queue_rules, keyset_batch, clauses_license, clause_span_verify,
-        rule_catalogue, citation_edges, citation_strongest, verb_window, snippet_context, anchor_passages, anchor_collapsed, corroborate_pointers, archive_paths,
+        rule_catalogue, candidate_rule, alerts_public, citation_edges, citation_strongest, verb_window, snippet_context, anchor_passages, anchor_collapsed, corroborate_pointers, archive_paths,
         dedupe_content, confusion_signals, census_vs_sample, stratified_sample, sample_topped_up, measure_ratio, search_accent_insensitive, positional_zip, crop_for_model, llm_extract_scripted,
     )
 }

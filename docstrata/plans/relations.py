@@ -90,6 +90,36 @@ def left_lookup_default(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").join(known, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("")).alias("nation"))
 
 
+def role_playing_join(spark: SparkSession, d: str) -> DataFrame:
+    """One dimension in two roles: the nations of a line's customer and of its supplier, which may be missing."""
+    nation = table(spark, d, "nation")
+    buyer, seller = nation.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("buyer")), nation.filter("n_regionkey <> 1").select(F.col("n_nationkey").alias("s"), F.col("n_name").alias("seller"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_orders(spark, d), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    both = lines.join(buyer, F.col("c_nationkey") == F.col("b")).join(seller, F.col("s_nationkey") == F.col("s"), "left")
+    return both.groupBy("buyer", F.coalesce("seller", F.lit("")).alias("seller")).agg(F.count("*").alias("lines"))
+
+
+def documents_page(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of orders as summaries, newest first, of one optional status."""
+    rows = _orders(spark, d).filter("o_orderstatus = 'F'").select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"), "o_orderpriority")
+    return gate.page(rows, [F.desc("day"), F.desc("o_orderkey")], limit=100)
+
+
+def document_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their lines nested in order."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))  # of one order
+    rows = _orders(spark, d).filter("o_totalprice > 450000").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select("o_orderkey", F.coalesce(F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ","), F.lit("")).alias("lines"))
+
+
+def backfill_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days per status that no finished range covers."""
+    day = F.col("o_orderdate").cast("date")
+    wanted = _orders(spark, d).groupBy(F.col("o_orderstatus").alias("source")).agg(F.min(day).alias("first"), F.date_add(F.min(day), 200).alias("last"))
+    done = wanted.select("source", F.date_add("first", 10).alias("first"), F.date_add("first", 150).alias("last"))
+    return queues.open_days(wanted, done).select("source", F.col("day").cast("string").alias("day"))
+
+
 # -- the gate -----------------------------------------------------------------------------
 
 
@@ -304,7 +334,7 @@ def feed_unreviewed(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        alerts_page, alert_sample_changes, changes_asof, changes_latest, findings_anti, unprocessed_anti, semi_watch, left_lookup_default, gate_enqueue, gate_status_order, gate_item_lookup, evidence_json,
+        alerts_page, alert_sample_changes, changes_asof, changes_latest, findings_anti, unprocessed_anti, semi_watch, left_lookup_default, role_playing_join, documents_page, document_detail, backfill_days, gate_enqueue, gate_status_order, gate_item_lookup, evidence_json,
         coverage_levels, coverage_rollup, coverage_full_outer, region_map, sign_counts, region_framework, most_modified_topk, term_index_dump, modifier_counts, criteria_breakdown, prefix_sum_offsets,
         stage_summaries, prefix_theta_join, budgeted_queue, retry_fair_queue, set_ops_union, set_ops_intersect, set_ops_except, set_ops_bag, ids_and_dates, download_queue, listing_anti, merged_results,
         email_hmac, atom_feed, feed_unreviewed,
@@ -324,6 +354,13 @@ SELECT c_custkey, c_name, urgent FROM customer JOIN u ON c_custkey = o_custkey W
     "unprocessed_anti": "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '2001-06-01')",
     "semi_watch": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND c_mktsegment = 'BUILDING')",
     "left_lookup_default": "SELECT s_suppkey, coalesce(n_name, '') AS nation FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey <> 2",
+    "role_playing_join": """SELECT b.n_name AS buyer, coalesce(s.n_name, '') AS seller, count(*) AS lines FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN nation b ON c_nationkey = b.n_nationkey LEFT JOIN nation s ON s_nationkey = s.n_nationkey AND s.n_regionkey <> 1 GROUP BY 1, 2""",
+    "documents_page": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderpriority FROM orders WHERE o_orderstatus = 'F' ORDER BY day DESC, o_orderkey DESC LIMIT 100",
+    "document_detail": """WITH l AS (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS lines FROM lineitem GROUP BY 1)
+SELECT o_orderkey, coalesce(lines, '') AS lines FROM orders LEFT JOIN l ON o_orderkey = l_orderkey WHERE o_totalprice > 450000""",
+    "backfill_days": """WITH w AS (SELECT o_orderstatus AS source, CAST(min(o_orderdate) AS DATE) AS f FROM orders GROUP BY 1), x AS (SELECT source, f, unnest(range(201)) AS i FROM w)
+SELECT source, CAST(f + CAST(i AS INTEGER) AS VARCHAR) AS day FROM x WHERE i < 10 OR i > 150""",
     "gate_enqueue": """WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), x AS (SELECT o_orderstatus = 'F' AS queued, coalesce(n, 0) >= 3 AS admitted FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)
 SELECT count(*) AS seen, count(*) FILTER (queued) AS already_queued, count(*) FILTER (NOT queued AND admitted) AS entered, count(*) FILTER (NOT queued AND NOT admitted) AS kept_out FROM x""",
     "gate_status_order": """WITH x AS (SELECT *, o_orderstatus = 'P' AND o_totalprice > 250000 AS acts, CASE WHEN o_orderpriority = '5-LOW' THEN 'neutral' END AS s FROM orders)

@@ -102,3 +102,16 @@ def test_geometry(spark):
     assert [(p["x"], p["y"]) for p in points] == [(10.5, 2.0), (11.5, 0.0)]
     middle = spark.range(1).select(geometry.albers(F.lit(-3.0), F.lit(40.0)).alias("p")).first()["p"]
     assert abs(middle["x"]) < 1e-12 and abs(middle["y"]) < 1e-12
+
+
+def test_stitched_rings(spark):
+    point = "struct<x:double,y:double>"
+    p = lambda *xs: [{"x": float(x), "y": 0.0} for x in xs]
+    df = spark.createDataFrame([([p(0, 1, 2), p(4, 3, 2)], [0, -2])], f"arcs array<array<{point}>>, o array<int>")
+    ring = df.select(geometry.stitched(F.col("arcs"), F.col("o")).alias("r")).first()["r"]
+    assert [q["x"] for q in ring] == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_tokens_differ(spark):
+    tokens = [r["t"] for r in spark.range(3).select(identifiers.opaque_token().alias("t")).collect()]
+    assert len(set(tokens)) == 3 and all(len(t) == 64 for t in tokens)

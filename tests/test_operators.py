@@ -218,3 +218,26 @@ def test_pattern_names():
     with pytest.raises(ValueError):
         Lexicon(("a",), ("a",), "1")
     assert ClausePattern("n", "a", "b").name == "n" and normalise is not None
+
+
+def test_public_views(spark):
+    kind = "id int, day string, title string, sign string, human_sign string, text string, spans array<struct<start:int,finish:int,fragment:string>>"
+    rows = spark.createDataFrame([(1, "d", None, "unclear", "neutral", "x" * 900, [(0, 1, "x"), (None, 2, "y")]), (2, "d", "t", "setback", None, None, None)], kind)
+    got = {r["id"]: r for r in gate.public_alert(rows).collect()}
+    assert got[1]["sign"] == "neutral" and got[1]["cut"] and len(got[1]["spans"]) == 1 and got[1]["title"] == ""
+    assert got[2]["sign"] == "setback" and not got[2]["cut"] and got[2]["spans"] == []
+    report = spark.createDataFrame([(1, "d", "t", "unclear", "s", "r", ["c"], "alert", "secret")], "id int, day string, title string, sign string, summary string, refutation string, citations array<string>, light string, recommendation string")
+    assert not {"light", "recommendation"} & set(gate.public_finding(report).columns)
+
+
+def test_only_named_items_enter_the_gate(spark):
+    rows = spark.createDataFrame([(1, "R", ["w"], None), (2, "R", [], ["o"]), (3, "R", None, None), (4, None, ["w"], ["o"])], "id int, rule string, watched array<string>, organs array<string>")
+    assert [r["id"] for r in rows.filter(gate.may_enter(F.col("rule"), F.col("watched"), F.col("organs"))).orderBy("id").collect()] == [1, 2]
+
+
+def test_open_days(spark):
+    kind = "source string, first date, last date"
+    wanted = spark.sql("SELECT 'a' source, date'2026-01-01' first, date'2026-01-05' last UNION ALL SELECT 'b', date'2026-01-03', date'2026-01-01'")
+    done = spark.sql("SELECT 'a' source, date'2026-01-02' first, date'2026-01-03' last")
+    assert sorted(str(r["day"]) for r in queues.open_days(wanted, done).collect()) == ["2026-01-01", "2026-01-04", "2026-01-05"]
+    assert queues.open_days(wanted, spark.createDataFrame([], kind)).count() == 5

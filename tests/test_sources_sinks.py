@@ -231,3 +231,22 @@ def test_rules_of_state_alone():
     rule = limiter.SlidingWindow(1, 10.0)
     assert [rule.hit(t)[0] for t in (0.0, 5.0, 10.0)] == [True, False, True]
     assert pd.Series([1]).sum() == 1 and sniffed_format is not None
+
+
+def test_layouts(spark):
+    children = [("title", " T "), ("meta", "m"), ("body", "B"), ("other", "")]
+    row = spark.createDataFrame([(children, " ", "second", "&amp;lt;p&amp;gt;Hi  there&amp;lt;/p&amp;gt;")], "c array<struct<tag:string,value:string>>, a string, b string, e string")
+    got = row.select(bodies.all_but(F.col("c"), "meta").alias("x"), bodies.first_layout(F.col("a"), F.col("b")).alias("y"), bodies.escaped_html(F.col("e")).alias("z")).first()
+    assert tuple(got) == ("T B", "second", "Hi there")
+
+
+def test_only_stale_rows_are_computed_again(spark):
+    stored = spark.createDataFrame([(1, "old", "a"), (2, "new", "b")], "k int, version string, v string")
+    after = tables.by_version(stored, lambda: F.col("version") != "new", lambda rows: rows.withColumn("v", F.upper("v")).withColumn("version", F.lit("new")), "k")
+    assert sorted(tuple(r) for r in after.collect()) == [(1, "new", "A"), (2, "new", "b")]
+
+
+def test_command_line(capsys):
+    from docstrata.__main__ import main
+
+    assert main(["list"]) == 0 and "prefilter_rows" in capsys.readouterr().out
