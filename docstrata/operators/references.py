@@ -14,22 +14,44 @@ REACH, MARGIN = 200, 80
 KEY_WORDS = 6
 
 
-def cited_passages(docs: DataFrame, watched: DataFrame) -> DataFrame:
-    """(doc_id, item_id): documents that hold a watched passage verbatim.
+def _literals(entries: DataFrame) -> list | None:
+    """The passages, if they are few enough to be folded into an expression."""
+    small = entries.limit(MOST_LITERALS + 1).collect()
+    return small if len(small) <= MOST_LITERALS else None
+
+
+def _passages(watched: DataFrame) -> DataFrame:
+    return watched.filter("text is not null and text != ''").select("item_id", "text")
+
 
-    A small watchlist is folded into the scan as literals. A large one is joined: the first
-    words of each passage meet the same number of consecutive words of the documents, and the
-    whole passage is verified after the equality join.
+def with_touched(docs: DataFrame, watched: DataFrame) -> DataFrame:
+    """``docs`` with ``touched``: the ids, as text, of the watched passages that they hold.
+
+    A small watchlist is folded into the scan, so that no text is shuffled. A large one is
+    joined: see ``cited_by_key``.
     """
-    entries = watched.filter("text is not null and text != ''").select("item_id", "text")
-    small = entries.limit(MOST_LITERALS + 1).collect()
-    if len(small) <= MOST_LITERALS:
-        hits = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(r["text"])), F.lit(r["item_id"])) for r in small))) if small else F.array().cast("array<bigint>")
-        return docs.select("doc_id", F.explode(hits).alias("item_id"))
-    return cited_by_key(docs, entries)
+    entries = _passages(watched)
+    small = _literals(entries)
+    if small is None:
+        hits = cited_by_key(docs, entries).groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("touched"))
+        return docs.join(hits, "doc_id", "left")
+    found = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(r["text"])), F.lit(str(r["item_id"]))) for r in small))) if small else F.array().cast("array<string>")
+    return docs.withColumn("touched", found)
+
+
+def cited_passages(docs: DataFrame, watched: DataFrame) -> DataFrame:
+    """(doc_id, item_id): documents that hold a watched passage verbatim."""
+    entries = _passages(watched)
+    small = _literals(entries)
+    if small is None:
+        return cited_by_key(docs, entries)
+    hits = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(r["text"])), F.lit(r["item_id"])) for r in small))) if small else F.array().cast("array<bigint>")
+    return docs.select("doc_id", F.explode(hits).alias("item_id"))
 
 
 def cited_by_key(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The same for any number of passages: their first words meet the same number of
+    consecutive words of the documents in an equality join; the whole passage is then verified."""
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     keyed = entries.withColumn("w", words(F.col("text"))).withColumn("n", F.least(F.size("w"), F.lit(KEY_WORDS)))
     sizes = F.lit(KEY_WORDS)

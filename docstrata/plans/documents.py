@@ -17,8 +17,7 @@ _DIRECT, _CONTEXT = list(LEXICON.direct), list(LEXICON.context)
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     """Documents as the prefilter takes them: short ones have only a title, tiny ones can't be read."""
     docs = spread(table(spark, d, "documents"))
-    touched = references.cited_passages(docs, table(spark, d, "benchmark")).groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("touched"))
-    shaped = docs.join(touched, "doc_id", "left").select(
+    shaped = references.with_touched(docs, table(spark, d, "benchmark")).select(
         "doc_id", "lang", "source", F.element_at(F.split("text", "\n", 2), 1).alias("title"), F.when(F.col("n_chars") >= 200, F.col("text")).alias("body"),
         F.col("source").alias("organ"), (F.col("n_chars") < 10).alias("unreadable"), "touched", "n_chars",
     )
@@ -174,9 +173,12 @@ def verb_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _anchored(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return citation_edges(spark, d).join(docs, "doc_id").join(items, "item_id").withColumn("at", anchors.anchored(F.col("text"), F.col("quote")))
+    """Cited passages with their place; only texts that cite something meet the passages."""
+    watched = table(spark, d, "benchmark")
+    items = watched.select(F.col("item_id").cast("string").alias("touched_id"), "item_id", F.col("text").alias("quote"))
+    docs = references.with_touched(spread(table(spark, d, "documents").select("doc_id", "text")), watched)
+    citing = docs.filter(F.size("touched") > 0).select("doc_id", "text", F.explode("touched").alias("touched_id"))
+    return citing.join(items, "touched_id").withColumn("at", anchors.anchored(F.col("text"), F.col("quote")))
 
 
 def snippet_context(spark: SparkSession, d: str) -> DataFrame:

@@ -93,6 +93,14 @@ def test_passages_by_literals_and_by_key_agree(spark):
     assert literal == joined == {(1, 10), (1, 11), (2, 11), (3, 12)}
 
 
+def test_touched_needs_no_shuffle(spark):
+    texts = spark.createDataFrame([(1, "zero one two"), (2, "three"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "one two"), (11, "three"), (12, None)], "item_id long, text string")
+    out = references.with_touched(texts, items)
+    assert {r["doc_id"]: r["touched"] for r in out.collect()} == {1: ["10"], 2: ["11"], 3: []}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_modifying_edges(spark):
     refs = spark.createDataFrame([(1, "a", "AMENDS"), (2, "a", "CITES"), (3, "b", "REPEALS")], "doc_id int, key string, verb string")
     assert [r["doc_id"] for r in references.modifying_edges(refs, spark.createDataFrame([("a",)], "key string")).collect()] == [1]
