@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.config import CODE, LEXICON, LICENSE, SECRET, SETTINGS
+from docstrata.config import CODE, LEXICON, LICENSE, SECRET, SETTINGS, ClausePattern
 from docstrata.functions.identifiers import storage_path
 from docstrata.functions.text import around, cut_with_flag, delimited, normalise, only_context, precept_numbers, short_hash, terms_present
 from docstrata.operators import anchors, clauses, extraction, gate, measure, prefilter, queues, references, rules
@@ -293,7 +293,55 @@ QUERIES = {
 _N = sql_normalised("coalesce(text, '')")
 _EDGES = "e AS (SELECT d.doc_id, b.item_id, d.text, b.text AS quote, strpos(d.text, b.text) - 1 AS start FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text))"
 
+
+def _sql_family(pattern: ClausePattern) -> str:
+    """Clauses of one family. RE2 has no look-behind: the boundary keeps its neighbours in
+    groups, and is marked twice, as one may begin where the last ended."""
+    construction, companion = f"(?i){pattern.construction}", f"(?i){pattern.companion}"
+    boundary, marked = r"""'([.;:»”"\)])(\s+)([«"“(A-ZÁÉÍÓÚÑ])'""", r"'\1' || chr(1) || '\2' || chr(2) || '\3'"
+    gap = r"chr(1) || '\s+' || chr(2)"
+    return f"""(WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, {boundary}, {marked}, 'g'), {boundary}, {marked}, 'g') AS m FROM documents
+  WHERE regexp_matches(text, '{construction}') AND regexp_matches(text, '{companion}')),
+p AS (SELECT doc_id, string_split_regex(m, {gap}) AS pieces, regexp_extract_all(m, {gap}) AS gaps FROM t),
+x AS (SELECT doc_id, pieces, gaps, unnest(range(1, len(pieces) + 1)) AS i FROM p),
+s AS (SELECT doc_id, coalesce(list_sum(list_transform(pieces[1:i - 1], lambda e: length(e))), 0) + coalesce(list_sum(list_transform(gaps[1:i - 1], lambda e: length(e) - 2)), 0) AS start, pieces[i] AS fragment FROM x),
+f AS (SELECT *, greatest(0, length(regexp_extract(fragment, '(?is)^(.*?){pattern.construction}', 1)) - 500) AS first FROM s WHERE regexp_matches(fragment, '{construction}')),
+w AS (SELECT doc_id, CASE WHEN length(fragment) > 1000 THEN start + first ELSE start END AS start, CASE WHEN length(fragment) > 1000 THEN substr(fragment, first + 1, 1000) ELSE fragment END AS fragment FROM f),
+d AS (SELECT DISTINCT doc_id, CAST(start AS INTEGER) AS start, CAST(start + length(fragment) AS INTEGER) AS finish, fragment FROM w WHERE regexp_matches(fragment, '{construction}') AND regexp_matches(fragment, '{companion}'))
+SELECT doc_id, '{pattern.name}' AS family, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, finish) - 1 AS INTEGER) AS place, start, finish, fragment FROM d QUALIFY place < 50)"""
+
+
+_CLAUSES_SQL = "c AS (" + " UNION ALL ".join(f"SELECT * FROM {_sql_family(p)}" for p in (LICENSE, SECRET, CODE)) + ")"
+
+
+def _sql_numbers(text: str) -> str:
+    """Precept numbers. RE2 knows ASCII word boundaries only, so other letters become ones that it knows."""
+    return f"regexp_extract_all(regexp_replace({text}, '[À-ɏ]', '_', 'g'), " + r"'\b(?:\d{1,4}|[IVXLC]{1,7})\b')"
+
+
+_CITED_SQL = "e AS (SELECT d.doc_id, b.item_id, b.text AS quote FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text))"
+_ORGAN_SQL = r"regexp_matches(fragment, '(?i)\bsrc\d|\bGNU\b|\bApache\b') AND (" + " OR ".join(f"contains(' ' || {sql_normalised('fragment')} || ' ', ' {t} ')" for t in ("the", "under", "license")) + ")"
+_VERDICTS_SQL = f"""{_CLAUSES_SQL}, {_CITED_SQL},
+n AS (SELECT doc_id, count(*) FILTER (family = 'license') AS n_suppressions, count(*) FILTER (family = 'secret') AS n_repeals, count(*) FILTER (family = 'shouted') AS n_modifications, count(*) FILTER ({_ORGAN_SQL}) AS n_organ FROM c GROUP BY doc_id),
+q AS (SELECT doc_id, true AS cited, bool_or(length(quote) >= 250) AS specific FROM e GROUP BY doc_id),
+r AS (SELECT n.*, CASE WHEN n_suppressions > 0 AND coalesce(cited, false) THEN 'SUP-1' WHEN n_repeals > 0 AND coalesce(cited, false) THEN 'REP-1' WHEN n_modifications > 0 AND coalesce(cited, false) THEN 'MOD-1'
+  WHEN n_organ > 0 THEN 'SUP-3' WHEN n_suppressions > 0 THEN 'SUP-2' END AS rule, coalesce(specific, false) AS specific FROM n LEFT JOIN q USING (doc_id))"""
+
 SQL = {
+    "clauses_license": f"SELECT * FROM {_sql_family(LICENSE)}",
+    "clause_span_verify": f"WITH {_CLAUSES_SQL} SELECT family, count(*) AS clauses, CAST(0 AS BIGINT) AS violations, max(finish - start) AS longest FROM c GROUP BY family",
+    "rule_catalogue": f"""WITH {_VERDICTS_SQL} SELECT doc_id, n_suppressions, n_repeals, n_modifications, rule, CASE WHEN rule = 'SUP-1' AND specific THEN 'setback' WHEN rule IS NOT NULL THEN 'unclear' END AS verdict,
+  CASE rule WHEN 'SUP-1' THEN CASE WHEN specific THEN 4 ELSE 3 END WHEN 'REP-1' THEN 4 WHEN 'MOD-1' THEN 3 WHEN 'SUP-3' THEN 3 WHEN 'SUP-2' THEN 2 END AS severity,
+  CAST(CASE rule WHEN 'SUP-1' THEN 0.8 WHEN 'REP-1' THEN 0.5 WHEN 'MOD-1' THEN 0.5 WHEN 'SUP-3' THEN 0.4 WHEN 'SUP-2' THEN 0.4 END AS DOUBLE) AS confidence FROM r""",
+    "candidate_rule": f"""WITH {_VERDICTS_SQL}, x AS (SELECT lang, regexp_matches(text, '[A-Z]{{3,}}!!') AND len({_sql_numbers('text')}) > 0 AS fires, r.rule IS NULL AS silent, q.cited IS NOT NULL AS cited
+  FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN q USING (doc_id))
+SELECT lang, count(*) FILTER (fires) AS fires, count(*) FILTER (fires AND silent) AS new, count(*) FILTER (fires AND silent AND cited) AS new_and_cited, count(*) AS documents FROM x GROUP BY lang""",
+    "alerts_public": f"""WITH {_CLAUSES_SQL}, n AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS spans FROM c GROUP BY doc_id)
+SELECT doc_id AS id, source AS title, 'unclear' AS sign, length(text) > 700 AS cut, spans, CAST(length(CASE WHEN length(text) > 700 THEN rtrim(substr(text, 1, 700), ' ') || ' […]' ELSE text END) AS INTEGER) AS chars FROM n JOIN documents USING (doc_id)""",
+    "corroborate_pointers": f"""WITH {_CLAUSES_SQL}, {_CITED_SQL},
+g AS (SELECT doc_id, list_sort(list_distinct(flatten(list({_sql_numbers('fragment')})))) AS numbers FROM c GROUP BY doc_id),
+k AS (SELECT g.doc_id, numbers, count(quote) FILTER (list_has_any(numbers, {_sql_numbers('quote')})) AS confirmed, count(quote) AS quotes FROM g LEFT JOIN e USING (doc_id) GROUP BY ALL)
+SELECT doc_id, CAST(confirmed AS INTEGER) AS confirmed, CAST(quotes - confirmed AS INTEGER) AS unconfirmed, array_to_string(numbers, ',') AS numbers FROM k""",
     "prefilter_rows": f"{_EVALUATED_SQL} SELECT doc_id, state, terms, axes, CAST(n_direct AS BIGINT) AS n_direct FROM evaluated",
     "prefilter_funnel": f"""{_EVALUATED_SQL} SELECT lang, count(*) AS documents, count(*) FILTER (state = 'relevant') AS relevant, count(*) FILTER (state = 'suspect') AS suspect,
   count(*) FILTER (state = 'discarded') AS discarded, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'unreadable') AS unreadable,

@@ -235,6 +235,10 @@ SELECT place, department, count(*) AS registers, count(*) AS good, CAST(sum(n) A
   CAST(CASE WHEN o_orderkey % 100 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_references, CASE WHEN o_orderkey % 100 <> 0 THEN 'CUS-' || CAST(o_custkey AS VARCHAR) END AS cited, CASE WHEN o_orderkey % 100 <> 0 THEN 'MODIFICA A' END AS verb FROM orders WHERE o_orderkey < 3000""",
     "consolidated_versions": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations)
 SELECT conv_id AS key, role AS modifier, max(ordinal) AS ordinal, '2026-01-0' || CAST(max(turn) + 1 AS VARCHAR) AS in_force, CASE WHEN max(ordinal) = 1 THEN 'insertion' ELSE 'change' END AS kind FROM p GROUP BY conv_id, role""",
+    "body_dispatch": r"""WITH p AS (SELECT regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS i FROM pages),
+t AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(i, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM p)
+SELECT 'html' AS format, CASE WHEN length(x) >= 200 THEN 'text' ELSE 'unreadable' END AS derivation, count(*) AS bodies FROM t GROUP BY ALL
+UNION ALL SELECT 'other', CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 'unreadable' ELSE 'text' END, count(*) FROM documents GROUP BY ALL""",
     "html_article_crop": r"WITH x AS (SELECT page_id, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS i FROM pages) SELECT page_id, md5(i) AS inner_md5, CAST(length(i) AS BIGINT) AS chars FROM x",
     "url_parts": r"SELECT page_id, regexp_extract(url, '^(https?)://([^/?#]+)/([a-z]{2})/(\d+)', 1) AS scheme, regexp_extract(url, '^(https?)://([^/?#]+)/([a-z]{2})/(\d+)', 2) AS host, regexp_extract(url, '^(https?)://([^/?#]+)/([a-z]{2})/(\d+)', 3) AS lang, lpad(regexp_extract(url, '^(https?)://([^/?#]+)/([a-z]{2})/(\d+)', 4), 6, '0') AS number FROM pages",
     "quarantine_split": """WITH x AS (SELECT 'pages' AS source, starts_with(url, 'https://') AS good FROM pages UNION ALL SELECT 'events', coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER) < 90, false) FROM events)
