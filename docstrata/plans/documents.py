@@ -361,6 +361,7 @@ SELECT kind, count(*) AS documents, round(avg(chars), 3) AS mean_chars, median(c
     "citation_edges": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)",
     "snippet_context": f"WITH {_EDGES} SELECT doc_id, item_id, trim(substr(text, greatest(0, start - 80) + 1, start + length(quote) + 80 - greatest(0, start - 80)), ' ') AS snippet FROM e",
     "anchor_passages": f"WITH {_EDGES} SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(start + length(quote) AS BIGINT) AS finish, substr(text, start + 1, length(quote)) = quote AS verified FROM e",
+    "anchor_collapsed": f"WITH {_EDGES} SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(start + length(quote) AS BIGINT) AS finish FROM e",
     "archive_paths": "SELECT doc_id, sha256(text) AS sha256, substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 2) || '/' || sha256(text) || '.txt' AS path, substr(sha256(text), 1, 8) || '…' || right(sha256(text), 6) AS short FROM documents",
     "dedupe_content": "SELECT sha256(text) AS sha256, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1",
     "confusion_signals": f"""{_EVALUATED_SQL}, x AS (SELECT lang, quality = 1 AS e, state IN ('relevant', 'suspect') AS f FROM evaluated JOIN labels USING (doc_id)),

@@ -341,7 +341,19 @@ QUERIES = {
     )
 }
 
+
+def _sql_feed(status: str, title: str, prefix: str) -> str:
+    escaped = lambda x: f"""replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+    return f"""WITH r AS (SELECT o_orderkey AS id, c_name || ' <' || o_orderpriority || '>' AS title, o_orderdate AS moment, 'Total ' || CAST(round(o_totalprice, 2) AS VARCHAR) AS summary FROM orders JOIN customer ON o_custkey = c_custkey
+  WHERE o_orderstatus = '{status}' ORDER BY moment DESC, id DESC LIMIT 50),
+e AS (SELECT moment, id, '<entry><id>tag:alerts.example,' || strftime(moment, '%Y-%m-%d') || ':' || CAST(id AS VARCHAR) || '</id><title>' || {escaped(f"'{prefix}' || title")} || '</title><updated>' || strftime(moment, '%Y-%m-%dT%H:%M:%SZ')
+  || '</updated><summary type="text">' || {escaped("summary")} || '</summary></entry>' AS entry FROM r)
+SELECT '<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>{title}</title><id>tag:alerts.example,2026:feed</id><updated>' || strftime(max(moment), '%Y-%m-%dT%H:%M:%SZ') || '</updated>' || string_agg(entry, '' ORDER BY moment DESC, id DESC) || '</feed>' AS feed FROM e"""
+
+
 SQL = {
+    "atom_feed": _sql_feed("O", "Alerts", ""),
+    "feed_unreviewed": _sql_feed("P", "Findings", "UNREVIEWED · "),
     "alerts_page": """SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, c_name, n_name, r_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'neutral' ELSE o_orderpriority END AS sign
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'O' ORDER BY day DESC, o_orderkey DESC LIMIT 20 OFFSET 40""",
     "alert_sample_changes": """WITH f AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1)
