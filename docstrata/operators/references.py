@@ -45,7 +45,7 @@ def cited_passages(docs: DataFrame, watched: DataFrame) -> DataFrame:
     small = _literals(entries)
     if small is None:
         return cited_by_key(docs, entries)
-    hits = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(r["text"])), F.lit(r["item_id"])) for r in small))) if small else F.array().cast("array<bigint>")
+    hits = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(r["text"])), F.lit(r["item_id"]).cast("long")) for r in small))) if small else F.array().cast("array<bigint>")
     return docs.select("doc_id", F.explode(hits).alias("item_id"))
 
 

@@ -46,7 +46,7 @@ def summary_positional(spark: SparkSession, d: str) -> DataFrame:
     packed = turns.withColumn("r", register).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "r"))), lambda x: x["r"]), "").alias("all"))
     raw = packed.select(F.lit("2026-01-05").cast("date").alias("day"), F.concat(F.lit("<?xml version='1.0'?><documento>"), "all", F.lit("</documento>")).alias("content"))
     read = summaries.registers(raw)
-    return read.groupBy("place", "department").agg(F.count("*").alias("registers"), F.count_if("good").alias("good"), F.sum(F.length("title").cast("long")).alias("title_chars"))
+    return read.groupBy(F.col("place").cast("long").alias("place"), "department").agg(F.count("*").alias("registers"), F.count_if("good").alias("good"), F.sum(F.length("title").cast("long")).alias("title_chars"))
 
 
 def xml_body_parse(spark: SparkSession, d: str) -> DataFrame:
