@@ -106,7 +106,8 @@ def chunks_of(data: bytes) -> list[bytes]:
 
 
 def text_name(text: Column) -> Column:
-    return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
+    """SHA-256 of a text, as 32 bytes."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
 
 
 def _listed(docs: DataFrame) -> DataFrame:
@@ -119,15 +120,15 @@ def _listed(docs: DataFrame) -> DataFrame:
                 data = text.as_py() or b""
                 media = wav(payload_of(data))
                 sizes.append(len(data))
-                media_names.append(hashlib.sha256(media).hexdigest())
+                media_names.append(hashlib.sha256(media).digest())
                 lists.append([hashlib.sha256(c).digest() for c in chunks_of(media)])
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["name"], pa.array(sizes, pa.int64()), pa.array(media_names, pa.string()), pa.array(lists, pa.list_(pa.binary()))],
+                [batch["doc_id"], batch["name"], pa.array(sizes, pa.int64()), pa.array(media_names, pa.binary()), pa.array(lists, pa.list_(pa.binary()))],
                 names=["doc_id", "name", "n_bytes", "media_sha256", "digests"],
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_name(F.col("text")).alias("name"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, name string, n_bytes bigint, media_sha256 string, digests array<binary>")
+    return narrow.mapInArrow(run, "doc_id bigint, name binary, n_bytes bigint, media_sha256 binary, digests array<binary>")
 
 
 def _entries(media: DataFrame) -> DataFrame:
@@ -139,16 +140,16 @@ def _entries(media: DataFrame) -> DataFrame:
             for text, foreign in zip(batch["text"].cast(pa.binary()), batch["foreign"], strict=True):
                 data = wav(payload_of(text.as_py() or b""))
                 parts, skip = chunks_of(data), set(foreign.as_py() or [])
-                names.append(hashlib.sha256(data).hexdigest())
+                names.append(hashlib.sha256(data).digest())
                 lists.append([hashlib.sha256(c).digest() for c in parts])
                 kept.append([i for i in range(len(parts)) if i not in skip])
                 own.append([parts[i] for i in kept[-1]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(lists, pa.list_(pa.binary())), pa.array(kept, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.binary()))],
+                [pa.array(names, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array(kept, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.binary()))],
                 names=["media_sha256", "digests", "brought", "own"],
             )
 
-    return media.mapInArrow(run, "media_sha256 string, digests array<binary>, brought array<int>, own array<binary>")
+    return media.mapInArrow(run, "media_sha256 binary, digests array<binary>, brought array<int>, own array<binary>")
 
 
 def store_media(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +183,7 @@ def rebuilt(spark: SparkSession, path: str, shared: DataFrame) -> DataFrame:
     Rows that hold all their chunks are rebuilt where they are read. The others get what they
     lack by a join on the digest, gathered by medium.
     """
-    store = spark.read.schema("media_sha256 string, digests array<binary>, brought array<int>, own array<binary>").parquet(path)
+    store = spark.read.schema("media_sha256 binary, digests array<binary>, brought array<int>, own array<binary>").parquet(path)
     short = store.filter(F.size("brought") < F.size("digests"))
     missing = short.select("media_sha256", "brought", F.posexplode("digests").alias("place", "digest")).filter("not array_contains(brought, place)")
     brought = store.select(F.explode(F.arrays_zip(F.transform("brought", lambda p: F.element_at("digests", p + 1)).alias("digest"), F.col("own").alias("chunk"))).alias("c")).select("c.digest", "c.chunk")
@@ -203,17 +204,17 @@ def _read_back(store: DataFrame) -> DataFrame:
                 listed = digests.as_py()
                 ordered = [parts[i] for i in range(len(listed))]
                 if any(hashlib.sha256(c).digest() != d for c, d in zip(ordered, listed, strict=True)):
-                    raise ValueError(f"a chunk of medium {name.as_py()} is corrupt")
+                    raise ValueError(f"a chunk of medium {name.as_py().hex()} is corrupt")
                 media = b"".join(ordered)
-                if hashlib.sha256(media).hexdigest() != name.as_py():
-                    raise ValueError(f"medium {name.as_py()} can't be rebuilt")
+                if hashlib.sha256(media).digest() != name.as_py():
+                    raise ValueError(f"medium {name.as_py().hex()} can't be rebuilt")
                 samples = samples_of(media)
                 out.append((name.as_py(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(media), feature_of(samples)))
             columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
 
-    return store.mapInArrow(run, "media_sha256 string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string")
+    return store.mapInArrow(run, "media_sha256 binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string")
 
 
 def media_columns(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -231,7 +232,7 @@ def media_columns(docs: DataFrame, path: str | None = None) -> DataFrame:
     found = checkpointed(rebuilt(spark, where, shared))
     if path is None:
         remove_folder(spark, where)
-    return rows.join(found, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return rows.join(found, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
