@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
 
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Numpy works on slices of a batch of about so many bytes, so that a worker's memory stays flat.
 SLICE_BYTES = 1 << 20
@@ -32,12 +34,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    before = spark.conf.get(DROP_SHUFFLES)
+    with _lean(spark):
+        return df.checkpoint(eager=True)
+
+
+@contextmanager
+def _lean(spark: SparkSession) -> Iterator[None]:
+    """Jobs drop their shuffle files when done, and Python workers get small batches of texts."""
+    before = {k: spark.conf.get(k) for k in (DROP_SHUFFLES, BATCH_ROWS)}
     spark.conf.set(DROP_SHUFFLES, "true")
+    spark.conf.set(BATCH_ROWS, "2000")
     try:
-        return df.checkpoint(eager=True)
+        yield
     finally:
-        spark.conf.set(DROP_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -49,12 +60,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` as a compressed table at ``path``, read again: for rows too many to checkpoint."""
     spark = df.sparkSession
-    before = spark.conf.get(DROP_SHUFFLES)
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
+    with _lean(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
