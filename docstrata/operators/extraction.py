@@ -15,6 +15,8 @@ ANSWER_SCHEMA = "affected string, organ string, scope string, articles array<str
 ANSWER_KEYS = ("affected", "organ", "scope", "articles")
 MOST_ARTICLES = 50
 SCOPES = ("state", "region", "local")
+#: Characters that a piece of a text shares with the one before, so that a mention across the cut stays whole.
+OVERLAP = 200
 
 
 def prompts(docs: DataFrame, most: int = SETTINGS.model_characters) -> DataFrame:
@@ -22,6 +24,32 @@ def prompts(docs: DataFrame, most: int = SETTINGS.model_characters) -> DataFrame
     return docs.withColumn("prompt", delimited(F.substring(F.coalesce("text", F.lit("")), 1, most))).withColumn("full_length", F.length("text"))
 
 
+def piece_prompts(docs: DataFrame, most: int = SETTINGS.model_characters, overlap: int = OVERLAP) -> DataFrame:
+    """``docs`` with a row for each piece of the text: piece (its place), prompt and full_length.
+
+    The pieces cover the whole text, in order; a null or empty text has one empty piece.
+    """
+    text = F.coalesce("text", F.lit(""))
+    last = F.greatest(F.lit(0), F.ceil((F.length(text) - most) / (most - overlap))).cast("int")
+    places = docs.select("*", F.length("text").alias("full_length"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    return places.withColumn("prompt", delimited(F.substring(text, F.col("piece") * (most - overlap) + 1, F.lit(most))))
+
+
+def merged(answered: DataFrame, *by: str) -> DataFrame:
+    """One row for each document of ``answered`` (by, piece, x: validated answer).
+
+    ``valid_pieces`` counts the valid answers, and ``answers`` are they, by place. ``x`` is their
+    union: affected, organ and scope of the first answer that names them, and every article once.
+    It is null if no answer is valid.
+    """
+    given = F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("piece", "x"))))
+    rows = answered.groupBy(*by).agg(F.transform(given, lambda g: g["x"]).alias("answers"))
+    first = lambda name: F.get(F.filter(F.transform("answers", lambda a: a[name]), lambda v: v.isNotNull()), F.lit(0)).alias(name)
+    articles = F.array_distinct(F.flatten(F.filter(F.transform("answers", lambda a: a["articles"]), lambda v: v.isNotNull()))).alias("articles")
+    union = F.when(F.size("answers") > 0, F.struct(first("affected"), first("organ"), first("scope"), articles))
+    return rows.select(*by, F.size("answers").alias("valid_pieces"), "answers", union.alias("x"))
+
+
 def ask(rows: DataFrame, provider: Callable[[str], str]) -> DataFrame:
     """``rows`` with ``answer``; a provider that fails gives null, not a failed job."""
 

@@ -268,17 +268,19 @@ def crop_for_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def llm_extract_scripted(spark: SparkSession, d: str) -> DataFrame:
-    """Extraction through the provider interface, with scripted answers."""
+    """Extraction through the provider interface, with scripted answers: each whole text is
+    asked about in pieces, and a document's answers are merged."""
     answers = {
         "MIT License": 'Sure: {"affected": "MIT", "organ": "", "scope": "state", "articles": [{"identifier": "1", "before": "", "after": null}, {"identifier": "2", "before": "a", "after": "b"}]} done',
         "Apache": '{"affected": "Apache", "scope": "region", "articles": []}',
         "GNU": '{"affected": "GNU", "scope": "planet"}',
         "password": '{"affected": "x", "unexpected": 1}',
     }
-    docs = table(spark, d, "documents").select("doc_id", F.right("text", F.lit(SETTINGS.model_characters)).alias("text"))
-    asked = extraction.ask(extraction.prompts(docs), extraction.Scripted(answers, "no answer"))
-    got = asked.withColumn("x", extraction.validated(F.col("answer")))
-    return got.select("doc_id", "full_length", F.col("x").isNotNull().alias("valid"), "x.affected", "x.scope", F.size(extraction.pointers(F.col("x"))).alias("pointers"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    asked = extraction.ask(extraction.piece_prompts(docs).drop("text"), extraction.Scripted(answers, "no answer"))
+    got = extraction.merged(asked.withColumn("x", extraction.validated(F.col("answer"))), "doc_id", "full_length")
+    all_affected = F.array_distinct(F.filter(F.transform("answers", lambda a: a["affected"]), lambda v: v.isNotNull()))
+    return got.select("doc_id", "full_length", F.col("x").isNotNull().alias("valid"), "x.affected", "x.scope", F.size(extraction.pointers(F.col("x"))).alias("pointers"), "valid_pieces", all_affected.alias("all_affected"))
 
 
 QUERIES = {

@@ -213,6 +213,27 @@ def test_extraction_is_strict(spark):
     assert all(got[k]["v"] is None for k in ("extra", "scope", "broken", "list"))
 
 
+def test_extraction_reads_the_whole_text(spark, small):
+    from docstrata.plans import registry
+
+    article = lambda i: '{"affected": "%s", "scope": "state", "articles": [{"identifier": "%s"}]}' % (i, i)
+    answers = {k: article(k) for k in ("HEAD KEY", "CUT KEY", "TAIL KEY")}
+    texts = {1: "HEAD KEY" + "-" * 9000, 2: "-" * 3996 + "CUT KEY" + "-" * 9000, 3: "-" * 9000 + "TAIL KEY", 4: "HEAD KEY" + "-" * 9000 + "TAIL KEY", 5: "-" * 9000, 6: "", 7: None, 8: "-" * 3992 + "TAIL KEY", 9: "HEAD KEY" + "😀" * 8000 + "TAIL KEY"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    asked = extraction.ask(extraction.piece_prompts(rows), extraction.Scripted(answers, "none")).withColumn("x", extraction.validated(F.col("answer")))
+    got = {r["doc_id"]: (r["full_length"], r["x"] and r["x"]["affected"], r["x"] and [a["identifier"] for a in r["x"]["articles"]]) for r in extraction.merged(asked, "doc_id", "full_length").collect()}
+    plain = lambda t: [k for k in answers if k in (t or "")]
+    assert got == {i: (None if t is None else len(t), *((plain(t)[0], plain(t)) if plain(t) else (None, None))) for i, t in texts.items()}
+
+    found = {r["doc_id"]: r for r in registry.queries()["llm_extract_scripted"](spark, small).collect()}
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    assert len(found) == len(docs) and all(found[r["doc_id"]]["full_length"] == len(r["text"]) for r in docs)
+    for r in docs:  # the two keys whose answers are valid; a piece answers by its first key
+        pieces = [r["text"][at : at + 4000] for at in range(0, max(1, len(r["text"]) - extraction.OVERLAP), 4000 - extraction.OVERLAP)]
+        named = ["MIT" if "MIT License" in p else "Apache" for p in pieces if "MIT License" in p or "Apache" in p]
+        assert found[r["doc_id"]]["all_affected"] == list(dict.fromkeys(named)) and found[r["doc_id"]]["valid_pieces"] == len(named)
+
+
 def test_a_failing_provider_fails_no_job(spark):
     def provider(prompt):
         raise ValueError(prompt)
