@@ -3,8 +3,9 @@
 Patterns name the secrets that can be told by their form. The others are found by entropy:
 over each candidate string a window moves one character at a time, and its Shannon entropy
 is kept up to date from the counts of the character that enters and the one that leaves.
-What counts as high depends on the character class of the candidate; an allow-list
-suppresses candidates that are known to be harmless.
+What counts as high depends on the character class of the narrowest unit that holds the
+window: a token of the candidate, or else the candidate, so that a name in front of a key
+does not change the key's class. An allow-list suppresses pieces that are known to be harmless.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ LEAST_VALUE, LEAST_ACCESS = 12, 18
 #: Characters of the moving window, and so the length of the shortest candidate.
 WINDOW = 20
 _CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}")
+#: Units of a candidate that have a class of their own if a window fits in: tokens, and runs of hex digits.
+_UNITS = (re.compile(rf"[^=/_-]{{{WINDOW},}}"), re.compile(rf"[0-9a-f]{{{WINDOW},}}|[0-9A-F]{{{WINDOW},}}"))
+#: What the allow-list is asked about one by one: pieces by their form, values (a digest may hold '/') by what is before them.
+_PIECE, _VALUE = re.compile(r"[^=/]+"), re.compile(r"[^=]+")
 #: Bits per character above which a window of a class looks random (log2(20) = 4.32 at most).
 THRESHOLDS = {"hex": 3.0, "lower": 3.45, "upper": 3.45, "mixed": 3.7}
 #: Digits that a window needs: words and identifiers have few.
@@ -80,21 +85,54 @@ def _ordered(text: str) -> bool:
     return sum(0 <= ord(b) - ord(a) <= 1 for a, b in zip(text, text[1:])) * 2 > len(text)
 
 
+def _threshold(text: str) -> float:
+    """The entropy that a window of this unit must reach; infinite if none can be random."""
+    kind = character_class(text)
+    return math.inf if kind is None or _ordered(text) else THRESHOLDS[kind]
+
+
+def _harmless(found: str, text: str, at: int) -> Iterator[tuple[int, int]]:
+    """Pieces of a candidate that are UUIDs, hold a placeholder's word, or are named digests."""
+    for p in _PIECE.finditer(found):
+        if ALLOWED[0].fullmatch(p.group()) or ALLOWED[1].match(p.group()):
+            yield p.span()
+    for v in _VALUE.finditer(found):
+        if ALLOWED_BEFORE.search(text, max(0, at + v.start() - 24), at + v.start()):
+            yield v.span()
+
+
+def window_thresholds(found: str, text: str, at: int) -> list[float]:
+    """The threshold of each window of the candidate ``found``, which starts at ``at`` in ``text``.
+
+    A window that touches a harmless piece has an infinite one; the others of the candidate keep theirs.
+    """
+    n = len(found) - WINDOW + 1
+    out = [_threshold(found)] * n
+    for unit in _UNITS:
+        for u in unit.finditer(found):
+            own, first, last = _threshold(u.group()), u.start(), u.end() - WINDOW + 1
+            out[first:last] = [min(own, x) for x in out[first:last]]
+    for start, end in _harmless(found, text, at):
+        first, last = max(0, start - WINDOW + 1), min(n, end)
+        out[first:last] = [math.inf] * (last - first)
+    return out
+
+
 def random_spans(text: str) -> list[tuple[int, int]]:
-    """Unions of overlapping high-entropy windows, in code points, without allowed candidates."""
+    """Unions of overlapping high-entropy windows, in code points, without allowed pieces."""
     out: list[tuple[int, int]] = []
     for m in _CANDIDATE.finditer(text):
         found = m.group()
-        kind = character_class(found)
-        if kind is None or _ordered(found) or any(a.fullmatch(found) or (a is ALLOWED[1] and a.match(found)) for a in ALLOWED):
+        if character_class(found) is None or ALLOWED[2].fullmatch(found):
             continue
-        if ALLOWED_BEFORE.search(text, max(0, m.start() - 24), m.start()):
+        thresholds = window_thresholds(found, text, m.start())
+        if min(thresholds) == math.inf:
             continue
         digits = sum(c.isdigit() for c in found[:WINDOW])
         for i, entropy in enumerate(window_entropies(found)):
             if i:
                 digits += found[i + WINDOW - 1].isdigit() - found[i - 1].isdigit()
-            if entropy >= THRESHOLDS[kind] and digits >= LEAST_DIGITS:
+            if entropy >= thresholds[i] and digits >= LEAST_DIGITS:
                 start = m.start() + i
                 if out and start <= out[-1][1]:
                     out[-1] = (out[-1][0], start + WINDOW)

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -202,6 +203,21 @@ def test_entropy_and_allow_list(text, found):
     assert bool(secrets.random_spans(text)) is found
 
 
+@pytest.mark.parametrize("before", ["", "AUTH=", "SessionId=", "AUTH_", "SessionId-", "Build2=x/", "sample-repo/", "docs/example/v2/", "====================", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa="])
+def test_a_name_in_front_hides_no_key(before):
+    rng = random.Random(7)
+    for _ in range(200):
+        key = "".join(rng.choice("0123456789ABCDEF") for _ in range(32))
+        alone, named = secrets.random_spans(key), secrets.random_spans(before + key)
+        windows = {a + i for a, b in alone for i in range(b - a)}
+        assert windows <= {a + i - len(before) for a, b in named for i in range(b - a)}
+
+
+@pytest.mark.parametrize("text", ["SHA256=3FA94C7E1B0D8265AF3C9E7D41B6802F", "id=123e4567-e89b-12d3-a456-426614174000", "x/123e4567-e89b-12d3-a456-426614174000", 'integrity="sha512-q8Zx0p2LmN4vB7tY/1cR5wE9uK3sD6fGq8Zx0p2L/mN4vB7tY1cR5wE9uK3sD6fG=="', "key=EXAMPLE3FA94C7E1B0D8265AF3C9E7D41B6802F", "MyProject/some_plain_names/of_folders"])
+def test_allowed_pieces_stay_allowed(text):
+    assert not secrets.random_spans(text)
+
+
 def test_incremental_entropy():
     import math
 
