@@ -3,14 +3,16 @@
 The posterior of a language is proportional to
 ``P(text | language) * P(declared | language) * P(suffix | language) * P(language | host)``.
 
-* Text likelihoods come from hashed byte trigrams, fitted on a bounded sample of rows that
-  declare a language.
+* Text likelihoods come from hashed byte trigrams, fitted on a bounded sample of the rows that
+  declare each language.
 * How far a declaration or an address suffix can be trusted is measured on the corpus: one
   grouped aggregation counts them against what the texts alone say.
 * The prior of a host is smoothed towards its domain's, and that towards the corpus's, by
   grouped aggregations over all rows; a row's own vote is left out of its prior.
 
-The class ``und`` has uniform trigrams: texts that no fitted language explains go there.
+The class ``und`` has uniform trigrams: texts that no fitted language explains go there. A
+language whose declaring rows have no trigrams at all explains no text; rows without trigrams
+can still be in it, by their other evidence.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from pyspark.sql import functions as F
 from docstrata.llm.common import checkpointed, flat, screened, slices
 
 GRAM_BITS = 16
-#: Rows that the text model is fitted on, about; the rest of the corpus is scored, not fitted.
-FIT_ROWS = 10_000
-#: Languages that the model holds at most: the most declared ones.
-MOST_LANGUAGES = 60
+#: Rows that the text model is fitted on, about, in equal parts for each language but not under
+#: ``LEAST_FIT_ROWS`` for any; the rest of the corpus is scored, not fitted.
+FIT_ROWS, LEAST_FIT_ROWS = 10_000, 200
+#: Log-likelihood of any trigram under a language without fitted text: no text is in it.
+UNFITTED = -1e6
 UNKNOWN = "und"
 #: Trigrams overlap and repeat, so a text counts as if it had at most so many independent ones.
 EVIDENCE_GRAMS = 60
@@ -63,37 +66,46 @@ def _gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
     """Trigrams of each language: languages x 2**GRAM_BITS, summed in Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), 1 << GRAM_BITS), dtype=np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             data, offsets = flat(batch["text"])
             which = batch["language"].to_numpy(zero_copy_only=False)
             for i, language in enumerate(which):
                 part = data[offsets[i] : offsets[i + 1]]
                 if len(part) > 2:
-                    total[language] += np.bincount(gram_hashes(part), minlength=1 << GRAM_BITS)
-        language, gram = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(language, pa.int32()), pa.array(gram, pa.int32()), pa.array(total[language, gram], pa.int64())], names=["language", "gram", "n"])
+                    mine = total.setdefault(int(language), np.zeros(1 << GRAM_BITS, dtype=np.int64))
+                    mine += np.bincount(gram_hashes(part), minlength=1 << GRAM_BITS)
+        for language, counts in total.items():
+            gram = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), language), pa.int32()), pa.array(gram, pa.int32()), pa.array(counts[gram], pa.int64())], names=["language", "gram", "n"])
 
     position = F.array_position(F.array(*(F.lit(x) for x in languages)), F.col("declared")).cast("int") - 1
     labelled = rows.select(position.alias("language"), F.coalesce("text", F.lit("")).alias("text"))
-    sums = labelled.mapInArrow(count, "language int, gram int, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    out = np.zeros((len(languages), 1 << GRAM_BITS))
-    for r in sums.collect():  # at most languages x 2**GRAM_BITS rows, whatever the corpus
-        out[r["language"], r["gram"]] = r["n"]
+    sums = labelled.mapInArrow(count, "language int, gram int, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((len(languages), 1 << GRAM_BITS))  # at most languages x 2**GRAM_BITS sums, whatever the corpus
+    out[sums["language"].to_numpy(), sums["gram"].to_numpy()] = sums["n"].to_numpy()
     return out
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log-likelihood of each trigram under each), ``und`` last."""
-    declared = rows.filter("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["declared"] for r in declared)
+    """(languages, log-likelihood of each trigram under each), ``und`` last.
+
+    Every declared language has a table. Its rows are drawn by a hash of their text, and the
+    text with the least hash is always drawn, so that copies can't leave a language without one.
+    """
+    spelled = F.octet_length("text") > 2  # texts that have a trigram
+    place = F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 20))
+    found = rows.filter("declared is not null").groupBy("declared").agg(F.count_if(spelled).alias("n"), F.min(F.when(spelled, place)).alias("least")).collect()
+    languages = sorted(r["declared"] for r in found)
     table = np.full((len(languages) + 1, 1 << GRAM_BITS), -np.log(1 << GRAM_BITS), dtype=np.float32)
     if languages:
-        share = min(1.0, fit_rows / sum(r["count"] for r in declared))
-        chosen = F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20)))
-        counts = _gram_counts(rows.filter(F.col("declared").isin(languages) & chosen), languages)
+        quota = max(LEAST_FIT_ROWS, fit_rows // len(languages))
+        last = {r["declared"]: max(r["least"] + 1, round(min(1.0, quota / r["n"]) * (1 << 20))) for r in found if r["n"]}
+        upto = F.create_map(*(F.lit(x) for pair in last.items() for x in pair)) if last else F.lit(None).cast("map<string,int>")
+        counts = _gram_counts(rows.filter(spelled & (place < F.element_at(upto, F.col("declared")))), languages)
         smooth = counts + 0.5 * counts.mean(axis=1, keepdims=True) / 100 + 1e-3
         table[:-1] = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+        table[:-1][counts.sum(axis=1) == 0] = UNFITTED
     return [*languages, UNKNOWN], table
 
 
@@ -141,11 +153,16 @@ def _smoothed(votes: Column, own: Column, towards: Column, weight: float) -> Col
     return F.transform(mass, lambda m: m / F.aggregate(mass, F.lit(0.0), lambda s, x: s + x))
 
 
-def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
-    """``scored`` with language, probability, text_language and kept."""
+def fuse(scored: DataFrame, languages: list[str], unfitted: list[str]) -> DataFrame:
+    """``scored`` with language, probability, text_language and kept.
+
+    A row that declares an ``unfitted`` language, of which no row has a trigram, votes for it.
+    """
     n = len(languages)
-    best = F.array_max("text_score")
-    voted = checkpointed(scored.withColumn("vote", F.array_position("text_score", best).cast("int") - 1))
+    best = F.array_position("text_score", F.array_max("text_score"))
+    if unfitted:
+        best = F.when(F.col("declared").isin(unfitted), F.array_position(F.array(*(F.lit(x) for x in languages)), F.col("declared"))).otherwise(best)
+    voted = checkpointed(scored.withColumn("vote", best.cast("int") - 1))
     total = voted.agg(*(F.sum((F.col("vote") == i).cast("double")).alias(f"n{i}") for i in range(n))).first()
     counts = np.array([total[i] or 0.0 for i in range(n)])
     corpus = (counts + 1) / (counts + 1).sum()
@@ -188,12 +205,13 @@ def identify(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     text_language and kept, without their text.
 
     Any evidence may be null and then says nothing; null and very short texts have no
-    trigrams, so the other evidence decides. Ties go to the language that comes first by code
+    trigrams, so the other evidence decides. Every declared language is known, however rare. Ties go to the language that comes first by code
     point. Rows of any number may share a host: they meet as partial counts. Repeated rows
     are scored alike, an empty table gives an empty result, and further columns are carried.
     """
     languages, table = fit(rows, fit_rows)
-    return fuse(checkpointed(score_texts(rows, table)), languages).drop("text_score")
+    unfitted = [x for x, row in zip(languages, table, strict=True) if row[0] == UNFITTED]
+    return fuse(checkpointed(score_texts(rows, table)), languages, unfitted).drop("text_score")
 
 
 # -- evidence from tables -----------------------------------------------------------------

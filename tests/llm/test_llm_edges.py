@@ -83,6 +83,31 @@ def test_evidence_outweighs_a_short_text(spark):
     assert got[500] == "de" and got[501] == "de"
 
 
+def declaring(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string")
+    return df.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("page_id", "long"), ("suffix", "string"), ("host", "string"), ("domain", "string"))))
+
+
+def test_every_declared_language_is_known(spark):
+    rng = random.Random(3)
+    words = {f"x{i:02}": ["".join(chr(0x4E00 + 40 * i + rng.randrange(40)) for _ in range(4)) for _ in range(30)] for i in range(66)}
+    rows = [(1000 * k + i, " ".join(rng.choice(w) for _ in range(12)), name) for k, (name, w) in enumerate(words.items()) for i in range(7 if k < 60 else 3)]
+    got = language.identify(declaring(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r["language"] == r["declared"] == r["text_language"] and r["kept"] for r in got)
+
+
+def test_rare_languages_are_fitted_too(spark):
+    english = "the cat sat on the mat and looked at the other cats for a long while "
+    rare = "ñandu kuéra oikove ka'aguy mbytépe ha ohendu guyra purahéi "
+    rows = [(i, english + f"{i} {i * 7}", "en") for i in range(3000)] + [(5000 + i, rare, "gn") for i in range(3)] + [(6000 + i, " ", "aa") for i in range(5)] + [(7000, "Это русский текст, которого никто не ждал " * 3, None), (7001, rare * 2, None)]
+    fitted, table = language.fit(declaring(spark, rows), 100)
+    assert fitted == ["aa", "en", "gn", "und"] and len(set(table[2].tolist())) > 2
+    got = {r["doc_id"]: r for r in language.identify(declaring(spark, rows), 100).collect()}
+    assert all(got[i]["language"] == "gn" for i in (5000, 5001, 5002, 7001))
+    assert got[7000]["text_language"] == got[7000]["language"] == "und" and not got[7000]["kept"]
+    assert all(got[6000 + i]["language"] == "aa" for i in range(5))
+
+
 def normal(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
