@@ -10,8 +10,10 @@ from docstrata.functions.text import around, citation_key
 
 #: Characters before a citation in which its verb is looked for, and of a snippet's margins.
 REACH, MARGIN = 200, 80
-#: Words of a passage that find its candidates when there are too many passages for literals.
+#: Words inside a passage that find its candidates when there are too many passages for literals.
 KEY_WORDS = 6
+#: Characters at the start of a passage with fewer words that do so: the most that it has.
+KEY_GRAMS = (16, 8, 4, 2, 1)
 
 
 def _literals(entries: DataFrame) -> list | None:
@@ -34,7 +36,7 @@ def with_touched(docs: DataFrame, watched: DataFrame) -> DataFrame:
     small = _literals(entries)
     if small is None:
         hits = cited_by_key(docs, entries).groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("touched"))
-        return docs.join(hits, "doc_id", "left")
+        return docs.join(hits, "doc_id", "left").withColumn("touched", F.coalesce("touched", F.array().cast("array<string>")))
     found = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(r["text"])), F.lit(str(r["item_id"]))) for r in small))) if small else F.array().cast("array<string>")
     return docs.withColumn("touched", found)
 
@@ -50,19 +52,30 @@ def cited_passages(docs: DataFrame, watched: DataFrame) -> DataFrame:
 
 
 def cited_by_key(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The same for any number of passages: their first words meet the same number of
-    consecutive words of the documents in an equality join; the whole passage is then verified."""
+    """The same for any number of passages: a key that every text with the passage must have
+    finds candidates in an equality join; the whole passage is then verified.
+
+    The key is a run of the passage's inner words, as its first and last may be attached to
+    other characters in a text. A passage with too few of them has its first characters.
+    """
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    keyed = entries.withColumn("w", words(F.col("text"))).withColumn("n", F.least(F.size("w"), F.lit(KEY_WORDS)))
-    sizes = F.lit(KEY_WORDS)
-    short = keyed.filter(F.col("n") < sizes).select("item_id", F.col("text").alias("passage"))
-    first = keyed.filter(F.col("n") == sizes).select("item_id", F.col("text").alias("passage"), F.xxhash64(F.slice("w", 1, KEY_WORDS)).alias("key"))
+    gram = F.coalesce(*(F.when(F.length("passage") >= g, F.lit(g)) for g in KEY_GRAMS))
+    keyed = entries.select("item_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage")))
+    keyed = keyed.withColumn("size", F.when(F.size("w") >= KEY_WORDS + 2, F.lit(0)).otherwise(gram))  # 0: by words
+    own = F.when(F.col("size") == 0, F.xxhash64(F.slice("w", 2, KEY_WORDS))).otherwise(F.xxhash64(F.substring(F.col("passage"), F.lit(1), F.col("size"))))
+    wanted = keyed.select("item_id", "passage", "size", own.alias("key"))
+    sizes = [r["size"] for r in keyed.select("size").distinct().collect()]  # at most six
+
     starts = F.sequence(F.lit(1), F.size("w") - KEY_WORDS + 1)
-    runs = docs.select("doc_id", "text", words(F.col("text")).alias("w")).filter(F.size("w") >= KEY_WORDS)
-    runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(KEY_WORDS)))))).alias("key"))
-    met = runs.join(first, "key").select("doc_id", "item_id", "passage").distinct().join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("passage")))
-    few = docs.join(short, F.contains("text", F.col("passage")))  # passages of a few words are few
-    return met.select("doc_id", "item_id").union(few.select("doc_id", "item_id"))
+    runs = F.when(F.size("w") >= KEY_WORDS, F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(KEY_WORDS)))))
+    grams = lambda g: F.transform(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    texts = docs.select("doc_id", "text")
+    split = texts.select("*", words(F.col("text")).alias("w"))
+    met = wanted.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("id"), "item_id", "passage").limit(0)
+    for size in sizes:
+        having = split.select(F.col("doc_id").alias("id"), F.lit(size).alias("size"), F.explode(F.array_distinct(grams(size) if size else runs)).alias("key"))
+        met = met.union(having.join(wanted, ["size", "key"]).select("id", "item_id", "passage"))
+    return met.distinct().join(texts, F.col("id").eqNullSafe(F.col("doc_id"))).filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
 
 
 def verb_occurrences(window: Column) -> Column:

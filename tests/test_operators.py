@@ -93,6 +93,22 @@ def test_passages_by_literals_and_by_key_agree(spark):
     assert literal == joined == {(1, 10), (1, 11), (2, 11), (3, 12)}
 
 
+def test_the_number_of_passages_changes_no_citation(spark, monkeypatch):
+    long, six = "The quick brown fox jumps over the lazy dog today", "one two three four five six"
+    texts = [f'"{long}"', f"({long})", f"un{long}!", f"{long}, and", f"x {six}, y", f"x{six}y", f'"{six}"', "ab", "xaby", "a😀b", "two words", "(two words)", long.replace(" ", "  "), "", None, "é" * 40, "line\nbreak here"]
+    passages = [long, six, "ab", "b", "😀", "two words", "wo word", "quick", "fox jumps over the lazy", " the lazy dog", "é" * 16, "é" * 33, "e\nb", "nowhere to be found in any of these few texts", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(100 + i, p) for i, p in enumerate(passages)], "item_id long, text string")
+    plain = {(i, 100 + j) for i, t in enumerate(texts) for j, p in enumerate(passages) if t and p and p in t}
+    touched = {i: sorted(str(k) for d, k in plain if d == i) for i in range(len(texts))}
+    for most in (references.MOST_LITERALS, 3):
+        monkeypatch.setattr(references, "MOST_LITERALS", most)
+        got = [tuple(r) for r in references.cited_passages(docs, items).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain
+        assert {r["doc_id"]: sorted(r["touched"]) for r in references.with_touched(docs, items).collect()} == touched
+    assert "NestedLoop" not in references.cited_passages(docs, items)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_touched_needs_no_shuffle(spark):
     texts = spark.createDataFrame([(1, "zero one two"), (2, "three"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(10, "one two"), (11, "three"), (12, None)], "item_id long, text string")
