@@ -17,33 +17,54 @@ from pyspark.sql.window import Window
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
 
-DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Settings of the jobs that write checkpoints and tables: a batch has at most so many rows and
+#: about so many bytes (a single longer text is a batch of its own).
+LEAN = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 #: Numpy works on slices of a batch of about so many bytes, so that a worker's memory stays flat.
 SLICE_BYTES = 1 << 20
 
 
+def _shared_top(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it.
+
+    A folder set by ``setCheckpointDir`` or ``spark.checkpoint.dir`` is taken. Where none is
+    set, a temporary one is made if the whole of Spark runs on this machine, as in tests; on a
+    cluster that is an error, as executors could not see it.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if top is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            top = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(top)
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder.
 
-    ``spark.checkpoint.dir`` names that folder; only where it is unset (tests on one
-    machine) is a temporary folder used. The shuffle files of the job that wrote it are of
-    no more use then, so Spark is asked to drop them: they would otherwise fill the disks.
+    The shuffle files of the job that wrote it are of no more use then, so Spark is asked to
+    drop them: they would otherwise fill the disks. The checkpoint's own files go with the
+    DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    with _lean(spark):
+    _shared_top(df.sparkSession)
+    with _lean(df.sparkSession):
         return df.checkpoint(eager=True)
 
 
 @contextmanager
 def _lean(spark: SparkSession) -> Iterator[None]:
-    """Jobs drop their shuffle files when done, and Python workers get small batches of texts."""
-    before = {k: spark.conf.get(k) for k in (DROP_SHUFFLES, BATCH_ROWS)}
-    spark.conf.set(DROP_SHUFFLES, "true")
-    spark.conf.set(BATCH_ROWS, "2000")
+    """Jobs drop their shuffle files when done, and Python workers get batches of bounded bytes."""
+    before = {k: spark.conf.get(k) for k in LEAN}
+    for k, v in LEAN.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
@@ -52,9 +73,8 @@ def _lean(spark: SparkSession) -> Iterator[None]:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a table: in ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tables-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a table, where driver and executors can see it."""
+    return f"{_shared_top(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

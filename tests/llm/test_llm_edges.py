@@ -26,11 +26,53 @@ def test_packing(edge, none, edge_rows):
     assert packing.pack(none).count() == 0
 
 
-def test_special_strings_are_text(spark):
-    from docstrata.llm.packing import _encoder, public_vocabulary
+def contract_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    ids = _encoder(*public_vocabulary()).encode_ordinary("<|endoftext|>")
-    assert len(ids) > 1
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_are_those_of_the_tokenizers_file():
+    encode, plain = packing._encoder(*packing.public_vocabulary()), contract_tokenizer()
+    rng = random.Random(11)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "\u00a0", "\u3000", "\x85", "\x1c", "'s", "'LL", "12", "½", "٣", "é", "e\u0301", "漢字", "😀", "\u200d", "a", "Word", "_", "==", "\x00", "\ufeff", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    texts += [f"a {c}b{c}{c} 1{c}" for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000, 1), *range(0x1D400, 0x1D800), *range(0x1F300, 0x1FB00)])]
+    for text in texts:
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids, text
+    assert encode("a <|endoftext|> b").count(50256) == 1
+
+
+def test_packed_ids(edge, spark):
+    import numpy as np
+
+    odd = [(100, "a <|endoftext|> b", None, None, 1), (101, "<|endoftext|><|endoftext|>", None, None, 1), (102, "<|endoftext|> " * 3000, None, None, 1)]
+    df = edge.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in odd], "doc_id long, text string"))
+    pieces = {}
+    for r in packing.pack(df).collect():
+        pieces.setdefault(r["row_key"], []).append(r)
+    found, plain = Counter(), contract_tokenizer()
+    for rows in pieces.values():
+        rows.sort(key=lambda r: r["start"])
+        found[rows[0]["doc_id"], tuple((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows)] += 1
+    wanted = Counter()
+    for r in df.collect():
+        ids = np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        cut = [ids[a : a + 2048] for a in range(0, len(ids), 2048)]
+        wanted[r["doc_id"], tuple((2048 * i, len(c), zlib.crc32(c.tobytes()), len(ids)) for i, c in enumerate(cut))] += 1
+    assert found == wanted
+
+
+def test_the_linear_program_reaches_its_bound():
+    import numpy as np
+
+    for seed in range(4):
+        demand = np.random.default_rng(seed).integers(0, 50, 64) * np.random.default_rng(seed + 9).integers(1, 2000)
+        columns, uses = packing.solve(demand, 64)
+        covered = columns @ uses
+        assert (covered >= demand - 1e-6).all() and (columns.T @ np.arange(1, 65) <= 64).all()
+        assert uses.sum() <= max((demand * np.arange(1, 65)).sum() / 64, demand[32:].sum()) * 1.05 + 1
 
 
 @pytest.mark.parametrize("lengths", [[2048] * 5, [1] * 3000, [1025] * 7, [2047, 1] * 10, [5], list(range(1, 300))])
@@ -319,6 +361,39 @@ def test_substring_by_chance(spark):
     assert found == sorted(brute.substring(rows))
 
 
+def test_substring_tells_words_apart_that_fool_polynomial_hashes(spark):
+    """Thue-Morse words and windows made of them have equal polynomial hashes modulo 2**64."""
+    a, b = "ab"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rest = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([a, *rest])), (2, " ".join([b, *rest])), (3, " ".join([a, *rest, "end"]))]
+    u, v = ["p"], ["q"]
+    for _ in range(4):
+        u, v = u + v, v + u
+    rows += [(4, " ".join([*u, *rest[:4]])), (5, " ".join([*v, *rest[:4]])), (6, " ".join([*u, *rest[:4], *v, *rest[:4]]))]
+    found = sorted(tuple(r) for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert found == sorted(brute.substring(rows)) and [r[2] for r in found] == [0, 0, 20, 0, 0, 40]
+
+
+def test_equal_rolling_hashes_are_verified(spark, monkeypatch):
+    """With a hash that throws windows together, the digests of their words still tell them apart."""
+    monkeypatch.setattr(substring, "windows", lambda texts, size, placed: coarse(texts, size, placed))
+    real = substring_windows
+
+    def coarse(texts, size, placed):
+        return real(texts, size, placed).withColumn("h", F.col("h") % 3)
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = [(i, " ".join(base[rng.randrange(40) :] + [f"own{i}"] * 3)) for i in range(12)] + [(50, "x " * 45)]
+    found = sorted(tuple(r) for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert found == sorted(brute.substring(rows))
+
+
+substring_windows = substring.windows
+
+
 def test_long_texts_take_little_memory_at_once():
     from docstrata.llm.common import slices
 
