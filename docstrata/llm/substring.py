@@ -1,13 +1,12 @@
 """Substring deduplication: repeated windows of words, found by rolling hashes.
 
-Rabin-Karp hashes of every window of ``size`` words are needed only where a window can be
-repeated at all. So each window is first named by an anchor: of the runs of ``ANCHOR_WORDS``
-words inside it, the one with the least hash. Equal windows have equal anchors, neighbouring
-windows mostly share one, and anchors that occur once in the corpus rule their windows out.
-The windows left are counted by their hashes in Spark; those that also start earlier merge
-into maximal intervals, whose words are removed.
-
-Texts whose whole word sequence is repeated are settled by one digest before any of that.
+Every window of ``size`` words gets a Rabin-Karp hash, rolled over strong hashes of its words,
+and Spark counts the hashes. Where a hash occurs again, the windows themselves are compared,
+by a 128-bit digest of their words. Windows that also start earlier merge into maximal
+intervals, whose words are removed.
+
+Texts whose whole word sequence is repeated are collapsed to their first before that, as all
+of their windows are then known to be repeated.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,30 +30,26 @@ from docstrata.llm.common import (
     screened,
     shared_folder,
     slices,
-    split_words,
     text_key,
-    word_hashes,
     written,
 )
 
 WINDOW_WORDS = 20
-ANCHOR_WORDS = 12
-#: Odd multipliers of the rolling hashes over word hashes.
-_BASE, _OTHER_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+#: Odd multiplier of the rolling hash over word hashes.
+_BASE = 0xA0761D6478BD642F
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
-def _hashes(words: np.ndarray, starts: np.ndarray, size: int, base: int) -> np.ndarray:
-    return rolling(words, starts, starts + size, base)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _word_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, words before each row) of slices of a batch."""
     data, offsets = flat(column)
     for i, j in slices(offsets):
-        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        begins, ends, before = split_words(part, at)
-        yield i, word_hashes(part, begins, ends), before
+        lists = [data[a:b].tobytes().split() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]  # of bytes: at the six ASCII blanks
+        yield i, np.concatenate([word_hashes(words) for words in lists]), np.cumsum([0, *map(len, lists)])
 
 
 # -- whole texts --------------------------------------------------------------------------
@@ -78,77 +74,63 @@ def sequences(docs: DataFrame) -> DataFrame:
 # -- windows ------------------------------------------------------------------------------
 
 
-def anchors_of(words: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first window, windows, anchor hash) of each run of windows that share an anchor."""
-    width = size - ANCHOR_WORDS + 1
-    grams = _hashes(words, np.arange(max(0, len(words) - ANCHOR_WORDS + 1)), ANCHOR_WORDS, _BASE)
-    n = max(0, len(words) - size + 1)
-    least, place = grams[:n].copy(), np.zeros(n, dtype=np.int64)
-    for j in range(1, width):
-        smaller = grams[j : j + n] < least
-        least[smaller] = grams[j : j + n][smaller]
-        place[smaller] = j
-    row = np.searchsorted(before, np.arange(n), side="right") - 1
-    whole = np.arange(n) + size <= before[row + 1]
-    start, row, anchor = np.flatnonzero(whole), row[whole], (np.arange(n) + place)[whole]
-    if not len(start):
-        return row, start, start, grams[:0]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(row) != 0)]))
-    return row[first], start[first] - before[row[first]], np.diff(np.append(first, len(start))), grams[anchor[first]]
-
-
-def anchors(texts: DataFrame, size: int) -> DataFrame:
-    """(anchor, doc, start, n) over ``texts`` (doc, text)."""
+def windows(texts: DataFrame, size: int, placed: bool) -> DataFrame:
+    """(h[, doc, start]) of every window of ``texts`` (doc, text)."""
+    names = ["h", *(["doc", "start"] if placed else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch["doc"].to_numpy()
             for i, words, before in _word_slices(batch["text"]):
-                row, start, n, anchor = anchors_of(words, before, size)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(docs[i + row]), pa.array(start, pa.int32()), pa.array(n, pa.int32())], names=["anchor", "doc", "start", "n"])
+                n = np.maximum(np.diff(before) - size + 1, 0)
+                row = np.repeat(np.arange(len(n)), n)
+                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = before[row] + start
+                columns = [pa.array(rolling(words, at, at + size, _BASE).view(np.int64))]
+                if placed:
+                    columns += [pa.array(docs[i + row]), pa.array(start, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return texts.mapInArrow(run, "h bigint" + ", doc bigint, start int" * placed)
 
-    return texts.mapInArrow(run, "anchor bigint, doc bigint, start int, n int")
 
+def window_digests(texts: DataFrame, size: int) -> DataFrame:
+    """(d1, d2, doc, start) of the windows at ``starts``, over (doc, text, starts).
 
-def windows(texts: DataFrame, size: int) -> DataFrame:
-    """(h, h2, doc, start) of the windows named by ``runs``, over (doc, text, runs)."""
+    d1 and d2 are the 128 bits of the BLAKE2b digest of the window's words, joined by a space.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, lists = batch["doc"].to_numpy(), batch["runs"]
-            for i, words, before in _word_slices(batch["text"]):
-                for k in range(len(before) - 1):
-                    runs = lists[i + k].values
-                    first, n = runs.field("start").to_numpy(), runs.field("n").to_numpy()
-                    start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    own = words[before[k] : before[k + 1]]
-                    h, h2 = _hashes(own, start, size, _BASE), _hashes(own, start, size, _OTHER_BASE)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(len(start), docs[i + k])), pa.array(start, pa.int32())],
-                        names=["h", "h2", "doc", "start"],
-                    )
+            for doc, text, starts in zip(batch["doc"].to_numpy(), batch["text"].cast(pa.binary()), batch["starts"], strict=True):
+                words, start = text.as_py().split(), starts.values.to_numpy()
+                joined = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                first, last = (ends[start] - [len(words[s]) for s in start]).tolist(), ends[start + size - 1].tolist()
+                digest = np.frombuffer(b"".join(hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(first, last, strict=True)), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(digest[::2]), pa.array(digest[1::2]), pa.array(np.full(len(start), doc)), pa.array(start, pa.int32())], names=["d1", "d2", "doc", "start"])
 
-    return texts.mapInArrow(run, "h bigint, h2 int, doc bigint, start int")
+    return texts.mapInArrow(run, "d1 bigint, d2 bigint, doc bigint, start int")
 
 
 def later_windows(texts: DataFrame, size: int) -> DataFrame:
     """(doc, starts) of the windows whose word sequence also starts earlier in ``texts`` (doc, text).
 
-    Nothing is gathered but what one document holds: anchors and windows are counted by
-    partial aggregates, and joined back in joins that adaptive execution can split where a
-    passage is very common.
+    Nothing is gathered but what one document holds: windows are counted by partial
+    aggregates, and joined back in joins that adaptive execution can split where a passage is
+    very common.
     """
     spark = texts.sparkSession
-    named = anchors(texts, size)
-    repeated = checkpointed(named.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
-    likely = screened(named, F.col("anchor"), repeated.select(F.col("anchor").alias("key"))).filter("__hit").drop("__hit")
-    runs = checkpointed(likely.join(repeated, "anchor").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
-    left = screened(texts, F.col("doc"), runs.select(F.col("doc").alias("key"))).filter("__hit")
     where = shared_folder(spark, "windows")
-    found = written(windows(left.join(runs, "doc").select("doc", "text", "runs"), size), where)
-    first = found.groupBy("h", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("h", "h2", "first")
+    repeated = written(windows(texts, size, False).groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h"), f"{where}-hashes")
+    places = windows(texts, size, True).join(repeated.hint("merge"), "h", "left_semi")
+    listed = checkpointed(places.groupBy("doc").agg(F.collect_list("start").alias("starts")))  # of one document
+    remove_folder(spark, f"{where}-hashes")
+
+    found = written(window_digests(texts.join(listed, "doc").select("doc", "text", "starts"), size), where)
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("d1", "d2", "first")
     first = written(first, f"{where}-first")  # so that the join shuffles both sides anew, and may split a hot window
-    late = found.join(first, ["h", "h2"]).filter(F.struct("doc", "start") > F.col("first"))
+    late = found.join(first, ["d1", "d2"]).filter(F.struct("doc", "start") > F.col("first"))
     starts = checkpointed(late.groupBy("doc").agg(F.collect_list("start").alias("starts")))
     remove_folder(spark, where)
     remove_folder(spark, f"{where}-first")
