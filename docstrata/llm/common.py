@@ -118,6 +118,21 @@ def running_totals(df: DataFrame, order: list[Column], **values: Column) -> Data
     return out.select(*df.columns, *((F.col(f"__o_{k}") + F.coalesce(F.sum(f"__v_{k}").over(inner), F.lit(0))).alias(k) for k in values))
 
 
+#: Into how many parts `salted_join` splits each key.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Inner join on ``key`` where one key may have a large share of ``rows``, and few rows of ``table``.
+
+    Rows are dealt to ``SALTS`` parts of their key by their ``row_id``; each part meets a copy of
+    the table's row.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int"))
+    copied = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copied, [key, "__salt"]).drop("__salt")
+
+
 # -- bounded bitmaps ----------------------------------------------------------------------
 
 #: Bits of a screening bitmap (2 to this power: 1 MB) and of one of its pages.

@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of ``edges`` (long u, long v).
+    """(node, root): the smallest node reachable, for every other node of ``edges`` (long u, long v).
 
     Each round costs a few shuffles of the edges that are left, and there are about as many
     rounds as the logarithm of the longest path squared. Rounds are checkpointed, so a lost

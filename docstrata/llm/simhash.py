@@ -1,152 +1,199 @@
 """SimHash near-duplicates through one-wildcard segment variants.
 
-A 64-bit fingerprint is cut into segments, so few that of two fingerprints that differ in
-``distance`` bits at most, some segment differs in one bit at most (three segments for four
+A fingerprint is cut into segments, so few that of two fingerprints that differ in ``distance``
+bits at most, some segment differs in one bit at most (three segments of 64 bits for four
 bits, where exact segments would take five). Every segment is indexed once for each of its
 bits with that bit blanked out: segments that differ in at most one bit then share a variant
 exactly. An equality join on the variants finds the pairs, and the join's condition verifies
-the whole fingerprints and keeps each pair at one variant only.
+the whole fingerprints.
+
+Links are wanted for the groups that they connect, so a group of many near copies need not
+give all its pairs: each round keeps one link for each group found so far, to the smallest
+other group, inside the join's own tasks. Rounds go on among the groups that grew until none
+has a link to another, so that no link between different groups is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import checkpointed, keep_rows, text_key
+from docstrata.llm.common import checkpointed, keep_rows, mixed, salted_join, text_key
 from docstrata.llm.components import components
 
-SHINGLE_WORDS = 4
-DISTANCE = 4
 SEED = 42
 #: Shingles whose bits are counted at once, so that long documents need little memory.
-SHINGLES_AT_ONCE = 65_536
+SHINGLES_AT_ONCE = 65_280
+#: Rows of bits that are added up as bytes without overflow.
+_BYTE_ROWS = 255
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Words in a shingle, 64-bit words in a fingerprint, bits that linked ones may differ in, segments."""
+
+    shingle: int
+    words: int
+    distance: int
+    segments: int
+
+    def cuts(self) -> list[tuple[int, int]]:
+        """(first bit, bits) of each segment; none crosses a 64-bit word."""
+        each = -(-self.segments // self.words)
+        edges = [64 * i // each for i in range(each + 1)]
+        return [(64 * w + a, b - a) for w in range(self.words) for a, b in zip(edges, edges[1:])]
+
+
+#: Links at 4 of 64 bits over shingles of four words; some of three segments differs in one bit at most.
+FOUR_BITS = Scheme(shingle=4, words=1, distance=4, segments=3)
+#: For a Jaccard similarity of 0.8 over shingles of five words: such texts differ in 19 of 128 bits
+#: on average. No few segments are sure to meet at that distance; eight of them do for most pairs.
+SIMILAR = Scheme(shingle=5, words=2, distance=26, segments=8)
 
 
 # -- fingerprints -------------------------------------------------------------------------
 
 
-def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
-    """Signed 64-bit fingerprint of UTF-8 text; 0 when it has no words."""
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (rows of 64-bit words) have each bit."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+    whole = len(bits) // _BYTE_ROWS * _BYTE_ROWS
+    sums = bits[:whole].reshape(-1, _BYTE_ROWS, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return sums + bits[whole:].sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: bytes, size: int = FOUR_BITS.shingle, words: int = 1) -> list[int]:
+    """Signed 64-bit words of the fingerprint of UTF-8 text; all 0 when it has no words.
+
+    The first word counts the bits of the shingles' XXH64; further ones those of its mixes.
+    """
     import xxhash
 
-    words = text.lower().split()  # bytes: A-Z alone change, and exactly the six blanks split
-    if not words:
-        return 0
-    k = min(size, len(words))
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
+    tokens = text.lower().split()  # bytes: A-Z alone change, and exactly the six blanks split
+    if not tokens:
+        return [0] * words
+    k = min(size, len(tokens))
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(tokens) - k + 1].tolist()
     stops = ends[k - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(64 * words, dtype=np.int64)
     for at in range(0, len(starts), SHINGLES_AT_ONCE):
         part = zip(starts[at : at + SHINGLES_AT_ONCE], stops[at : at + SHINGLES_AT_ONCE], strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in part], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<i8")[0])
+        first = np.array([digest(joined[a:b], SEED) for a, b in part], dtype="<u8")
+        ones += _bit_counts(np.stack([first, *(mixed(first, i) for i in range(1, words))], axis=1))
+    return np.packbits(ones * 2 > len(starts), bitorder="little").view("<i8").tolist()
+
 
+def _names(words: int) -> list[str]:
+    return [f"w{i}" for i in range(words)]
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, key, row_id, fp) of every row: ``key`` tells apart texts that share a doc_id."""
+
+def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """(doc_id, key, row_id, w0, w1, ...) of every row: ``key`` tells apart texts that share a doc_id."""
+    names = _names(scheme.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].cast(pa.binary())
-            fps = pa.array([fingerprint(t.as_py() or b"", size) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], batch["row_id"], fps], names=["doc_id", "key", "row_id", "fp"])
+            found = [fingerprint(t.as_py() or b"", scheme.shingle, scheme.words) for t in batch["text"].cast(pa.binary())]
+            columns = np.array(found, dtype=np.int64).reshape(-1, scheme.words).T
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], batch["row_id"], *(pa.array(c) for c in columns)], names=["doc_id", "key", "row_id", *names])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, key bigint, row_id bigint, fp bigint")
-
-
-# -- pairs --------------------------------------------------------------------------------
+    return narrow.mapInArrow(run, "doc_id bigint, key bigint, row_id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def segments_for(distance: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment: the fewest of which one differs by at most one bit."""
-    n = distance // 2 + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+# -- links --------------------------------------------------------------------------------
 
 
-def _mask(bits: int) -> int:
-    return (1 << bits) - 1
+def _segment(first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(F.col(f"w{first // 64}"), first % 64).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _segment(fp: Column, first: int, bits: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit(_mask(bits)))
-
-
-def variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, slot, rest): for each bit of a segment (``slot``, 0 to 63), the segment without it."""
+def variants(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """``fps`` with ``variant``: for each bit of a segment, that bit's number and the segment without it."""
     out = []
-    for first, bits in segments_for(distance):
-        seg = _segment(F.col("fp"), first, bits)
-        out += [F.struct(F.lit(first + i).alias("slot"), seg.bitwiseAND(F.lit(_mask(bits) ^ (1 << i))).alias("rest")) for i in range(bits)]
-    return fps.select("fp", F.inline(F.array(*out)))
+    for first, bits in scheme.cuts():
+        for i in range(bits):
+            out.append(_segment(first, bits).bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << i))) + F.lit((first + i) << 32))
+    return fps.select("*", F.explode(F.array(*out)).alias("variant"))
 
 
-def _shared_slot(x: Column, distance: int) -> Column:
-    """The one slot at which a pair with these differing bits is kept.
+def nearest_groups(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """(u, v): for each group ``u`` of ``fps`` (id, root, w0, ...) the smallest other group ``v`` that it links to.
 
-    It belongs to the first segment that differs in one bit at most: the slot of that bit, or
-    the segment's first slot if it doesn't differ.
+    The least is found in the tasks of the join before anything is shuffled, so that what
+    leaves them is one row for each group however many pairs it has.
     """
-    slot = F.lit(None).cast("int")
-    for first, bits in reversed(segments_for(distance)):
-        seg = _segment(x, first, bits)
-        at = F.when(seg == 0, F.lit(first)).otherwise(F.lit(first) + F.bit_count(seg - 1))
-        slot = F.when(F.bit_count(seg) <= 1, at).otherwise(slot)
-    return slot
+    index = variants(fps.select("id", "root", *_names(scheme.words)), scheme)
+    a, b = index.alias("a"), index.alias("b")
+    differing = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _names(scheme.words)), F.lit(0))
+    linked = (F.col("a.variant") == F.col("b.variant")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & (differing <= scheme.distance)
+    both = F.array(F.struct(F.col("a.root").alias("u"), F.col("b.root").alias("v")), F.struct(F.col("b.root").alias("u"), F.col("a.root").alias("v")))
+    return a.join(b, linked).select(F.inline(both)).groupBy("u").agg(F.min("v").alias("v"))
 
 
-def close_pairs(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Each pair (u < v) of the distinct ``fp`` values that differ in ``distance`` bits at most."""
-    index = variants(fps, distance)
-    a, b = index.alias("a"), index.alias("b")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    same = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.rest") == F.col("b.rest"))
-    verified = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= distance) & (F.col("a.slot") == _shared_slot(x, distance))
-    return a.join(b, same & verified).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+def connected(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """(id, root) of the ``fps`` (id, w0, ...) that have a link, by group; the others have none.
+
+    Every round at least halves the groups that still have links to others. A group without
+    one takes no further part: its links can't change.
+    """
+    active, settled = fps.withColumn("root", F.col("id")), None
+    while True:
+        picked = checkpointed(nearest_groups(active, scheme))
+        found = components(picked).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+        merged = found.union(found.select("new_root", "new_root").distinct())
+        if settled is not None:  # the first round's groups are single fingerprints
+            settled = settled.union(active.join(merged, "root", "left_anti").select("id", "root"))
+        active = checkpointed(active.join(merged, "root").select("id", *_names(scheme.words), F.col("new_root").alias("root")))
+        settled = settled if settled is not None else active.select("id", "root").limit(0)
+        if active.isEmpty():
+            return settled
 
 
 # -- the operator -------------------------------------------------------------------------
 
 
-def near_groups(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, key, row_id, fp, root and component_id (smallest doc_id reachable over links) of every row.
+def near_groups(docs: DataFrame, scheme: Scheme = FOUR_BITS) -> DataFrame:
+    """doc_id, key, row_id, w0..., root and component_id (smallest doc_id reachable over links) of every row.
 
     Rows with one fingerprint are collapsed before any pair is sought, so copies cost nothing
     however many there are. Null text is empty; texts without words share fingerprint 0, which
     links like any other. Null ids take part, and a component of nothing but null ids has a
-    null id. Repeated rows stay repeated, an empty table gives an empty result, and further
-    columns are ignored.
+    null id. Repeated rows stay repeated, an empty table gives an empty result, very long texts
+    are read whole in parts of bounded size, and further columns are ignored.
     """
-    rows = checkpointed(fingerprints(docs, size))
-    fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(close_pairs(fps.select("fp"), distance))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(first, "root").select("fp", "component_id", "root")
-    return rows.join(named, "fp").select("doc_id", "key", "row_id", "fp", "component_id", "root")
-
-
-def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
+    names = _names(scheme.words)
+    rows = checkpointed(fingerprints(docs, scheme))
+    fps = checkpointed(rows.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
+    roots = checkpointed(connected(fps.drop("least"), scheme))
+    grouped = fps.join(roots, "id")
+    first = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    several = salted_join(grouped, first, "root", "id").select(*names, "component_id", "root")
+    single = fps.join(roots, "id", "left_anti").select(*names, F.col("least").alias("component_id"), F.col("id").alias("root"))
+    return rows.join(several.union(single), names).select("doc_id", "key", "row_id", *names, "component_id", "root")
+
+
+def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one stays per component.
 
-    The row with the smallest doc_id stays (null ids last, then any one row).
+    The row with the smallest doc_id stays (null ids last, then any one row). Null texts are
+    empty ones, and are near copies of each other; repeated rows are one component, and an
+    empty table gives an empty result.
     """
-    groups = checkpointed(near_groups(docs, size, distance))
+    groups = checkpointed(near_groups(docs, scheme))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("k")
-    kept = groups.groupBy("root").agg(first).select("root", F.col("k.row_id").alias("kept_row"))
-    decided = groups.join(kept, "root").select("doc_id", "key", (F.col("row_id") == F.col("kept_row")).alias("kept"))
+    kept = groups.groupBy("root").agg(first).select(F.col("k.row_id").alias("row_id"), F.lit(True).alias("kept"))
+    decided = groups.join(kept, "row_id", "left").select("doc_id", "key", F.coalesce("kept", F.lit(False)).alias("kept"))
     return keep_rows(docs, checkpointed(decided))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -9,14 +9,43 @@ import xxhash
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text):
+def mix(h, seed):
+    """The splitmix64 finaliser of a shifted value."""
+    mask = 2**64 - 1
+    x = (h + 0x9E3779B97F4A7C15 * (seed + 1)) & mask
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+    return x ^ (x >> 31)
+
+
+def fingerprint(text, size=4, words=1):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    words = WORD.findall(low)
-    if not words:
+    found = WORD.findall(low)
+    if not found:
         return 0
-    k = min(4, len(words))
-    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), 42) for i in range(len(words) - k + 1)]
-    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    k = min(size, len(found))
+    hashes = [xxhash.xxh64_intdigest(" ".join(found[i : i + k]).encode(), 42) for i in range(len(found) - k + 1)]
+    hashes = [sum((h if w == 0 else mix(h, w)) << (64 * w) for w in range(words)) for h in hashes]
+    return sum(1 << b for b in range(64 * words) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def linked_by_segments(prints, distance, bits):
+    """Components of links between prints of 128 bits of which a segment differs in one bit at most."""
+    values = sorted(set(prints))
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, v in enumerate(values):
+        for u in values[:i]:
+            x = u ^ v
+            if x.bit_count() <= distance and any((x >> at & ((1 << bits) - 1)).bit_count() <= 1 for at in range(0, 128, bits)):
+                a, b = find(v), find(u)
+                parent[max(a, b)] = min(a, b)
+    return {v: find(v) for v in values}
 
 
 def components(prints, distance=4):

@@ -206,25 +206,72 @@ def test_simhash(edge, none, edge_rows):
     roots, least = brute.components(prints), {}
     for r, p in sorted(zip(edge_rows, prints, strict=True), key=lambda x: order(x[0])):
         least.setdefault(roots[p], r[0])
-    assert Counter((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in rows) == Counter((r[0], p, least[roots[p]]) for r, p in zip(edge_rows, prints, strict=True))
-    kept = simhash.keep_one(edge)
+    assert Counter((r["doc_id"], r["w0"] % 2**64, r["component_id"]) for r in rows) == Counter((r[0], p, least[roots[p]]) for r, p in zip(edge_rows, prints, strict=True))
+    kept = simhash.keep_one(edge, simhash.FOUR_BITS)
     assert kept.columns == edge.columns and kept.count() == len(least)
+    assert simhash.keep_one(edge).count() <= len(least) and simhash.keep_one(edge).columns == edge.columns
     assert simhash.near_groups(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
-def test_all_links_are_found(spark):
-    import random
+def connected_prints(spark, values, scheme=simhash.FOUR_BITS):
+    signed = [(i, v - 2**64 if v >= 2**63 else v) for i, v in enumerate(values)]
+    return {r["id"]: r["root"] for r in simhash.connected(spark.createDataFrame(signed, "id long, w0 long"), scheme).collect()}
 
-    random.seed(3)
+
+def test_all_links_are_found(spark):
+    rng = random.Random(3)
     values = set()
     for _ in range(60):
-        base = random.getrandbits(64)
-        values |= {base} | {base ^ sum(1 << b for b in random.sample(range(64), k)) for k in range(1, 7)}
-    signed = [v - 2**64 if v >= 2**63 else v for v in values]
-    pairs = {tuple(sorted((r["u"], r["v"]))) for r in simhash.close_pairs(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
-    got = simhash.close_pairs(spark.createDataFrame([(v,) for v in signed], "fp long")).count()
-    wanted = {tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
-    assert pairs == wanted and got == len(wanted)
+        base = rng.getrandbits(64)
+        values |= {base} | {base ^ sum(1 << b for b in rng.sample(range(64), k)) for k in range(1, 7)}
+    for _ in range(5):  # paths whose steps are links
+        at = rng.getrandbits(64)
+        for _ in range(30):
+            values.add(at)
+            at ^= sum(1 << b for b in rng.sample(range(64), 4))
+    values = sorted(values)
+    roots, wanted = connected_prints(spark, values), brute.components(values)
+    groups = {}
+    for i, v in enumerate(values):
+        groups.setdefault(wanted[v], set()).add(i)
+    found = {}
+    for i, root in roots.items():
+        found.setdefault(root, set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def test_a_dense_group_gives_one_link_for_each_print(spark):
+    base = 0x0123456789ABCDEF
+    values = [base] + [base ^ (1 << i) for i in range(64)] + [base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)]
+    assert len(values) == 2081
+    fps = spark.createDataFrame([(i, v - 2**64 if v >= 2**63 else v) for i, v in enumerate(values)], "id long, w0 long")
+    assert simhash.nearest_groups(fps.withColumn("root", F.col("id")), simhash.FOUR_BITS).count() == 2081
+    assert len(set(connected_prints(spark, values).values())) == 1
+
+
+def test_segments_cover_the_bits():
+    for scheme in (simhash.FOUR_BITS, simhash.SIMILAR):
+        bits = [b for first, n in scheme.cuts() for b in range(first, first + n)]
+        assert bits == list(range(64 * scheme.words)) and len(scheme.cuts()) == scheme.segments
+
+
+def test_most_texts_of_similarity_0_8_are_linked(spark):
+    """Pairs with a Jaccard similarity of 0.8 to 0.95 over shingles of five words; unrelated texts stay."""
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(3000)]
+    rows, wanted = [], 0
+    for i in range(200):
+        text = [rng.choice(words) for _ in range(300)]
+        other = list(text)
+        for at in rng.sample(range(300), rng.choice((2, 3, 5, 6))):
+            other[at] = "changed"
+        sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (text, other)]
+        wanted += len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    roots = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df, simhash.SIMILAR).collect()}
+    assert wanted == 200 and all(roots[i] // 2 == i // 2 for i in roots)
+    assert sum(roots[2 * i] == roots[2 * i + 1] for i in range(200)) >= 0.9 * wanted
 
 
 def test_components_of_a_long_path(spark):

@@ -128,8 +128,8 @@ def test_pipeline(spark, small, duck):
     assert sorted(exact) == sorted(first.values())
 
     near = [tuple(r) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(exact, docs.schema), small).collect()]
-    prints = {r: brute.fingerprint(r[1]) for r in exact}
-    roots, kept = brute.components(prints.values()), {}
+    prints = {r: brute.fingerprint(r[1], 5, 2) for r in exact}
+    roots, kept = brute.linked_by_segments(prints.values(), 26, 16), {}
     for r in sorted(exact):
         kept.setdefault(roots[prints[r]], r)
     assert sorted(near) == sorted(kept.values())
