@@ -1,9 +1,12 @@
 """Substring deduplication: repeated windows of words, found by rolling hashes.
 
 Every window of ``size`` words gets a Rabin-Karp hash, rolled over strong hashes of its words,
-and Spark counts the hashes. Where a hash occurs again, the windows themselves are compared,
-by a 128-bit digest of their words. Windows that also start earlier merge into maximal
-intervals, whose words are removed.
+and Spark counts the hashes: in buckets of the hash's range, as many as the words need. Where
+a hash occurs again, the windows themselves are compared, by a 128-bit digest of their words.
+Windows that also start earlier merge into maximal intervals, whose words are removed.
+
+There are about as many windows as words, so hashes and places are shuffled as packed arrays:
+one for each bucket of each slice of texts, with six bytes a hash and two to four a place.
 
 Texts whose whole word sequence is repeated are collapsed to their first before that, as all
 of their windows are then known to be repeated.
@@ -12,11 +15,14 @@ of their windows are then known to be repeated.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +43,13 @@ from docstrata.llm.common import (
 WINDOW_WORDS = 20
 #: Odd multiplier of the rolling hash over word hashes.
 _BASE = 0xA0761D6478BD642F
+#: Windows that a bucket of hashes has about, and places that one task matches with a bucket.
+BUCKET_WINDOWS, TASK_PLACES = 1 << 20, 1 << 23
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def _word_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, word hashes, words before each row) of slices of a batch."""
-    data, offsets = flat(column)
-    for i, j in slices(offsets):
-        lists = [data[a:b].tobytes().split() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]  # of bytes: at the six ASCII blanks
-        yield i, np.concatenate([word_hashes(words) for words in lists]), np.cumsum([0, *map(len, lists)])
+def word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
 
 
 # -- whole texts --------------------------------------------------------------------------
@@ -71,63 +71,181 @@ def sequences(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id bigint, key bigint, n_words bigint, seq string")
 
 
-# -- windows ------------------------------------------------------------------------------
+# -- slices of texts ----------------------------------------------------------------------
 
 
-def windows(texts: DataFrame, size: int, placed: bool) -> DataFrame:
-    """(h[, doc, start]) of every window of ``texts`` (doc, text)."""
-    names = ["h", *(["doc", "start"] if placed else [])]
+def sliced(texts: DataFrame) -> DataFrame:
+    """``texts`` (doc, doc_id, key, text) as rows of lists: whole texts of about ``SLICE_BYTES`` together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 32
         for batch in batches:
-            docs = batch["doc"].to_numpy()
-            for i, words, before in _word_slices(batch["text"]):
-                n = np.maximum(np.diff(before) - size + 1, 0)
-                row = np.repeat(np.arange(len(n)), n)
-                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = before[row] + start
-                columns = [pa.array(rolling(words, at, at + size, _BASE).view(np.int64))]
-                if placed:
-                    columns += [pa.array(docs[i + row]), pa.array(start, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            for i, j in slices(flat(batch["text"])[1]):
+                lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch[c].slice(i, j - i)) for c in ("doc", "doc_id", "key", "text")]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), *lists], names=["slice", "doc", "doc_id", "key", "text"])
+                name += 1
+
+    return texts.select("doc", "doc_id", "key", "text").mapInArrow(run, "slice bigint, doc array<bigint>, doc_id array<bigint>, key array<bigint>, text array<string>")
+
+
+def _words(texts: pa.Array) -> tuple[list[list[bytes]], np.ndarray]:
+    """Words of each text of a slice, and how many are before it."""
+    lists = [t.split() for t in texts.cast(pa.binary()).to_pylist()]  # of bytes: at the six ASCII blanks
+    return lists, np.cumsum([0, *map(len, lists)])
+
+
+def _window_places(before: np.ndarray, size: int) -> np.ndarray:
+    """The word at which each window of a slice begins."""
+    n = np.maximum(np.diff(before) - size + 1, 0)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - before[:-1], n)
+
 
-    return texts.mapInArrow(run, "h bigint" + ", doc bigint, start int" * placed)
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of consecutive parts of an array, which end at ``ends``."""
+    offsets = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    return flat(column)[0].view(kind)
+
+
+def _kept(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return hashes.astype("<u4"), (hashes >> np.uint64(32)).astype("<u2")  # the low bits of each
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+
+
+# -- windows ------------------------------------------------------------------------------
 
 
-def window_digests(texts: DataFrame, size: int) -> DataFrame:
-    """(d1, d2, doc, start) of the windows at ``starts``, over (doc, text, starts).
+def window_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of every window of a slice."""
+    lists, before = _words(texts)
+    places = _window_places(before, size)
+    return rolling(word_hashes(chain.from_iterable(lists), before[-1]), places, places + size, _BASE), places
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+
+
+def counted(slice_rows: DataFrame, size: int, buckets: int) -> DataFrame:
+    """(bucket, salts, repeated): the hashes, sorted and packed, that occur more than once in the corpus.
+
+    A slice gives each of its hashes once, marked if it has it more often, so that a passage of
+    very many documents is little to count. ``salts`` is into how many parts the bucket's
+    places should be dealt.
+    """
+
+    def per_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in batch["text"]:
+                hashes, times = np.unique(window_hashes(texts.values, size)[0], return_counts=True)
+                bucket = _bucket(hashes, buckets)  # sorted, as the hashes are
+                ends = np.flatnonzero(np.diff(bucket, append=buckets + 1)) + 1
+                total = np.diff(np.concatenate([[0], np.cumsum(times)])[np.concatenate([[0], ends])])
+                low, high = _kept(hashes)
+                columns = [pa.array(bucket[ends - 1].astype(np.int64)), pa.array(total), _packed(low, ends), _packed(high, ends), _packed((times > 1).astype(np.uint8), ends)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "n", "low", "high", "again"])
+
+    def per_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, n, seen, repeated = None, 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for batch in batches:
+            bucket, n = batch["bucket"][0].as_py(), n + pc.sum(batch["n"]).as_py()
+            hashes = _joined(_unpacked(batch["low"], "<u4"), _unpacked(batch["high"], "<u2"))
+            new, times = np.unique(hashes, return_counts=True)
+            here = [new[times > 1], hashes[_unpacked(batch["again"], "u1") > 0], np.intersect1d(new, seen, assume_unique=True)]
+            repeated, seen = np.unique(np.concatenate([repeated, *here])), np.union1d(seen, new)
+        if len(repeated):
+            yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([-(-n // TASK_PLACES)], pa.int32()), pa.array([repeated.tobytes()])], names=["bucket", "salts", "repeated"])
+
+    parts = slice_rows.select("text").mapInArrow(per_slice, "bucket bigint, n bigint, low binary, high binary, again binary")
+    return parts.groupBy("bucket").applyInArrow(per_bucket, "bucket bigint, salts int, repeated binary")
+
+
+def places_of(slice_rows: DataFrame, repeated: DataFrame, size: int, buckets: int) -> DataFrame:
+    """(slice, places): packed places of the windows whose hash is ``repeated``, a few rows for each slice.
+
+    A bucket's repeated hashes come before its places in sorted partitions, so the places are
+    matched as they stream by, however many they are; large buckets are dealt to several tasks.
+    """
+
+    def per_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, texts in zip(batch["slice"], batch["text"], strict=True):
+                hashes, places = window_hashes(texts.values, size)
+                bucket = _bucket(hashes, buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket, (low, high), place = bucket[order], _kept(hashes[order]), places[order]
+                ends = np.flatnonzero(np.diff(bucket, append=buckets + 1)) + 1
+                columns = [pa.array(bucket[ends - 1].astype(np.int64)), pa.array(np.full(len(ends), name.as_py(), np.int64)), _packed(low, ends), _packed(high, ends), _packed(place.astype("<u2"), ends), _packed((place >> 16).astype("<u2"), ends)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "slice", "low", "high", "p_low", "p_high"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, table = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            names, found = [], []
+            for row in range(batch.num_rows):
+                own = (batch["bucket"][row].as_py(), batch["salt"][row].as_py())
+                if batch["slice"][row].as_py() is None:
+                    key, table = own, np.frombuffer(batch["repeated"][row].as_py(), np.uint64)
+                elif own == key:
+                    low, high, p_low, p_high = (np.frombuffer(batch[c][row].as_py(), k) for c, k in (("low", "<u4"), ("high", "<u2"), ("p_low", "<u2"), ("p_high", "<u2")))
+                    hashes = _joined(low, high)
+                    hit = table[np.minimum(np.searchsorted(table, hashes), len(table) - 1)] == hashes
+                    if hit.any():
+                        names.append(batch["slice"][row].as_py())
+                        found.append((p_low[hit].astype("<u4") | (p_high[hit].astype("<u4") << np.uint32(16))).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], names=["slice", "places"])
+
+    parts = slice_rows.select("slice", "text").mapInArrow(per_slice, "bucket bigint, slice bigint, low binary, high binary, p_low binary, p_high binary")
+    salted = parts.join(repeated.select("bucket", "salts"), "bucket").withColumn("salt", F.pmod(F.xxhash64("slice"), F.col("salts"))).drop("salts")
+    tables = repeated.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), "repeated")
+    both = salted.unionByName(tables, allowMissingColumns=True)
+    ordered = both.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("slice").asc_nulls_first())
+    return ordered.mapInArrow(match, "slice bigint, places binary")
+
+
+def window_digests(slice_rows: DataFrame, size: int) -> DataFrame:
+    """(d1, d2, doc, start) of the windows at ``places`` (packed lists), over (doc, text, places).
 
     d1 and d2 are the 128 bits of the BLAKE2b digest of the window's words, joined by a space.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, starts in zip(batch["doc"].to_numpy(), batch["text"].cast(pa.binary()), batch["starts"], strict=True):
-                words, start = text.as_py().split(), starts.values.to_numpy()
-                joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                first, last = (ends[start] - [len(words[s]) for s in start]).tolist(), ends[start + size - 1].tolist()
+            for docs, texts, places in zip(batch["doc"], batch["text"], batch["places"], strict=True):
+                lists, before = _words(texts.values)
+                place = np.sort(_unpacked(places.values, "<u4").astype(np.int64))
+                joined = b" ".join(chain.from_iterable(lists))
+                lengths = np.fromiter(map(len, chain.from_iterable(lists)), np.int64, before[-1])
+                ends = np.cumsum(lengths + 1) - 1
+                first, last = (ends[place] - lengths[place]).tolist(), ends[place + size - 1].tolist()
                 digest = np.frombuffer(b"".join(hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(first, last, strict=True)), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(digest[::2]), pa.array(digest[1::2]), pa.array(np.full(len(start), doc)), pa.array(start, pa.int32())], names=["d1", "d2", "doc", "start"])
+                row = np.searchsorted(before, place, side="right") - 1
+                columns = [pa.array(digest[::2]), pa.array(digest[1::2]), pa.array(docs.values.to_numpy()[row]), pa.array(place - before[row], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["d1", "d2", "doc", "start"])
 
-    return texts.mapInArrow(run, "d1 bigint, d2 bigint, doc bigint, start int")
+    return slice_rows.select("doc", "text", "places").mapInArrow(run, "d1 bigint, d2 bigint, doc bigint, start int")
 
 
-def later_windows(texts: DataFrame, size: int) -> DataFrame:
-    """(doc, starts) of the windows whose word sequence also starts earlier in ``texts`` (doc, text).
+def later_windows(slice_rows: DataFrame, size: int, n_words: int) -> DataFrame:
+    """(doc, starts) of the windows whose word sequence also starts earlier in the ``sliced`` texts.
 
-    Nothing is gathered but what one document holds: windows are counted by partial
-    aggregates, and joined back in joins that adaptive execution can split where a passage is
+    Nothing is gathered but what one slice or one document holds. Repeated windows are joined
+    with their first places in a join that adaptive execution can split where a passage is
     very common.
     """
-    spark = texts.sparkSession
-    where = shared_folder(spark, "windows")
-    repeated = written(windows(texts, size, False).groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h"), f"{where}-hashes")
-    places = windows(texts, size, True).join(repeated.hint("merge"), "h", "left_semi")
-    listed = checkpointed(places.groupBy("doc").agg(F.collect_list("start").alias("starts")))  # of one document
+    spark = slice_rows.sparkSession
+    where, buckets = shared_folder(spark, "windows"), max(1, -(-n_words // BUCKET_WINDOWS))
+    repeated = written(counted(slice_rows, size, buckets), f"{where}-hashes")
+    listed = checkpointed(places_of(slice_rows, repeated, size, buckets).groupBy("slice").agg(F.collect_list("places").alias("places")))  # of one slice
     remove_folder(spark, f"{where}-hashes")
 
-    found = written(window_digests(texts.join(listed, "doc").select("doc", "text", "starts"), size), where)
+    found = written(window_digests(slice_rows.join(listed, "slice"), size), where)
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("d1", "d2", "first")
     first = written(first, f"{where}-first")  # so that the join shuffles both sides anew, and may split a hot window
     late = found.join(first, ["d1", "d2"]).filter(F.struct("doc", "start") > F.col("first"))
@@ -204,12 +322,15 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW_WORDS, full: bool = Fals
     # Later copies of a whole sequence, and repeated rows, take no part in the search.
     copies = judged.select("doc_id", "key", F.col("is_first").alias("kept")).union(judged.filter("rows > 1").select("doc_id", "key", F.lit(False)))
     taking_part = keep_rows(base, checkpointed(copies)).select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    seen = judged.filter("is_first").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    texts = _with_order(taking_part.filter("text is not null"), seen["n"] == seen["ids"])
+    seen = judged.filter("is_first").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.sum("n_words").alias("words")).first()
+    spark, where = docs.sparkSession, shared_folder(docs.sparkSession, "slices")
+    held = written(sliced(_with_order(taking_part.filter("text is not null"), seen["n"] == seen["ids"])), where)
 
-    starts = later_windows(texts.select("doc", "text"), size)
+    starts = later_windows(held, size, seen["words"] or 0)
+    texts = held.select(F.inline(F.arrays_zip("doc", "doc_id", "key", "text")))
     cut = screened(texts, F.col("doc"), starts.select(F.col("doc").alias("key"))).filter("__hit").join(starts, "doc")
     changed = checkpointed(_cut(cut.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "text", "starts"), size, full))
+    remove_folder(spark, where)
 
     names = ["n_removed", "kept_sha256", *(["kept_text"] if full else [])]
     out = judged.join(changed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
