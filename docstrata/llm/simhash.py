@@ -8,9 +8,10 @@ exactly. An equality join on the variants finds the pairs, and the join's condit
 the whole fingerprints.
 
 Links are wanted for the groups that they connect, so a group of many near copies need not
-give all its pairs: each round keeps one link for each group found so far, to the smallest
-other group, inside the join's own tasks. Rounds go on among the groups that grew until none
-has a link to another, so that no link between different groups is lost.
+give all its pairs. First the fingerprints of a variant are compared with one of them only,
+which connects most of a dense group. The join then looks for links between different groups,
+and keeps one for each group. Rounds go on among the groups that grew until none has a link to
+another, so that no link between different groups is lost.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docstrata.llm.common import checkpointed, keep_rows, mixed, salted_join, text_key
 from docstrata.llm.components import components
@@ -124,35 +126,69 @@ def variants(fps: DataFrame, scheme: Scheme) -> DataFrame:
     return fps.select("*", F.explode(F.array(*out)).alias("variant"))
 
 
+def _differing(scheme: Scheme) -> Column:
+    return sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _names(scheme.words)), F.lit(0))
+
+
+def _place_of(scheme: Scheme) -> Column:
+    """The number of the one bit at which a pair is kept: of the first segment that differs in
+    one bit at most, that bit, or the segment's first if it doesn't differ."""
+    place = F.lit(None).cast("int")
+    for first, bits in reversed(scheme.cuts()):
+        x = F.shiftrightunsigned(F.col(f"a.w{first // 64}").bitwiseXOR(F.col(f"b.w{first // 64}")), first % 64).bitwiseAND(F.lit((1 << bits) - 1))
+        place = F.when(F.bit_count(x) <= 1, F.lit(first) + F.when(x == 0, F.lit(0)).otherwise(F.bit_count(x - 1))).otherwise(place)
+    return place
+
+
+def links_to_first(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """(u, v): links of the ``fps`` (id, w0, ...) of a variant with the smallest id among them.
+
+    A dense group of near copies shares variants, so these links alone, at most one for each
+    fingerprint and variant, connect most of it.
+    """
+    names = _names(scheme.words)
+    least = Window.partitionBy("variant").orderBy("id")
+    first = F.struct("id", *(F.col(n) for n in names))
+    met = variants(fps.select("id", *names), scheme).withColumn("first", F.first(first).over(least))
+    differing = sum((F.bit_count(F.col(n).bitwiseXOR(F.col("first")[n])) for n in names), F.lit(0))
+    return met.filter((F.col("id") != F.col("first.id")) & (differing <= scheme.distance)).select(F.col("id").alias("u"), F.col("first.id").alias("v")).distinct()
+
+
 def nearest_groups(fps: DataFrame, scheme: Scheme) -> DataFrame:
     """(u, v): for each group ``u`` of ``fps`` (id, root, w0, ...) the smallest other group ``v`` that it links to.
 
-    The least is found in the tasks of the join before anything is shuffled, so that what
-    leaves them is one row for each group however many pairs it has.
+    Pairs within a group are no result of the join, and the least of the others is found in its
+    tasks before anything is shuffled.
     """
     index = variants(fps.select("id", "root", *_names(scheme.words)), scheme)
     a, b = index.alias("a"), index.alias("b")
-    differing = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _names(scheme.words)), F.lit(0))
-    linked = (F.col("a.variant") == F.col("b.variant")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & (differing <= scheme.distance)
+    linked = (F.col("a.variant") == F.col("b.variant")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & (_differing(scheme) <= scheme.distance)
+    kept = F.shiftright(F.col("a.variant"), 32) == _place_of(scheme)
     both = F.array(F.struct(F.col("a.root").alias("u"), F.col("b.root").alias("v")), F.struct(F.col("b.root").alias("u"), F.col("a.root").alias("v")))
-    return a.join(b, linked).select(F.inline(both)).groupBy("u").agg(F.min("v").alias("v"))
+    return a.join(b, linked & kept).select(F.inline(both)).groupBy("u").agg(F.min("v").alias("v"))
+
+
+def _merged(links: DataFrame) -> DataFrame:
+    """(root, new_root) of every group that a link (u, v) touches."""
+    found = components(links).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+    return found.union(found.select("new_root", "new_root").distinct())
 
 
 def connected(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """(id, root) of the ``fps`` (id, w0, ...) that have a link, by group; the others have none.
+    """(id, root) of the ``fps`` (id, w0, ...), by group; an id alone is its own root.
 
-    Every round at least halves the groups that still have links to others. A group without
-    one takes no further part: its links can't change.
+    Links to the first of each variant make the groups that the rounds begin with. Every round
+    then at least halves the groups that still have links to others. A group without one
+    takes no further part: its links can't change.
     """
-    active, settled = fps.withColumn("root", F.col("id")), None
+    names = _names(scheme.words)
+    begun = _merged(links_to_first(fps, scheme))
+    active = checkpointed(fps.join(begun.withColumnRenamed("root", "id"), "id", "left").select("id", *names, F.coalesce("new_root", "id").alias("root")))
+    settled = active.select("id", "root").limit(0)
     while True:
-        picked = checkpointed(nearest_groups(active, scheme))
-        found = components(picked).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
-        merged = found.union(found.select("new_root", "new_root").distinct())
-        if settled is not None:  # the first round's groups are single fingerprints
-            settled = settled.union(active.join(merged, "root", "left_anti").select("id", "root"))
-        active = checkpointed(active.join(merged, "root").select("id", *_names(scheme.words), F.col("new_root").alias("root")))
-        settled = settled if settled is not None else active.select("id", "root").limit(0)
+        merged = _merged(nearest_groups(active, scheme))
+        settled = settled.union(active.join(merged, "root", "left_anti").select("id", "root"))
+        active = checkpointed(active.join(merged, "root").select("id", *names, F.col("new_root").alias("root")))
         if active.isEmpty():
             return settled
 
@@ -174,9 +210,9 @@ def near_groups(docs: DataFrame, scheme: Scheme = FOUR_BITS) -> DataFrame:
     fps = checkpointed(rows.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
     roots = checkpointed(connected(fps.drop("least"), scheme))
     grouped = fps.join(roots, "id")
-    first = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    several = salted_join(grouped, first, "root", "id").select(*names, "component_id", "root")
-    single = fps.join(roots, "id", "left_anti").select(*names, F.col("least").alias("component_id"), F.col("id").alias("root"))
+    first = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    several = salted_join(grouped, first.filter("n > 1").drop("n"), "root", "id").select(*names, "component_id", "root")
+    single = grouped.join(first.filter("n > 1"), "root", "left_anti").select(*names, F.col("least").alias("component_id"), "root")
     return rows.join(several.union(single), names).select("doc_id", "key", "row_id", *names, "component_id", "root")
 
 

@@ -237,7 +237,7 @@ def test_all_links_are_found(spark):
     found = {}
     for i, root in roots.items():
         found.setdefault(root, set()).add(i)
-    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
 
 
 def test_a_dense_group_gives_one_link_for_each_print(spark):
@@ -246,6 +246,7 @@ def test_a_dense_group_gives_one_link_for_each_print(spark):
     assert len(values) == 2081
     fps = spark.createDataFrame([(i, v - 2**64 if v >= 2**63 else v) for i, v in enumerate(values)], "id long, w0 long")
     assert simhash.nearest_groups(fps.withColumn("root", F.col("id")), simhash.FOUR_BITS).count() == 2081
+    assert simhash.links_to_first(fps, simhash.FOUR_BITS).count() < 64 * 2081
     assert len(set(connected_prints(spark, values).values())) == 1
 
 
@@ -423,22 +424,45 @@ def test_substring_tells_words_apart_that_fool_polynomial_hashes(spark):
     assert found == sorted(brute.substring(rows)) and [r[2] for r in found] == [0, 0, 20, 0, 0, 40]
 
 
-def test_equal_rolling_hashes_are_verified(spark, monkeypatch):
-    """With a hash that throws windows together, the digests of their words still tell them apart."""
-    monkeypatch.setattr(substring, "windows", lambda texts, size, placed: coarse(texts, size, placed))
-    real = substring_windows
-
-    def coarse(texts, size, placed):
-        return real(texts, size, placed).withColumn("h", F.col("h") % 3)
-
+def test_repeated_windows_are_named_by_their_words(spark):
+    """Whatever windows the hashes throw together, the digests of their words tell them apart."""
+    real = substring.window_hashes
     rng = random.Random(8)
     base = [f"w{rng.randrange(500)}" for _ in range(120)]
     rows = [(i, " ".join(base[rng.randrange(40) :] + [f"own{i}"] * 3)) for i in range(12)] + [(50, "x " * 45)]
-    found = sorted(tuple(r) for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
-    assert found == sorted(brute.substring(rows))
-
-
-substring_windows = substring.windows
+    texts = spark.createDataFrame([(i, i, i, t) for i, t in rows], "doc long, doc_id long, key long, text string")
+    held = substring.sliced(texts).withColumn("places", F.array(F.lit(b"")))
+    every = held.select("slice", "doc", "text").toArrow()
+    packed = {r["slice"]: real(pa_texts(r["text"]), 20)[1].astype("<u4").tobytes() for r in every.to_pylist()}
+    all_places = spark.createDataFrame([(k, [bytes(v)]) for k, v in packed.items()], "slice long, places array<binary>")
+    found = substring.window_digests(held.drop("places").join(all_places, "slice"), 20).collect()
+    words = {i: t.split() for i, t in rows}
+    wanted = {(i, s): tuple(w[s : s + 20]) for i, w in words.items() for s in range(len(w) - 19)}
+    digests = {}
+    for r in found:
+        digests.setdefault(wanted.pop((r["doc"], r["start"])), set()).add((r["d1"], r["d2"]))
+    assert not wanted and all(len(d) == 1 for d in digests.values()) and len(set.union(*digests.values())) == len(digests)
+
+
+def pa_texts(texts):
+    import pyarrow as pa
+
+    return pa.array(texts, pa.string())
+
+
+def test_windows_are_counted_in_buckets(spark):
+    """Many buckets, salts and slices give what one bucket gives."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(15, 400)))) for i in range(40)] + [(90, "the same passage " * 30), (91, "the same passage " * 31)]
+    texts = spark.createDataFrame([(i, i, i, t) for i, t in rows], "doc long, doc_id long, key long, text string")
+    held = substring.sliced(texts.coalesce(3))
+    counts = Counter(tuple(t.split()[s : s + 20]) for _, t in rows for s in range(len(t.split()) - 19))
+    wanted = {(i, s) for i, t in rows for s in range(len(t.split()) - 19) if counts[tuple(t.split()[s : s + 20])] > 1}
+    for buckets in (1, 7, 100_000):
+        repeated = substring.counted(held, 20, buckets).withColumn("salts", F.lit(3))
+        listed = substring.places_of(held, repeated, 20, buckets).groupBy("slice").agg(F.collect_list("places").alias("places"))
+        got = [(r["doc"], r["start"]) for r in substring.window_digests(held.join(listed, "slice"), 20).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
 
 
 def test_long_texts_take_little_memory_at_once():
