@@ -43,8 +43,11 @@ from docstrata.llm.common import (
 WINDOW_WORDS = 20
 #: Odd multiplier of the rolling hash over word hashes.
 _BASE = 0xA0761D6478BD642F
-#: Windows that a bucket of hashes has about, and places that one task matches with a bucket.
-BUCKET_WINDOWS, TASK_PLACES = 1 << 20, 1 << 23
+#: Windows that a bucket of hashes has about.
+BUCKET_WINDOWS = 1 << 20
+#: Places that one task matches with a bucket at least, before the bucket is dealt to several;
+#: and buckets with more at most, as the bound grows with the words beyond.
+TASK_PLACES, MOST_LARGE = 1 << 23, 100_000
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
@@ -132,7 +135,7 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
 
 
-def counted(slice_rows: DataFrame, size: int, buckets: int) -> DataFrame:
+def counted(slice_rows: DataFrame, size: int, buckets: int, task_places: int = TASK_PLACES) -> DataFrame:
     """(bucket, salts, repeated): the hashes, sorted and packed, that occur more than once in the corpus.
 
     A slice gives each of its hashes once, marked if it has it more often, so that a passage of
@@ -156,11 +159,12 @@ def counted(slice_rows: DataFrame, size: int, buckets: int) -> DataFrame:
         for batch in batches:
             bucket, n = batch["bucket"][0].as_py(), n + pc.sum(batch["n"]).as_py()
             hashes = _joined(_unpacked(batch["low"], "<u4"), _unpacked(batch["high"], "<u2"))
-            new, times = np.unique(hashes, return_counts=True)
-            here = [new[times > 1], hashes[_unpacked(batch["again"], "u1") > 0], np.intersect1d(new, seen, assume_unique=True)]
-            repeated, seen = np.unique(np.concatenate([repeated, *here])), np.union1d(seen, new)
+            met = np.sort(np.concatenate([seen, hashes]))
+            same = np.flatnonzero(met[1:] == met[:-1])
+            repeated = np.unique(np.concatenate([repeated, met[same], hashes[_unpacked(batch["again"], "u1") > 0]]))
+            seen = np.delete(met, same)
         if len(repeated):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([-(-n // TASK_PLACES)], pa.int32()), pa.array([repeated.tobytes()])], names=["bucket", "salts", "repeated"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([-(-n // task_places)], pa.int32()), pa.array([repeated.tobytes()])], names=["bucket", "salts", "repeated"])
 
     parts = slice_rows.select("text").mapInArrow(per_slice, "bucket bigint, n bigint, low binary, high binary, again binary")
     return parts.groupBy("bucket").applyInArrow(per_bucket, "bucket bigint, salts int, repeated binary")
@@ -202,7 +206,8 @@ def places_of(slice_rows: DataFrame, repeated: DataFrame, size: int, buckets: in
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], names=["slice", "places"])
 
     parts = slice_rows.select("slice", "text").mapInArrow(per_slice, "bucket bigint, slice bigint, low binary, high binary, p_low binary, p_high binary")
-    salted = parts.join(repeated.select("bucket", "salts"), "bucket").withColumn("salt", F.pmod(F.xxhash64("slice"), F.col("salts"))).drop("salts")
+    large = F.broadcast(repeated.filter("salts > 1").select("bucket", "salts"))  # MOST_LARGE rows at most
+    salted = parts.join(large, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("slice"), F.coalesce("salts", F.lit(1)))).drop("salts")
     tables = repeated.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), "repeated")
     both = salted.unionByName(tables, allowMissingColumns=True)
     ordered = both.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("slice").asc_nulls_first())
@@ -241,7 +246,7 @@ def later_windows(slice_rows: DataFrame, size: int, n_words: int) -> DataFrame:
     """
     spark = slice_rows.sparkSession
     where, buckets = shared_folder(spark, "windows"), max(1, -(-n_words // BUCKET_WINDOWS))
-    repeated = written(counted(slice_rows, size, buckets), f"{where}-hashes")
+    repeated = written(counted(slice_rows, size, buckets, max(TASK_PLACES, n_words // MOST_LARGE)), f"{where}-hashes")
     listed = checkpointed(places_of(slice_rows, repeated, size, buckets).groupBy("slice").agg(F.collect_list("places").alias("places")))  # of one slice
     remove_folder(spark, f"{where}-hashes")
 
