@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.llm.common import checkpointed, flat, screened, slices
@@ -33,8 +33,11 @@ FIT_ROWS, LEAST_FIT_ROWS = 10_000, 200
 #: Log-likelihood of any trigram under a language without fitted text: no text is in it.
 UNFITTED = -1e6
 UNKNOWN = "und"
-#: Trigrams overlap and repeat, so a text counts as if it had at most so many independent ones.
-EVIDENCE_GRAMS = 60
+#: Trigrams overlap and repeat, so each counts less than an independent one. How much less is
+#: measured: the weight under which held-out rows of the fit sample are likeliest, of these.
+WEIGHTS = [2.0**-k for k in range(11)]
+#: Of the drawn rows one in so many measures that weight; the others make the table.
+HELD_OUT = 5
 #: Pseudo-counts: of a host towards its domain, of a domain towards the corpus, of a key's table.
 HOST_WEIGHT, DOMAIN_WEIGHT, KEY_WEIGHT = 10.0, 50.0, 1.0
 #: Share of rows that may be in a language that was never declared.
@@ -87,11 +90,33 @@ def _gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
     return out
 
 
+def best_weight(scores: np.ndarray, declared: np.ndarray) -> float:
+    """The weight under which the declared languages of held-out rows are likeliest.
+
+    ``scores`` are log-likelihoods by row and language. A row's declaration may be wrong, as
+    often as the best score says otherwise; ties go to the larger weight, and without rows
+    every trigram counts in full.
+    """
+    if not len(scores):
+        return 1.0
+    wrong = np.clip((scores.argmax(axis=1) != declared).mean(), 1e-3, 0.5)
+    above = scores - scores.max(axis=1, keepdims=True)
+
+    def likelihood(weight: float) -> float:
+        p = np.exp(weight * above)
+        given = p[np.arange(len(p)), declared] / p.sum(axis=1)
+        return float(np.log((1 - wrong) * given + wrong / scores.shape[1]).sum())
+
+    return max(WEIGHTS, key=likelihood)
+
+
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log-likelihood of each trigram under each), ``und`` last.
+    """(languages, weighted log-likelihood of each trigram under each), ``und`` last.
 
     Every declared language has a table. Its rows are drawn by a hash of their text, and the
     text with the least hash is always drawn, so that copies can't leave a language without one.
+    Of the rows drawn, one in ``HELD_OUT`` measures what a trigram is worth instead. A language
+    with a null or blank declaration is none; without declared rows only ``und`` is left.
     """
     spelled = F.octet_length("text") > 2  # texts that have a trigram
     place = F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 20))
@@ -102,10 +127,18 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
         quota = max(LEAST_FIT_ROWS, fit_rows // len(languages))
         last = {r["declared"]: max(r["least"] + 1, round(min(1.0, quota / r["n"]) * (1 << 20))) for r in found if r["n"]}
         upto = F.create_map(*(F.lit(x) for pair in last.items() for x in pair)) if last else F.lit(None).cast("map<string,int>")
-        counts = _gram_counts(rows.filter(spelled & (place < F.element_at(upto, F.col("declared")))), languages)
+        least = F.create_map(*(F.lit(x) for r in found if r["n"] for x in (r["declared"], r["least"]))) if last else upto
+        drawn = rows.filter(spelled & (place < F.element_at(upto, F.col("declared"))))
+        apart = (place % HELD_OUT == 0) & (place > F.element_at(least, F.col("declared")))
+        counts = _gram_counts(drawn.filter(~apart), languages)
         smooth = counts + 0.5 * counts.mean(axis=1, keepdims=True) / 100 + 1e-3
         table[:-1] = np.log(smooth / smooth.sum(axis=1, keepdims=True))
         table[:-1][counts.sum(axis=1) == 0] = UNFITTED
+        held = score_texts(drawn.filter(apart).select("declared", "text"), table).toArrow()  # a fifth of about fit_rows rows
+        scores = held["text_score"].combine_chunks().values.to_numpy().reshape(-1, len(table))
+        fitted = counts.sum(axis=1) > 0
+        table[:-1][fitted] *= (weight := best_weight(scores, np.searchsorted(languages, held["declared"].to_pylist())))
+        table[-1] *= weight
     return [*languages, UNKNOWN], table
 
 
@@ -123,10 +156,9 @@ def score_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
                 grams = gram_hashes(data[offsets[i] : offsets[j]])
                 n = np.maximum(np.diff(at) - 2, 0)
                 begin, end = np.minimum(at[:-1], len(grams)), np.minimum(at[:-1] + n, len(grams))
-                weight = np.minimum(1.0, EVIDENCE_GRAMS / np.maximum(n, 1))
                 for k, likelihood in enumerate(model.value):
                     total = np.concatenate([[0.0], np.cumsum(likelihood[grams], dtype=np.float64)])
-                    scores[i:j, k] = (total[end] - total[begin]) * weight
+                    scores[i:j, k] = total[end] - total[begin]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1) * scores.shape[1], pa.int32()), pa.array(scores.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), lists], names=[*others, "text_score"])
 
@@ -143,18 +175,41 @@ def _counts_by(scored: DataFrame, n: int, *keys: str) -> DataFrame:
     return votes.select(*keys, F.array(*(f"n{i}" for i in range(n))).alias(f"{keys[-1]}_votes"))
 
 
-def _added(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+def _table(column: pa.Array, n: int) -> np.ndarray:
+    """Lists of n numbers as rows; 0 where there is none."""
+    out = np.zeros((len(column), n))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out
 
 
-def _smoothed(votes: Column, own: Column, towards: Column, weight: float) -> Column:
+def _smoothed(votes: np.ndarray, own: np.ndarray, towards: np.ndarray, weight: float) -> np.ndarray:
     """(votes without the row's own + weight * towards) / their sum."""
-    mass = F.zip_with(F.zip_with(votes, own, lambda v, o: v - o), towards, lambda v, t: v + F.lit(weight) * t)
-    return F.transform(mass, lambda m: m / F.aggregate(mass, F.lit(0.0), lambda s, x: s + x))
+    mass = votes - own + weight * towards
+    return mass / mass.sum(axis=1, keepdims=True)
+
+
+def posterior(text: np.ndarray, vote: np.ndarray, votes: dict[str, np.ndarray], has: dict[str, np.ndarray], counts: np.ndarray, keys: dict[str, int], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language, its probability) of each row, from log-likelihoods of the text and the votes of its keys.
+
+    A row's own vote is left out of every count. Of equally likely languages the first is taken.
+    """
+    own = np.zeros_like(text)
+    own[np.arange(len(vote)), vote] = 1.0
+
+    def likelihood(key: str) -> np.ndarray:
+        """log P(key | language), over as many values as the key has; nothing where the row lacks it."""
+        known = np.maximum(votes[key] - own, 0.0) + KEY_WEIGHT
+        return np.where(has[key][:, None], np.log(known / (counts + keys[key] * KEY_WEIGHT)), 0.0)
+
+    domain = np.where(has["domain"][:, None], _smoothed(votes["domain"], own, prior, DOMAIN_WEIGHT), prior)
+    host = np.where((has["domain"] & has["host"])[:, None], _smoothed(votes["host"], own, domain, HOST_WEIGHT), domain)
+    fused = text + np.log(np.maximum(host, 1e-9)) + likelihood("declared") + likelihood("suffix")
+    best = fused.argmax(axis=1)
+    return best, 1.0 / np.exp(fused - fused.max(axis=1, keepdims=True)).sum(axis=1)
 
 
 def fuse(scored: DataFrame, languages: list[str], unfitted: list[str]) -> DataFrame:
-    """``scored`` with language, probability, text_language and kept.
+    """``scored`` with language, probability, text_language and kept, without text_score.
 
     A row that declares an ``unfitted`` language, of which no row has a trigram, votes for it.
     """
@@ -165,39 +220,31 @@ def fuse(scored: DataFrame, languages: list[str], unfitted: list[str]) -> DataFr
     voted = checkpointed(scored.withColumn("vote", best.cast("int") - 1))
     total = voted.agg(*(F.sum((F.col("vote") == i).cast("double")).alias(f"n{i}") for i in range(n))).first()
     counts = np.array([total[i] or 0.0 for i in range(n)])
-    corpus = (counts + 1) / (counts + 1).sum()
-    corpus[-1] = min(corpus[-1], UNKNOWN_PRIOR)
-    corpus /= corpus.sum()
-    prior, per_language = F.array(*(F.lit(float(x)) for x in corpus)), F.array(*(F.lit(float(x)) for x in counts))
-    none = F.array(*(F.lit(0.0) for _ in range(n)))
-    own = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == F.col("vote")).cast("double"))
-
-    joined = voted
+    prior = (counts + 1) / (counts + 1).sum()
+    prior[-1] = min(prior[-1], UNKNOWN_PRIOR)
+    prior /= prior.sum()
+
+    joined, sizes = voted, {}
     for keys in (["declared"], ["suffix"], ["domain"], ["domain", "host"]):
-        renamed = _counts_by(voted.filter(" and ".join(f"{k} is not null" for k in keys)), n, *keys).withColumnsRenamed({k: f"k_{k}" for k in keys})
+        by_key = checkpointed(_counts_by(voted.filter(" and ".join(f"{k} is not null" for k in keys)), n, *keys).withColumnsRenamed({k: f"k_{k}" for k in keys}))
+        sizes[keys[-1]] = by_key.count()
         same = [F.col(k) == F.col(f"k_{k}") for k in keys]
-        joined = joined.join(renamed, same, "left").drop(*(f"k_{k}" for k in keys))
-
-    def likelihood(key: str) -> Column:
-        """log P(key | language); nothing where the row lacks the key."""
-        votes = F.zip_with(F.coalesce(f"{key}_votes", none), own, lambda v, o: F.greatest(v - o, F.lit(0.0)))
-        values = F.zip_with(votes, per_language, lambda v, c: F.log((v + F.lit(KEY_WEIGHT)) / (c + F.lit(20 * KEY_WEIGHT))))
-        return F.when(F.col(key).isNull(), none).otherwise(values)
-
-    domain = F.when(F.col("domain").isNull(), prior).otherwise(_smoothed(F.coalesce("domain_votes", none), own, prior, DOMAIN_WEIGHT))
-    host = F.when(F.col("host").isNull() | F.col("domain").isNull(), F.col("p_domain")).otherwise(_smoothed(F.coalesce("host_votes", none), own, F.col("p_domain"), HOST_WEIGHT))
-    parts = joined.withColumn("p_domain", domain).withColumn("p_host", host)
-    evidence = _added(F.transform("p_host", lambda p: F.log(F.greatest(p, F.lit(1e-9)))), _added(likelihood("declared"), likelihood("suffix")))
-    summed = parts.withColumn("fused", _added(F.col("text_score"), evidence)).withColumn("top", F.array_max("fused"))
-    mass = F.aggregate(F.transform("fused", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda s, x: s + x)
-    names = F.array(*(F.lit(x) for x in languages))
-    named = summed.select(
-        *scored.columns,
-        F.element_at(names, F.array_position("fused", F.col("top")).cast("int")).alias("language"),
-        (1.0 / mass).alias("probability"),
-        F.element_at(names, F.col("vote") + 1).alias("text_language"),
-    )
-    return named.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY))
+        joined = joined.join(by_key, same, "left").drop(*(f"k_{k}" for k in keys))
+    others = [c for c in scored.columns if c != "text_score"]
+    names = pa.array(languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vote = batch["vote"].to_numpy()
+            votes = {k: _table(batch[f"{k}_votes"], n) for k in EVIDENCE}
+            has = {k: batch[k].is_valid().to_numpy(zero_copy_only=False) for k in EVIDENCE}
+            language, probability = posterior(_table(batch["text_score"], n), vote, votes, has, counts, sizes, prior)
+            columns = [*(batch[c] for c in others), names.take(pa.array(language)), pa.array(probability), names.take(pa.array(vote))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "language", "probability", "text_language"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name in others)
+    found = joined.mapInArrow(run, f"{kinds}, language string, probability double, text_language string")
+    return found.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY))
 
 
 def identify(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -205,13 +252,15 @@ def identify(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     text_language and kept, without their text.
 
     Any evidence may be null and then says nothing; null and very short texts have no
-    trigrams, so the other evidence decides. Every declared language is known, however rare. Ties go to the language that comes first by code
-    point. Rows of any number may share a host: they meet as partial counts. Repeated rows
-    are scored alike, an empty table gives an empty result, and further columns are carried.
+    trigrams, so the other evidence decides. Long texts count whole: each trigram as much as
+    in a short one. Every declared language is known, however rare. Ties go to the language
+    that comes first by code point. Rows of any number may share a host: they meet as partial
+    counts. Repeated rows are scored alike, an empty table gives an empty result, and further
+    columns are carried.
     """
     languages, table = fit(rows, fit_rows)
     unfitted = [x for x, row in zip(languages, table, strict=True) if row[0] == UNFITTED]
-    return fuse(checkpointed(score_texts(rows, table)), languages, unfitted).drop("text_score")
+    return checkpointed(fuse(checkpointed(score_texts(rows, table)), languages, unfitted))
 
 
 # -- evidence from tables -----------------------------------------------------------------
@@ -246,7 +295,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose language is known, with all their columns."""
+    """The rows of ``docs`` whose language is known, with all their columns.
+
+    Null and empty texts are judged by lang and source; a row with no evidence is of the
+    corpus's commonest language by its prior. Repeated rows are all kept or all dropped, and
+    an empty table gives an empty one.
+    """
     whole = docs.select(F.struct(*docs.columns).alias("doc"))
     carried = whole.select("doc", F.col("doc.text").alias("text"), F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"), F.xxhash64("doc.doc_id", "doc.text", "doc.lang", "doc.source").alias("doc_id"))
     rejected = identify(from_documents(carried), **options).filter("not kept")
