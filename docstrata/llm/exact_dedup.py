@@ -1,23 +1,24 @@
 """Exact deduplication against immutable snapshots screened by static binary-fuse filters.
 
-A snapshot never changes, so its filter is built once: its digests are dealt into shards and
-each shard's 8-bit, 3-wise binary-fuse filter is built in one task and stored as a row. An
-incoming batch is first grouped by digest on its own; then its distinct digests are tested
-against the filters of their shards. Only the positives are joined with the snapshot's exact
-buckets, and texts that share a bucket are compared byte by byte.
+A snapshot never changes, so its filter is built once and stored beside it: its digests are
+dealt into shards, and each shard's 8-bit, 3-wise binary-fuse filter is built in one task and
+written as a row. An incoming batch is first grouped by digest on its own; then its distinct
+digests are tested against the stored filters of every snapshot. Only the positives are joined
+with that snapshot's exact buckets, and texts that share a bucket are compared byte by byte.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import BLANKS, checkpointed, keep_rows, mixed, screened, text_key
+from docstrata.llm.common import BLANKS, checkpointed, keep_rows, mixed, remove_folder, screened, shared_folder, text_key, written
 
 #: Distinct digests that one filter shard holds about; it bounds a task's memory.
 SHARD_KEYS = 100_000
@@ -86,8 +87,8 @@ def might_hold(keys: np.ndarray, seed: int, segment: int, segments: int, table:
     return np.bitwise_xor.reduce(np.frombuffer(table, dtype=np.uint8)[slots], axis=0) == prints
 
 
-def _key(digest: str = "digest") -> Column:
-    return F.xxhash64(digest)
+def _key() -> Column:
+    return F.xxhash64("digest")
 
 
 def _shard(shards: int) -> Column:
@@ -105,16 +106,53 @@ def build_filters(digests: DataFrame, shards: int) -> DataFrame:
 
 
 def screen(digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The distinct incoming ``digest`` values that their shard's filter doesn't rule out."""
+    """The distinct incoming ``digest`` values that their shard's filter doesn't rule out.
+
+    Digests stream past the filter of their shard, which comes first in its sorted partition:
+    a batch may be far larger than the snapshot.
+    """
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, None
+        for batch in batches:
+            shards_here, digest = batch["shard"].to_numpy(), batch["digest"]
+            keys, keep = batch["key"].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.zeros(len(shards_here), dtype=bool)
+            is_filter = digest.is_null().to_numpy(zero_copy_only=False)
+            marks = np.flatnonzero(is_filter)
+            for a, b in zip([0, *marks], [*marks, len(shards_here)]):
+                if a < b and is_filter[a]:
+                    shard, held = shards_here[a], [batch[c][int(a)].as_py() for c in ("seed", "segment", "segments", "filter")]
+                    a += 1
+                if held is not None:
+                    mine = slice(a, b)
+                    keep[mine] = might_hold(keys[mine], *held) & (shards_here[mine] == shard)
+            yield pa.RecordBatch.from_arrays([digest.filter(pa.array(keep))], names=["digest"])
+
+    incoming = digests.select(_shard(shards), _key().alias("key"), "digest")
+    both = incoming.unionByName(filters.withColumn("key", F.lit(0).cast("long")), allowMissingColumns=True)
+    ordered = both.repartition("shard").sortWithinPartitions("shard", F.col("digest").asc_nulls_first())
+    return ordered.select("shard", "key", "digest", "seed", "segment", "segments", "filter").mapInArrow(probe, "digest string")
+
+
+# -- stored snapshots ---------------------------------------------------------------------
+
+
+def write_snapshot(groups: DataFrame, path: str) -> None:
+    """Store a snapshot's ``groups`` (digest, first, rows) at ``path``: exact buckets, and their filters.
+
+    It is written once and never changes; a path that exists is an error. No groups give a
+    snapshot that holds nothing.
+    """
+    buckets = written(groups.select("digest", "first", "rows"), f"{path}/buckets")
+    written(build_filters(buckets, max(1, math.ceil(buckets.count() / SHARD_KEYS))), f"{path}/filters")
 
-    def probe(incoming: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(incoming) or not len(held):
-            return incoming[["digest"]].iloc[:0]
-        f = held.iloc[0]
-        keep = might_hold(incoming["key"].to_numpy().astype(np.int64).view(np.uint64), int(f["seed"]), int(f["segment"]), int(f["segments"]), f["filter"])
-        return incoming.loc[keep, ["digest"]]
 
-    return digests.select(_shard(shards), _key().alias("key"), "digest").groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe, "digest string")
+def known(digests: DataFrame, path: str) -> DataFrame:
+    """(digest, first, rows) of the distinct ``digests`` that the snapshot at ``path`` holds."""
+    spark = digests.sparkSession
+    buckets, filters = spark.read.parquet(f"{path}/buckets"), spark.read.schema(FILTER_SCHEMA).parquet(f"{path}/filters")
+    shards = (filters.agg(F.max("shard")).first()[0] or 0) + 1
+    return screen(digests.select("digest"), filters, shards).join(buckets, "digest")
 
 
 # -- the operator -------------------------------------------------------------------------
@@ -139,15 +177,44 @@ def group_copies(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column]
         docs.select("doc_id", in_snapshot.alias("old"), text_key(F.col("text")).alias("key"), normalised(F.col("text")).alias("norm"))
         .select("doc_id", F.coalesce("old", F.lit(False)).alias("old"), "key", digest(F.col("norm")).alias("digest"), F.monotonically_increasing_id().alias("row_id"))
     )
-    old = checkpointed(_grouped(rows.filter("old")))
+    spark, path = docs.sparkSession, shared_folder(docs.sparkSession, "snapshot")
     new = checkpointed(_grouped(rows.filter("not old")))
-    shards = max(1, math.ceil(max(old.count(), new.count()) / SHARD_KEYS))
-    positives = screen(new.select("digest"), build_filters(old, shards), shards)
+    write_snapshot(_grouped(rows.filter("old")), path)
+    old = spark.read.parquet(f"{path}/buckets")
     renamed = new.select("digest", F.col("first").alias("new_first"), F.col("rows").alias("new_rows"))
-    both = checkpointed(positives.join(old, "digest").join(renamed, "digest"))
+    both = checkpointed(known(new, path).join(renamed, "digest"))
     merged = both.select("digest", F.least("first", "new_first").alias("first"), (F.col("rows") + F.col("new_rows")).alias("rows"))
     groups = merged.union(old.join(both, "digest", "left_anti")).union(new.join(both, "digest", "left_anti"))
-    return rows, checkpointed(groups.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row_id").alias("keep_row"), F.col("rows").alias("group_size")))
+    kept = checkpointed(groups.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row_id").alias("keep_row"), F.col("rows").alias("group_size")))
+    remove_folder(spark, path)
+    return rows, kept
+
+
+def dedup_batch(docs: DataFrame, snapshots: list[str], store: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, known and digest of each row of a batch (doc_id, text).
+
+    ``snapshots`` are paths of earlier ``write_snapshot`` calls, whose filters are probed as they
+    lie; a digest that several hold has the smallest of their first ids. A row whose text a
+    snapshot holds is ``known`` and not kept; of the others the smallest doc_id of each group
+    stays, null ids last. With ``store`` the batch's new groups become a snapshot there, so
+    that the next batch finds them. Null text is empty; an empty batch gives an empty result.
+    Texts are told apart by SHA-256 alone here, as a snapshot keeps no texts.
+    """
+    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha256(normalised(F.col("text"))).alias("digest"), F.monotonically_increasing_id().alias("row_id")))
+    groups = checkpointed(_grouped(rows))
+    none = groups.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("rows").alias("held")).limit(0)
+    found = none
+    for path in snapshots:
+        found = found.union(known(groups, path).select("digest", F.col("first.doc_id"), "rows"))
+    found = checkpointed(found.groupBy("digest").agg(F.min("keep_id").alias("held_id"), F.sum("held").alias("held")))
+    if store:
+        write_snapshot(groups.join(found, "digest", "left_anti"), store)
+    joined = rows.join(groups, "digest").join(found, "digest", "left")
+    is_known = F.col("held").isNotNull()
+    return joined.select(
+        "doc_id", F.when(is_known, F.col("held_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), (F.col("rows") + F.coalesce("held", F.lit(0))).alias("group_size"),
+        (~is_known & (F.col("row_id") == F.col("first.row_id"))).alias("kept"), is_known.alias("known"), "digest",
+    )
 
 
 def _collide(docs: DataFrame, rows: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> bool:
@@ -195,7 +262,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
+    """The rows of ``docs`` that exact_dedup keeps, with all their columns.
+
+    Null texts are equal to each other and to empty ones; of repeated rows one stays; an empty
+    table gives an empty one.
+    """
     decided = exact_dedup(docs.select("doc_id", "text"), halves(docs), digest)
     return keep_rows(docs, checkpointed(decided.select("doc_id", "key", "kept")))
 
