@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import flat, mixed, slices, split_words, word_hashes
+from docstrata.llm.common import checkpointed, flat, mixed, slices, split_words, word_hashes
 
 FEATURE_BITS = 18
-#: Labelled rows that the model is fitted on at most.
-FIT_ROWS = 6_000
+#: Labelled rows that the model is fitted on at most, and features of one of them: with more,
+#: those of the smallest numbers, which are hashes, stand for the text. Fitting alone is
+#: bounded so; scoring takes every feature of every text.
+FIT_ROWS, FIT_FEATURES = 6_000, 8_192
 #: Share of them that the logistic curve is fitted on.
 CURVE_SHARE = 0.25
 COST, EPOCHS = 1.0, 20
@@ -174,6 +176,8 @@ def _vectors(texts: DataFrame) -> DataFrame:
             data, offsets = flat(batch["text"])
             for i, j in slices(offsets):
                 owner, features = ngrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                few = np.arange(len(owner)) - np.searchsorted(owner, owner) < FIT_FEATURES  # sorted by feature in each text
+                owner, features = owner[few], features[few]
                 ends = np.searchsorted(owner, np.arange(j - i + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(features, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch["label"].slice(i, j - i), lists], names=["label", "features"])
@@ -185,12 +189,14 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows: i
     """Model of ``labels`` (doc_id, target 0/1) over ``docs`` (doc_id, text).
 
     Rows without a label or id, and ids with contradicting labels, teach nothing; neither do
-    held-out ids. Of the rest, the ``fit_rows`` ids with the smallest hashes are taken.
+    held-out ids. Of the rest, the ``fit_rows`` ids with the smallest hashes are taken, and the
+    smallest of the texts of an id that several rows share. Null text is empty, long texts teach
+    by ``FIT_FEATURES`` features, and empty tables give a model that scores 0.5.
     """
     one = labels.filter(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(target).alias("label"), F.max(target).alias("most"))
     chosen = one.filter("label = most").select(F.col("doc_id").alias("id"), F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # at most fit_rows ids
-    got = _vectors(texts.groupBy("id", "label").agg(F.first("text").alias("text")).select("label", "text")).toPandas()
+    got = _vectors(texts.groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")).toPandas()
     return Model([np.asarray(f, dtype=np.int32) for f in got["features"]], got["label"].to_numpy(dtype=np.int64))
 
 
@@ -198,8 +204,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs`` (doc_id, text).
 
     Null text is empty; empty texts are scored like any other, by the level features that they
-    still have. Texts of any length are read whole; repeated rows get equal scores; further
-    columns are ignored.
+    still have. Texts of any length are read whole; repeated rows get equal scores; an empty
+    table gives an empty result, and further columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the corpus
 
@@ -213,7 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out)], names=["doc_id", "score"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    scored = narrow.mapInArrow(run, "doc_id bigint, score double")
+    scored = checkpointed(narrow.mapInArrow(run, "doc_id bigint, score double"))  # in batches of bounded bytes
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
