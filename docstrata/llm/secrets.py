@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docstrata.llm.common import checkpointed
+
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -166,7 +168,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Null text is empty; a text without secrets has no spans and the hash of the empty string.
     Spans count code points, end exclusive. Texts of any length are read whole. Repeated rows
-    give repeated results, and further columns are ignored.
+    give repeated results, an empty table gives an empty one, and further columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +179,16 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    found = narrow.mapInArrow(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return checkpointed(found)  # in batches of bounded bytes
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of their text replaced by ``mask``; overlapping spans by one."""
+    """``docs`` with every span of their text replaced by ``mask``; overlapping spans by one.
+
+    A null text stays null; long texts are read whole, repeated rows stay repeated, and an empty
+    table stays empty.
+    """
     text_at = docs.columns.index("text")
 
     def masked(text: str) -> str:
