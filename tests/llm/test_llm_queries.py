@@ -153,3 +153,20 @@ def test_pipeline(spark, small, duck):
 
 def test_run_applies_all_stages(spark, small):
     assert QUERIES["pipeline"](spark, small).count() > 0
+
+
+def test_run_on_edge_tables(spark, edge, none, tmp_path):
+    """Nulls, repeated rows, long texts and clashing columns; and a table without rows."""
+    import corpus_pipeline
+
+    for name, df in (("edge", edge), ("none", none)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert bool(rows) == (name == "edge")
+        assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+
+
+def test_the_contracts_ask_for_whole_documents(spark, small, texts):
+    """Every query of documents returns every document."""
+    for name in ("op4_exact_dedup", "op5_mix", "op7_quality", "op8_secrets"):
+        assert {r["doc_id"] for r in QUERIES[name](spark, small).select("doc_id").collect()} == set(texts)
