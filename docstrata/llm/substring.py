@@ -6,7 +6,7 @@ a hash occurs again, the windows themselves are compared, by a 128-bit digest of
 Windows that also start earlier merge into maximal intervals, whose words are removed.
 
 There are about as many windows as words, so hashes and places are shuffled as packed arrays:
-one for each bucket of each slice of texts, with six bytes a hash and two to four a place.
+one for each bucket of each slice of texts, with four bytes a hash and two to four a place.
 
 Texts whose whole word sequence is repeated are collapsed to their first before that, as all
 of their windows are then known to be repeated.
@@ -43,7 +43,8 @@ from docstrata.llm.common import (
 WINDOW_WORDS = 20
 #: Odd multiplier of the rolling hash over word hashes.
 _BASE = 0xA0761D6478BD642F
-#: Windows that a bucket of hashes has about.
+#: Windows that a bucket of hashes has about. Within it hashes have 32 bits, so that one window in
+#: some thousands meets another by chance, at any size of the corpus; words are compared after.
 BUCKET_WINDOWS = 1 << 20
 #: Places that one task matches with a bucket at least, before the bucket is dealt to several;
 #: and buckets with more at most, as the bound grows with the words beyond.
@@ -78,22 +79,45 @@ def sequences(docs: DataFrame) -> DataFrame:
 
 
 def sliced(texts: DataFrame) -> DataFrame:
-    """``texts`` (doc, doc_id, key, text) as rows of lists: whole texts of about ``SLICE_BYTES`` together."""
+    """``texts`` (doc, doc_id, key, text) as rows of lists: whole texts of about ``SLICE_BYTES``
+    together, ``packed`` into one compressed value, and their ``sizes`` in bytes."""
+    lists = ["doc", "doc_id", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for i, j in slices(flat(batch["text"])[1]):
-                lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch[c].slice(i, j - i)) for c in ("doc", "doc_id", "key", "text")]
-                yield pa.RecordBatch.from_arrays([pa.array([name]), *lists], names=["slice", "doc", "doc_id", "key", "text"])
+            data, offsets = flat(batch["text"])
+            for i, j in slices(offsets):
+                ends = pa.array([0, j - i], pa.int32())
+                columns = [pa.ListArray.from_arrays(ends, batch[c].slice(i, j - i)) for c in lists]
+                columns += [pa.ListArray.from_arrays(ends, pa.array(np.diff(offsets[i : j + 1]))), pa.array([pa.compress(data[offsets[i] : offsets[j]].tobytes(), "zstd", asbytes=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), *columns], names=["slice", *lists, "sizes", "packed"])
                 name += 1
 
-    return texts.select("doc", "doc_id", "key", "text").mapInArrow(run, "slice bigint, doc array<bigint>, doc_id array<bigint>, key array<bigint>, text array<string>")
+    return texts.select(*lists, "text").mapInArrow(run, "slice bigint, doc array<bigint>, doc_id array<bigint>, key array<bigint>, sizes array<bigint>, packed binary")
 
 
-def _words(texts: pa.Array) -> tuple[list[list[bytes]], np.ndarray]:
+def _texts(sizes: pa.ListScalar, packed: pa.BinaryScalar) -> list[bytes]:
+    ends = np.cumsum([0, *sizes.values.to_pylist()]).tolist()
+    whole = pa.decompress(packed.as_py(), ends[-1], "zstd", asbytes=True)
+    return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def unsliced(slice_rows: DataFrame) -> DataFrame:
+    """(doc, doc_id, key, text) of ``sliced`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                texts = pa.array(_texts(batch["sizes"][row], batch["packed"][row]), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch[c][row].values for c in ("doc", "doc_id", "key")), texts], names=["doc", "doc_id", "key", "text"])
+
+    return slice_rows.drop("slice").mapInArrow(run, "doc bigint, doc_id bigint, key bigint, text string")
+
+
+def _words(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray]:
     """Words of each text of a slice, and how many are before it."""
-    lists = [t.split() for t in texts.cast(pa.binary()).to_pylist()]  # of bytes: at the six ASCII blanks
+    lists = [t.split() for t in texts]  # of bytes: at the six ASCII blanks
     return lists, np.cumsum([0, *map(len, lists)])
 
 
@@ -113,18 +137,10 @@ def _unpacked(column: pa.Array, kind: str) -> np.ndarray:
     return flat(column)[0].view(kind)
 
 
-def _kept(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return hashes.astype("<u4"), (hashes >> np.uint64(32)).astype("<u2")  # the low bits of each
-
-
-def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-
-
 # -- windows ------------------------------------------------------------------------------
 
 
-def window_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place) of every window of a slice."""
     lists, before = _words(texts)
     places = _window_places(before, size)
@@ -132,6 +148,7 @@ def window_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """By the upper half of a hash; the lower half is what is kept of it there."""
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
 
 
@@ -145,20 +162,19 @@ def counted(slice_rows: DataFrame, size: int, buckets: int, task_places: int = T
 
     def per_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in batch["text"]:
-                hashes, times = np.unique(window_hashes(texts.values, size)[0], return_counts=True)
+            for sizes, packed in zip(batch["sizes"], batch["packed"], strict=True):
+                hashes, times = np.unique(window_hashes(_texts(sizes, packed), size)[0], return_counts=True)
                 bucket = _bucket(hashes, buckets)  # sorted, as the hashes are
                 ends = np.flatnonzero(np.diff(bucket, append=buckets + 1)) + 1
                 total = np.diff(np.concatenate([[0], np.cumsum(times)])[np.concatenate([[0], ends])])
-                low, high = _kept(hashes)
-                columns = [pa.array(bucket[ends - 1].astype(np.int64)), pa.array(total), _packed(low, ends), _packed(high, ends), _packed((times > 1).astype(np.uint8), ends)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "n", "low", "high", "again"])
+                columns = [pa.array(bucket[ends - 1].astype(np.int64)), pa.array(total), _packed(hashes.astype("<u4"), ends), _packed((times > 1).astype(np.uint8), ends)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "n", "hashes", "again"])
 
     def per_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, n, seen, repeated = None, 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        bucket, n, seen, repeated = None, 0, np.zeros(0, "<u4"), np.zeros(0, "<u4")
         for batch in batches:
             bucket, n = batch["bucket"][0].as_py(), n + pc.sum(batch["n"]).as_py()
-            hashes = _joined(_unpacked(batch["low"], "<u4"), _unpacked(batch["high"], "<u2"))
+            hashes = _unpacked(batch["hashes"], "<u4")
             met = np.sort(np.concatenate([seen, hashes]))
             same = np.flatnonzero(met[1:] == met[:-1])
             repeated = np.unique(np.concatenate([repeated, met[same], hashes[_unpacked(batch["again"], "u1") > 0]]))
@@ -166,7 +182,7 @@ def counted(slice_rows: DataFrame, size: int, buckets: int, task_places: int = T
         if len(repeated):
             yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([-(-n // task_places)], pa.int32()), pa.array([repeated.tobytes()])], names=["bucket", "salts", "repeated"])
 
-    parts = slice_rows.select("text").mapInArrow(per_slice, "bucket bigint, n bigint, low binary, high binary, again binary")
+    parts = slice_rows.select("sizes", "packed").mapInArrow(per_slice, "bucket bigint, n bigint, hashes binary, again binary")
     return parts.groupBy("bucket").applyInArrow(per_bucket, "bucket bigint, salts int, repeated binary")
 
 
@@ -179,33 +195,32 @@ def places_of(slice_rows: DataFrame, repeated: DataFrame, size: int, buckets: in
 
     def per_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, texts in zip(batch["slice"], batch["text"], strict=True):
-                hashes, places = window_hashes(texts.values, size)
+            for name, sizes, packed in zip(batch["slice"], batch["sizes"], batch["packed"], strict=True):
+                hashes, places = window_hashes(_texts(sizes, packed), size)
                 bucket = _bucket(hashes, buckets)
                 order = np.argsort(bucket, kind="stable")
-                bucket, (low, high), place = bucket[order], _kept(hashes[order]), places[order]
+                bucket, hashes, place = bucket[order], hashes[order], places[order]
                 ends = np.flatnonzero(np.diff(bucket, append=buckets + 1)) + 1
-                columns = [pa.array(bucket[ends - 1].astype(np.int64)), pa.array(np.full(len(ends), name.as_py(), np.int64)), _packed(low, ends), _packed(high, ends), _packed(place.astype("<u2"), ends), _packed((place >> 16).astype("<u2"), ends)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "slice", "low", "high", "p_low", "p_high"])
+                columns = [pa.array(bucket[ends - 1].astype(np.int64)), pa.array(np.full(len(ends), name.as_py(), np.int64)), _packed(hashes.astype("<u4"), ends), _packed(place.astype("<u2"), ends), _packed((place >> 16).astype("<u2"), ends)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "slice", "hashes", "p_low", "p_high"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, table = None, np.zeros(0, np.uint64)
+        key, table = None, np.zeros(0, "<u4")
         for batch in batches:
             names, found = [], []
             for row in range(batch.num_rows):
                 own = (batch["bucket"][row].as_py(), batch["salt"][row].as_py())
                 if batch["slice"][row].as_py() is None:
-                    key, table = own, np.frombuffer(batch["repeated"][row].as_py(), np.uint64)
+                    key, table = own, np.frombuffer(batch["repeated"][row].as_py(), "<u4")
                 elif own == key:
-                    low, high, p_low, p_high = (np.frombuffer(batch[c][row].as_py(), k) for c, k in (("low", "<u4"), ("high", "<u2"), ("p_low", "<u2"), ("p_high", "<u2")))
-                    hashes = _joined(low, high)
+                    hashes, p_low, p_high = (np.frombuffer(batch[c][row].as_py(), k) for c, k in (("hashes", "<u4"), ("p_low", "<u2"), ("p_high", "<u2")))
                     hit = table[np.minimum(np.searchsorted(table, hashes), len(table) - 1)] == hashes
                     if hit.any():
                         names.append(batch["slice"][row].as_py())
                         found.append((p_low[hit].astype("<u4") | (p_high[hit].astype("<u4") << np.uint32(16))).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], names=["slice", "places"])
 
-    parts = slice_rows.select("slice", "text").mapInArrow(per_slice, "bucket bigint, slice bigint, low binary, high binary, p_low binary, p_high binary")
+    parts = slice_rows.select("slice", "sizes", "packed").mapInArrow(per_slice, "bucket bigint, slice bigint, hashes binary, p_low binary, p_high binary")
     large = F.broadcast(repeated.filter("salts > 1").select("bucket", "salts"))  # MOST_LARGE rows at most
     salted = parts.join(large, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("slice"), F.coalesce("salts", F.lit(1)))).drop("salts")
     tables = repeated.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), "repeated")
@@ -215,15 +230,15 @@ def places_of(slice_rows: DataFrame, repeated: DataFrame, size: int, buckets: in
 
 
 def window_digests(slice_rows: DataFrame, size: int) -> DataFrame:
-    """(d1, d2, doc, start) of the windows at ``places`` (packed lists), over (doc, text, places).
+    """(d1, d2, doc, start) of the windows at ``places`` (packed lists), over ``sliced`` rows with them.
 
     d1 and d2 are the 128 bits of the BLAKE2b digest of the window's words, joined by a space.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, texts, places in zip(batch["doc"], batch["text"], batch["places"], strict=True):
-                lists, before = _words(texts.values)
+            for docs, sizes, packed, places in zip(batch["doc"], batch["sizes"], batch["packed"], batch["places"], strict=True):
+                lists, before = _words(_texts(sizes, packed))
                 place = np.sort(_unpacked(places.values, "<u4").astype(np.int64))
                 joined = b" ".join(chain.from_iterable(lists))
                 lengths = np.fromiter(map(len, chain.from_iterable(lists)), np.int64, before[-1])
@@ -234,11 +249,12 @@ def window_digests(slice_rows: DataFrame, size: int) -> DataFrame:
                 columns = [pa.array(digest[::2]), pa.array(digest[1::2]), pa.array(docs.values.to_numpy()[row]), pa.array(place - before[row], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=["d1", "d2", "doc", "start"])
 
-    return slice_rows.select("doc", "text", "places").mapInArrow(run, "d1 bigint, d2 bigint, doc bigint, start int")
+    return slice_rows.select("doc", "sizes", "packed", "places").mapInArrow(run, "d1 bigint, d2 bigint, doc bigint, start int")
 
 
-def later_windows(slice_rows: DataFrame, size: int, n_words: int) -> DataFrame:
-    """(doc, starts) of the windows whose word sequence also starts earlier in the ``sliced`` texts.
+def later_windows(slice_rows: DataFrame, size: int, n_words: int, path: str) -> DataFrame:
+    """(doc, starts), as a table at ``path``, of the windows whose word sequence also starts earlier in
+    the ``sliced`` texts.
 
     Nothing is gathered but what one slice or one document holds. Repeated windows are joined
     with their first places in a join that adaptive execution can split where a passage is
@@ -247,16 +263,17 @@ def later_windows(slice_rows: DataFrame, size: int, n_words: int) -> DataFrame:
     spark = slice_rows.sparkSession
     where, buckets = shared_folder(spark, "windows"), max(1, -(-n_words // BUCKET_WINDOWS))
     repeated = written(counted(slice_rows, size, buckets, max(TASK_PLACES, n_words // MOST_LARGE)), f"{where}-hashes")
-    listed = checkpointed(places_of(slice_rows, repeated, size, buckets).groupBy("slice").agg(F.collect_list("places").alias("places")))  # of one slice
+    # Tables rather than checkpoints: their jobs' shuffle files are dropped at once.
+    listed = written(places_of(slice_rows, repeated, size, buckets).groupBy("slice").agg(F.collect_list("places").alias("places")), f"{where}-places")  # of one slice
     remove_folder(spark, f"{where}-hashes")
 
     found = written(window_digests(slice_rows.join(listed, "slice"), size), where)
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("d1", "d2", "first")
     first = written(first, f"{where}-first")  # so that the join shuffles both sides anew, and may split a hot window
     late = found.join(first, ["d1", "d2"]).filter(F.struct("doc", "start") > F.col("first"))
-    starts = checkpointed(late.groupBy("doc").agg(F.collect_list("start").alias("starts")))
-    remove_folder(spark, where)
-    remove_folder(spark, f"{where}-first")
+    starts = written(late.groupBy("doc").agg(F.collect_list("start").alias("starts")), path)
+    for name in (where, f"{where}-first", f"{where}-places"):
+        remove_folder(spark, name)
     return starts
 
 
@@ -331,11 +348,12 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW_WORDS, full: bool = Fals
     spark, where = docs.sparkSession, shared_folder(docs.sparkSession, "slices")
     held = written(sliced(_with_order(taking_part.filter("text is not null"), seen["n"] == seen["ids"])), where)
 
-    starts = later_windows(held, size, seen["words"] or 0)
-    texts = held.select(F.inline(F.arrays_zip("doc", "doc_id", "key", "text")))
+    starts = later_windows(held, size, seen["words"] or 0, f"{where}-starts")
+    texts = unsliced(held)
     cut = screened(texts, F.col("doc"), starts.select(F.col("doc").alias("key"))).filter("__hit").join(starts, "doc")
     changed = checkpointed(_cut(cut.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "text", "starts"), size, full))
     remove_folder(spark, where)
+    remove_folder(spark, f"{where}-starts")
 
     names = ["n_removed", "kept_sha256", *(["kept_text"] if full else [])]
     out = judged.join(changed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")

@@ -426,16 +426,15 @@ def test_substring_tells_words_apart_that_fool_polynomial_hashes(spark):
 
 def test_repeated_windows_are_named_by_their_words(spark):
     """Whatever windows the hashes throw together, the digests of their words tell them apart."""
-    real = substring.window_hashes
     rng = random.Random(8)
     base = [f"w{rng.randrange(500)}" for _ in range(120)]
     rows = [(i, " ".join(base[rng.randrange(40) :] + [f"own{i}"] * 3)) for i in range(12)] + [(50, "x " * 45)]
     texts = spark.createDataFrame([(i, i, i, t) for i, t in rows], "doc long, doc_id long, key long, text string")
-    held = substring.sliced(texts).withColumn("places", F.array(F.lit(b"")))
-    every = held.select("slice", "doc", "text").toArrow()
-    packed = {r["slice"]: real(pa_texts(r["text"]), 20)[1].astype("<u4").tobytes() for r in every.to_pylist()}
+    held, given = substring.sliced(texts), dict(rows)
+    packed = {r["slice"]: substring.window_hashes([given[i].encode() for i in r["doc"]], 20)[1].astype("<u4").tobytes() for r in held.collect()}
     all_places = spark.createDataFrame([(k, [bytes(v)]) for k, v in packed.items()], "slice long, places array<binary>")
-    found = substring.window_digests(held.drop("places").join(all_places, "slice"), 20).collect()
+    assert {(r["doc"], r["text"]) for r in substring.unsliced(held).collect()} == set(rows)
+    found = substring.window_digests(held.join(all_places, "slice"), 20).collect()
     words = {i: t.split() for i, t in rows}
     wanted = {(i, s): tuple(w[s : s + 20]) for i, w in words.items() for s in range(len(w) - 19)}
     digests = {}
@@ -444,12 +443,6 @@ def test_repeated_windows_are_named_by_their_words(spark):
     assert not wanted and all(len(d) == 1 for d in digests.values()) and len(set.union(*digests.values())) == len(digests)
 
 
-def pa_texts(texts):
-    import pyarrow as pa
-
-    return pa.array(texts, pa.string())
-
-
 def test_windows_are_counted_in_buckets(spark):
     """Many buckets, salts and slices give what one bucket gives."""
     rng = random.Random(21)
