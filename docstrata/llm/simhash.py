@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docstrata.llm.common import checkpointed, keep_rows, mixed, salted_join, text_key
+from docstrata.llm.common import checkpointed, keep_rows, mixed, remove_folder, salted_join, shared_folder, text_key, written
 from docstrata.llm.components import components
 
 SEED = 42
@@ -181,16 +181,21 @@ def connected(fps: DataFrame, scheme: Scheme) -> DataFrame:
     then at least halves the groups that still have links to others. A group without one
     takes no further part: its links can't change.
     """
-    names = _names(scheme.words)
-    begun = _merged(links_to_first(fps, scheme))
+    names, spark = _names(scheme.words), fps.sparkSession
+    folders = [shared_folder(spark, "links")]
+    begun = _merged(written(links_to_first(fps, scheme), folders[0]))  # a table: its job's shuffle files are dropped at once
     active = checkpointed(fps.join(begun.withColumnRenamed("root", "id"), "id", "left").select("id", *names, F.coalesce("new_root", "id").alias("root")))
     settled = active.select("id", "root").limit(0)
     while True:
-        merged = _merged(nearest_groups(active, scheme))
+        folders.append(shared_folder(spark, "links"))
+        merged = _merged(written(nearest_groups(active, scheme), folders[-1]))
         settled = settled.union(active.join(merged, "root", "left_anti").select("id", "root"))
         active = checkpointed(active.join(merged, "root").select("id", *names, F.col("new_root").alias("root")))
         if active.isEmpty():
-            return settled
+            break
+    for folder in folders:
+        remove_folder(spark, folder)
+    return settled
 
 
 # -- the operator -------------------------------------------------------------------------
