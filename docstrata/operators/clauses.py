@@ -10,7 +10,7 @@ from docstrata.functions.text import contains_term, normalise
 
 #: Where a sentence ends: a blank after closing punctuation, before a capital or a quotation.
 BOUNDARY = r"(?<=[.;:»”\"\)])\s+(?=[«\"“(]|[A-ZÁÉÍÓÚÑ])"
-#: Longest evidence; of a longer sentence it is a piece around the match.
+#: Longest evidence; of a longer sentence it is a piece around each match.
 LONGEST, MOST_EVIDENCE = 1000, 50
 
 
@@ -29,28 +29,33 @@ def sentences(text: Column) -> Column:
     return F.aggregate(zipped, empty, step)["out"]
 
 
-def _located(fragment: Column, pattern: str) -> Column:
-    """Code points before the first match."""
-    return F.length(F.element_at(F.split(fragment, pattern, 2), 1))
+def _windows(fragment: Column, pattern: str) -> Column:
+    """Array of (first, last): a piece of ``LONGEST`` code points around each match, within the fragment."""
+    found, between = F.regexp_extract_all(fragment, F.lit(pattern), F.lit(0)), F.split(fragment, pattern, -1)
+    size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda total, x: total + F.length(x))
+
+    def window(match: Column, i: Column) -> Column:
+        at, margin = size(between, i + 1) + size(found, i), F.floor((LONGEST - F.length(match)) / 2).cast("int")
+        return F.struct(F.greatest(F.lit(0), at - margin).alias("first"), F.least(F.length(fragment), at + F.length(match) + margin).alias("last"))
+
+    return F.transform(found, window)
 
 
 def clauses(docs: DataFrame, pattern: ClausePattern) -> DataFrame:
     """(doc_id, family, place, start, finish, fragment) of each clause of ``docs`` (doc_id, text).
 
     A sentence counts if the construction and the companion are both in it. Of one longer
-    than ``LONGEST`` the piece around the construction is taken, if the companion is in that
+    than ``LONGEST`` a piece around each construction is taken, if the companion is in that
     piece. Evidence with the same range counts once, and a document gives ``MOST_EVIDENCE``
     at most, which is what the feature promises its readers.
     """
     construction, companion = f"(?iu){pattern.construction}", f"(?iu){pattern.companion}"
     hinted = docs.filter(F.col("text").rlike(construction) & F.col("text").rlike(companion))  # cheap, before any splitting
     each = hinted.select("doc_id", F.inline(sentences(F.col("text")))).filter(F.col("fragment").rlike(construction))
-    first = F.greatest(F.lit(0), _located(F.col("fragment"), construction) - LONGEST // 2)
-    long = F.length("fragment") > LONGEST
-    start = F.col("start") + F.when(long, first).otherwise(0)
-    piece = F.when(long, F.substring("fragment", first + 1, F.lit(LONGEST))).otherwise(F.col("fragment"))
-    found = each.select("doc_id", start.alias("start"), piece.alias("fragment")).filter(F.col("fragment").rlike(construction) & F.col("fragment").rlike(companion))
-    ranged = found.select("doc_id", "start", (F.col("start") + F.length("fragment")).alias("finish"), "fragment").distinct()
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.length("fragment").alias("last")))
+    pieces = each.select("doc_id", "start", "fragment", F.inline(F.when(F.length("fragment") > LONGEST, _windows(F.col("fragment"), construction)).otherwise(whole)))
+    cut = F.substring(F.col("fragment"), F.col("first") + 1, F.col("last") - F.col("first"))
+    ranged = pieces.select("doc_id", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("finish"), cut.alias("fragment")).filter(F.col("fragment").rlike(companion)).distinct()
     listed = ranged.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("start", "finish", "fragment"))), 1, MOST_EVIDENCE).alias("evidence"))
     return listed.select("doc_id", F.lit(pattern.name).alias("family"), F.posexplode("evidence").alias("place", "e")).select("doc_id", "family", "place", "e.*")
 

@@ -307,9 +307,13 @@ def _sql_family(pattern: ClausePattern) -> str:
 p AS (SELECT doc_id, string_split_regex(m, {gap}) AS pieces, regexp_extract_all(m, {gap}) AS gaps FROM t),
 x AS (SELECT doc_id, pieces, gaps, unnest(range(1, len(pieces) + 1)) AS i FROM p),
 s AS (SELECT doc_id, coalesce(list_sum(list_transform(pieces[1:i - 1], lambda e: length(e))), 0) + coalesce(list_sum(list_transform(gaps[1:i - 1], lambda e: length(e) - 2)), 0) AS start, pieces[i] AS fragment FROM x),
-f AS (SELECT *, greatest(0, length(regexp_extract(fragment, '(?is)^(.*?){pattern.construction}', 1)) - 500) AS first FROM s WHERE regexp_matches(fragment, '{construction}')),
-w AS (SELECT doc_id, CASE WHEN length(fragment) > 1000 THEN start + first ELSE start END AS start, CASE WHEN length(fragment) > 1000 THEN substr(fragment, first + 1, 1000) ELSE fragment END AS fragment FROM f),
-d AS (SELECT DISTINCT doc_id, CAST(start AS INTEGER) AS start, CAST(start + length(fragment) AS INTEGER) AS finish, fragment FROM w WHERE regexp_matches(fragment, '{construction}') AND regexp_matches(fragment, '{companion}'))
+f AS (SELECT *, regexp_extract_all(fragment, '{construction}') AS found, string_split_regex(fragment, '{construction}') AS between FROM s WHERE regexp_matches(fragment, '{construction}')),
+k AS (SELECT doc_id, start, fragment, found, between, unnest(range(1, len(found) + 1)) AS i FROM f WHERE length(fragment) > 1000),
+h AS (SELECT doc_id, start, fragment, length(found[i]) AS size, list_sum(list_transform(between[1:i], lambda e: length(e))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda e: length(e))), 0) AS place FROM k),
+w AS (SELECT doc_id, start, fragment, 0 AS first, length(fragment) AS last FROM f WHERE length(fragment) <= 1000
+  UNION ALL SELECT doc_id, start, fragment, greatest(0, place - (1000 - size) // 2), least(length(fragment), place + size + (1000 - size) // 2) FROM h),
+z AS (SELECT doc_id, CAST(start + first AS INTEGER) AS start, CAST(start + last AS INTEGER) AS finish, substr(fragment, CAST(first + 1 AS BIGINT), CAST(last - first AS BIGINT)) AS fragment FROM w),
+d AS (SELECT DISTINCT * FROM z WHERE regexp_matches(fragment, '{companion}'))
 SELECT doc_id, '{pattern.name}' AS family, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, finish) - 1 AS INTEGER) AS place, start, finish, fragment FROM d QUALIFY place < 50)"""
 
 

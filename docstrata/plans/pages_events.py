@@ -26,7 +26,7 @@ def _element(tag: str, *inner: Column) -> Column:
 
 def summary_nested_items(spark: SparkSession, d: str) -> DataFrame:
     """Customers packed into summaries of two depths, one per nation, and read back once each."""
-    customers = table(spark, d, "customer").filter("c_acctbal > 8000")
+    customers = table(spark, d, "customer")
     item = lambda: _element("item", _element("identificador", F.concat(F.lit("CUS-"), F.col("c_custkey").cast("string"))), _element("titulo", _attribute(F.col("c_name"))), _element("url_xml", F.lit("u")), _element("url_pdf", F.lit("p")))
     direct = F.array_join(F.array_sort(F.collect_list(F.when(F.col("c_mktsegment") != "BUILDING", item()))), "")
     under = F.array_join(F.array_sort(F.collect_list(F.when(F.col("c_mktsegment") == "BUILDING", item()))), "")
@@ -42,7 +42,7 @@ def summary_nested_items(spark: SparkSession, d: str) -> DataFrame:
 def summary_positional(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as flat registers, whose place is data."""
     turns = table(spark, d, "conversations")
-    register = _element("registro", _element("docn", F.col("turn").cast("string")), _element("fecha", F.lit("20260105")), _element("titulo", _attribute(F.substring("text", 1, 40))), _element("emisor", F.col("role")))
+    register = _element("registro", _element("docn", F.col("turn").cast("string")), _element("fecha", F.lit("20260105")), _element("titulo", _attribute(F.col("text"))), _element("emisor", F.col("role")))
     packed = turns.withColumn("r", register).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "r"))), lambda x: x["r"]), "").alias("all"))
     raw = packed.select(F.lit("2026-01-05").cast("date").alias("day"), F.concat(F.lit("<?xml version='1.0'?><documento>"), "all", F.lit("</documento>")).alias("content"))
     read = summaries.registers(raw)
@@ -51,7 +51,7 @@ def summary_positional(spark: SparkSession, d: str) -> DataFrame:
 
 def xml_body_parse(spark: SparkSession, d: str) -> DataFrame:
     """Orders written as bodies with references, and parsed back."""
-    orders = table(spark, d, "orders").filter("o_orderkey < 3000")
+    orders = table(spark, d, "orders")
     reference = F.concat(F.lit("<anterior referencia='' ><palabra codigo='1'>x</palabra></anterior><anterior referencia='CUS-"), F.col("o_custkey").cast("string"), F.lit("'><palabra codigo='2'> modifica  a </palabra><texto>t</texto></anterior>"))
     content = F.concat(
         F.lit("<documento><metadatos><identificador>ORD-"), F.col("o_orderkey").cast("string"), F.lit("</identificador></metadatos><analisis><referencias><anteriores>"), reference,
@@ -66,7 +66,7 @@ def xml_body_parse(spark: SparkSession, d: str) -> DataFrame:
 def consolidated_versions(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as consolidated texts: each turn a version of its block; changes by modifier."""
     turns = table(spark, d, "conversations")
-    version = F.concat(F.lit("<version id_norma='"), "role", F.lit("' fecha_vigencia='2026010"), (F.col("turn") + 1).cast("string"), F.lit("'><p class='parrafo'>"), _attribute(F.substring("text", 1, 60)), F.lit("</p><p class='nota_pie'>note</p></version>"))
+    version = F.concat(F.lit("<version id_norma='"), "role", F.lit("' fecha_vigencia='2026010"), (F.col("turn") + 1).cast("string"), F.lit("'><p class='parrafo'>"), _attribute(F.col("text")), F.lit("</p><p class='nota_pie'>note</p></version>"))
     packed = turns.withColumn("v", version).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "v"))), lambda x: x["v"]), "").alias("all"))
     content = F.concat(F.lit("<response><data><texto><bloque id='a1' tipo='precepto' titulo='A'>"), "all", F.lit("</bloque><bloque id='n' tipo='nota_inicial'><version id_norma='x'><p>n</p></version></bloque></texto></data></response>"))
     read = consolidated.block_versions(packed.select(F.col("conv_id").alias("key"), content.alias("content")))
@@ -125,14 +125,14 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 
 def positional_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Two script arrays of a calendar, paired by position: days and editions."""
-    days = table(spark, d, "orders").filter("o_orderkey < 2000").groupBy(F.col("o_custkey").alias("key")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    days = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
     script = F.concat(F.lit("var days = ["), F.array_join(F.transform("k", lambda x: F.concat(F.lit("'d"), x.cast("string"), F.lit("'"))), ","), F.lit("]; var links = ["), F.array_join(F.transform("k", lambda x: F.concat(F.lit('"l'), (x * 2).cast("string"), F.lit('"'))), ","), F.lit("];"))
     return summaries.paired_by_position(days.select("key", script.alias("content")), r"'d(\d+)'", r'"l(\d+)"').select("key", "place", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
 
 
 def flat_headers(spark: SparkSession, d: str) -> DataFrame:
     """Interleaved headers: sections reset subsections, titles are used up by the next number."""
-    lines = table(spark, d, "lineitem").filter("l_orderkey < 500").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
     parts = F.concat(F.lit("<s>"), "flag", F.lit("</s>"), F.when(F.col("status") == "O", F.lit("<u>open</u>")).otherwise(""), F.lit("<t>title "), F.col("l_linenumber").cast("string"), F.lit("</t><n>"), F.col("l_linenumber").cast("string"), F.lit("</n><n>"), (F.col("l_linenumber") + 10).cast("string"), F.lit("</n>"))
     packed = lines.withColumn("x", parts).groupBy(F.col("l_orderkey").alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "x"))), lambda e: e["x"]), "").alias("content"))
     items = summaries.flat_items(summaries.elements(packed, r"(?is)<([sutn])>(.*?)</[sutn]>"), "s", "u", "o", "t", "n")
@@ -228,11 +228,11 @@ QUERIES = {
 }
 
 SQL = {
-    "summary_nested_items": """SELECT 'CUS-' || CAST(c_custkey AS VARCHAR) AS identifier, c_name AS title, '1' AS section, CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING' ELSE '' END AS heading FROM customer WHERE c_acctbal > 8000""",
-    "summary_positional": """WITH p AS (SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role AS department, CAST(length(trim(substr(text, 1, 40), chr(10) || ' ')) AS BIGINT) AS n FROM conversations)
+    "summary_nested_items": """SELECT 'CUS-' || CAST(c_custkey AS VARCHAR) AS identifier, c_name AS title, '1' AS section, CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING' ELSE '' END AS heading FROM customer""",
+    "summary_positional": """WITH p AS (SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role AS department, CAST(length(trim(text, chr(10) || ' ')) AS BIGINT) AS n FROM conversations)
 SELECT place, department, count(*) AS registers, count(*) AS good, CAST(sum(n) AS BIGINT) AS title_chars FROM p GROUP BY place, department""",
     "xml_body_parse": """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 100 = 0 THEN '' ELSE 'ORD-' || CAST(o_orderkey AS VARCHAR) END AS identifier, CASE WHEN o_orderkey % 100 = 0 THEN '' ELSE o_orderpriority || ' Total  ' || o_orderstatus END AS text,
-  CAST(CASE WHEN o_orderkey % 100 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_references, CASE WHEN o_orderkey % 100 <> 0 THEN 'CUS-' || CAST(o_custkey AS VARCHAR) END AS cited, CASE WHEN o_orderkey % 100 <> 0 THEN 'MODIFICA A' END AS verb FROM orders WHERE o_orderkey < 3000""",
+  CAST(CASE WHEN o_orderkey % 100 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_references, CASE WHEN o_orderkey % 100 <> 0 THEN 'CUS-' || CAST(o_custkey AS VARCHAR) END AS cited, CASE WHEN o_orderkey % 100 <> 0 THEN 'MODIFICA A' END AS verb FROM orders""",
     "consolidated_versions": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations)
 SELECT conv_id AS key, role AS modifier, max(ordinal) AS ordinal, '2026-01-0' || CAST(max(turn) + 1 AS VARCHAR) AS in_force, CASE WHEN max(ordinal) = 1 THEN 'insertion' ELSE 'change' END AS kind FROM p GROUP BY conv_id, role""",
     "body_dispatch": r"""WITH p AS (SELECT regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS i FROM pages),
@@ -244,8 +244,8 @@ UNION ALL SELECT 'other', CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g'))
     "quarantine_split": """WITH x AS (SELECT 'pages' AS source, starts_with(url, 'https://') AS good FROM pages UNION ALL SELECT 'events', coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER) < 90, false) FROM events)
 SELECT source, CASE WHEN good THEN 'good' ELSE 'quarantined' END AS state, count(*) AS rows FROM x GROUP BY ALL""",
     "json_props": """SELECT event_type AS title, event_type <> 'error' AS good, count(*) AS rows, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS control_sum FROM events GROUP BY ALL""",
-    "positional_pairs": "SELECT o_custkey AS key, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place, o_orderkey AS a, o_orderkey * 2 AS b FROM orders WHERE o_orderkey < 2000",
-    "flat_headers": """WITH l AS (SELECT l_orderkey AS key, l_linenumber AS n, min(l_returnflag) AS section, min(l_linestatus) AS status FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2)
+    "positional_pairs": "SELECT o_custkey AS key, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place, o_orderkey AS a, o_orderkey * 2 AS b FROM orders",
+    "flat_headers": """WITH l AS (SELECT l_orderkey AS key, l_linenumber AS n, min(l_returnflag) AS section, min(l_linestatus) AS status FROM lineitem GROUP BY 1, 2)
 SELECT key, CAST(n AS BIGINT) AS number, section, CASE WHEN status = 'O' THEN 'open' ELSE '' END AS subsection, 'title ' || CAST(n AS VARCHAR) AS title FROM l
 UNION ALL SELECT key, CAST(n + 10 AS BIGINT), section, CASE WHEN status = 'O' THEN 'open' ELSE '' END, '' FROM l""",
     "config_load_validate": f"SELECT 'term' AS kind, t AS value, list_contains({sql_list(LEXICON.direct)}, t) AS decides FROM (SELECT unnest({sql_list(LEXICON.terms)}) AS t) UNION ALL SELECT 'watched', 'LAW-A-2020-1', true UNION ALL SELECT 'watched', 'LAW-B-2021-2', false",

@@ -67,10 +67,17 @@ def changes_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def findings_anti(spark: SparkSession, d: str) -> DataFrame:
-    """Customers with an urgent waiting order and nothing approved."""
-    urgent = _orders(spark, d).filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")).groupBy("o_custkey").agg(F.count("*").alias("urgent"))
-    approved = _orders(spark, d).filter("o_orderstatus = 'O'").select("o_custkey")
-    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey")).join(approved, "o_custkey", "left_anti").select("c_custkey", "c_name", "urgent")
+    """Customers with an urgent waiting order and nothing approved, by the gate's findings.
+
+    An urgent order is a report that calls for an alert, its lines are the corroborations, its
+    customer is the detection in the queue, and an approved order its alert.
+    """
+    orders = _orders(spark, d).filter(F.col("o_orderstatus") == "P")
+    reports = orders.select(F.col("o_custkey").alias("queue_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "alert").otherwise("look").alias("light"), F.array("o_orderkey").alias("corroborations"))
+    queue = table(spark, d, "customer").select(F.col("c_custkey").alias("queue_id"), F.col("c_custkey").alias("detection_id"), "c_name")
+    alerts = _orders(spark, d).filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("detection_id"))
+    found = gate.findings(reports, queue, alerts)
+    return found.groupBy(F.col("detection_id").alias("c_custkey"), "c_name").agg(F.count("*").alias("urgent"))
 
 
 def unprocessed_anti(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +115,7 @@ def documents_page(spark: SparkSession, d: str) -> DataFrame:
 def document_detail(spark: SparkSession, d: str) -> DataFrame:
     """Orders with their lines nested in order."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))  # of one order
-    rows = _orders(spark, d).filter("o_totalprice > 450000").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = _orders(spark, d).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return rows.select("o_orderkey", F.coalesce(F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ","), F.lit("")).alias("lines"))
 
 
@@ -142,7 +149,7 @@ def gate_item_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Items of the gate by their key, with the warning for published ones that lost their rule."""
     items = _orders(spark, d).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     lost = (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "5-LOW")
-    return items.filter("o_totalprice > 400000").select("o_orderkey", "c_name", lost.alias("warn"), F.coalesce(F.when(F.col("c_acctbal") < 0, F.lit("setback")), F.lit("unclear")).alias("sign"))
+    return items.select("o_orderkey", "c_name", lost.alias("warn"), F.coalesce(F.when(F.col("c_acctbal") < 0, F.lit("setback")), F.lit("unclear")).alias("sign"))
 
 
 def evidence_json(spark: SparkSession, d: str) -> DataFrame:
@@ -370,7 +377,7 @@ SELECT c_custkey, c_name, urgent FROM customer JOIN u ON c_custkey = o_custkey W
 JOIN nation b ON c_nationkey = b.n_nationkey LEFT JOIN nation s ON s_nationkey = s.n_nationkey AND s.n_regionkey <> 1 GROUP BY 1, 2""",
     "documents_page": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderpriority FROM orders WHERE o_orderstatus = 'F' ORDER BY day DESC, o_orderkey DESC LIMIT 100",
     "document_detail": """WITH l AS (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS lines FROM lineitem GROUP BY 1)
-SELECT o_orderkey, coalesce(lines, '') AS lines FROM orders LEFT JOIN l ON o_orderkey = l_orderkey WHERE o_totalprice > 450000""",
+SELECT o_orderkey, coalesce(lines, '') AS lines FROM orders LEFT JOIN l ON o_orderkey = l_orderkey""",
     "backfill_days": """WITH w AS (SELECT o_orderstatus AS source, CAST(min(o_orderdate) AS DATE) AS f FROM orders GROUP BY 1), x AS (SELECT source, f, unnest(range(201)) AS i FROM w)
 SELECT source, CAST(f + CAST(i AS INTEGER) AS VARCHAR) AS day FROM x WHERE i < 10 OR i > 150""",
     "gate_enqueue": """WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), x AS (SELECT o_orderstatus = 'F' AS queued, coalesce(n, 0) >= 3 AS admitted FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)
@@ -378,7 +385,7 @@ SELECT count(*) AS seen, count(*) FILTER (queued) AS already_queued, count(*) FI
     "gate_status_order": """WITH x AS (SELECT *, o_orderstatus = 'P' AND o_totalprice > 250000 AS acts, CASE WHEN o_orderpriority = '5-LOW' THEN 'neutral' END AS s FROM orders)
 SELECT o_orderkey AS id, CASE WHEN acts THEN CASE WHEN o_orderpriority < '3' THEN 'approved' ELSE 'rejected' END ELSE CASE o_orderstatus WHEN 'P' THEN 'waiting' WHEN 'O' THEN 'approved' ELSE 'rejected' END END AS state,
   CASE WHEN acts THEN 'price ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END AS note, CASE WHEN acts AND s IS NULL THEN 'setback' ELSE s END AS sign FROM x""",
-    "gate_item_lookup": "SELECT o_orderkey, c_name, o_orderstatus = 'O' AND o_orderpriority = '5-LOW' AS warn, CASE WHEN c_acctbal < 0 THEN 'setback' ELSE 'unclear' END AS sign FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000",
+    "gate_item_lookup": "SELECT o_orderkey, c_name, o_orderstatus = 'O' AND o_orderpriority = '5-LOW' AS warn, CASE WHEN c_acctbal < 0 THEN 'setback' ELSE 'unclear' END AS sign FROM orders JOIN customer ON o_custkey = c_custkey",
     "evidence_json": "SELECT o_orderkey, o_orderpriority AS rule, '2026.1' AS version, CAST(1 AS BIGINT) AS spans, CAST(o_custkey AS BIGINT) AS finish FROM orders",
     "coverage_levels": """WITH c AS (SELECT c_nationkey, count(*) AS total, count(*) FILTER (c_acctbal > 0) AS active, max(c_acctbal) AS best FROM customer GROUP BY 1), s AS (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1)
 SELECT r_name, n_name, coalesce(total, 0) AS total, coalesce(active, 0) AS active, coalesce(suppliers, 0) AS suppliers, best FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN c ON n_nationkey = c_nationkey LEFT JOIN s ON n_nationkey = s_nationkey""",

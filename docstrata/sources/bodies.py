@@ -141,10 +141,15 @@ VALIDATORS = {"AAA": r"control:\s*(\d+)", "BBB": r"fecha:\s*(\d{8})", "CCC": r"i
 
 
 def is_the_one(identifier: Column, body: Column, validators: dict[str, str] | None = None) -> Column:
-    """Whether a body names its own identifier, by the pattern of its prefix; null for unknown prefixes."""
+    """Whether a body names its own identifier, by the pattern of its prefix; null for unknown prefixes.
+
+    What the pattern finds must be the identifier, or one whole part of it: 12 is no part of AAA-123.
+    """
     out = F.lit(None).cast("boolean")
     for prefix, pattern in (validators or VALIDATORS).items():
-        out = F.when(F.split(identifier, "-")[0] == prefix, F.coalesce(F.contains(identifier, F.nullif(F.regexp_extract(body, pattern, 1), F.lit(""))), F.lit(False))).otherwise(out)
+        found = F.nullif(F.regexp_extract(body, pattern, 1), F.lit(""))
+        same = (found == identifier) | F.array_contains(F.split(identifier, "-"), found)
+        out = F.when(F.split(identifier, "-")[0] == prefix, F.coalesce(same, F.lit(False))).otherwise(out)
     return out
 
 

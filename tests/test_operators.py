@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,27 @@ def test_sentences_cover_the_text_in_code_points(spark):
     assert [g["fragment"] for g in got] == ["😀 Uno.", "Dos;", "«Tres» cuatro. 5 no.", "Ñandú."]
 
 
+def test_every_construction_of_a_long_sentence_gets_a_window(spark):
+    first, second = "it is released under nothing " + "x " * 1000, "and licensed under MIT terms " + "y " * 1000
+    text = first + second + "licensed under Apache terms"
+    got = sorted((r["start"], r["finish"], r["fragment"]) for r in clauses.clauses(spark.createDataFrame([(1, text)], "doc_id int, text string"), LICENSE).collect())
+    wanted = []
+    for m in re.finditer(r"(?i)\b(?:released|licensed)\s+under\b", text):
+        margin = (clauses.LONGEST - len(m[0])) // 2
+        a, b = max(0, m.start() - margin), min(len(text), m.end() + margin)
+        if re.search(r"(?i)\bversion\s+\d|\bMIT\b|\bApache\b", text[a:b]):
+            wanted.append((a, b, text[a:b]))
+    assert got == wanted and len(got) == 2
+
+
+def test_a_body_must_name_its_own_identifier(spark):
+    from docstrata.sources.bodies import is_the_one
+
+    rows = [("AAA-123", "control: 12", False), ("AAA-123", "control: 123", True), ("AAA-12", "control: 123", False), ("BBB-20240102-7", "fecha: 20240102", True), ("CCC-20240102-7", "identificador: CCC-20240102-7", True), ("CCC-20240102-71", "identificador: CCC-20240102-7", False), ("AAA-1", "nothing", False), ("XXX-1", "control: 1", None)]
+    df = spark.createDataFrame(rows, "i string, b string, good boolean")
+    assert all(r["good"] == r["got"] for r in df.withColumn("got", is_the_one(F.col("i"), F.col("b"))).collect())
+
+
 def test_clauses_need_their_companion_in_the_same_sentence(spark):
     rows = spark.createDataFrame([(1, "Released under X. MIT here."), (2, "A. Released under the MIT terms. B."), (3, None), (4, ""), (5, "x" * 700 + " licensed under MIT " + "y" * 700)], "doc_id int, text string")
     got = {r["doc_id"]: r for r in clauses.clauses(rows, LICENSE).collect()}
