@@ -17,6 +17,11 @@ def rolled_up(rows: DataFrame, region: str, level: str, active: Column) -> DataF
     return rolled.withColumn("kind", kind).filter(F.col(region).isNotNull() | (F.col("kind") == "total")).drop("__g")
 
 
+def legible_counts(rows: DataFrame, region: str, unreadable: Column) -> DataFrame:
+    """(region, rows, unreadable): rows without a region are a group of their own, with a null region."""
+    return rows.groupBy(region).agg(F.count("*").alias("rows"), F.count_if(unreadable).alias("unreadable"))
+
+
 def with_every_region(left: DataFrame, right: DataFrame, key: str, **defaults: object) -> DataFrame:
     """Full outer join on a key: regions known to either side appear; missing counts get defaults."""
     return left.join(right, key, "full").fillna(defaults)
@@ -27,6 +32,30 @@ def worst_state(rows: DataFrame, region: str, rank: Column, state: str, title: s
     return rows.groupBy(region).agg(F.max_by(state, rank).alias("worst"), F.min_by(title, F.struct(*order)).alias("first_title"), F.count("*").alias("alerts"))
 
 
+#: The scope of what touches every region, and is drawn in none.
+NATIONAL = "national"
+
+
+def every_region(drawn: DataFrame, covered: DataFrame, alerts: DataFrame, rank: Column, state: str, title: str, *order: Column | str) -> DataFrame:
+    """(region, name, known, watched, worst, first_title, alerts) of each region that any side knows.
+
+    ``drawn`` is (region, name), ``covered`` (region, known, watched), and ``alerts`` has a list
+    ``regions``. A region that is not drawn is named by its code; national and null scopes are left
+    out. Null counts of a side that lacks the region are 0.
+    """
+    each = alerts.withColumn("region", F.explode("regions")).filter(F.col("region") != NATIONAL)
+    worst = worst_state(each, "region", rank, state, title, *order)
+    out = drawn.join(covered, "region", "full").join(worst, "region", "full")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("region", F.coalesce("name", "region").alias("name"), count("known"), count("watched"), "worst", "first_title", count("alerts"))
+
+
+def silences(regions: DataFrame) -> DataFrame:
+    """One row: regions that are watched and quiet, that nobody watches, and all of ``every_region``."""
+    quiet = F.col("alerts") == 0
+    return regions.agg(F.count_if(quiet & (F.col("watched") > 0)).alias("watched_and_quiet"), F.count_if(quiet & (F.col("watched") == 0)).alias("not_watched"), F.count("*").alias("regions"))
+
+
 def banded(rows: DataFrame, band: Column, bands: list[str]) -> DataFrame:
     """Counts of each band, empty ones too, in their order."""
     spark = rows.sparkSession

@@ -56,10 +56,15 @@ def findings(reports: DataFrame, queue: DataFrame, alerts: DataFrame) -> DataFra
     return urgent.join(queue, "queue_id").join(alerts.select("detection_id"), "detection_id", "left_anti")
 
 
-def page(rows: DataFrame, order: list[Column], limit: int = 20, offset: int = 0) -> DataFrame:
-    """A page of an ordered result; 1 to 100 rows, from an offset of 0 or more."""
+def page(rows: DataFrame, order: list[Column], limit: int = 20, offset: int = 0, **wanted: object) -> DataFrame:
+    """A page of an ordered result; 1 to 100 rows, from an offset of 0 or more.
+
+    ``wanted`` holds optional filters, column=value; those that are None filter nothing.
+    """
     if not 1 <= limit <= 100 or offset < 0:
         raise ValueError("a page has 1 to 100 rows, and an offset of 0 or more")
+    for column, value in wanted.items():
+        rows = rows if value is None else rows.filter(F.col(column) == F.lit(value))
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 

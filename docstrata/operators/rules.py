@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docstrata.config import MODIFYING
 from docstrata.functions.text import precept_numbers
 
 SETBACK, UNCLEAR, NEUTRAL, ADVANCE = "setback", "unclear", "neutral", "advance"
@@ -49,6 +50,26 @@ def classify(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     return facts.withColumn("__v", fired).select("*", "__v.rule", "__v.verdict", "__v.severity", "__v.confidence").drop("__v")
 
 
+def touched(references: DataFrame, watched: DataFrame, suppresses: str) -> DataFrame:
+    """Per document the watched keys that it modifies: sorted lists modified, suppressed, suppressed_specific and repealed.
+
+    ``references`` has (doc_id, key, verb, text), ``watched`` (key, specific). Suppressed are those whose
+    own reference declares it, by the pattern ``suppresses``; repealed those with that verb itself.
+    The lists hold one document's keys.
+    """
+    known = references.filter(F.col("verb").isin(*MODIFYING)).join(watched.groupBy("key").agg(F.max("specific").alias("specific")), "key")
+    declared = F.coalesce(F.col("text").rlike(suppresses), F.lit(False))
+    keys = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("key"))))
+    return known.groupBy("doc_id").agg(
+        F.array_sort(F.collect_set("key")).alias("modified"), keys(declared).alias("suppressed"), keys(declared & F.col("specific")).alias("suppressed_specific"), keys(F.col("verb") == "REPEALS").alias("repealed")
+    )
+
+
+def own_changes(changes: DataFrame, edges: DataFrame, kind: str = "modified") -> DataFrame:
+    """The ``changes`` (doc_id, key, ...) to watched keys that their document touches, as ``touched`` lists them."""
+    return changes.join(edges.select("doc_id", F.explode(kind).alias("key")), ["doc_id", "key"], "left_semi")
+
+
 def lost_terms(before: Column, after: Column) -> Column:
     """Terms of the text before that the text after lacks, sorted."""
     none = F.array().cast("array<string>")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstrata.plans import documents, pages_events, relations
+from docstrata.plans import documents, pages_events, relations, watching
 
-MODULES = (documents, relations, pages_events)
+MODULES = (documents, relations, pages_events, watching)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -108,8 +108,8 @@ def role_playing_join(spark: SparkSession, d: str) -> DataFrame:
 
 def documents_page(spark: SparkSession, d: str) -> DataFrame:
     """The first page of orders as summaries, newest first, of one optional status."""
-    rows = _orders(spark, d).filter("o_orderstatus = 'F'").select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"), "o_orderpriority")
-    return gate.page(rows, [F.desc("day"), F.desc("o_orderkey")], limit=100)
+    rows = _orders(spark, d).select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"), "o_orderpriority", "o_orderstatus")
+    return gate.page(rows, [F.desc("day"), F.desc("o_orderkey")], limit=100, o_orderstatus="F").drop("o_orderstatus")
 
 
 def document_detail(spark: SparkSession, d: str) -> DataFrame:

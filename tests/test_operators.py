@@ -309,3 +309,32 @@ def test_open_days(spark):
     done = spark.sql("SELECT 'a' source, date'2026-01-02' first, date'2026-01-03' last")
     assert sorted(str(r["day"]) for r in queues.open_days(wanted, done).collect()) == ["2026-01-01", "2026-01-04", "2026-01-05"]
     assert queues.open_days(wanted, spark.createDataFrame([], kind)).count() == 5
+
+
+def test_touched_and_own_changes(spark):
+    references = spark.createDataFrame(
+        [(1, "a", "AMENDS", "and SUPPRESSES art. 7"), (1, "a", "AMENDS", None), (1, "b", "REPEALS", ""), (1, "c", "CITES", "suppresses"), (2, "z", "AMENDS", ""), (3, None, "AMENDS", "")],
+        "doc_id long, key string, verb string, text string",
+    )
+    watched = spark.createDataFrame([("a", True), ("a", False), ("b", None), ("c", True)], "key string, specific boolean")
+    edges = rules.touched(references, watched, r"(?i)\bsuppresses\b")
+    assert [tuple(r) for r in edges.collect()] == [(1, ["a", "b"], ["a"], ["a"], ["b"])]
+    changes = spark.createDataFrame([(1, "a", 0), (1, "a", 0), (1, "c", 0), (2, "a", 0), (None, "a", 0)], "doc_id long, key string, modified int")
+    assert [tuple(r) for r in rules.own_changes(changes, edges).collect()] == [(1, "a", 0), (1, "a", 0)]
+    assert rules.touched(references.limit(0), watched, "x").count() == 0
+
+
+def test_every_region_and_silences(spark):
+    drawn = spark.createDataFrame([("N1", "One"), ("N2", "Two")], "region string, name string")
+    covered = spark.createDataFrame([("N1", 2, 1), ("N3", 4, 0)], "region string, known int, watched int")
+    alerts = spark.createDataFrame([(["N4", "N2"], 1, "low", "t1", 1), (["N2", "national", None], 3, "high", "t2", 2), (None, 1, "low", "t3", 3)], "regions array<string>, rank int, state string, title string, at int")
+    found = coverage.every_region(drawn, covered, alerts, F.col("rank"), "state", "title", "at")
+    assert sorted(tuple(r) for r in found.collect()) == [("N1", "One", 2, 1, None, None, 0), ("N2", "Two", 0, 0, "high", "t1", 2), ("N3", "N3", 4, 0, None, None, 0), ("N4", "N4", 0, 0, "low", "t1", 1)]
+    assert tuple(coverage.silences(found).first()) == (1, 1, 4)
+
+
+def test_optional_filters_and_null_groups(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, kind string")
+    ids = lambda **wanted: [r["id"] for r in gate.page(rows, [F.desc("id")], **wanted).collect()]
+    assert ids(kind=None) == [3, 2, 1] and ids(kind="a") == [1] and ids(kind="a", id=2) == []
+    assert sorted((r["kind"] or "", r["rows"], r["unreadable"]) for r in coverage.legible_counts(rows, "kind", F.col("id") > 2).collect()) == [("", 1, 1), ("a", 1, 0), ("b", 1, 0)]

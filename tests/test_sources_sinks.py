@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docstrata.functions.text import sniffed_format
 from docstrata.sinks import feeds, tables
-from docstrata.sources import bodies, configuration, consolidated, summaries
+from docstrata.sources import bodies, configuration, consolidated, registry, summaries
 from docstrata.streaming import limiter, runner, windows
 
 DAY = datetime.date(2026, 1, 5)
@@ -250,3 +250,11 @@ def test_command_line(capsys):
     from docstrata.__main__ import main
 
     assert main(["list"]) == 0 and "prefilter_rows" in capsys.readouterr().out
+
+
+def test_sources_by_name(spark):
+    row = '[{"control": "123456", "title": "t", "url": "u"}, {"control": "1", "title": "t", "url": null}]'
+    raw = spark.createDataFrame([("open_data", row), ("register", "nothing today"), ("other", "x"), (None, "y")], "source string, content string").withColumn("day", F.lit("2026-01-05").cast("date"))
+    assert sorted((r["source"], r["identifier"], r["good"]) for r in registry.items(raw).collect()) == [("open_data", "1", False), ("open_data", "123456", True)]
+    assert sorted(r["source"] or "" for r in registry.unknown(raw).collect()) == ["", "other"]
+    assert registry.items(raw.limit(0)).count() == 0
