@@ -189,8 +189,9 @@ def connected(fps: DataFrame, scheme: Scheme) -> DataFrame:
     while True:
         folders.append(shared_folder(spark, "links"))
         merged = _merged(written(nearest_groups(active, scheme), folders[-1]))
-        settled = settled.union(active.join(merged, "root", "left_anti").select("id", "root"))
-        active = checkpointed(active.join(merged, "root").select("id", *names, F.col("new_root").alias("root")))
+        told = checkpointed(salted_join(active, merged, "root", "id", "left"))  # a group may hold a third of all
+        settled = settled.union(told.filter("new_root is null").select("id", "root"))
+        active = told.filter("new_root is not null").select("id", *names, F.col("new_root").alias("root"))
         if active.isEmpty():
             break
     for folder in folders:
@@ -217,7 +218,8 @@ def near_groups(docs: DataFrame, scheme: Scheme = FOUR_BITS) -> DataFrame:
     grouped = fps.join(roots, "id")
     first = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     several = salted_join(grouped, first.filter("n > 1").drop("n"), "root", "id").select(*names, "component_id", "root")
-    single = grouped.join(first.filter("n > 1"), "root", "left_anti").select(*names, F.col("least").alias("component_id"), "root")
+    alone = first.filter("n = 1").select(F.col("root").alias("id"))  # an id alone is its own root
+    single = fps.join(alone, "id").select(*names, F.col("least").alias("component_id"), F.col("id").alias("root"))
     return rows.join(several.union(single), names).select("doc_id", "key", "row_id", *names, "component_id", "root")
 
 
