@@ -78,13 +78,23 @@ def cited_by_key(docs: DataFrame, entries: DataFrame) -> DataFrame:
     return met.distinct().join(texts, F.col("id").eqNullSafe(F.col("doc_id"))).filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
 
 
-def verb_occurrences(window: Column) -> Column:
-    """Array of (at, verb): the last place of each verb form in a piece of text, by place."""
+#: What stands before a verb that belongs to the name of a document ("Order 5, by which is amended ...").
+NAMING = r"by which\s{1,3}"
+#: Abbreviations whose full stop closes no sentence.
+ABBREVIATIONS = ("art", "arts", "no", "nos", "sec", "secs", "par", "app", "cap", "pp", "mr", "mrs")
+
+
+def verb_occurrences(window: Column, named: bool = False) -> Column:
+    """Array of (at, verb, size, rank): the last place of each verb form in a piece of text, by place.
+
+    A form is a whole word to its end: "amends" is not found in "amendsit". Forms in the name of
+    a document (after ``NAMING``) are found only if ``named``.
+    """
     low = F.lower(window)
 
     def last_at(form: str) -> Column:
-        back = F.locate(form[::-1], F.reverse(low))
-        return F.when(back > 0, F.length(low) - back - len(form) + 1)
+        pattern = f"(?s)^(.*){'' if named else f'(?<!{NAMING})'}{form}(?![\\p{{L}}\\p{{N}}_])"
+        return F.when(F.contains(low, F.lit(form)) & low.rlike(pattern), F.length(F.regexp_extract(low, pattern, 1)))
 
     found = F.array(*(F.struct(last_at(form).alias("at"), F.lit(verb).alias("verb"), F.lit(len(form)).alias("size"), F.lit(-i).alias("rank")) for i, (form, verb) in enumerate(VERB_FORMS)))
     return F.array_sort(F.filter(found, lambda f: f["at"].isNotNull()))
@@ -93,38 +103,54 @@ def verb_occurrences(window: Column) -> Column:
 def governs(rest: Column) -> Column:
     """Whether a verb reaches a citation over the text between them.
 
-    It does not when a sentence ends there, a quotation opens, another numbered item stands
-    in between, or a connector such as "pursuant to" makes the citation a mere reference.
+    It does not when a sentence ends there (an abbreviation's full stop ends none), a quotation
+    opens, another numbered item stands in between, or a connector such as "pursuant to" makes
+    the citation a mere reference.
     """
-    closed = rest.rlike(r"[.;:]\s+\p{Lu}")
+    closed = F.regexp_replace(rest, rf"(?i)\b(?:{'|'.join(ABBREVIATIONS)})\.", "").rlike(r"[.;:]\s+\p{Lu}")
     quoted = (F.length(rest) - F.length(F.regexp_replace(rest, "[«“]", ""))) > (F.length(rest) - F.length(F.regexp_replace(rest, "[»”]", "")))
     other = rest.rlike(r"(?i)\b(?:act|law|decree|order|regulation)\s+\d+/\d{4}")
     connector = rest.rlike(r"(?i)\b(?:pursuant to|in accordance with|referred to in|provided for in|under the terms of)\s*$")
     return ~(closed | quoted | other | connector)
 
 
-def governing_verb(before: Column) -> Column:
-    """The last verb form before a citation that governs it; CITES without one."""
+def own_title(title: Column, citation: Column) -> Column:
+    """Whether the document's own title says what it does, and to the item cited: then a verb in a name counts."""
+    key = citation_key(title)
+    return F.coalesce(key.rlike(NAMING) & (F.trim(citation) != "") & F.contains(key, citation_key(citation)), F.lit(False))
+
+
+def governing_verb(before: Column, title: Column | None = None, citation: Column | None = None) -> Column:
+    """The last verb form before a citation that governs it; CITES without one.
+
+    A verb in the name of another document doesn't count. One in the name of the document
+    itself does, where its ``title`` names the ``citation``.
+    """
     window = F.right(before, F.lit(REACH))
     rest = lambda f: F.substring(window, (f["at"] + f["size"] + 1).cast("int"), F.lit(REACH))
-    holding = F.filter(verb_occurrences(window), lambda f: governs(rest(f)))
+    found = verb_occurrences(window)
+    if title is not None and citation is not None:
+        found = F.when(own_title(title, citation), verb_occurrences(window, named=True)).otherwise(found)
+    holding = F.filter(found, lambda f: governs(rest(f)))
     return F.coalesce(F.when(F.size(holding) > 0, F.element_at(holding, -1)["verb"]), F.lit(CITES))
 
 
 def citation_mentions(docs: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, place, start, citation, key, verb, snippet) of every match of ``pattern``.
 
+    ``docs`` has doc_id and text, and may have a title, which lets the document's own name tell its verb.
     Offsets are code points: the text is split at the citations and lengths are summed, as
     regular expressions count UTF-16 units.
     """
-    parts = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1)).alias("found"), F.split("text", pattern, -1).alias("between"))
-    each = parts.filter(F.size("found") > 0).select("doc_id", "text", "found", "between", F.posexplode("found").alias("place", "citation"))
+    title = F.col("title") if "title" in docs.columns else None
+    parts = docs.select("doc_id", "text", *([title] if title is not None else []), F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1)).alias("found"), F.split("text", pattern, -1).alias("between"))
+    each = parts.filter(F.size("found") > 0).select("*", F.posexplode("found").alias("place", "citation"))
     ahead = F.aggregate(F.slice("between", F.lit(1), F.col("place") + 1), F.lit(0), lambda s, x: s + F.length(x))
     earlier = F.aggregate(F.slice("found", F.lit(1), F.col("place")), F.lit(0), lambda s, x: s + F.length(x))
     placed = each.withColumn("start", ahead + earlier)
     return placed.select(
         "doc_id", "place", "start", "citation", citation_key(F.col("citation")).alias("key"),
-        governing_verb(F.substring("text", F.lit(1), F.col("start"))).alias("verb"),
+        governing_verb(F.substring("text", F.lit(1), F.col("start")), title, F.col("citation")).alias("verb"),
         around(F.col("text"), F.col("start"), F.col("start") + F.length("citation"), MARGIN).alias("snippet"),
     )
 

@@ -99,6 +99,17 @@ def test_governing_verb(spark, before, verb):
     assert spark.createDataFrame([(before,)], "b string").select(references.governing_verb(F.col("b")).alias("v")).first()["v"] == verb
 
 
+def test_verbs_in_names_and_other_words(spark):
+    verb = lambda before, title=None, cited="MIT License": spark.createDataFrame([(before, title, cited)], "b string, t string, c string").select(references.governing_verb(F.col("b"), F.col("t"), F.col("c")).alias("v")).first()["v"]
+    named = "Order 5, by which is amended the "
+    assert verb(named) == CITES and verb(named, "ORDER 5, by which is amended the MIT  Licénse") == "AMENDS"
+    assert verb(named, "Order 5, by which is amended another text") == CITES and verb(named, "On the MIT License") == CITES and verb(named, "by which", "") == CITES
+    assert verb("It repeals parts; the order by which is amended the ") == "REPEALS"
+    assert verb("It amends and amendsit the ") == "AMENDS" and verb("It amendsit the ") == CITES
+    assert verb("It amends art. A of the ") == "AMENDS" and verb("It amends all. A of the ") == CITES
+    assert verb(None) == CITES and verb("") == CITES
+
+
 def test_mentions_and_strongest(spark):
     rows = spark.createDataFrame([(1, "😀 See the MIT License. It amends MIT License and repeals mit  license."), (2, "none"), (3, None)], "doc_id int, text string")
     mentions = references.citation_mentions(rows, r"(?i:mit\s+license)").orderBy("place").collect()
