@@ -98,8 +98,9 @@ def map_silences(spark: SparkSession, d: str) -> DataFrame:
 def sources_by_name(spark: SparkSession, d: str) -> DataFrame:
     """Customers as a gazette, order lines as registers, events as open data, pages of no known source; read and counted."""
     item = _element("item", _element("identificador", F.concat(F.lit("CUS-"), F.col("c_custkey").cast("string"))), _element("titulo", _attribute(F.col("c_name"))), _element("url_xml", F.lit("u")), _element("url_pdf", F.lit("p")))
-    day = F.date_add(F.lit("2026-01-01").cast("date"), F.col("c_nationkey").cast("int"))
-    packed = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_join(F.collect_list(item), "").alias("all"))
+    hundred = F.floor(F.col("c_custkey") / 100).alias("hundred")  # an issue holds a hundred customers
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("hundred") % 3000).cast("int"))
+    packed = table(spark, d, "customer").groupBy(hundred).agg(F.array_join(F.collect_list(item), "").alias("all"))
     section = lambda n: F.concat(F.lit(f"<seccion codigo='{n}'><departamento><nombre>n</nombre>"), "all", F.lit("</departamento></seccion>"))
     summary = F.concat(F.lit("<response><status><code>200</code></status><data><sumario><metadatos><fecha_publicacion>"), F.date_format(day, "yyyyMMdd"), F.lit("</fecha_publicacion></metadatos><diario>"), section(1), section(2), F.lit("</diario></sumario></data></response>"))
     lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_linestatus").alias("s"))
