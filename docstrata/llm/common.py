@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -85,6 +85,39 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables for the time of a block: the function writes a DataFrame under a name; all go at the end, also after an error."""
+    folders: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        folders.append(shared_folder(spark, name))
+        return written(df, folders[-1])
+
+    try:
+        yield keep
+    finally:
+        for folder in folders:
+            remove_folder(spark, folder)
+
+
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """The path of a file of ``data`` in the shared folder, written by Spark's own file system unless it is there.
+
+    ``name`` must depend on the data alone. The file stays as long as the folder does, so that
+    executors that come later can fetch it.
+    """
+    path = f"{_shared_top(spark).rstrip('/')}/{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        out = store.create(at, True)
+        for i in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[i : i + (1 << 20)]))
+        out.close()
+    return path
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -30,7 +30,7 @@ def test_against_sql(name, spark, duck, small):
 
 def test_every_operator_has_one_query():
     numbers = Counter(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
-    assert numbers == Counter(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == Counter(range(1, 14)) and "pipeline" in QUERIES
 
 
 def check_packing(rows, texts, capacity=2048):
