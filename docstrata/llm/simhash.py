@@ -16,16 +16,15 @@ another, so that no link between different groups is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docstrata.llm.common import checkpointed, keep_rows, mixed, remove_folder, salted_join, shared_folder, text_key, written
+from docstrata.llm.common import checkpointed, mixed, salted_join, scratch, text_key
 from docstrata.llm.components import components
 
 SEED = 42
@@ -53,15 +52,12 @@ class Scheme:
 
 #: Links at 4 of 64 bits over shingles of four words; some of three segments differs in one bit at most.
 FOUR_BITS = Scheme(shingle=4, words=1, distance=4, segments=3)
-#: For a Jaccard similarity of 0.8 over shingles of five words: such texts differ in 19 of 128 bits
-#: on average. No few segments are sure to meet at that distance; eight of them do for most pairs.
-SIMILAR = Scheme(shingle=5, words=2, distance=26, segments=8)
 
 
 # -- fingerprints -------------------------------------------------------------------------
 
 
-def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes (rows of 64-bit words) have each bit."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
     whole = len(bits) // _BYTE_ROWS * _BYTE_ROWS
@@ -88,7 +84,7 @@ def fingerprint(text: bytes, size: int = FOUR_BITS.shingle, words: int = 1) -> l
     for at in range(0, len(starts), SHINGLES_AT_ONCE):
         part = zip(starts[at : at + SHINGLES_AT_ONCE], stops[at : at + SHINGLES_AT_ONCE], strict=True)
         first = np.array([digest(joined[a:b], SEED) for a, b in part], dtype="<u8")
-        ones += _bit_counts(np.stack([first, *(mixed(first, i) for i in range(1, words))], axis=1))
+        ones += bit_counts(np.stack([first, *(mixed(first, i) for i in range(1, words))], axis=1))
     return np.packbits(ones * 2 > len(starts), bitorder="little").view("<i8").tolist()
 
 
@@ -126,7 +122,7 @@ def variants(fps: DataFrame, scheme: Scheme) -> DataFrame:
     return fps.select("*", F.explode(F.array(*out)).alias("variant"))
 
 
-def _differing(scheme: Scheme) -> Column:
+def differing(scheme: Scheme) -> Column:
     return sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _names(scheme.words)), F.lit(0))
 
 
@@ -140,32 +136,47 @@ def _place_of(scheme: Scheme) -> Column:
     return place
 
 
-def links_to_first(fps: DataFrame, scheme: Scheme) -> DataFrame:
+def links_to_first(fps: DataFrame, scheme: Scheme, more: Callable[[], Column] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """(u, v): links of the ``fps`` (id, w0, ...) of a variant with the smallest id among them.
 
     A dense group of near copies shares variants, so these links alone, at most one for each
-    fingerprint and variant, connect most of it.
+    fingerprint and variant, connect most of it. ``more`` is a further condition on a and b, over
+    columns that are ``carried``.
     """
-    names = _names(scheme.words)
-    least = Window.partitionBy("variant").orderBy("id")
-    first = F.struct("id", *(F.col(n) for n in names))
-    met = variants(fps.select("id", *names), scheme).withColumn("first", F.first(first).over(least))
-    differing = sum((F.bit_count(F.col(n).bitwiseXOR(F.col("first")[n])) for n in names), F.lit(0))
-    return met.filter((F.col("id") != F.col("first.id")) & (differing <= scheme.distance)).select(F.col("id").alias("u"), F.col("first.id").alias("v")).distinct()
+    names = [*_names(scheme.words), *carried]
+    index = variants(fps.select("id", *names), scheme)
+    first = F.min(F.struct("id", *names)).alias("first")
+    several = index.groupBy("variant").agg(first, F.count("*").alias("n")).filter("n > 1").select("variant", "first.*")
+    a, b = index.alias("a"), several.alias("b")
+    linked = (F.col("a.variant") == F.col("b.variant")) & (F.col("a.id") != F.col("b.id")) & (differing(scheme) <= scheme.distance)
+    return a.join(b, linked & more() if more else linked).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+
+
+def cross_pairs(fps: DataFrame, scheme: Scheme, more: Callable[[], Column] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """a and b: the pairs of ``fps`` (id, root, w0, ...) of different groups that link, each once.
+
+    Where a group has several fingerprints of a variant, these need no comparing with each
+    other: of every pair between groups, one is not in the variant's largest group, so that
+    only the others are compared with all.
+    """
+    index = variants(fps.select("id", "root", *_names(scheme.words), *carried), scheme)
+    dense = index.groupBy("variant", "root").agg(F.count("*").alias("n")).filter("n > 1")
+    largest = dense.groupBy("variant").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    a = index.join(largest, "variant", "left").filter(~F.col("root").eqNullSafe(F.col("largest"))).alias("a")
+    b = index.alias("b")
+    once = F.col("b.root").eqNullSafe(F.col("a.largest")) | (F.col("a.id") < F.col("b.id"))
+    linked = (F.col("a.variant") == F.col("b.variant")) & (F.col("a.root") != F.col("b.root")) & once & (differing(scheme) <= scheme.distance)
+    kept = F.shiftright(F.col("a.variant"), 32) == _place_of(scheme)  # a pair shares several variants; it counts in one
+    return a.join(b, linked & kept & more() if more else linked & kept)
 
 
 def nearest_groups(fps: DataFrame, scheme: Scheme) -> DataFrame:
     """(u, v): for each group ``u`` of ``fps`` (id, root, w0, ...) the smallest other group ``v`` that it links to.
 
-    Pairs within a group are no result of the join, and the least of the others is found in its
-    tasks before anything is shuffled.
+    The least of a task's links is found before anything is shuffled.
     """
-    index = variants(fps.select("id", "root", *_names(scheme.words)), scheme)
-    a, b = index.alias("a"), index.alias("b")
-    linked = (F.col("a.variant") == F.col("b.variant")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & (_differing(scheme) <= scheme.distance)
-    kept = F.shiftright(F.col("a.variant"), 32) == _place_of(scheme)
     both = F.array(F.struct(F.col("a.root").alias("u"), F.col("b.root").alias("v")), F.struct(F.col("b.root").alias("u"), F.col("a.root").alias("v")))
-    return a.join(b, linked & kept).select(F.inline(both)).groupBy("u").agg(F.min("v").alias("v"))
+    return cross_pairs(fps, scheme).select(F.inline(both)).groupBy("u").agg(F.min("v").alias("v"))
 
 
 def _merged(links: DataFrame) -> DataFrame:
@@ -181,22 +192,18 @@ def connected(fps: DataFrame, scheme: Scheme) -> DataFrame:
     then at least halves the groups that still have links to others. A group without one
     takes no further part: its links can't change.
     """
-    names, spark = _names(scheme.words), fps.sparkSession
-    folders = [shared_folder(spark, "links")]
-    begun = _merged(written(links_to_first(fps, scheme), folders[0]))  # a table: its job's shuffle files are dropped at once
-    active = checkpointed(fps.join(begun.withColumnRenamed("root", "id"), "id", "left").select("id", *names, F.coalesce("new_root", "id").alias("root")))
-    settled = active.select("id", "root").limit(0)
-    while True:
-        folders.append(shared_folder(spark, "links"))
-        merged = _merged(written(nearest_groups(active, scheme), folders[-1]))
-        told = checkpointed(salted_join(active, merged, "root", "id", "left"))  # a group may hold a third of all
-        settled = settled.union(told.filter("new_root is null").select("id", "root"))
-        active = told.filter("new_root is not null").select("id", *names, F.col("new_root").alias("root"))
-        if active.isEmpty():
-            break
-    for folder in folders:
-        remove_folder(spark, folder)
-    return settled
+    names = _names(scheme.words)
+    with scratch(fps.sparkSession) as keep:  # tables: their jobs' shuffle files are dropped at once
+        begun = _merged(keep(links_to_first(fps, scheme), "links"))
+        active = checkpointed(fps.join(begun.withColumnRenamed("root", "id"), "id", "left").select("id", *names, F.coalesce("new_root", "id").alias("root")))
+        settled = active.select("id", "root").limit(0)
+        while True:
+            merged = _merged(keep(nearest_groups(active, scheme), "links"))
+            told = checkpointed(salted_join(active, merged, "root", "id", "left"))  # a group may hold a third of all
+            settled = settled.union(told.filter("new_root is null").select("id", "root"))
+            active = told.filter("new_root is not null").select("id", *names, F.col("new_root").alias("root"))
+            if active.isEmpty():
+                return settled
 
 
 # -- the operator -------------------------------------------------------------------------
@@ -223,20 +230,6 @@ def near_groups(docs: DataFrame, scheme: Scheme = FOUR_BITS) -> DataFrame:
     return rows.join(several.union(single), names).select("doc_id", "key", "row_id", *names, "component_id", "root")
 
 
-def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one stays per component.
-
-    The row with the smallest doc_id stays (null ids last, then any one row). Null texts are
-    empty ones, and are near copies of each other; repeated rows are one component, and an
-    empty table gives an empty result.
-    """
-    groups = checkpointed(near_groups(docs, scheme))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("k")
-    kept = groups.groupBy("root").agg(first).select(F.col("k.row_id").alias("row_id"), F.lit(True).alias("kept"))
-    decided = groups.join(kept, "row_id", "left").select("doc_id", "key", F.coalesce("kept", F.lit(False)).alias("kept"))
-    return keep_rows(docs, checkpointed(decided))
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
