@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstrata.llm.common import remove_folder, shared_folder, written
+from docstrata.llm.common import scratch
 from docstrata.llm.exact_dedup import keep_first
 from docstrata.llm.language import keep_identified
 from docstrata.llm.mixing import mix_documents
 from docstrata.llm.packing import pack
-from docstrata.llm.simhash import keep_one
+from docstrata.llm.near_copies import keep_one
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links connect, the one with the smallest id.
 
-    Links stand for a Jaccard similarity of about 0.8 over shingles of five words. Texts without
-    words are near copies of each other; null ids come last; of repeated rows one stays.
+    SimHash proposes pairs; a link is a verified Jaccard similarity of 0.8 or more over shingles
+    of five words. Texts without words are near copies of each other; null ids come last; of
+    repeated rows one stays.
     """
     return keep_one(docs)
 
@@ -68,11 +69,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for ``documents``; the tables between the stages are removed."""
-    docs, folders = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for name, stage in STAGES[:-1]:
-        folders.append(shared_folder(spark, name))
-        docs = written(stage(spark, docs, sf_dir), folders[-1])
-    packed = STAGES[-1][1](spark, docs, sf_dir)  # it has read all it needs
-    for folder in folders:
-        remove_folder(spark, folder)
-    return packed
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scratch(spark) as keep:
+        for name, stage in STAGES[:-1]:
+            docs = keep(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)  # it has read all it needs
