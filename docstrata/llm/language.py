@@ -10,6 +10,9 @@ The posterior of a language is proportional to
 * The prior of a host is smoothed towards its domain's, and that towards the corpus's, by
   grouped aggregations over all rows; a row's own vote is left out of its prior.
 
+So many text models are kept as there is room for. The languages with the fewest texts beyond
+them share one, and a row that it explains best is in the language it declares.
+
 The class ``und`` has uniform trigrams: texts that no fitted language explains go there. A
 language whose declaring rows have no trigrams at all explains no text; rows without trigrams
 can still be in it, by their other evidence.
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.llm.common import checkpointed, flat, screened, slices
@@ -30,6 +33,10 @@ GRAM_BITS = 16
 #: Rows that the text model is fitted on, about, in equal parts for each language but not under
 #: ``LEAST_FIT_ROWS`` for any; the rest of the corpus is scored, not fitted.
 FIT_ROWS, LEAST_FIT_ROWS = 10_000, 200
+#: Languages with a text model of their own, those with the most texts; the others share one. A model is 256 KB.
+MOST_MODELS = 128
+#: The name of the class that those share, while rows are scored.
+SHARED = ""
 #: Log-likelihood of any trigram under a language without fitted text: no text is in it.
 UNFITTED = -1e6
 UNKNOWN = "und"
@@ -82,8 +89,7 @@ def _gram_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
             gram = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), language), pa.int32()), pa.array(gram, pa.int32()), pa.array(counts[gram], pa.int64())], names=["language", "gram", "n"])
 
-    position = F.array_position(F.array(*(F.lit(x) for x in languages)), F.col("declared")).cast("int") - 1
-    labelled = rows.select(position.alias("language"), F.coalesce("text", F.lit("")).alias("text"))
+    labelled = rows.select((F.array_position(F.array(*(F.lit(x) for x in languages)), F.col("class")).cast("int") - 1).alias("language"), "text")
     sums = labelled.mapInArrow(count, "language int, gram int, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((len(languages), 1 << GRAM_BITS))  # at most languages x 2**GRAM_BITS sums, whatever the corpus
     out[sums["language"].to_numpy(), sums["gram"].to_numpy()] = sums["n"].to_numpy()
@@ -110,34 +116,70 @@ def best_weight(scores: np.ndarray, declared: np.ndarray) -> float:
     return max(WEIGHTS, key=likelihood)
 
 
+def classes(by_language: DataFrame, most: int = MOST_MODELS) -> dict[str, tuple[int, int | None]]:
+    """(texts, least place) of each class, by name: the languages with the most texts, and what the others share.
+
+    ``by_language`` (declared, n, least) may be long; at most ``most`` and one rows leave it.
+    """
+    own = by_language.orderBy(F.col("n").desc(), "declared").limit(most).collect()
+    found = {r["declared"]: (r["n"], r["least"]) for r in own}
+    rest = by_language.filter(~F.col("declared").isin(list(found))).agg(F.count("*"), F.sum("n"), F.min("least")).first() if found else (0,)
+    return {**dict(sorted(found.items())), **({SHARED: tuple(rest[1:])} if rest[0] else {})}
+
+
+def class_of(languages: list[str]) -> Column:
+    """The class of a row's declaration; null without one."""
+    named = F.col("declared").isin([x for x in languages if x != SHARED])
+    return F.when(named, F.col("declared")).when(F.col("declared").isNotNull() & F.lit(SHARED in languages), F.lit(SHARED))
+
+
+def drawn_texts(rows: DataFrame, found: dict[str, tuple[int, int | None]], fit_rows: int) -> DataFrame:
+    """(class, declared, text, apart): the texts that a model is fitted on, each once for a class; ``apart`` ones measure.
+
+    Texts are drawn by a hash of their own, so that all copies are drawn or none; then copies
+    collapse, before they are moved. About ``fit_rows`` are left, however many copies there are.
+    """
+    quota = max(LEAST_FIT_ROWS, fit_rows // len(found))
+    last = {name: max(least + 1, round(min(1.0, quota / n) * (1 << 20))) for name, (n, least) in found.items() if n}
+    table = lambda values: F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("class"))
+    some = rows.filter(F.octet_length("text") > 2).select(class_of(list(found)).alias("class"), "declared", "text", _place().alias("place"))
+    if not last:
+        return some.select("class", "declared", "text", F.lit(False).alias("apart")).limit(0)
+    some = some.filter(F.col("place") < table(last))
+    once = some.groupBy("class", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.first("declared").alias("declared"), F.first("place").alias("place"))
+    apart = (F.col("place") % HELD_OUT == 0) & (F.col("place") > table({name: least for name, (n, least) in found.items() if n}))
+    return once.select("class", "declared", "text", apart.alias("apart"))
+
+
+def _place() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 20))
+
+
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, weighted log-likelihood of each trigram under each), ``und`` last.
 
-    Every declared language has a table. Its rows are drawn by a hash of their text, and the
-    text with the least hash is always drawn, so that copies can't leave a language without one.
-    Of the rows drawn, one in ``HELD_OUT`` measures what a trigram is worth instead. A language
-    with a null or blank declaration is none; without declared rows only ``und`` is left.
+    Every declared language has a table, its own or the shared one. Its texts are drawn by a
+    hash, and the text with the least hash is always drawn, so that a class with texts has a
+    table. Of the texts drawn, one in ``HELD_OUT`` measures what a trigram is worth instead. A
+    null or blank declaration is none; without declared rows only ``und`` is left.
     """
     spelled = F.octet_length("text") > 2  # texts that have a trigram
-    place = F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 20))
-    found = rows.filter("declared is not null").groupBy("declared").agg(F.count_if(spelled).alias("n"), F.min(F.when(spelled, place)).alias("least")).collect()
-    languages = sorted(r["declared"] for r in found)
+    counted = rows.filter("declared is not null").groupBy("declared")
+    texts = F.approx_count_distinct(F.when(spelled, F.xxhash64("text")))
+    found = classes(checkpointed(counted.agg(texts.alias("n"), F.min(F.when(spelled, _place())).alias("least"))))
+    languages = list(found)
     table = np.full((len(languages) + 1, 1 << GRAM_BITS), -np.log(1 << GRAM_BITS), dtype=np.float32)
     if languages:
-        quota = max(LEAST_FIT_ROWS, fit_rows // len(languages))
-        last = {r["declared"]: max(r["least"] + 1, round(min(1.0, quota / r["n"]) * (1 << 20))) for r in found if r["n"]}
-        upto = F.create_map(*(F.lit(x) for pair in last.items() for x in pair)) if last else F.lit(None).cast("map<string,int>")
-        least = F.create_map(*(F.lit(x) for r in found if r["n"] for x in (r["declared"], r["least"]))) if last else upto
-        drawn = rows.filter(spelled & (place < F.element_at(upto, F.col("declared"))))
-        apart = (place % HELD_OUT == 0) & (place > F.element_at(least, F.col("declared")))
-        counts = _gram_counts(drawn.filter(~apart), languages)
+        drawn = checkpointed(drawn_texts(rows, found, fit_rows))
+        counts = _gram_counts(drawn.filter("not apart"), languages)
         smooth = counts + 0.5 * counts.mean(axis=1, keepdims=True) / 100 + 1e-3
         table[:-1] = np.log(smooth / smooth.sum(axis=1, keepdims=True))
         table[:-1][counts.sum(axis=1) == 0] = UNFITTED
-        held = score_texts(drawn.filter(apart).select("declared", "text"), table).toArrow()  # a fifth of about fit_rows rows
+        held = score_texts(drawn.filter("apart").select("class", "text"), table).toArrow()  # a fifth of about fit_rows texts
         scores = held["text_score"].combine_chunks().values.to_numpy().reshape(-1, len(table))
         fitted = counts.sum(axis=1) > 0
-        table[:-1][fitted] *= (weight := best_weight(scores, np.searchsorted(languages, held["declared"].to_pylist())))
+        place = {x: i for i, x in enumerate(languages)}
+        table[:-1][fitted] *= (weight := best_weight(scores, np.array([place[x] for x in held["class"].to_pylist()], dtype=np.int64)))
         table[-1] *= weight
     return [*languages, UNKNOWN], table
 
@@ -145,7 +187,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
 def score_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """``rows`` with ``text_score`` (array of log-likelihoods) in place of ``text``."""
     others = [c for c in rows.columns if c != "text"]
-    model = rows.sparkSession.sparkContext.broadcast(table)  # 256 KB for each language
+    model = rows.sparkSession.sparkContext.broadcast(table)  # 256 KB for each of at most MOST_MODELS and two classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,12 +253,14 @@ def posterior(text: np.ndarray, vote: np.ndarray, votes: dict[str, np.ndarray],
 def fuse(scored: DataFrame, languages: list[str], unfitted: list[str]) -> DataFrame:
     """``scored`` with language, probability, text_language and kept, without text_score.
 
-    A row that declares an ``unfitted`` language, of which no row has a trigram, votes for it.
+    A row that declares an ``unfitted`` language, of which no row has a trigram, votes for it. A
+    row of the shared class is in the language it declares, if that is one without a model.
     """
     n = len(languages)
     best = F.array_position("text_score", F.array_max("text_score"))
     if unfitted:
-        best = F.when(F.col("declared").isin(unfitted), F.array_position(F.array(*(F.lit(x) for x in languages)), F.col("declared"))).otherwise(best)
+        mine = class_of(languages)
+        best = F.when(mine.isin(unfitted), F.array_position(F.array(*(F.lit(x) for x in languages)), mine)).otherwise(best)
     voted = checkpointed(scored.withColumn("vote", best.cast("int") - 1))
     total = voted.agg(*(F.sum((F.col("vote") == i).cast("double")).alias(f"n{i}") for i in range(n))).first()
     counts = np.array([total[i] or 0.0 for i in range(n)])
@@ -244,6 +288,9 @@ def fuse(scored: DataFrame, languages: list[str], unfitted: list[str]) -> DataFr
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name in others)
     found = joined.mapInArrow(run, f"{kinds}, language string, probability double, text_language string")
+    own = F.when(F.col("declared").isin(languages), F.lit(UNKNOWN)).otherwise(F.coalesce("declared", F.lit(UNKNOWN)))
+    for c in ("language", "text_language"):
+        found = found.withColumn(c, F.when(F.col(c) == SHARED, own).otherwise(F.col(c)))
     return found.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY))
 
 
@@ -253,8 +300,8 @@ def identify(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 
     Any evidence may be null and then says nothing; null and very short texts have no
     trigrams, so the other evidence decides. Long texts count whole: each trigram as much as
-    in a short one. Every declared language is known, however rare. Ties go to the language
-    that comes first by code point. Rows of any number may share a host: they meet as partial
+    in a short one. Every declared language is known, however rare: those beyond ``MOST_MODELS``
+    share a model. Ties go to the language that comes first by code point. Rows of any number may share a host: they meet as partial
     counts. Repeated rows are scored alike, an empty table gives an empty result, and further
     columns are carried.
     """

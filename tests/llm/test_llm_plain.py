@@ -200,3 +200,77 @@ def test_many_shards_and_more_incoming_than_held(spark):
     incoming = spark.range(2500, 40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
     got = exact_dedup.screen(incoming, exact_dedup.build_filters(held, 7), 7)
     assert got.join(held, "digest", "left_semi").count() == 2500 and got.count() < 2500 + 37_500 * 0.02
+
+
+# -- the language model -------------------------------------------------------------------
+
+ROWS = "doc_id long, text string, declared string, suffix string, host string, domain string"
+
+
+def as_rows(spark, texts):
+    """(text, declared) as evidence without anything else."""
+    return spark.createDataFrame([(i, t, d, None, None, None) for i, (t, d) in enumerate(texts)], ROWS)
+
+
+def plain_grams(text):
+    data = bytearray((text or "").encode())
+    for i, b in enumerate(data):
+        if 65 <= b <= 90:
+            data[i] = b + 32
+    for i in range(1, len(data)):
+        if data[i - 1] == 0xC3 and 0x80 <= data[i] <= 0x9E:
+            data[i] += 32
+    return [(((data[i] | data[i + 1] << 8 | data[i + 2] << 16) * 2654435761) % 2**32) >> 16 for i in range(len(data) - 2)]
+
+
+def test_table_and_scores_equal_a_plain_version(spark, small, duck, monkeypatch):
+    """The table is that of the texts drawn, each once, and a text's score is the sum over its trigrams."""
+    monkeypatch.setattr(language, "WEIGHTS", [0.25])
+    docs = duck.sql("SELECT text, lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL").fetchall()
+    rows = as_rows(spark, docs)
+    languages, table = language.fit(rows, 10**9)
+    found = language.classes(rows.groupBy("declared").agg(F.countDistinct("text").alias("n"), F.lit(0).alias("least")))
+    drawn = {(r["declared"], r["text"]): r["apart"] for r in language.drawn_texts(rows, found, 10**9).collect()}
+    assert set(drawn) == {(d, t) for t, d in docs if len(t.encode()) > 2}  # all, as there is room
+    counts = {d: Counter() for d in languages[:-1]}
+    least = {}
+    place = {r["text"]: r["p"] for r in rows.select("text", language._place().alias("p")).collect()}
+    for d, t in drawn:
+        least[d] = min(place[t], least.get(d, 1 << 30))
+    for d, t in drawn:
+        if not (place[t] % 5 == 0 and place[t] > least[d]):
+            counts[d].update(plain_grams(t))
+    wanted = []
+    for d in languages[:-1]:
+        more = 0.5 * sum(counts[d].values()) / 65536 / 100 + 1e-3
+        whole = sum(counts[d].values()) + 65536 * more
+        wanted.append({g: 0.25 * math.log((counts[d][g] + more) / whole) for g in range(65536)})
+    scored = {r["doc_id"]: r["text_score"] for r in language.score_texts(rows.select("doc_id", "text"), table).collect()}
+    for i in random.Random(1).sample(range(len(docs)), 40):
+        grams = plain_grams(docs[i][0])
+        plain = [sum(w[g] for g in grams) for w in wanted] + [-0.25 * math.log(65536) * len(grams)]
+        assert np.allclose(scored[i], plain, rtol=1e-4, atol=1e-2)
+
+
+def test_copies_of_one_text_are_drawn_once(spark):
+    texts = [("the same notice on every page of the site", "en")] * 30_000 + [(f"some words number {i} of their own", "en") for i in range(300)] + [("der gleiche Hinweis steht hier", "de")] * 5
+    rows = as_rows(spark, texts)
+    found = language.classes(rows.groupBy("declared").agg(F.countDistinct("text").alias("n"), F.min(language._place()).alias("least")))
+    drawn = language.drawn_texts(rows, found, 10_000).collect()
+    assert Counter((r["declared"], r["text"]) for r in drawn) == Counter({(d, t) for t, d in texts})
+
+
+def test_thousands_of_declared_languages(spark):
+    """Typing errors in the column get no models of their own, and rare languages stay known."""
+    english = ["the and of with that which from have been were", "there would about their could other after first"]
+    texts = [(f"{english[i % 2]} {english[(i + 1) % 2][: i % 40]} {i}", "en") for i in range(400)]
+    texts += [(f"{english[0]} {i}", f"en{i:04d}") for i in range(5000)]
+    texts += [(f"ñande mba'e porã oĩ ko árape ha'e {i}", "gn") for i in range(3)]
+    rows = as_rows(spark, texts)
+    languages, table = language.fit(rows)
+    assert len(languages) == language.MOST_MODELS + 2 == len(table) and languages[-2:] == [language.SHARED, "und"] and "en" in languages
+    got = {r["doc_id"]: r for r in language.identify(rows).collect()}
+    assert len(got) == len(texts) and language.SHARED not in {r["language"] for r in got.values()}
+    assert sum(got[i]["kept"] for i in range(400)) > 0.95 * 400  # the wrong declarations stand on the same English
+    assert all(got[5400 + i]["language"] == "gn" and got[5400 + i]["kept"] for i in range(3))
+    assert sum(r["kept"] for r in got.values()) > 0.97 * len(got)
