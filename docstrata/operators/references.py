@@ -5,77 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.config import CITES, MODIFYING, MOST_LITERALS, VERB_FORMS
-from docstrata.functions.text import around, citation_key
+from docstrata.config import CITES, MODIFYING, VERB_FORMS
+from docstrata.functions.text import around, citation_key, long_citation
+from docstrata.operators.citation_index import find_phrases, items_of
 
 #: Characters before a citation in which its verb is looked for, and of a snippet's margins.
 REACH, MARGIN = 200, 80
-#: Words inside a passage that find its candidates when there are too many passages for literals.
-KEY_WORDS = 6
-#: Characters at the start of a passage with fewer words that do so: the most that it has.
-KEY_GRAMS = (16, 8, 4, 2, 1)
-
-
-def _literals(entries: DataFrame) -> list | None:
-    """The passages, if they are few enough to be folded into an expression."""
-    small = entries.limit(MOST_LITERALS + 1).collect()
-    return small if len(small) <= MOST_LITERALS else None
-
-
-def _passages(watched: DataFrame) -> DataFrame:
-    return watched.filter("text is not null and text != ''").select("item_id", "text")
 
 
 def with_touched(docs: DataFrame, watched: DataFrame) -> DataFrame:
-    """``docs`` with ``touched``: the ids, as text, of the watched passages that they hold.
-
-    A small watchlist is folded into the scan, so that no text is shuffled. A large one is
-    joined: see ``cited_by_key``.
-    """
-    entries = _passages(watched)
-    small = _literals(entries)
-    if small is None:
-        hits = cited_by_key(docs, entries).groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("touched"))
-        return docs.join(hits, "doc_id", "left").withColumn("touched", F.coalesce("touched", F.array().cast("array<string>")))
-    found = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(r["text"])), F.lit(str(r["item_id"]))) for r in small))) if small else F.array().cast("array<string>")
-    return docs.withColumn("touched", found)
+    """``docs`` with ``touched``: the ids, as text, of the watched passages (item_id, text) that each row holds verbatim."""
+    return find_phrases(docs, watched).withColumn("touched", items_of(F.col("found"))).drop("found")
 
 
 def cited_passages(docs: DataFrame, watched: DataFrame) -> DataFrame:
-    """(doc_id, item_id): documents that hold a watched passage verbatim."""
-    entries = _passages(watched)
-    small = _literals(entries)
-    if small is None:
-        return cited_by_key(docs, entries)
-    hits = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(r["text"])), F.lit(r["item_id"]).cast("long")) for r in small))) if small else F.array().cast("array<bigint>")
-    return docs.select("doc_id", F.explode(hits).alias("item_id"))
+    """(doc_id, item_id): documents that hold a watched passage verbatim, once for each row and passage."""
+    held = with_touched(docs.select("doc_id", "text"), watched)
+    return held.select("doc_id", F.explode("touched").alias("item_id")).withColumn("item_id", F.col("item_id").cast(watched.schema["item_id"].dataType))
 
 
-def cited_by_key(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The same for any number of passages: a key that every text with the passage must have
-    finds candidates in an equality join; the whole passage is then verified.
+def watched_citations(docs: DataFrame, watched: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start, citation, verb, snippet) of every citation of a watched title.
 
-    The key is a run of the passage's inner words, as its first and last may be attached to
-    other characters in a text. A passage with too few of them has its first characters.
+    ``watched`` (item_id, title) are documents by their titles: what is sought is the long citation
+    that a title begins with, wherever it stands, with any case, accents and blanks, but not as
+    the end of a decree-law's. Titles without a long citation are not sought: the short form
+    belongs to too many. ``docs`` has doc_id and text, and may have a title of its own.
     """
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    gram = F.coalesce(*(F.when(F.length("passage") >= g, F.lit(g)) for g in KEY_GRAMS))
-    keyed = entries.select("item_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage")))
-    keyed = keyed.withColumn("size", F.when(F.size("w") >= KEY_WORDS + 2, F.lit(0)).otherwise(gram))  # 0: by words
-    own = F.when(F.col("size") == 0, F.xxhash64(F.slice("w", 2, KEY_WORDS))).otherwise(F.xxhash64(F.substring(F.col("passage"), F.lit(1), F.col("size"))))
-    wanted = keyed.select("item_id", "passage", "size", own.alias("key"))
-    sizes = [r["size"] for r in keyed.select("size").distinct().collect()]  # at most six
-
-    starts = F.sequence(F.lit(1), F.size("w") - KEY_WORDS + 1)
-    runs = F.when(F.size("w") >= KEY_WORDS, F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(KEY_WORDS)))))
-    grams = lambda g: F.transform(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
-    texts = docs.select("doc_id", "text")
-    split = texts.select("*", words(F.col("text")).alias("w"))
-    met = wanted.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("id"), "item_id", "passage").limit(0)
-    for size in sizes:
-        having = split.select(F.col("doc_id").alias("id"), F.lit(size).alias("size"), F.explode(F.array_distinct(grams(size) if size else runs)).alias("key"))
-        met = met.union(having.join(wanted, ["size", "key"]).select("id", "item_id", "passage"))
-    return met.distinct().join(texts, F.col("id").eqNullSafe(F.col("doc_id"))).filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    title = F.col("title") if "title" in docs.columns else None
+    entries = watched.select("item_id", citation_key(long_citation(F.col("title"))).alias("text"))
+    found = find_phrases(docs, entries, loose=True, apart=True)
+    each = found.select("doc_id", "text", *([title] if title is not None else []), F.explode("found").alias("f")).select("*", "f.*")
+    citation = F.substring("text", F.col("start") + 1, F.col("finish") - F.col("start"))
+    before = F.substring("text", F.greatest(F.lit(1), F.col("start") + 1 - REACH), F.least(F.col("start"), F.lit(REACH)))
+    return each.select(
+        "doc_id", F.col("item").cast(watched.schema["item_id"].dataType).alias("item_id"), "start", citation.alias("citation"),
+        governing_verb(before, title, citation).alias("verb"), around(F.col("text"), F.col("start"), F.col("finish"), MARGIN).alias("snippet"),
+    )
 
 
 #: What stands before a verb that belongs to the name of a document ("Order 5, by which is amended ...").
@@ -104,11 +70,11 @@ def governs(rest: Column) -> Column:
     """Whether a verb reaches a citation over the text between them.
 
     It does not when a sentence ends there (an abbreviation's full stop ends none), a quotation
-    opens, another numbered item stands in between, or a connector such as "pursuant to" makes
+    mark or a colon stands there, another numbered item comes in between, or a connector such as "pursuant to" makes
     the citation a mere reference.
     """
     closed = F.regexp_replace(rest, rf"(?i)\b(?:{'|'.join(ABBREVIATIONS)})\.", "").rlike(r"[.;:]\s+\p{Lu}")
-    quoted = (F.length(rest) - F.length(F.regexp_replace(rest, "[«“]", ""))) > (F.length(rest) - F.length(F.regexp_replace(rest, "[»”]", "")))
+    quoted = rest.rlike('[:"«“]')
     other = rest.rlike(r"(?i)\b(?:act|law|decree|order|regulation)\s+\d+/\d{4}")
     connector = rest.rlike(r"(?i)\b(?:pursuant to|in accordance with|referred to in|provided for in|under the terms of)\s*$")
     return ~(closed | quoted | other | connector)

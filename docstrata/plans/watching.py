@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.operators import coverage, gate, rules
+from docstrata.operators import coverage, gate, references, rules
 from docstrata.plans.common import table
 from docstrata.plans.pages_events import _attribute, _element
 from docstrata.plans.relations import _RANK_SQL, _orders, _parties, _rank
@@ -25,6 +25,20 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return rules.touched(references, watched, _SUPPRESSES)
 
 
+def citation_index(spark: SparkSession, d: str) -> DataFrame:
+    """A line is a document that names its part by a long citation, in its own spelling; the titles of small parts are watched.
+
+    Returned lines repeal or amend; the others speak of a decree-law of the same number, which is another document.
+    """
+    parts = table(spark, d, "part").select("p_partkey", "p_size", F.concat(F.lit("Ley "), F.col("p_partkey").cast("string"), F.lit("/"), (F.lit(1950) + F.col("p_size")).cast("string")).alias("number"))
+    watched = parts.filter("p_size <= 10").select(F.col("p_partkey").alias("item_id"), F.concat("number", F.lit(", de "), F.col("p_size").cast("string"), F.lit(" de mayo, de partes")).alias("title"))
+    lines = table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    start = F.when(F.col("l_returnflag") == "A", "Art. 1. It repeals art. 2 of the ").when(F.col("l_returnflag") == "R", "It amends (").otherwise("It amends the Decreto ")
+    cited = F.concat(F.when(F.col("l_linestatus") == "F", F.upper("number")).otherwise(F.col("number")), F.lit(", de\n "), F.col("p_size").cast("string"), F.lit("  de Mayo"))
+    docs = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("doc_id"), F.concat(start, cited, F.lit(") and ends.")).alias("text"))
+    return references.watched_citations(docs, watched)
+
+
 def _listed(name: str) -> Column:
     return F.array_join(F.transform(name, lambda k: k.cast("string")), ",").alias(name)
 
@@ -122,7 +136,7 @@ def sources_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (touched_items, watched_changes, gate_admissions, obsolete_verdicts, documents_filtered, coverage_legibility, map_every_region, map_silences, sources_by_name)
+    for f in (citation_index, touched_items, watched_changes, gate_admissions, obsolete_verdicts, documents_filtered, coverage_legibility, map_every_region, map_silences, sources_by_name)
 }
 
 _SQL_EDGES = """w AS (SELECT p_partkey AS key, p_size <= 3 AS specific FROM part WHERE p_size <= 10),
@@ -137,7 +151,14 @@ m AS (SELECT region, coalesce(d.n_name, region) AS name, coalesce(known, 0) AS k
 
 
 
+_SQL_CITED = """SELECT l_orderkey * 8 + l_linenumber AS doc_id, p_partkey AS item_id, CAST(length(before) AS INTEGER) AS start, cited AS citation,
+  CASE l_returnflag WHEN 'A' THEN 'REPEALS' ELSE 'AMENDS' END AS verb, right(before, 80) || cited || ') and ends.' AS snippet
+FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 'Art. 1. It repeals art. 2 of the ' ELSE 'It amends (' END AS before,
+             CASE l_linestatus WHEN 'F' THEN 'LEY ' ELSE 'Ley ' END || p_partkey || '/' || (1950 + p_size) || ', de' || chr(10) || ' ' || p_size || '  de Mayo' AS cited
+      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 10 AND l_returnflag IN ('A', 'R'))"""
+
 SQL = {
+    "citation_index": _SQL_CITED,
     "touched_items": f"""WITH {_SQL_EDGES}, l AS (SELECT doc_id, {", ".join(f"list_sort(list(DISTINCT key) FILTER ({c})) AS {n}" for c, n in (("true", "modified"), ("suppresses", "suppressed"), ("suppresses AND specific", "suppressed_specific"), ("repeals", "repealed")))} FROM e GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"coalesce(array_to_string({n}, ','), '') AS {n}" for n in ("modified", "suppressed", "suppressed_specific", "repealed"))} FROM l""",
     "watched_changes": f"""WITH {_SQL_EDGES}, x AS (SELECT l_orderkey AS doc_id, l_quantity, list_distinct(string_split(p_name, ' ')) AS words, string_split(p_name, ' ')[1] AS one FROM lineitem JOIN part ON l_partkey = p_partkey

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docstrata.config import CITES, LICENSE, ClausePattern, Lexicon, Versions
 from docstrata.functions.text import normalise
-from docstrata.operators import anchors, clauses, coverage, extraction, gate, measure, prefilter, queues, references, rules, versions
+from docstrata.operators import anchors, citation_index, clauses, coverage, extraction, gate, measure, prefilter, queues, references, rules, versions
 
 LEX = Lexicon(("gato", "perro"), ("the",), "1")
 
@@ -119,14 +119,6 @@ def test_mentions_and_strongest(spark):
     assert [(b["doc_id"], b["verb"], b["mentions"]) for b in best] == [(1, "AMENDS", 3)]
 
 
-def test_passages_by_literals_and_by_key_agree(spark):
-    texts = spark.createDataFrame([(1, "zero one two three four five six seven"), (2, "one  two three four five six"), (3, "short bit"), (4, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(10, "one two three four five six seven"), (11, "two three four five six"), (12, "bit"), (13, ""), (14, None)], "item_id long, text string")
-    literal = {tuple(r) for r in references.cited_passages(texts, items).collect()}
-    joined = {tuple(r) for r in references.cited_by_key(texts, items.filter("text is not null and text != ''")).collect()}
-    assert literal == joined == {(1, 10), (1, 11), (2, 11), (3, 12)}
-
-
 def test_the_number_of_passages_changes_no_citation(spark, monkeypatch):
     long, six = "The quick brown fox jumps over the lazy dog today", "one two three four five six"
     texts = [f'"{long}"', f"({long})", f"un{long}!", f"{long}, and", f"x {six}, y", f"x{six}y", f'"{six}"', "ab", "xaby", "a😀b", "two words", "(two words)", long.replace(" ", "  "), "", None, "é" * 40, "line\nbreak here"]
@@ -135,8 +127,8 @@ def test_the_number_of_passages_changes_no_citation(spark, monkeypatch):
     items = spark.createDataFrame([(100 + i, p) for i, p in enumerate(passages)], "item_id long, text string")
     plain = {(i, 100 + j) for i, t in enumerate(texts) for j, p in enumerate(passages) if t and p and p in t}
     touched = {i: sorted(str(k) for d, k in plain if d == i) for i in range(len(texts))}
-    for most in (references.MOST_LITERALS, 3):
-        monkeypatch.setattr(references, "MOST_LITERALS", most)
+    for most in (citation_index.MOST_PHRASES, 3):
+        monkeypatch.setattr(citation_index, "MOST_PHRASES", most)
         got = [tuple(r) for r in references.cited_passages(docs, items).collect()]
         assert len(got) == len(set(got)) and set(got) == plain
         assert {r["doc_id"]: sorted(r["touched"]) for r in references.with_touched(docs, items).collect()} == touched
