@@ -25,7 +25,7 @@ def may_enter(rule: Column, watched: Column, organs: Column) -> Column:
 
 def enqueue(detections: DataFrame, queue: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new queue rows, counters): detections without a queue row enter; those with one are counted."""
-    both = detections.join(queue.select("detection_id", F.lit(True).alias("queued")), "detection_id", "left").withColumn("queued", F.coalesce("queued", F.lit(False)))
+    both = detections.join(queue.select("detection_id", F.lit(True).alias("queued")).distinct(), "detection_id", "left").withColumn("queued", F.coalesce("queued", F.lit(False)))
     new = both.filter("not queued and admitted").select("detection_id", F.lit(WAITING).alias("state"))
     counters = both.agg(
         F.count("*").alias("seen"), F.count_if("queued").alias("already_queued"), F.count_if(F.expr("not queued and admitted")).alias("entered"), F.count_if(F.expr("not queued and not admitted")).alias("kept_out")
@@ -36,16 +36,19 @@ def enqueue(detections: DataFrame, queue: DataFrame) -> tuple[DataFrame, DataFra
 def decide(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     """``queue`` (id, state, note, sign) after ``decisions`` (id, to, note, sign).
 
-    Only waiting items change, so a decision can't be reopened or repeated; notes are cut to
-    ``MOST_NOTE``. The sign of a reviewer is set once: a later null or other sign leaves it.
+    Only waiting items change, so a decision can't be reopened or repeated. A decision to another
+    state, or with a note over ``MOST_NOTE`` characters, is refused; of several for one item the
+    first in the order of their values counts. The sign of a reviewer is set once: a later null
+    or other sign leaves it.
     """
-    d = decisions.select("id", F.col("to").alias("d_to"), F.col("note").alias("d_note"), F.col("sign").alias("d_sign"))
+    fit = F.col("to").isin(APPROVED, REJECTED) & (F.length(F.coalesce("note", F.lit(""))) <= MOST_NOTE)
+    d = decisions.filter(fit).groupBy("id").agg(F.min(F.struct("to", "note", "sign")).alias("d")).select("id", F.col("d.to").alias("d_to"), F.col("d.note").alias("d_note"), F.col("d.sign").alias("d_sign"))
     joined = queue.join(d, "id", "left")
-    acts = (F.col("state") == WAITING) & F.col("d_to").isin(APPROVED, REJECTED)
+    acts = (F.col("state") == WAITING) & F.col("d_to").isNotNull()
     return joined.select(
         "id",
         F.when(acts, F.col("d_to")).otherwise(F.col("state")).alias("state"),
-        F.when(acts, F.substring("d_note", 1, MOST_NOTE)).otherwise(F.col("note")).alias("note"),
+        F.when(acts, F.col("d_note")).otherwise(F.col("note")).alias("note"),
         F.when(acts & F.col("sign").isNull(), F.col("d_sign")).otherwise(F.col("sign")).alias("sign"),
     )
 

@@ -2,26 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docstrata.lineage import cut
+
 
 def nearest_rank(rows: DataFrame, value: str, q: float, *by: str) -> DataFrame:
     """The value at place min(int(q n), n - 1) of each group's sorted values.
 
-    This is not percentile_disc. Equal values are counted together before they are ordered,
-    and running counts find the place, so no group is collected. Without groups only the
-    values near the place are ordered: approximate quantiles with a proven error bound them.
+    This is not percentile_disc. Only the values near the place are ordered, with or without
+    groups, however large a group is.
     """
     if not by:
         return _nearest_rank_of_all(rows.filter(F.col(value).isNotNull()), value, q)
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    up_to = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
-    placed = counts.withColumn("__upto", F.sum("__c").over(up_to)).join(total, list(by))
-    place = F.least(F.floor(F.lit(q) * F.col("__n")), F.col("__n") - 1)
-    return placed.filter(F.col("__upto") > place).groupBy(*by).agg(F.min(value).alias("at_rank"))
+    return at_place(rows, value, lambda n: F.least(F.floor(F.lit(q) * n), n - 1), *by).withColumnRenamed("at_place", "at_rank")
+
+
+def grouped_median(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """The median of each group: its middle value, or the mean of the two. Groups of nothing but nulls are left out."""
+    low = at_place(rows, value, lambda n: F.floor((n - 1) / 2), *by).withColumnRenamed("at_place", "__low")
+    high = at_place(rows, value, lambda n: F.floor(n / 2), *by).withColumnRenamed("at_place", "__high")
+    same = F.lit(True)  # a null is a group
+    for c in by:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"h.{c}"))
+    return low.alias("l").join(high.alias("h"), same).select(*(F.col(f"l.{c}").alias(c) for c in by), ((F.col("__low") + F.col("__high")) / 2).alias("median"))
+
+
+#: So many different values of one group may be ordered in one task.
+MOST_ORDERED = 100_000
+
+
+def at_place(rows: DataFrame, value: str, place: Callable[[Column], Column], *by: str, most: int = MOST_ORDERED) -> DataFrame:
+    """(by..., at_place): of each group's sorted values the one at a place, counted from 0, of its number of values.
+
+    Selection by ranges: every round, quantiles of each group's range with a known error bound
+    the place, the values below are counted, and only those between go on, until no group has
+    more than ``most`` different ones. Then these few are ordered. Counts are exact throughout,
+    so a quantile that misses costs a round, not the result. Nulls have no place; NaN is the largest.
+    """
+    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]
+    names = [f"__k{i}" for i in range(len(by))]
+    some = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    ends = some.groupBy(*names).agg(F.count("*").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    ends = ends.select(*names, place(F.col("__n")).cast("long").alias("__at"), "__low", "__high", F.lit(0).cast("long").alias("__below"))
+
+    def within(bounds: DataFrame) -> DataFrame:
+        b = bounds.select(*(F.col(c).alias(f"__b{c}") for c in names), F.col("__low").alias("__blow"), F.col("__high").alias("__bhigh"), F.col("__at").alias("__bat"), F.col("__below").alias("__bbelow"))
+        near = F.lit(True)
+        for c in names:
+            near = near & F.col(c).eqNullSafe(F.col(f"__b{c}"))
+        return some.join(b, near).filter((F.col("__v") >= F.col("__blow")) & (F.col("__v") <= F.col("__bhigh")))
+
+    before = None
+    while True:
+        inside = within(ends)
+        many = inside.groupBy(*names).agg(F.approx_count_distinct("__v").alias("m")).agg(F.max("m")).first()[0] or 0
+        if many <= most or before is not None and many >= before:
+            break
+        before = many
+        left = (F.col("__bat") - F.col("__bbelow")).cast("double")
+        sized = inside.groupBy(*names, "__bat", "__bbelow").agg(F.count("*").alias("__m"), F.percentile_approx("__v", F.array(*(F.lit(i / PIECES) for i in range(PIECES + 1))), F.lit(PIECES * 10)).alias("__cuts"))
+        share = left / F.col("__m")
+        i = lambda x: F.element_at("__cuts", (x + 1).cast("int"))
+        pieces = sized.select(*names, "__bat", "__bbelow", i(F.greatest(F.lit(0), F.floor(share * PIECES) - 1)).alias("__c0"), i(F.least(F.lit(PIECES), F.ceil(share * PIECES) + 1)).alias("__c1"))
+        new = pieces.select(*names, F.col("__bat").alias("__at"), F.col("__c0").alias("__low"), F.col("__c1").alias("__high"), F.col("__bbelow").alias("__old"))
+        old = inside.alias("o").join(new.alias("n"), _named_same(names))
+        counted = old.groupBy(*(F.col(f"n.{c}").alias(c) for c in names), "n.__at", "n.__low", "n.__high", "n.__old", "o.__blow", "o.__bhigh").agg(
+            F.count_if(F.col("o.__v") < F.col("n.__low")).alias("__less"), F.count_if(F.col("o.__v") <= F.col("n.__high")).alias("__upto")
+        )
+        sure = (F.col("__old") + F.col("__less") <= F.col("__at")) & (F.col("__at") < F.col("__old") + F.col("__upto"))
+        ends = cut(counted.select(
+            *names, "__at", F.when(sure, F.col("__low")).otherwise(F.col("__blow")).alias("__low"), F.when(sure, F.col("__high")).otherwise(F.col("__bhigh")).alias("__high"),
+            (F.col("__old") + F.when(sure, F.col("__less")).otherwise(0)).alias("__below"),
+        ))  # a row for each group
+    few = within(ends).groupBy(*names, "__v", "__bat", "__bbelow").agg(F.count("*").alias("__c"))
+    up_to = Window.partitionBy(*names).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = few.withColumn("__upto", F.sum("__c").over(up_to) + F.col("__bbelow")).filter(F.col("__upto") > F.col("__bat"))
+    return placed.groupBy(*names).agg(F.min("__v").alias("at_place")).select(*(F.col(n).alias(c) for n, c in zip(names, by, strict=True)), "at_place")
+
+
+#: Pieces that a round cuts a group's range into; it leaves a few of them, and the last round is one that leaves as many values.
+PIECES = 256
+
+
+def _named_same(names: list[str]) -> Column:
+    out = F.lit(True)
+    for c in names:
+        out = out & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
+    return out
 
 
 #: Error of the quantiles that bound the values to be ordered.

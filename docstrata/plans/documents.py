@@ -62,7 +62,8 @@ def context_noise_split(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of documents by what kind of terms they have, with the context terms met."""
     kind = F.when(F.size("found") == 0, "none").when(only_context(F.col("found"), _CONTEXT), "context").otherwise("direct")
     rows = _with_terms(spark, d).withColumn("kind", kind).withColumn("chars", F.length("text").cast("long"))
-    sizes = rows.groupBy("kind").agg(F.count("*").alias("documents"), F.round(F.avg("chars"), 3).alias("mean_chars"), F.median("chars").alias("median_chars"), F.max("chars").alias("max_chars"), F.sum(F.size(F.array_intersect("found", F.array(*map(F.lit, _CONTEXT)))).cast("long")).alias("context_terms"))
+    sizes = rows.groupBy("kind").agg(F.count("*").alias("documents"), F.round(F.avg("chars"), 3).alias("mean_chars"), F.max("chars").alias("max_chars"), F.sum(F.size(F.array_intersect("found", F.array(*map(F.lit, _CONTEXT)))).cast("long")).alias("context_terms"))
+    sizes = sizes.join(measure.grouped_median(rows, "chars", "kind").withColumnRenamed("median", "median_chars"), "kind")
     return sizes.join(measure.nearest_rank(rows, "chars", 0.95, "kind").withColumnRenamed("at_rank", "p95_chars"), "kind")
 
 

@@ -10,7 +10,7 @@ from docstrata.config import LEXICON, Lexicon, Watched
 from docstrata.functions.text import collapse, normalise, terms_present
 from docstrata.operators import measure, rules, versions
 from docstrata.plans.common import spread, sql_list, sql_normalised, sql_terms, table
-from docstrata.sources import bodies, consolidated, summaries
+from docstrata.sources import bodies, consolidated, layouts, summaries
 from docstrata.streaming import limiter, windows
 
 # -- sources ------------------------------------------------------------------------------
@@ -25,12 +25,12 @@ def _element(tag: str, *inner: Column) -> Column:
 
 
 def summary_nested_items(spark: SparkSession, d: str) -> DataFrame:
-    """Customers packed into summaries of two depths, one per nation, and read back once each."""
+    """Customers packed into summaries of two depths, by nation and hundred, and read back once each."""
     customers = table(spark, d, "customer")
     item = lambda: _element("item", _element("identificador", F.concat(F.lit("CUS-"), F.col("c_custkey").cast("string"))), _element("titulo", _attribute(F.col("c_name"))), _element("url_xml", F.lit("u")), _element("url_pdf", F.lit("p")))
     direct = F.array_join(F.array_sort(F.collect_list(F.when(F.col("c_mktsegment") != "BUILDING", item()))), "")
     under = F.array_join(F.array_sort(F.collect_list(F.when(F.col("c_mktsegment") == "BUILDING", item()))), "")
-    packed = customers.groupBy("c_nationkey").agg(direct.alias("direct"), under.alias("under"))
+    packed = customers.groupBy("c_nationkey", F.floor(F.col("c_custkey") / 100)).agg(direct.alias("direct"), under.alias("under"))
     body = F.concat(
         F.lit("<response><status><code>200</code></status><data><sumario><metadatos><fecha_publicacion>20260105</fecha_publicacion></metadatos><diario><seccion codigo='1'><departamento><nombre>n</nombre>"),
         "direct", F.lit("<epigrafe nombre='BUILDING'>"), "under", F.lit("</epigrafe></departamento></seccion><seccion codigo='2'><departamento>"), "direct", F.lit("</departamento></seccion></diario></sumario></data></response>"),
@@ -40,10 +40,13 @@ def summary_nested_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_positional(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as flat registers, whose place is data."""
+    """Conversations as flat registers, whose place in their answer is data; an answer is never a full one."""
     turns = table(spark, d, "conversations")
     register = _element("registro", _element("docn", F.col("turn").cast("string")), _element("fecha", F.lit("20260105")), _element("titulo", _attribute(F.col("text"))), _element("emisor", F.col("role")))
-    packed = turns.withColumn("r", register).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "r"))), lambda x: x["r"]), "").alias("all"))
+    whole = turns.withColumn("r", register).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "r"))), lambda x: x["r"]).alias("rs"))
+    most = summaries.FULL_ANSWER - 1
+    answers = whole.withColumn("n", F.explode(F.sequence(F.lit(0), F.floor((F.size("rs") - 1) / most).cast("int"))))
+    packed = answers.select(F.array_join(F.slice("rs", F.col("n") * most + 1, F.lit(most)), "").alias("all"))
     raw = packed.select(F.lit("2026-01-05").cast("date").alias("day"), F.concat(F.lit("<?xml version='1.0'?><documento>"), "all", F.lit("</documento>")).alias("content"))
     read = summaries.registers(raw)
     return read.groupBy(F.col("place").cast("long").alias("place"), "department").agg(F.count("*").alias("registers"), F.count_if("good").alias("good"), F.sum(F.length("title").cast("long")).alias("title_chars"))
@@ -63,10 +66,40 @@ def xml_body_parse(spark: SparkSession, d: str) -> DataFrame:
     return read.select("key", F.coalesce("identifier", F.lit("")).alias("identifier"), F.coalesce("text", F.lit("")).alias("text"), F.size("references").cast("long").alias("n_references"), first["identifier"].alias("cited"), first["verb"].alias("verb"))
 
 
+def layout_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written as bodies of every layout, with noise beside the text, and read by one walk; some are too deep."""
+    orders = table(spark, d, "orders")
+    text = F.concat(F.lit("<p> "), "o_orderpriority", F.lit(" </p><p>Total <b>"), "o_orderstatus", F.lit("</b></p>"))
+    act = lambda inner: F.concat(F.lit(f"<akomaNtoso xmlns='{layouts.AKN}'><act><meta>noise</meta><body>"), inner, F.lit("</body></act></akomaNtoso>"))
+    forms = [
+        _element("documento", F.lit("<analisis><texto>noise</texto></analisis><texto>"), text, F.lit("</texto><texto>later</texto>")),
+        act(text),
+        _element("documento", _element("registro", F.lit("<titulo>noise</titulo>"), _element("texto", text))),
+        _element("disposicion", _element("contenido", F.lit("<titulo>noise</titulo>"), _element("texto", text))),
+        _element("DOCUMENTO", F.lit("<BOPVOrden>1</BOPVOrden><BOPVTitulo>noise</BOPVTitulo>"), _element("BOPVDetalle", text)),
+        _element("otro", text),
+        act(F.concat(F.lit('<content period="'), _attribute(F.replace(text, F.lit("Total "), F.lit("Total&nbsp;"))), F.lit('"/>'))),
+    ]
+    kind, content = F.col("o_orderkey") % len(forms), F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        content = F.when(kind == i, form).otherwise(content)
+    content = F.when(F.col("o_orderkey") % 50 == 0, F.concat(F.repeat(F.lit("<x>"), F.lit(101)), content, F.repeat(F.lit("</x>"), F.lit(101)))).otherwise(content)
+    return layouts.layout_texts(orders.select(F.col("o_orderkey").alias("key"), content.alias("content")))
+
+
+def issues_by_number(spark: SparkSession, d: str) -> DataFrame:
+    """Days with orders have one issue or two, numbered within the year; every day with shipments is asked for by bisection."""
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"), (F.col("o_orderkey") % 2).alias("half")).distinct()
+    number = F.row_number().over(Window.partitionBy(F.year("day")).orderBy("day", "half"))  # of the days of a year
+    asked = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("day"))
+    found = summaries.issues_by_number(days.select(number.alias("number"), "day"), asked)
+    return found.select(F.col("day").cast("string").alias("day"), F.col("number").cast("long").alias("number"))
+
+
 def consolidated_versions(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as consolidated texts: each turn a version of its block; changes by modifier."""
     turns = table(spark, d, "conversations")
-    version = F.concat(F.lit("<version id_norma='"), "role", F.lit("' fecha_vigencia='2026010"), (F.col("turn") + 1).cast("string"), F.lit("'><p class='parrafo'>"), _attribute(F.col("text")), F.lit("</p><p class='nota_pie'>note</p></version>"))
+    version = F.concat(F.lit("<version id_norma='"), "role", F.lit("' fecha_vigencia='"), F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), F.col("turn").cast("int")), "yyyyMMdd"), F.lit("'><p class='parrafo'>"), _attribute(F.col("text")), F.lit("</p><p class='nota_pie'>note</p></version>"))
     packed = turns.withColumn("v", version).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "v"))), lambda x: x["v"]), "").alias("all"))
     content = F.concat(F.lit("<response><data><texto><bloque id='a1' tipo='precepto' titulo='A'>"), "all", F.lit("</bloque><bloque id='n' tipo='nota_inicial'><version id_norma='x'><p>n</p></version></bloque></texto></data></response>"))
     read = consolidated.block_versions(packed.select(F.col("conv_id").alias("key"), content.alias("content")))
@@ -169,8 +202,9 @@ def lost_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    stats = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 4).alias("median"), F.max("value").alias("most"))
-    return stats.join(measure.nearest_rank(events, "value", 0.95, "event_type").withColumnRenamed("at_rank", "p95"), "event_type")
+    stats = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("most"))
+    middle = measure.grouped_median(events, "value", "event_type").select("event_type", F.round("median", 4).alias("median"))
+    return stats.join(middle, "event_type").join(measure.nearest_rank(events, "value", 0.95, "event_type").withColumnRenamed("at_rank", "p95"), "event_type")
 
 
 def carry_forward(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +255,7 @@ def display_formats(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        summary_nested_items, summary_positional, xml_body_parse, consolidated_versions, body_dispatch, html_container_text, html_article_crop, html_links_forward_fill, url_parts, quarantine_split,
+        summary_nested_items, summary_positional, layout_bodies, issues_by_number, xml_body_parse, consolidated_versions, body_dispatch, html_container_text, html_article_crop, html_links_forward_fill, url_parts, quarantine_split,
         json_props, positional_pairs, flat_headers, config_load_validate, version_chain, lost_terms, latency_percentiles, carry_forward, sliding_window_count, rate_limiter, token_bucket, ttl_sessions,
         session_gaps, tumbling_windows, sliding_windows, display_formats,
     )
@@ -229,12 +263,16 @@ QUERIES = {
 
 SQL = {
     "summary_nested_items": """SELECT 'CUS-' || CAST(c_custkey AS VARCHAR) AS identifier, c_name AS title, '1' AS section, CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING' ELSE '' END AS heading FROM customer""",
-    "summary_positional": """WITH p AS (SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role AS department, CAST(length(trim(text, chr(10) || ' ')) AS BIGINT) AS n FROM conversations)
+    "summary_positional": """WITH p AS (SELECT (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 199 + 1 AS place, role AS department, CAST(length(trim(text, chr(10) || ' ')) AS BIGINT) AS n FROM conversations)
 SELECT place, department, count(*) AS registers, count(*) AS good, CAST(sum(n) AS BIGINT) AS title_chars FROM p GROUP BY place, department""",
+    "layout_bodies": """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 50 <> 0 THEN ['text', 'act', 'register', 'content', 'siblings', 'everything', 'attribute'][o_orderkey % 7 + 1] END AS layout,
+  CASE WHEN o_orderkey % 50 <> 0 THEN o_orderpriority || ' Total ' || o_orderstatus END AS text, CASE WHEN o_orderkey % 50 = 0 THEN 'depth' END AS refused FROM orders""",
+    "issues_by_number": """WITH i AS (SELECT day, row_number() OVER (PARTITION BY year(day) ORDER BY day, half) AS number FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, o_orderkey % 2 AS half FROM orders))
+SELECT CAST(a.day AS VARCHAR) AS day, number FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem) a LEFT JOIN i USING (day)""",
     "xml_body_parse": """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 100 = 0 THEN '' ELSE 'ORD-' || CAST(o_orderkey AS VARCHAR) END AS identifier, CASE WHEN o_orderkey % 100 = 0 THEN '' ELSE o_orderpriority || ' Total  ' || o_orderstatus END AS text,
   CAST(CASE WHEN o_orderkey % 100 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_references, CASE WHEN o_orderkey % 100 <> 0 THEN 'CUS-' || CAST(o_custkey AS VARCHAR) END AS cited, CASE WHEN o_orderkey % 100 <> 0 THEN 'MODIFICA A' END AS verb FROM orders""",
     "consolidated_versions": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations)
-SELECT conv_id AS key, role AS modifier, max(ordinal) AS ordinal, '2026-01-0' || CAST(max(turn) + 1 AS VARCHAR) AS in_force, CASE WHEN max(ordinal) = 1 THEN 'insertion' ELSE 'change' END AS kind FROM p GROUP BY conv_id, role""",
+SELECT conv_id AS key, role AS modifier, max(ordinal) AS ordinal, CAST(DATE '2026-01-01' + CAST(max(turn) AS INTEGER) AS VARCHAR) AS in_force, CASE WHEN max(ordinal) = 1 THEN 'insertion' ELSE 'change' END AS kind FROM p GROUP BY conv_id, role""",
     "body_dispatch": r"""WITH p AS (SELECT regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS i FROM pages),
 t AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(i, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM p)
 SELECT 'html' AS format, CASE WHEN length(x) >= 200 THEN 'text' ELSE 'unreadable' END AS derivation, count(*) AS bodies FROM t GROUP BY ALL

@@ -6,14 +6,15 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from docstrata.functions.text import collapse, sniffed_format, strip_tags, unescape, verb_key
+from docstrata.sources.layouts import MOST_BYTES, MOST_DEPTH, MOST_ELEMENTS, Refused, walked
 from docstrata.sources.summaries import safe_xml
 
-#: Bounds of what is parsed at all.
-MOST_BYTES, MOST_DEPTH, MOST_ELEMENTS = 20_000_000, 100, 500_000
 #: Text shorter than this is an error page's, not a document's.
 LEAST_TEXT = 200
 #: Where portals keep a document: tag, attribute, value. The first that is there counts.
@@ -31,16 +32,15 @@ def archive(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
-class _Container(HTMLParser):
-    """Text of the first declared container; what is not shown is skipped."""
+class _Container:
+    """Text of the first container of a kind; what is not shown is skipped."""
 
     def __init__(self, tag: str, attribute: str | None, value: str | None):
-        super().__init__(convert_charrefs=True)
         self.want, self.depth, self.done, self.skip, self.parts = (tag, attribute, value), 0, False, 0, []
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def start(self, tag: str, attributes: dict[str, str | None]) -> None:
         inside = self.depth > 0
-        if self.done or not inside and not self._opens(tag, dict(attrs)):
+        if self.done or not inside and not self._opens(tag, attributes):
             return
         self.depth += tag == self.want[0]  # other tags may stay unclosed
         self.skip += inside and tag in _SKIPPED
@@ -49,26 +49,46 @@ class _Container(HTMLParser):
         name, attribute, value = self.want
         return tag == name and (attribute is None or value in (attributes.get(attribute) or "").split())
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if self.depth and not self.done:
             self.skip -= tag in _SKIPPED and self.skip > 0
             self.depth -= tag == self.want[0]
             self.done = self.depth == 0
 
-    def handle_data(self, data: str) -> None:
+    def data(self, data: str) -> None:
         if self.depth and not self.skip and not self.done:
             self.parts.append(data)
 
 
+class _Containers(HTMLParser):
+    """All declared containers, in one parse."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.all = [_Container(*where) for where in CONTAINERS]
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        for c in self.all:
+            c.start(tag, dict(attrs))
+
+    def handle_endtag(self, tag: str) -> None:
+        for c in self.all:
+            c.end(tag)
+
+    def handle_data(self, data: str) -> None:
+        for c in self.all:
+            c.data(data)
+
+
 def container_text(html: str | None) -> str | None:
-    """Collapsed text of the declared container; "" if it is too short; null for no html."""
+    """Collapsed text of the first declared container that is there; "" if it is too short; null for no html."""
     if html is None:
         return None
-    for where in CONTAINERS:
-        parser = _Container(*where)
-        parser.feed(html)
-        text = " ".join(" ".join(parser.parts).split())
-        if parser.parts:
+    parser = _Containers()
+    parser.feed(html)
+    for c in parser.all:
+        if c.parts:
+            text = " ".join(" ".join(c.parts).split())
             return text if len(text) >= LEAST_TEXT else ""
     return ""
 
@@ -98,7 +118,11 @@ def xml_bodies(raw: DataFrame) -> DataFrame:
 
     Content with a document type or entities, or above the bounds, is not parsed: null text.
     """
-    bounded = F.when((F.octet_length("content") <= MOST_BYTES) & (F.regexp_count("content", F.lit("<[^/!?]")) <= MOST_ELEMENTS), F.col("content"))
+    tags = F.regexp_extract_all("content", F.lit(r"<(?:/?[^!?/>][^>]*)>"), F.lit(0))
+    step = lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1)
+    deepest = F.aggregate(tags, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, t: F.struct((a["now"] + step(t)).alias("now"), F.greatest(a["most"], a["now"] + step(t)).alias("most")), lambda a: a["most"])
+    small = (F.octet_length("content") <= MOST_BYTES) & (F.regexp_count("content", F.lit("<[^/!?]")) <= MOST_ELEMENTS)
+    bounded = F.when(small, F.when(deepest <= MOST_DEPTH, F.col("content")))
     parsed = raw.select("key", F.from_xml(safe_xml(bounded), BODY_SCHEMA).alias("d"))
     text = F.array_join(F.filter(F.transform("d.texto.p", F.trim), lambda p: p != ""), " ")
     listed = F.col("d.analisis.referencias.anteriores.anterior")
@@ -122,16 +146,34 @@ def escaped_html(attribute: Column) -> Column:
     return collapse(strip_tags(unescape(unescape(attribute))))
 
 
+def _parsed_text(kind: str | None, content: bytes | None) -> str | None:
+    """The text of markup by its own parser: a declared container, or the layout of a source."""
+    if kind == "html":
+        return container_text((content or b"").decode("utf-8", "replace"))
+    if kind == "xml":
+        try:
+            return walked(content or b"")[1]
+        except Refused:
+            return None
+    return None
+
+
 def dispatched(raw: DataFrame) -> DataFrame:
     """(key, format, derivation, text) of (key, content binary), each by its own branch.
 
-    The text of a pdf needs a reader that is not here: its state is ``pdf``, without text.
-    No content at all is no body; a body that gives no text is unreadable.
+    Portal pages give the text of their declared container, XML that of its source's layout, and
+    other content itself. The text of a pdf needs a reader that is not here: its state is
+    ``pdf``, without text. No content at all is no body; a body that gives no text is unreadable.
     """
-    kind = sniffed_format(F.col("content"))
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    plain = F.when(kind == "html", article_text(text)).when(kind == "xml", collapse(unescape(strip_tags(F.coalesce(safe_xml(text), F.lit("")))))).when(kind == "other", collapse(text))
-    shown = raw.withColumn("format", F.when(F.col("content").isNotNull(), kind)).withColumn("text", F.nullif(plain, F.lit("")))
+
+    @arrow_udf("string")
+    def parsed(kind: pa.Array, content: pa.Array) -> pa.Array:
+        return pa.array([_parsed_text(k, c) for k, c in zip(kind.to_pylist(), content.to_pylist(), strict=True)], pa.string())
+
+    shown = raw.withColumn("format", F.when(F.col("content").isNotNull(), sniffed_format(F.col("content"))))
+    markup = parsed(F.col("format"), F.when(F.col("format").isin("html", "xml"), F.col("content")))
+    plain = F.when(F.col("format") == "other", collapse(F.make_valid_utf8(F.col("content").cast("string")))).otherwise(collapse(markup))
+    shown = shown.withColumn("text", F.nullif(plain, F.lit("")))
     state = F.when(F.col("content").isNull(), "none").when(F.col("format") == "pdf", "pdf").when(F.col("text").isNull(), "unreadable").otherwise("text")
     return shown.select("key", "format", state.alias("derivation"), "text")
 

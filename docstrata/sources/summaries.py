@@ -70,12 +70,17 @@ JSON_SCHEMA = "array<struct<control:string,title_es:string,title:string,rank:str
 
 
 def json_rows(raw: DataFrame, most: int = 200) -> DataFrame:
-    """(day, control, title, rank, url, good) of open-data rows: bad control numbers and missing
-    addresses are marked, not lost; the title falls back to the other language."""
-    rows = raw.select("day", F.explode(F.slice(F.from_json("content", JSON_SCHEMA), 1, most)).alias("r"))
+    """(day, control, title, rank, url, good, left_out) of open-data rows: bad control numbers and
+    missing addresses are marked, not lost; the title falls back to the other language.
+
+    Of an answer the first ``most`` rows are read; ``left_out`` says with each of them how many
+    came after, so that a cut answer is seen.
+    """
+    answers = raw.select("day", F.from_json("content", JSON_SCHEMA).alias("all"))
+    rows = answers.select("day", F.greatest(F.lit(0), F.size("all") - most).alias("left_out"), F.explode(F.slice("all", 1, most)).alias("r"))
     title = F.coalesce(F.nullif(F.trim("r.title_es"), F.lit("")), F.nullif(F.trim("r.title"), F.lit("")))
     good = F.coalesce(F.col("r.control").rlike(r"^\d{6,10}\z"), F.lit(False)) & F.coalesce(F.col("r.url") != "", F.lit(False))
-    return rows.select("day", F.col("r.control").alias("control"), title.alias("title"), F.col("r.rank").alias("rank"), F.col("r.url").alias("url"), good.alias("good"))
+    return rows.select("day", F.col("r.control").alias("control"), title.alias("title"), F.col("r.rank").alias("rank"), F.col("r.url").alias("url"), good.alias("good"), "left_out")
 
 
 def quarantined(rows: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
@@ -84,6 +89,16 @@ def quarantined(rows: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
     return rows.filter(sure), rows.filter(~sure)
 
 
+def of_issue(items: DataFrame, identifier: str, day: str, most: int = MOST_ITEMS) -> DataFrame:
+    """``items`` whose identifier bears their day's date; more than ``most`` of one day are an error.
+
+    Identifiers look like ``ABCD-20260904-12``: the date in the middle is that of the issue.
+    """
+    own = items.filter(F.get(F.split(identifier, "-"), F.lit(1)) == F.date_format(day, "yyyyMMdd"))
+    n = F.count("*").over(Window.partitionBy(day))
+    return own.withColumn(identifier, checked(F.col(identifier), n <= most, "too many items for one issue"))
+
+
 def keep_first(items: DataFrame, key: str, *order: Column | str, within: str | None = None) -> DataFrame:
     """One row per key: the first in order. Sources repeat their lists over and over."""
     keys = [key, *([within] if within else [])]
@@ -137,9 +152,33 @@ def issue_header(content: Column) -> Column:
 
 
 def issues_of_day(issues: DataFrame, days: DataFrame) -> DataFrame:
-    """Issues (number, day) of the asked days: one day may have several, or none.
+    """(day, number): the issues (number, day) of the asked days; one day may have several, or none."""
+    return days.join(issues, "day", "left").select("day", "number")
+
+
+#: Issues of a year that a search by number can tell apart: two to the number of its rounds, less one.
+MOST_ROUNDS = 16
 
-    A service that can only be asked by number is searched by bisection; over a table of
-    known issues the same question is a join on the day.
+
+def issues_by_number(issues: DataFrame, days: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
+    """The same from a service that answers by (year, number) only: all days bisect in lockstep.
+
+    The numbers of a year rise from 1 with the days, without gaps; a number that is not there is
+    beyond the end. Every round is one join of the days' probes with the answers. Then each day
+    walks on from its first issue while the next is of the same day. Days without an issue have
+    a null number; repeated days are asked once.
     """
-    return days.join(issues, "day", "left").select("day", "number")
+    by_number = issues.select(F.year("day").alias("year"), "number", F.col("day").alias("issued"))
+    asked = days.select("day").filter("day is not null").distinct()
+    state = asked.select("day", F.year("day").alias("year"), F.lit(1).alias("low"), F.lit(1 << rounds).alias("high"))
+    for _ in range(rounds):  # low: everything before it is earlier than the day; high: from there on nothing is
+        probes = state.withColumn("number", F.floor((F.col("low") + F.col("high")) / 2).cast("int"))
+        told = probes.join(by_number, ["year", "number"], "left")
+        earlier = F.coalesce(F.col("issued") < F.col("day"), F.lit(False)) & (F.col("low") < F.col("high"))
+        state = told.select("day", "year", F.when(earlier, F.col("number") + 1).otherwise(F.col("low")).alias("low"), F.when(earlier | (F.col("low") >= F.col("high")), F.col("high")).otherwise(F.col("number")).alias("high"))
+    same = lambda rows: rows.join(by_number, ["year", "number"]).filter("issued = day").select("day", "year", "number")
+    found = step = same(state.select("day", "year", F.col("low").alias("number"))).cache()
+    while not step.isEmpty():  # as often as a day has issues
+        step = same(step.select("day", "year", (F.col("number") + 1).alias("number"))).cache()
+        found = found.union(step)
+    return asked.join(found.select("day", "number"), "day", "left")

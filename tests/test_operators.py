@@ -198,12 +198,15 @@ def test_anchors(spark, text, quote, want):
 
 def test_gate(spark):
     queue = spark.createDataFrame([(1, "waiting", None, None), (2, "approved", "old", "setback"), (3, "waiting", None, "neutral"), (4, "waiting", None, None)], "id int, state string, note string, sign string")
-    decisions = spark.createDataFrame([(1, "approved", "n" * 3000, "setback"), (2, "rejected", "x", None), (3, "rejected", "y", "setback"), (4, "reopened", "z", None)], "id int, to string, note string, sign string")
+    decisions = spark.createDataFrame([(1, "approved", "n" * 2000, "setback"), (1, "rejected", "a", None), (2, "rejected", "x", None), (3, "rejected", "y", "setback"), (4, "reopened", "z", None)], "id int, to string, note string, sign string")
     got = {r["id"]: r for r in gate.decide(queue, decisions).collect()}
     assert got[1]["state"] == "approved" and len(got[1]["note"]) == gate.MOST_NOTE and got[1]["sign"] == "setback"
     assert got[2]["state"] == "approved" and got[2]["note"] == "old"
     assert got[3]["state"] == "rejected" and got[3]["sign"] == "neutral"
     assert got[4]["state"] == "waiting"
+    long = spark.createDataFrame([(1, "approved", "n" * 2001, None)], decisions.schema)
+    assert {r["id"]: r["state"] for r in gate.decide(queue, long).collect()} == {1: "waiting", 2: "approved", 3: "waiting", 4: "waiting"}
+    assert gate.decide(queue, decisions).count() == queue.count()
     again = {r["id"]: r for r in gate.decide(gate.decide(queue, decisions), decisions).collect()}
     assert again == got
 
