@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from docstrata.llm.common import checkpointed, flat, mixed, slices, split_words, word_hashes
 
 FEATURE_BITS = 18
-#: Labelled rows that the model is fitted on at most, and features of one of them: with more,
-#: those of the smallest numbers, which are hashes, stand for the text. Fitting alone is
-#: bounded so; scoring takes every feature of every text.
-FIT_ROWS, FIT_FEATURES = 6_000, 8_192
+#: Labelled rows that the model is fitted on at most, and features of all of them together: a row
+#: is taken whole or not at all, and a text has at most 2**FEATURE_BITS features.
+FIT_ROWS, FIT_FEATURES = 6_000, 16_000_000
 #: Share of them that the logistic curve is fitted on.
 CURVE_SHARE = 0.25
-COST, EPOCHS = 1.0, 20
+#: The descent ends when no projected gradient is larger than the tolerance; the bound of epochs is not met in practice.
+COST, TOLERANCE, EPOCHS = 1.0, 2e-3, 1_000
 THRESHOLD = 0.3
 
 
@@ -92,7 +92,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     """Weights (the bias last) of the L2-regularised hinge loss.
 
     Every row has a dual variable between 0 and its cost; each step sets one of them to its
-    optimum with the others fixed, while w = sum(alpha * y * x) is kept up to date.
+    optimum with the others fixed, while w = sum(alpha * y * x) is kept up to date. It ends when
+    no step could gain more than the tolerance allows.
     """
     w = np.zeros((1 << FEATURE_BITS) + 1)
     alpha, sign = np.zeros(len(rows)), np.where(y > 0, 1.0, -1.0)
@@ -102,14 +103,15 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
         worst = 0.0
         for i in random.permutation(len(rows)):
             gradient = sign[i] * (w[rows[i]] @ values[i] + w[-1]) - 1
+            at_bound = alpha[i] <= 0 and gradient > 0 or alpha[i] >= cost[i] and gradient < 0
+            worst = max(worst, 0.0 if at_bound else abs(gradient))
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             step = new - alpha[i]
             if step:
                 alpha[i] = new
                 w[rows[i]] += step * sign[i] * values[i]
                 w[-1] += step * sign[i]
-                worst = max(worst, abs(step))
-        if worst < 1e-4:
+        if worst < TOLERANCE:
             break
     return w
 
@@ -176,13 +178,11 @@ def _vectors(texts: DataFrame) -> DataFrame:
             data, offsets = flat(batch["text"])
             for i, j in slices(offsets):
                 owner, features = ngrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                few = np.arange(len(owner)) - np.searchsorted(owner, owner) < FIT_FEATURES  # sorted by feature in each text
-                owner, features = owner[few], features[few]
                 ends = np.searchsorted(owner, np.arange(j - i + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(features, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch["label"].slice(i, j - i), lists], names=["label", "features"])
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), batch["label"].slice(i, j - i), lists], names=["id", "label", "features"])
 
-    return texts.mapInArrow(run, "label int, features array<int>")
+    return texts.mapInArrow(run, "id bigint, label int, features array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
@@ -190,13 +190,18 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows: i
 
     Rows without a label or id, and ids with contradicting labels, teach nothing; neither do
     held-out ids. Of the rest, the ``fit_rows`` ids with the smallest hashes are taken, and the
-    smallest of the texts of an id that several rows share. Null text is empty, long texts teach
-    by ``FIT_FEATURES`` features, and empty tables give a model that scores 0.5.
+    smallest of the texts of an id that several rows share; of these as many as have
+    ``FIT_FEATURES`` features together. Null text is empty, long texts teach whole, and empty
+    tables give a model that scores 0.5.
     """
     one = labels.filter(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(target).alias("label"), F.max(target).alias("most"))
     chosen = one.filter("label = most").select(F.col("doc_id").alias("id"), F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # at most fit_rows ids
-    got = _vectors(texts.groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")).toPandas()
+    once = texts.groupBy(F.col("id").cast("long").alias("id"), "label").agg(F.min("text").alias("text"))
+    vectors = checkpointed(_vectors(once).withColumn("place", F.xxhash64("id")))
+    sizes = vectors.select("place", "id", F.size("features").alias("n")).orderBy("place", "id").toPandas()  # at most fit_rows
+    whole = sizes[sizes["n"].cumsum() <= FIT_FEATURES]
+    got = vectors.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in whole["id"]], "id bigint")), "id").orderBy("place", "id").select("label", "features").toPandas()
     return Model([np.asarray(f, dtype=np.int32) for f in got["features"]], got["label"].to_numpy(dtype=np.int64))
 
 

@@ -112,10 +112,26 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert objective(mine) <= objective(plain) * 1.002 + 1e-6 and np.abs(mine - plain).max() < 0.05
 
 
-def test_long_texts_teach_by_bounded_features(spark):
-    text = " ".join(f"w{i} x{i * 7}" for i in range(20_000))
-    row = quality._vectors(spark.createDataFrame([(1, text), (0, "short text")], "label int, text string")).collect()
-    assert sorted(len(r["features"]) <= quality.FIT_FEATURES for r in row) == [True, True] and max(len(r["features"]) for r in row) == quality.FIT_FEATURES
+def test_long_texts_teach_whole_and_the_fit_is_bounded_by_rows(spark, monkeypatch):
+    """A text has the same features in the fit and in scoring; the bound leaves out whole rows, in the order of their hashes."""
+    text = " ".join(f"word{i}" for i in range(20_000))
+    docs = [(i, text if i == 3 else f"short text number {i}") for i in range(40)]
+    rows = {r["id"]: r["features"] for r in quality._vectors(spark.createDataFrame([(i, i % 2, t) for i, t in docs], "id long, label int, text string")).collect()}
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    assert rows[3] == quality.ngrams(data, np.array([0, len(data)]))[1].tolist() and len(rows[3]) > 30_000
+    seen = []
+    monkeypatch.setattr(quality, "Model", lambda vectors, y: seen.append([v.tolist() for v in vectors]))
+    table, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int")
+    order = [r["doc_id"] for r in table.filter(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()]
+    for most in (16_000_000, 100):
+        monkeypatch.setattr(quality, "FIT_FEATURES", most)
+        quality.fit(table, labels)
+        wanted, total = [], 0
+        for i in order:
+            total += len(rows[i])
+            wanted += [rows[i]] if total <= most else []
+        assert seen[-1] == wanted and wanted
+    assert len(seen[0]) == len(order) > len(seen[1])
 
 
 # -- secrets ------------------------------------------------------------------------------
