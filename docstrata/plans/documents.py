@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docstrata.config import CODE, LEXICON, LICENSE, SECRET, SETTINGS, ClausePattern
 from docstrata.functions.identifiers import storage_path
 from docstrata.functions.text import around, cut_with_flag, delimited, normalise, only_context, precept_numbers, short_hash, terms_present
+from docstrata.lineage import cut
 from docstrata.operators import anchors, clauses, extraction, gate, measure, prefilter, queues, references, rules
 from docstrata.plans.common import spread, sql_list, sql_normalised, sql_terms, table
 
@@ -61,8 +62,9 @@ def lexicon_hits_ranked(spark: SparkSession, d: str) -> DataFrame:
 def context_noise_split(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of documents by what kind of terms they have, with the context terms met."""
     kind = F.when(F.size("found") == 0, "none").when(only_context(F.col("found"), _CONTEXT), "context").otherwise("direct")
-    rows = _with_terms(spark, d).withColumn("kind", kind).withColumn("chars", F.length("text").cast("long"))
-    sizes = rows.groupBy("kind").agg(F.count("*").alias("documents"), F.round(F.avg("chars"), 3).alias("mean_chars"), F.max("chars").alias("max_chars"), F.sum(F.size(F.array_intersect("found", F.array(*map(F.lit, _CONTEXT)))).cast("long")).alias("context_terms"))
+    context = F.size(F.array_intersect("found", F.array(*map(F.lit, _CONTEXT)))).cast("long")
+    rows = cut(_with_terms(spark, d).select(kind.alias("kind"), F.length("text").cast("long").alias("chars"), context.alias("context")))  # narrow, and read several times
+    sizes = rows.groupBy("kind").agg(F.count("*").alias("documents"), F.round(F.avg("chars"), 3).alias("mean_chars"), F.max("chars").alias("max_chars"), F.sum("context").alias("context_terms"))
     sizes = sizes.join(measure.grouped_median(rows, "chars", "kind").withColumnRenamed("median", "median_chars"), "kind")
     return sizes.join(measure.nearest_rank(rows, "chars", 0.95, "kind").withColumnRenamed("at_rank", "p95_chars"), "kind")
 
