@@ -2,7 +2,7 @@
 
 SimHash fingerprints of 128 bits propose pairs: eight segments with one-bit wildcards meet in an
 equality join, which also asks for few differing bits, for sizes that allow the similarity,
-and for agreement of 256 MinHash bits (one bit for each permutation). These are loose. What
+and for agreement of 512 MinHash bits (one bit for each permutation). These are loose. What
 counts is the verification: both texts' sets of shingles are compared, and only a Jaccard
 similarity of 0.8 or more is a link.
 
@@ -29,8 +29,8 @@ from docstrata.llm.simhash import SEED, Scheme, bit_counts, cross_pairs, differi
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts at that similarity differ in 19 of the 128 bits on average, and in over 30 in one of 300 cases.
 PROPOSED = Scheme(shingle=SHINGLE, words=2, distance=30, segments=8)
-#: MinHash bits; at the similarity a tenth of them differs, and over 39 in one of 300 cases. Rounds allow so many.
-LANES, ROUNDS = 256, (25, 39)
+#: MinHash bits; at the similarity a tenth of them differs, and over 69 in one of 300 cases. Rounds allow so many.
+LANES, ROUNDS = 512, (50, 60, 69)
 #: Shingles that are hashed at once.
 AT_ONCE = 2048
 _PRINT = ["w0", "w1"]
@@ -87,11 +87,11 @@ def sketches(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id bigint, key bigint, row_id bigint, " + ", ".join(f"{n} bigint" for n in names) + ", size int")
 
 
-def _agreeing(most: int) -> Column:
-    """Whether a and b may be similar, by their sizes and by at most so many differing MinHash bits."""
+def _agreeing(over: int, most: int) -> Column:
+    """Whether a and b may be similar, by their sizes and by differing MinHash bits, ``over`` one number and at ``most`` another."""
     smaller, larger = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
     apart = sum((F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in _SKETCH), F.lit(0))
-    return (smaller >= larger * SIMILARITY) & (apart <= most)
+    return (smaller >= larger * SIMILARITY) & (apart > over) & (apart <= most)
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -160,10 +160,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession) as keep:
         some = keep(with_partners(fps), "partners")
         grouped = some.withColumn("root", F.col("id"))
-        begun = keep(links_to_first(some, PROPOSED, lambda: _agreeing(ROUNDS[-1]), _CARRIED), "first")
+        begun = keep(links_to_first(some, PROPOSED, lambda: _agreeing(-1, ROUNDS[-1]), _CARRIED), "first")
         grouped = keep(_merged(grouped, keep(verified(begun, some, docs, keep), "links")), "groups")
-        for most in ROUNDS:
-            across = cross_pairs(grouped, PROPOSED, lambda most=most: _agreeing(most), _CARRIED)
+        for over, most in zip((-1, *ROUNDS), ROUNDS, strict=False):  # what agreed better and is still apart was refuted
+            across = cross_pairs(grouped, PROPOSED, lambda over=over, most=most: _agreeing(over, most), _CARRIED)
             pairs = keep(across.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")), "across")
             grouped = keep(_merged(grouped, keep(verified(pairs, some, docs, keep), "links")), "groups")
         final = checkpointed(fps.select("id", *names).join(grouped.select("id", "root"), "id", "left").select(*names, F.coalesce("root", "id").alias("root")))
