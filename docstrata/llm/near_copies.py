@@ -123,7 +123,7 @@ def verified(pairs: DataFrame, fps: DataFrame, docs: DataFrame, keep) -> DataFra
             good = [jaccard(a.as_py(), b.as_py()) >= SIMILARITY for a, b in zip(batch["a"], batch["b"], strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    ids = pairs.select(F.col("u").alias("id")).distinct().union(pairs.select("v").distinct()).distinct()  # partial in the tasks
     sets = keep(shingle_sets(docs, keep(fps.join(ids, "id").select("id", "key"), "ids")), "sets")
     first = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
     both = first.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
