@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docstrata.lineage import shared_top as _shared_top
+
 #: Words are maximal runs of characters other than these blanks (space and U+0009 to U+000D).
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
@@ -29,24 +30,6 @@ LEAN = {
 SLICE_BYTES = 1 << 20
 
 
-def _shared_top(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    A folder set by ``setCheckpointDir`` or ``spark.checkpoint.dir`` is taken. Where none is
-    set, a temporary one is made if the whole of Spark runs on this machine, as in tests; on a
-    cluster that is an error, as executors could not see it.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        top = spark.conf.get("spark.checkpoint.dir", None)
-        if top is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            top = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(top)
-    return context.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder.
 
