@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from docstrata.config import SETTINGS
 from docstrata.functions.text import delimited, outer_json
 
-ANSWER_SCHEMA = "affected string, organ string, scope string, articles array<struct<identifier:string,before:string,after:string>>"
 ANSWER_KEYS = ("affected", "organ", "scope", "articles")
-MOST_ARTICLES = 50
+ARTICLE_KEYS = ("identifier", "before", "after")
+#: Articles of an answer, characters of an article's text and of any other field.
+MOST_ARTICLES, MOST_TEXT, MOST_FIELD = 50, 20_000, 500
 SCOPES = ("state", "region", "local")
 #: Characters that a piece of a text shares with the one before, so that a mention across the cut stays whole.
 OVERLAP = 200
@@ -68,16 +69,56 @@ def ask(rows: DataFrame, provider: Callable[[str], str]) -> DataFrame:
 
 
 def validated(answer: Column) -> Column:
-    """The answer as a struct, or null: it must be one JSON object of the known keys, with a
-    known scope and a bounded list of articles. Empty texts are null."""
-    text = outer_json(answer)
-    parsed = F.from_json(text, ANSWER_SCHEMA)
-    keys = F.json_object_keys(text)
-    unknown = F.size(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*(F.lit(k) for k in ANSWER_KEYS)))) > 0
-    good = keys.isNotNull() & ~unknown & (parsed["scope"].isNull() | parsed["scope"].isin(*SCOPES)) & (F.coalesce(F.size(parsed["articles"]), F.lit(0)) <= MOST_ARTICLES)
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    articles = F.transform(parsed["articles"], lambda a: F.struct(blank(a["identifier"]).alias("identifier"), blank(a["before"]).alias("before"), blank(a["after"]).alias("after")))
-    return F.when(good, F.struct(blank(parsed["affected"]).alias("affected"), blank(parsed["organ"]).alias("organ"), parsed["scope"].alias("scope"), articles.alias("articles")))
+    """The answer as a struct, or null: it must be one JSON object that keeps the schema.
+
+    The answer is parsed once, to a variant, and walked: only the known keys, in articles too;
+    texts are texts, of bounded length; a known scope, whatever its case; a bounded list of
+    articles, each with an identifier. Blanks around a text go, an empty text is null. A key that
+    stands twice in one object refuses the answer, as it has no one value.
+    """
+    parsed = F.try_parse_json(outer_json(answer))
+    return F.get(F.transform(F.filter(F.array(parsed), lambda v: v.isNotNull()), _checked_answer), F.lit(0))
+
+
+def _entries(v: Column) -> Column:
+    """The fields of an object by key; null for anything else."""
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def _known(fields: Column, keys: tuple[str, ...]) -> Column:
+    return F.size(F.array_except(F.map_keys(fields), F.array(*(F.lit(k) for k in keys)))) == 0
+
+
+def _text(v: Column) -> Column:
+    """The text of a variant without blanks around it; null for nothing or an empty one."""
+    return F.nullif(F.regexp_replace(F.try_variant_get(v, "$", "string"), r"(?U)^\s+|\s+\z", ""), F.lit(""))
+
+
+def _bounded(v: Column, most: int) -> Column:
+    """Whether a variant is nothing or a text of at most ``most`` characters."""
+    is_text = (F.schema_of_variant(v) == "STRING") & (F.coalesce(F.length(_text(v)), F.lit(0)) <= most)
+    return v.isNull() | F.is_variant_null(v) | F.coalesce(is_text, F.lit(False))
+
+
+def _good_article(article: Column) -> Column:
+    fields = _entries(article)
+    named = _bounded(fields["identifier"], MOST_FIELD) & _text(fields["identifier"]).isNotNull()
+    good = _known(fields, ARTICLE_KEYS) & named & _bounded(fields["before"], MOST_TEXT) & _bounded(fields["after"], MOST_TEXT)
+    return F.coalesce(good, F.lit(False))
+
+
+def _checked_answer(answer: Column) -> Column:
+    fields = _entries(answer)
+    given = fields["articles"]
+    listed = F.when(F.schema_of_variant(given).startswith("ARRAY"), F.try_variant_get(given, "$", "array<variant>"))
+    articles = F.when(given.isNull(), F.array().cast("array<variant>")).otherwise(listed)
+    scope = F.lower(_text(fields["scope"]))
+    no_scope = fields["scope"].isNull() | F.is_variant_null(fields["scope"])
+    good = _known(fields, ANSWER_KEYS) & _bounded(fields["affected"], MOST_FIELD) & _bounded(fields["organ"], MOST_FIELD)
+    good = good & (no_scope | (_bounded(fields["scope"], MOST_FIELD) & F.coalesce(scope.isin(*SCOPES), F.lit(False))))
+    good = good & articles.isNotNull() & (F.size(articles) <= MOST_ARTICLES) & F.forall(articles, _good_article)
+    each = lambda a: F.struct(*(_text(_entries(a)[k]).alias(k) for k in ARTICLE_KEYS))
+    return F.when(F.coalesce(good, F.lit(False)), F.struct(_text(fields["affected"]).alias("affected"), _text(fields["organ"]).alias("organ"), scope.alias("scope"), F.transform(articles, each).alias("articles")))
 
 
 def pointers(extraction: Column) -> Column:

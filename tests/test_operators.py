@@ -1,3 +1,4 @@
+import json
 import re
 
 import pytest
@@ -258,6 +259,24 @@ def test_extraction_is_strict(spark):
     assert all(got[k]["v"] is None for k in ("extra", "scope", "broken", "list"))
 
 
+def test_answers_keep_a_strict_schema(spark):
+    article = lambda **more: json.dumps({"articles": [{"identifier": "1", **more}]})
+    good = {
+        "empty": "{}", "nulls": '{"affected": null, "scope": null}', "blank": '{"organ": "\u00a0 \\t"}', "case": '{"scope": " STATE "}', "long": article(before="x" * 20_000), "around": article(after=" x\n"),
+        "field": json.dumps({"affected": " " + "y" * 500}), "fifty": json.dumps({"articles": [{"identifier": str(i)} for i in range(50)]}),
+    }
+    bad = {
+        "nested": article(severity="high"), "deep": article(before={"x": 1}), "number": '{"affected": 3}', "too long": article(after="x" * 20_001), "field": json.dumps({"organ": "y" * 501}), "none": '{"articles": null}', "object": '{"articles": {}}',
+        "text": '{"articles": ["1"]}', "unnamed": '{"articles": [{"before": "x"}]}', "blank name": '{"articles": [{"identifier": " "}]}', "empty scope": '{"scope": ""}', "many": json.dumps({"articles": [{"identifier": str(i)} for i in range(51)]}),
+        "twice": '{"affected": "a", "affected": "b"}', "second": json.dumps({"articles": [{"identifier": "1"}, {"identifier": "2", "x": 1}]}), "nothing": "", "bool": '{"scope": true}',
+    }
+    rows = [("good " + k, v) for k, v in good.items()] + [("bad " + k, v) for k, v in bad.items()] + [("bad null", None)]
+    got = {r["k"]: r["v"] for r in spark.createDataFrame(rows, "k string, a string").select("k", extraction.validated(F.col("a")).alias("v")).collect()}
+    assert [k for k, v in got.items() if k.startswith("good") != (v is not None)] == []
+    assert got["good case"]["scope"] == "state" and got["good blank"]["organ"] is None and got["good around"]["articles"][0]["after"] == "x" and len(got["good fifty"]["articles"]) == 50
+    assert got["good empty"]["articles"] == []
+
+
 def test_extraction_reads_the_whole_text(spark, small):
     from docstrata.plans import registry
 
