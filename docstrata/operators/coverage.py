@@ -71,3 +71,17 @@ def framework(has_first: Column, has_second: Column, verified_none: Column) -> C
 
 def debt(known: Column, watched: Column) -> Column:
     return F.greatest(F.lit(0), known - watched)
+
+
+#: Places of the ranking beside a map.
+MOST_RANKED = 6
+
+
+def ranking(regions: DataFrame, alerts: str, name: str, n: int = MOST_RANKED) -> DataFrame:
+    """The ``n`` regions with the most alerts; those without any are left out.
+
+    Equal numbers are ordered by name as Spanish does: ñ is a letter after n, accents and case
+    decide between names that are otherwise equal. A null name comes last.
+    """
+    spanish = F.collate(F.col(name), "es")
+    return regions.filter(F.col(alerts) > 0).orderBy(F.desc(alerts), spanish.asc_nulls_last()).limit(n)

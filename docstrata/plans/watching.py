@@ -9,7 +9,7 @@ from docstrata.operators import coverage, gate, references, rules
 from docstrata.plans.common import table
 from docstrata.plans.pages_events import _attribute, _element
 from docstrata.plans.relations import _RANK_SQL, _orders, _parties, _rank
-from docstrata.sources import registry
+from docstrata.sources import registry, scanner, summaries
 
 # -- touched items and their changes ------------------------------------------------------
 
@@ -134,9 +134,45 @@ def sources_by_name(spark: SparkSession, d: str) -> DataFrame:
     return read.union(lost).groupBy("source", "state").agg(F.count("*").alias("rows"), F.min("identifier").alias("first"))
 
 
+def page_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as summary pages, a line an item: headings hold, titles are used up, links repeat and some are of another day."""
+    number = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("string")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("l_orderkey") % 300).cast("int"))
+    link = F.concat(F.lit("<a href='BOCYL-D-"), F.date_format(day, "ddMMyyyy"), F.lit("-"), number, F.lit(".pdf'>"))
+    title = F.when(F.col("flag") != "A", F.concat(F.lit("<p>The line with number "), F.col("l_linenumber").cast("string"), F.lit("</p>"))).otherwise("")
+    section = F.when(F.col("status") == "O", F.concat(F.lit("<h3>Open &amp; <b>"), "flag", F.lit("</b></h3>"))).otherwise("")
+    one = F.concat(section, title, F.lit("<a href='BOCYL-D-01012022-1.pdf'>"), link, F.lit("<!-- "), link, F.lit(" -->"))
+    packed = lines.withColumn("x", one).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "x"))), lambda e: e["x"]), "").alias("content"))
+    return scanner.page_items(packed.select(day.alias("day"), "content")).select("identifier", "title", "section", "state")
+
+
+def deed_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as nested summaries of deeds, a line a deed, all twice; every tenth summary is of another day."""
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("l_orderkey") % 300).cast("int"))
+    issue = F.concat(F.lit("BOCM-"), F.date_format(F.when(F.col("l_orderkey") % 10 == 0, F.date_add(day, 1)).otherwise(day), "yyyyMMdd"))
+    keyed = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag")).select("*", day.alias("day"), issue.alias("issue"))
+    identifier = F.concat("issue", F.lit("-"), (F.floor(F.col("l_orderkey") / 300) * 8 + F.col("l_linenumber")).cast("string"))
+    one = _element("disposicion", _element("identificador", identifier), _element("titulo", F.concat(F.lit(" Line "), F.col("l_linenumber").cast("string"))), _element("url_xml", F.lit("u")))
+    under = F.concat(F.lit("<organismo nombre='"), "flag", F.lit("'>"), one, F.lit("</organismo>"))
+    packed = keyed.groupBy("l_orderkey", "day", "issue").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", under.alias("x")))), lambda e: e["x"]), "").alias("all"))
+    section = lambda n: F.concat(F.lit(f"<seccion nombre='S{n}'><apartado nombre='H'>"), "all", F.lit("</apartado></seccion>"))
+    content = F.concat(F.lit("<sumario><metadatos><identificador>"), "issue", F.lit("</identificador></metadatos><diario><secciones>"), section(1), section(2), F.lit("</secciones></diario></sumario>"))
+    got = summaries.deeds(packed.select("day", content.alias("content")))
+    return got.groupBy("good", "section", "heading", "organ").agg(F.count("*").alias("rows"), F.min("identifier").alias("first"))
+
+
+def region_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The six nations with the most customers in debt, by Spanish names: equal numbers (here by tens) are ordered as Spanish orders ñ and accents."""
+    name = F.translate(F.initcap("n_name"), "nai", "ñáí")
+    nations = table(spark, d, "nation").select("n_nationkey", name.alias("name"))
+    indebted = table(spark, d, "customer").filter("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.floor(F.count("*") / 10).alias("alerts"))
+    return coverage.ranking(nations.join(indebted, "n_nationkey", "left").select("name", F.coalesce("alerts", F.lit(0)).alias("alerts")), "alerts", "name")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (citation_index, touched_items, watched_changes, gate_admissions, obsolete_verdicts, documents_filtered, coverage_legibility, map_every_region, map_silences, sources_by_name)
+    for f in (citation_index, touched_items, watched_changes, gate_admissions, obsolete_verdicts, documents_filtered, coverage_legibility, map_every_region, map_silences, sources_by_name, page_summaries, deed_summaries, region_ranking)
 }
 
 _SQL_EDGES = """w AS (SELECT p_partkey AS key, p_size <= 3 AS specific FROM part WHERE p_size <= 10),
@@ -177,4 +213,15 @@ x AS (SELECT 'gazette' AS source, 'good' AS state, 'CUS-' || CAST(c_custkey AS V
   UNION ALL SELECT 'open_data', CASE WHEN event_type <> 'error' THEN 'good' ELSE 'quarantined' END, lpad(CAST(event_id AS VARCHAR), 10, '0') FROM events
   UNION ALL SELECT CASE WHEN page_id % 2 = 0 THEN 'web' ELSE 'none' END, 'unknown', NULL FROM pages)
 SELECT source, state, count(*) AS rows, min(id) AS first FROM x GROUP BY source, state""",
+    "page_summaries": """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem GROUP BY 1, 2)
+SELECT 'BOCYL-D-' || strftime(DATE '2026-01-01' + CAST(o % 300 AS INTEGER), '%d%m%Y') || '-' || (o * 100 + n) AS identifier, CASE WHEN flag <> 'A' THEN 'The line with number ' || n END AS title,
+  last_value(CASE WHEN status = 'O' THEN 'Open & ' || flag END IGNORE NULLS) OVER (PARTITION BY o ORDER BY n ROWS UNBOUNDED PRECEDING) AS section, CASE WHEN flag <> 'A' THEN 'good' ELSE 'untitled' END AS state FROM l""",
+    "deed_summaries": """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_returnflag) AS flag, DATE '2026-01-01' + CAST(l_orderkey % 300 AS INTEGER) AS day FROM lineitem GROUP BY 1, 2),
+x AS (SELECT day, flag, 'BOCM-' || strftime(day, '%Y%m%d') || '-' || (o // 300 * 8 + n) AS id FROM l WHERE o % 10 <> 0),
+y AS (SELECT DISTINCT o, 'BOCM-' || strftime(day + 1, '%Y%m%d') AS id FROM l WHERE o % 10 = 0)
+SELECT true AS good, 'S1' AS section, 'H' AS heading, flag AS organ, count(*) AS rows, min(id) AS first FROM x GROUP BY flag
+UNION ALL SELECT false, NULL, NULL, NULL, count(*), min(id) FROM y HAVING count(*) > 0""",
+    "region_ranking": """WITH c AS (SELECT c_nationkey AS k, count(*) // 10 AS alerts FROM customer WHERE c_acctbal < 0 GROUP BY 1),
+x AS (SELECT array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS plain, alerts FROM nation JOIN c ON n_nationkey = k WHERE alerts > 0)
+SELECT translate(plain, 'nai', 'ñáí') AS name, alerts FROM x ORDER BY alerts DESC, replace(lower(plain), 'n', 'n~') LIMIT 6""",
 }

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.sources import summaries
+from docstrata.sources import scanner, summaries
 
 #: What every reader gives.
 ITEM = ("day", "identifier", "title", "url", "good")
@@ -31,7 +31,19 @@ def open_data(raw: DataFrame) -> DataFrame:
     return summaries.json_rows(raw).select("day", F.col("control").alias("identifier"), "title", "url", "good")
 
 
-READERS: dict[str, Reader] = {"gazette": gazette, "register": register, "open_data": open_data}
+def page(raw: DataFrame) -> DataFrame:
+    """Summary pages; an item without a title, or a page with too many items, is marked. The address follows from the identifier."""
+    day = F.date_format("day", "yyyy/MM/dd")
+    address = F.concat(F.lit("https://bocyl.jcyl.es/boletines/"), day, F.lit("/xml/"), "identifier", F.lit(".xml"))
+    return scanner.page_items(raw).select("day", "identifier", "title", address.alias("url"), (F.col("state") == "good").alias("good"))
+
+
+def deeds(raw: DataFrame) -> DataFrame:
+    """Nested summaries that tell their day by identifiers; a summary that does not hold is marked as a whole."""
+    return summaries.deeds(raw).select("day", "identifier", "title", "url", "good")
+
+
+READERS: dict[str, Reader] = {"gazette": gazette, "register": register, "open_data": open_data, "page": page, "deeds": deeds}
 
 
 def items(raw: DataFrame, readers: Mapping[str, Reader] = READERS) -> DataFrame:

@@ -99,6 +99,40 @@ def of_issue(items: DataFrame, identifier: str, day: str, most: int = MOST_ITEMS
     return own.withColumn(identifier, checked(F.col(identifier), n <= most, "too many items for one issue"))
 
 
+_DEED = "disposicion:array<struct<identificador:string,titulo:string,url_xml:string,url_pdf:string>>"
+DEEDS_SCHEMA = f"metadatos struct<identificador:string,numero:string>, diario struct<secciones:struct<seccion:array<struct<_nombre:string,apartado:array<struct<_nombre:string,organismo:array<struct<_nombre:string,{_DEED}>>>>>>>>"
+
+
+def deeds(raw: DataFrame, prefix: str = "BOCM", most: int = MOST_ITEMS) -> DataFrame:
+    """(day, identifier, title, section, heading, organ, url, url_pdf, good) of nested summaries (day, content).
+
+    The day is told by the identifiers, the summary's (``prefix-yyyymmdd``) and every item's
+    (``prefix-yyyymmdd-n``), never by a date of its own. A summary of another day, with an item
+    of another day, with an incomplete item, with none, or with over ``most`` different ones is not
+    read in part: all it gives is one row that is not good, with the summary's identifier. Items
+    that repeat are taken once, the first in document order.
+    """
+    parsed = raw.select("day", F.from_xml(safe_xml(F.col("content")), DEEDS_SCHEMA).alias("r"))
+    none = F.array().cast("array<struct<section:string,heading:string,organ:string,i:struct<identificador:string,titulo:string,url_xml:string,url_pdf:string>>>")
+
+    def under(section: Column) -> Column:
+        of = lambda a, o: F.transform(o["disposicion"], lambda i: F.struct(section["_nombre"].alias("section"), a["_nombre"].alias("heading"), o["_nombre"].alias("organ"), i.alias("i")))
+        return F.flatten(F.filter(F.flatten(F.transform(F.filter(section["apartado"], lambda a: a["organismo"].isNotNull()), lambda a: F.transform(a["organismo"], lambda o: of(a, o)))), lambda x: x.isNotNull()))
+
+    sections = F.filter(F.transform("r.diario.secciones.seccion", under), lambda x: x.isNotNull())
+    name = F.concat_ws("-", F.lit(prefix), F.date_format("day", "yyyyMMdd"))
+    listed = parsed.select("day", name.alias("issue"), F.trim("r.metadatos.identificador").alias("summary"), F.coalesce(F.flatten(sections), none).alias("all"))
+    whole = lambda x: (F.trim(x["i"]["identificador"]).rlike(r"-\d{1,6}\z") & (F.substring_index(F.trim(x["i"]["identificador"]), "-", 2) == F.col("issue")) & (F.trim(x["i"]["titulo"]) != "") & (F.trim(x["i"]["url_xml"]) != ""))
+    different = F.size(F.array_distinct(F.transform("all", lambda x: F.trim(x["i"]["identificador"]))))
+    good = (F.col("summary") == F.col("issue")) & F.forall("all", lambda x: F.coalesce(whole(x), F.lit(False))) & (different.between(1, most))
+    told = listed.select("day", "summary", F.coalesce(good, F.lit(False)).alias("good"), "all")
+    each = told.filter("good").select("day", F.posexplode("all").alias("place", "x"))
+    items = each.select("day", F.trim("x.i.identificador").alias("identifier"), F.substring(F.trim("x.i.titulo"), 1, 2000).alias("title"), "x.section", "x.heading", "x.organ", F.trim("x.i.url_xml").alias("url"), F.nullif(F.trim("x.i.url_pdf"), F.lit("")).alias("url_pdf"), F.lit(True).alias("good"), "place")
+    first = keep_first(items, "identifier", "place", within="day").drop("place")
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("title", "section", "heading", "organ", "url", "url_pdf")]
+    return first.unionByName(told.filter("not good").select("day", F.col("summary").alias("identifier"), *nothing, "good"))
+
+
 def keep_first(items: DataFrame, key: str, *order: Column | str, within: str | None = None) -> DataFrame:
     """One row per key: the first in order. Sources repeat their lists over and over."""
     keys = [key, *([within] if within else [])]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docstrata.functions.text import sniffed_format
 from docstrata.sinks import feeds, tables
-from docstrata.sources import bodies, configuration, consolidated, registry, summaries
+from docstrata.sources import bodies, configuration, consolidated, registry, scanner, summaries
 from docstrata.streaming import limiter, runner, windows
 
 DAY = datetime.date(2026, 1, 5)
@@ -258,3 +258,46 @@ def test_sources_by_name(spark):
     assert sorted((r["source"], r["identifier"], r["good"]) for r in registry.items(raw).collect()) == [("open_data", "1", False), ("open_data", "123456", True)]
     assert sorted(r["source"] or "" for r in registry.unknown(raw).collect()) == ["", "other"]
     assert registry.items(raw.limit(0)).count() == 0
+
+
+def test_page_scanner_holds_and_uses_up(spark):
+    link = lambda n, day="05012026": f"<a href='/x/BOCYL-D-{day}-{n}.pdf'>pdf</a>"
+    title = lambda t: f"<p>Title of {t}</p>"
+    page = (
+        title("other") + link(9, "01012022") + link(1) + link(1)  # another day's link leaves the title
+        + '<h3 class="a">S &amp; <b>one</b></h3><h5 class="encabezado6">O</h5>' + link(2) + title("two") + link(1) + link(2)  # first without, then with a title
+        + link(3) + "<h3>S two</h3><p>short</p>" + link(4) + title("unused") + title("five") + link(5) + "<!-- " + link(5) + " -->"
+    )
+    many = "".join(title(i) + link(i) for i in range(301))
+    other = datetime.date(2026, 1, 6)
+    frame = spark.createDataFrame([(DAY, page), (DAY, many), (other, page), (DAY, ""), (DAY, None), (None, page)], "day date, content string").withColumn("title", F.lit("clash"))
+    got = sorted((r["state"], r["identifier"] or "", r["title"], r["section"], r["organ"]) for r in scanner.page_items(frame).collect())
+    name = "BOCYL-D-05012026-"
+    assert got == [
+        ("good", name + "1", "Title of other", None, None), ("good", name + "2", "Title of two", "S & one", "O"), ("good", name + "5", "Title of five", "S two", "O"),
+        ("too many", "", None, None, None), ("untitled", name + "3", None, "S & one", "O"), ("untitled", name + "4", None, "S two", "O"),
+    ]
+    assert len(scanner.page_rows(DAY, "".join(title(i) + link(i) for i in range(300)))) == 300
+    assert scanner.page_items(frame.limit(0)).count() == 0
+    source = frame.limit(1).withColumn("source", F.lit("page"))
+    assert sorted((r["identifier"], r["url"], r["good"]) for r in registry.items(source).collect())[0] == (name + "1", f"https://bocyl.jcyl.es/boletines/2026/01/05/xml/{name}1.xml", True)
+
+
+def test_deeds_of_their_own_day(spark):
+    deed = lambda n, day="20260105", title="T": f"<disposicion><identificador>BOCM-{day}-{n}</identificador><titulo> {title}{n} </titulo><url_xml>u</url_xml><url_pdf> </url_pdf></disposicion>"
+    issue = lambda inner, name="BOCM-20260105": f"<sumario><metadatos><identificador>{name}</identificador><fecha_publicacion>x</fecha_publicacion></metadatos><diario><secciones><seccion nombre='S'><apartado nombre='A'><organismo nombre='O'>{inner}</organismo></apartado><apartado nombre='B'><organismo nombre='P'>{inner}</organismo></apartado></seccion></secciones></diario></sumario>"
+    whole = lambda content: [(r["identifier"], r["title"], r["section"], r["heading"], r["organ"], r["url_pdf"], r["good"]) for r in summaries.deeds(raw(spark, content)).orderBy("identifier").collect()]
+    assert whole(issue(deed(1) + deed(2))) == [(f"BOCM-20260105-{n}", f"T{n}", "S", "A", "O", None, True) for n in (1, 2)]
+    assert len(whole(issue("".join(deed(n) for n in range(400))))) == 400
+    refused = [issue(deed(1), "BOCM-20260106"), issue(deed(1) + deed(2, "20260106")), issue(deed("1x")), issue(deed(1).replace("T1", "")), issue(""), issue("".join(deed(n) for n in range(401))), issue(deed(1)).replace("<sumario>", "<!DOCTYPE s><sumario>"), "no summary", None]
+    for content in refused:
+        assert [r[1:] for r in whole(content)] == [(None, None, None, None, None, False)]
+
+
+def test_spanish_ranking(spark):
+    from docstrata.operators import coverage
+
+    rows = [("Oviedo", 1), ("Nuez", 1), ("Ñora", 1), ("Ávila", 1), ("Azul", 1), ("Zamora", 2), ("Zafra", 0), (None, 1), ("zeta", 1)]
+    got = [r["name"] for r in coverage.ranking(spark.createDataFrame(rows, "name string, alerts int"), "alerts", "name", 9).collect()]
+    assert got == ["Zamora", "Ávila", "Azul", "Nuez", "Ñora", "Oviedo", "zeta", None]
+    assert coverage.ranking(spark.createDataFrame(rows, "name string, alerts int"), "alerts", "name").count() == 6
