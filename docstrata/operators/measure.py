@@ -138,6 +138,41 @@ def breakdown(rows: DataFrame, **criteria: Column) -> DataFrame:
     return rows.agg(*(F.count_if(c).alias(k) for k, c in criteria.items()), F.count_if(any_of).alias("any"), F.count_if(~any_of).alias("none"))
 
 
+#: Distances are counted one by one up to here.
+MOST_DISTANCE = 100_000
+
+
+def criteria_distances(rows: DataFrame, distance: str, holds: Column, within: int, most: int = MOST_DISTANCE, **criteria: Column) -> DataFrame:
+    """One row: how many rows each criterion rejects, how many hold, and the distances of all.
+
+    Criteria may overlap; a null one rejects nothing. What they leave must be what the
+    rule in use leaves: a row for which ``holds`` is not the opposite of "any criterion" stops the
+    query, as the breakdown would measure something else. Distances are whole numbers from 0
+    to ``most`` (another one stops the query too); a row without a distance counts in the criteria
+    alone. Columns: rows, each criterion, hold, within (a distance of at most ``within``), nearest,
+    median (exact, the lower whole number between two), farthest; without rows zeros and nulls.
+
+    One pass counts by distance; what is left has at most ``most`` + 2 rows.
+    """
+    any_of = F.lit(False)
+    for c in criteria.values():
+        any_of = any_of | F.coalesce(c, F.lit(False))
+    same = F.when(F.coalesce(holds, F.lit(False)) != any_of, F.coalesce(holds, F.lit(False))).otherwise(F.raise_error(F.lit("the criteria and the rule in use differ")).cast("boolean"))
+    value = F.col(distance).cast("long")
+    place = F.when(value.isNull() | (value.between(0, most) & (value == F.col(distance))), value).otherwise(F.raise_error(F.lit("a distance is out of bounds")).cast("long"))
+    counts = {k: F.count_if(c) for k, c in criteria.items()}
+    by_distance = rows.groupBy(place.alias("__d")).agg(F.count("*").alias("__n"), F.count_if(same).alias("__hold"), *(c.alias(f"__c_{k}") for k, c in counts.items()))
+    upto = Window.orderBy(F.col("__d").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the few distances
+    known = F.when(F.col("__d").isNotNull(), F.col("__n"))
+    placed = by_distance.withColumns({"__upto": F.sum(known).over(upto), "__all": F.sum(known).over(Window.partitionBy())})
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    low, high = (F.min(F.when(F.col("__upto") > F.floor((F.col("__all") - less) / 2), F.col("__d"))) for less in (1, 0))
+    return placed.agg(
+        total("__n").alias("rows"), *(total(f"__c_{k}").alias(k) for k in criteria), total("__hold").alias("hold"), total(F.when(F.col("__d") <= within, F.col("__n"))).alias("within"),
+        F.min("__d").alias("nearest"), F.floor((low + high) / 2).alias("median"), F.max("__d").alias("farthest"),
+    )
+
+
 def share(part: Column, whole: Column, places: int = 4) -> Column:
     """Rounded ratio; null for an empty whole."""
     return F.round(F.try_divide(part, whole), places)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +69,15 @@ def verb_occurrences(window: Column, named: bool = False) -> Column:
     return F.array_sort(F.filter(found, lambda f: f["at"].isNotNull()))
 
 
+#: Why a verb does not reach a citation over the text between them.
+REJECTS = {
+    "closed": lambda rest: F.regexp_replace(rest, rf"(?i)\b(?:{'|'.join(ABBREVIATIONS)})\.", "").rlike(r"[.;:]\s+\p{Lu}"),
+    "quoted": lambda rest: rest.rlike('[:"«“]'),
+    "other": lambda rest: rest.rlike(r"(?i)\b(?:act|law|decree|order|regulation)\s+\d+/\d{4}"),
+    "connector": lambda rest: rest.rlike(r"(?i)\b(?:pursuant to|in accordance with|referred to in|provided for in|under the terms of)\s*$"),
+}
+
+
 def governs(rest: Column) -> Column:
     """Whether a verb reaches a citation over the text between them.
 
@@ -73,11 +85,17 @@ def governs(rest: Column) -> Column:
     mark or a colon stands there, another numbered item comes in between, or a connector such as "pursuant to" makes
     the citation a mere reference.
     """
-    closed = F.regexp_replace(rest, rf"(?i)\b(?:{'|'.join(ABBREVIATIONS)})\.", "").rlike(r"[.;:]\s+\p{Lu}")
-    quoted = rest.rlike('[:"«“]')
-    other = rest.rlike(r"(?i)\b(?:act|law|decree|order|regulation)\s+\d+/\d{4}")
-    connector = rest.rlike(r"(?i)\b(?:pursuant to|in accordance with|referred to in|provided for in|under the terms of)\s*$")
-    return ~(closed | quoted | other | connector)
+    return ~reduce(or_, (reject(rest) for reject in REJECTS.values()))
+
+
+def verbs_before(docs: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, place, verb, rest, distance, governing): of every match of ``pattern`` all verbs within reach, the
+    text between, its length, and which verb the citation gets."""
+    mentions = citation_mentions(docs, pattern, keep=("before",))
+    each = mentions.select("doc_id", "place", F.col("verb").alias("governing"), F.right("before", F.lit(REACH)).alias("window"))
+    found = each.select("*", F.explode(verb_occurrences(F.col("window"))).alias("f"))
+    rest = F.substring("window", (F.col("f.at") + F.col("f.size") + 1).cast("int"), F.lit(REACH))
+    return found.select("doc_id", "place", F.col("f.verb").alias("verb"), rest.alias("rest"), F.length(rest).alias("distance"), "governing")
 
 
 def own_title(title: Column, citation: Column) -> Column:
@@ -101,8 +119,8 @@ def governing_verb(before: Column, title: Column | None = None, citation: Column
     return F.coalesce(F.when(F.size(holding) > 0, F.element_at(holding, -1)["verb"]), F.lit(CITES))
 
 
-def citation_mentions(docs: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, place, start, citation, key, verb, snippet) of every match of ``pattern``.
+def citation_mentions(docs: DataFrame, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, place, start, citation, key, verb, snippet) of every match of ``pattern``; ``before``, the text within reach before it, where it is to be kept.
 
     ``docs`` has doc_id and text, and may have a title, which lets the document's own name tell its verb.
     Offsets are code points: the text is split at the citations and lengths are summed, as
@@ -114,10 +132,12 @@ def citation_mentions(docs: DataFrame, pattern: str) -> DataFrame:
     ahead = F.aggregate(F.slice("between", F.lit(1), F.col("place") + 1), F.lit(0), lambda s, x: s + F.length(x))
     earlier = F.aggregate(F.slice("found", F.lit(1), F.col("place")), F.lit(0), lambda s, x: s + F.length(x))
     placed = each.withColumn("start", ahead + earlier)
+    if "before" in keep:
+        placed = placed.withColumn("before", F.right(F.substring("text", F.lit(1), F.col("start")), F.lit(REACH)))
     return placed.select(
         "doc_id", "place", "start", "citation", citation_key(F.col("citation")).alias("key"),
         governing_verb(F.substring("text", F.lit(1), F.col("start")), title, F.col("citation")).alias("verb"),
-        around(F.col("text"), F.col("start"), F.col("start") + F.length("citation"), MARGIN).alias("snippet"),
+        around(F.col("text"), F.col("start"), F.col("start") + F.length("citation"), MARGIN).alias("snippet"), *keep,
     )
 
 

@@ -175,6 +175,12 @@ def verb_window(spark: SparkSession, d: str) -> DataFrame:
     return mentions.groupBy("key", "verb").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("documents"))
 
 
+def verb_criteria(spark: SparkSession, d: str) -> DataFrame:
+    """Of all verbs within reach of a citation, what keeps them from governing it, and how far they stand; checked against the rule in use."""
+    verbs = references.verbs_before(spread(table(spark, d, "documents").select("doc_id", "text")), _CITED)
+    return measure.criteria_distances(verbs, "distance", references.governs(F.col("rest")), 60, **{k: reject(F.col("rest")) for k, reject in references.REJECTS.items()})
+
+
 def _anchored(spark: SparkSession, d: str) -> DataFrame:
     """Cited passages with their place; only texts that cite something meet the passages."""
     watched = table(spark, d, "benchmark")
@@ -290,7 +296,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prefilter_rows, prefilter_funnel, lexicon_hits_ranked, context_noise_split, stale_queue, stale_queue_rules, keyset_batch, clauses_license, clause_span_verify,
-        rule_catalogue, candidate_rule, alerts_public, citation_edges, citation_strongest, verb_window, snippet_context, anchor_passages, anchor_collapsed, corroborate_pointers, archive_paths,
+        rule_catalogue, candidate_rule, alerts_public, citation_edges, citation_strongest, verb_window, verb_criteria, snippet_context, anchor_passages, anchor_collapsed, corroborate_pointers, archive_paths,
         dedupe_content, confusion_signals, census_vs_sample, stratified_sample, sample_topped_up, measure_ratio, search_accent_insensitive, positional_zip, crop_for_model, llm_extract_scripted,
     )
 }

@@ -233,6 +233,14 @@ def criteria_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return measure.breakdown(lines, returned=F.col("l_returnflag") == "R", discounted=F.col("l_discount") > 0.05, bulky=F.col("l_quantity") >= 40, untaxed=F.col("l_tax") == 0)
 
 
+def criteria_distances(spark: SparkSession, d: str) -> DataFrame:
+    """What rejects a line, how many hold by the rule as it is in use, and days between order and shipment."""
+    lines = table(spark, d, "lineitem").join(_orders(spark, d).select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.withColumn("days", F.abs(F.datediff("l_shipdate", "o_orderdate")))
+    in_use = F.expr("l_returnflag <> 'R' AND l_discount <= 0.05 AND l_quantity < 40 AND l_tax <> 0")
+    return measure.criteria_distances(rows, "days", in_use, 60, returned=F.col("l_returnflag") == "R", discounted=F.col("l_discount") > 0.05, bulky=F.col("l_quantity") >= 40, untaxed=F.col("l_tax") == 0)
+
+
 def prefix_sum_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Running quantities within each order, as offsets."""
     order = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -342,7 +350,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         alerts_page, alert_sample_changes, changes_asof, changes_latest, findings_anti, unprocessed_anti, semi_watch, left_lookup_default, role_playing_join, documents_page, document_detail, backfill_days, gate_enqueue, gate_status_order, gate_item_lookup, evidence_json,
-        coverage_levels, coverage_rollup, coverage_full_outer, region_map, sign_counts, region_framework, most_modified_topk, term_index_dump, modifier_counts, criteria_breakdown, prefix_sum_offsets,
+        coverage_levels, coverage_rollup, coverage_full_outer, region_map, sign_counts, region_framework, most_modified_topk, term_index_dump, modifier_counts, criteria_breakdown, criteria_distances, prefix_sum_offsets,
         stage_summaries, prefix_theta_join, budgeted_queue, retry_fair_queue, set_ops_union, set_ops_intersect, set_ops_except, set_ops_bag, ids_and_dates, download_queue, listing_anti, merged_results,
         email_hmac, atom_feed, feed_unreviewed,
     )
@@ -407,6 +415,9 @@ SELECT n_name, CASE WHEN n_regionkey = 4 THEN 'none' WHEN f AND g THEN 'both' WH
     "modifier_counts": "SELECT l_suppkey, count(*) AS versions, count(DISTINCT l_orderkey) AS modifiers, count(DISTINCT o_custkey) AS customers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey",
     "criteria_breakdown": """WITH x AS (SELECT l_returnflag = 'R' AS returned, l_discount > 0.05 AS discounted, l_quantity >= 40 AS bulky, l_tax = 0 AS untaxed FROM lineitem)
 SELECT count(*) FILTER (returned) AS returned, count(*) FILTER (discounted) AS discounted, count(*) FILTER (bulky) AS bulky, count(*) FILTER (untaxed) AS untaxed, count(*) FILTER (returned OR discounted OR bulky OR untaxed) AS "any", count(*) FILTER (NOT (returned OR discounted OR bulky OR untaxed)) AS "none" FROM x""",
+    "criteria_distances": """WITH x AS (SELECT l_returnflag = 'R' AS returned, l_discount > 0.05 AS discounted, l_quantity >= 40 AS bulky, l_tax = 0 AS untaxed, abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT count(*) AS rows, count(*) FILTER (returned) AS returned, count(*) FILTER (discounted) AS discounted, count(*) FILTER (bulky) AS bulky, count(*) FILTER (untaxed) AS untaxed, count(*) FILTER (NOT (returned OR discounted OR bulky OR untaxed)) AS hold,
+  count(*) FILTER (days <= 60) AS within, min(days) AS nearest, CAST(floor(median(days)) AS BIGINT) AS median, max(days) AS farthest FROM x""",
     "prefix_sum_offsets": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, sum(l_quantity) OVER w AS finish, sum(l_quantity) OVER w - l_quantity AS start FROM lineitem
 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING)""",
     "stage_summaries": """WITH l AS (SELECT l_orderkey, sum(l_quantity) AS quantity, count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1)

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -363,3 +364,29 @@ def test_optional_filters_and_null_groups(spark):
     ids = lambda **wanted: [r["id"] for r in gate.page(rows, [F.desc("id")], **wanted).collect()]
     assert ids(kind=None) == [3, 2, 1] and ids(kind="a") == [1] and ids(kind="a", id=2) == []
     assert sorted((r["kind"] or "", r["rows"], r["unreadable"]) for r in coverage.legible_counts(rows, "kind", F.col("id") > 2).collect()) == [("", 1, 1), ("a", 1, 0), ("b", 1, 0)]
+
+
+def test_criteria_distances(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40) if rng.random() < 0.9 else None, rng.random() < 0.3, rng.random() < 0.3 if rng.random() < 0.9 else None) for _ in range(501)]
+    for some in (rows, rows[:1], rows[:2], [r for r in rows if r[0] is None], []):
+        frame = spark.createDataFrame(some, "d int, a boolean, b boolean")
+        got = measure.criteria_distances(frame, "d", F.expr("not (coalesce(a, false) or coalesce(b, false))"), 10, a=F.col("a"), b=F.col("b")).first()
+        known = sorted(r[0] for r in some if r[0] is not None)
+        assert tuple(got)[:5] == (len(some), sum(r[1] for r in some), sum(bool(r[2]) for r in some), sum(not r[1] and not r[2] for r in some), sum(k <= 10 for k in known))
+        assert tuple(got)[5:] == ((known[0], (known[(len(known) - 1) // 2] + known[len(known) // 2]) // 2, known[-1]) if known else (None, None, None))
+    frame = spark.createDataFrame(rows, "d int, a boolean, b boolean")
+    with pytest.raises(Exception, match="the rule in use differ"):  # one row of many
+        measure.criteria_distances(frame.union(spark.createDataFrame([(1, False, True)], frame.schema)), "d", F.expr("not a and not coalesce(b and d <> 1, false)"), 10, a=F.col("a"), b=F.col("b")).collect()
+    for far in (-1, 41):
+        with pytest.raises(Exception, match="out of bounds"):
+            measure.criteria_distances(spark.createDataFrame([(far, False)], "d int, a boolean"), "d", F.lit(True), 10, most=40, a=F.col("a")).collect()
+
+
+def test_verbs_before_a_citation(spark):
+    text = 'It amends the rules: it repeals "old" and amends art. 5 of the MIT License. Then it repeals the MIT License.'
+    got = references.verbs_before(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string"), "MIT License").collect()
+    assert {(r["place"], r["rest"].strip()[:6], r["governing"]) for r in got} >= {(0, "art. 5", "AMENDS"), (1, "the", "REPEALS")}
+    assert all(r["distance"] == len(r["rest"]) for r in got)
+    holding = [r for r in spark.createDataFrame(got).select("place", "verb", references.governs(F.col("rest")).alias("g"), F.array(*(F.when(x(F.col("rest")), k) for k, x in references.REJECTS.items())).alias("why")).collect()]
+    assert all(r["g"] == (not any(r["why"])) for r in holding) and {r["place"] for r in holding if r["g"]} == {0, 1}
