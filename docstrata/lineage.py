@@ -29,3 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint."""
     shared_top(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of one's own, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

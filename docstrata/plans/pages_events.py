@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docstrata.config import LEXICON, Lexicon, Watched
 from docstrata.functions.text import collapse, normalise, terms_present
+from docstrata.lineage import cut, removed, shared_top
 from docstrata.operators import measure, rules, versions
 from docstrata.plans.common import spread, sql_list, sql_normalised, sql_terms, table
 from docstrata.sources import bodies, consolidated, layouts, summaries
-from docstrata.streaming import limiter, windows
+from docstrata.streaming import limiter, runner, windows
 
 # -- sources ------------------------------------------------------------------------------
 
@@ -232,6 +235,21 @@ def ttl_sessions(spark: SparkSession, d: str) -> DataFrame:
     return limiter.with_sessions(table(spark, d, "events").filter("event_type = 'signup'"), ttl=86_400.0, most=2)
 
 
+def ledgered_run(spark: SparkSession, d: str) -> DataFrame:
+    """All events through the incremental run, twice, the second time without its marks: counted by type from what the ledger names."""
+    folder = f"{shared_top(spark)}/ledger-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").select("event_id", "event_type", "value").schema
+    try:  # a stream takes one file by a pattern only
+        for run in ("first", "second"):
+            runner.run_with_ledger(spark, "events", f"{d}/events.parque[t]", schema, folder, f"{folder}/marks-{run}", []).awaitTermination()
+        rows = runner.committed(spark, folder)
+        empty = spark.createDataFrame([], schema)  # no file had a row
+        counted = (empty if rows is None else rows).groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"), F.max("value").alias("most"))
+        return cut(counted)
+    finally:
+        removed(spark, folder)
+
+
 def session_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that end six hours after their last event."""
     got = windows.sessions(table(spark, d, "events"), "ts", "6 hours", "user_id", events=F.count("*"), most=F.max("value"))
@@ -257,7 +275,7 @@ QUERIES = {
     for f in (
         summary_nested_items, summary_positional, layout_bodies, issues_by_number, xml_body_parse, consolidated_versions, body_dispatch, html_container_text, html_article_crop, html_links_forward_fill, url_parts, quarantine_split,
         json_props, positional_pairs, flat_headers, config_load_validate, version_chain, lost_terms, latency_percentiles, carry_forward, sliding_window_count, rate_limiter, token_bucket, ttl_sessions,
-        session_gaps, tumbling_windows, sliding_windows, display_formats,
+        ledgered_run, session_gaps, tumbling_windows, sliding_windows, display_formats,
     )
 }
 
@@ -298,6 +316,7 @@ SELECT c.conv_id, coalesce(string_agg(term, ',' ORDER BY place), '') AS lost FRO
     "carry_forward": """WITH x AS (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS p FROM events)
 SELECT event_id, last_value(p IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase, lag(p) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS just_before FROM x""",
     "sliding_window_count": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS last_hour FROM events",
+    "ledgered_run": "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS ids, max(value) AS most FROM events GROUP BY event_type",
     "session_gaps": """WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOURS, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS events, max(value) AS most FROM s GROUP BY user_id, k""",

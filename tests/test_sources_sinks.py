@@ -301,3 +301,43 @@ def test_spanish_ranking(spark):
     got = [r["name"] for r in coverage.ranking(spark.createDataFrame(rows, "name string, alerts int"), "alerts", "name", 9).collect()]
     assert got == ["Zamora", "Ávila", "Azul", "Nuez", "Ñora", "Oviedo", "zeta", None]
     assert coverage.ranking(spark.createDataFrame(rows, "name string, alerts int"), "alerts", "name").count() == 6
+
+
+def test_a_ledger_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    add = lambda *rows: spark.createDataFrame(list(rows), "k int, v string").coalesce(1).write.mode("append").parquet(source)
+
+    def run(marks="marks", files=2):
+        runner.run_with_ledger(spark, "s", source, "k int, v string", folder, str(tmp_path / marks), [lambda b: b.withColumn("v", F.upper("v"))], files).awaitTermination()
+
+    rows = lambda: sorted(((r["k"], r["v"]) for r in runner.committed(spark, folder).collect()), key=str)
+    states = lambda: sorted(r["state"] for r in runner.audited(spark, folder).collect())
+    assert runner.committed(spark, folder) is None and runner.audited(spark, folder) is None
+    for i in range(5):
+        add((i, "a"), (i, "a"), (None, None))
+    real, calls = runner.commit, []
+
+    def dies(lines, path):  # the second batch has its rows, not its lines
+        calls.append(path)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        real(lines, path)
+
+    monkeypatch.setattr(runner, "commit", dies)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    assert len(rows()) == 6 and states() == ["unseen", "verified"]
+    monkeypatch.setattr(runner, "commit", real)
+    run()
+    all_rows = sorted([(i, "A") for i in range(5)] * 2 + [(None, None)] * 5, key=str)
+    assert rows() == all_rows and states() == ["verified"] * 3
+    run("other marks", 3)  # a backfill without marks: everything is done
+    assert rows() == all_rows
+    add((9, "z"))
+    run("new marks", 3)  # the old files again, and a new one
+    run()
+    assert rows() == sorted([*all_rows, (9, "Z")], key=str) and states() == ["verified"] * 4
+    assert spark.read.parquet(folder + "/ledger").agg(F.sum("read"), F.count_distinct("file"), F.count("*")).first()[:] == (16, 6, 6)
+    one = runner.committed(spark, folder).first()["batch"]
+    spark.createDataFrame([(7, "x")], "k int, v string").write.mode("append").parquet(f"{folder}/data/batch={one}")
+    assert states() == ["changed"] + ["verified"] * 3
