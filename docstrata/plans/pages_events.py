@@ -235,6 +235,28 @@ def ttl_sessions(spark: SparkSession, d: str) -> DataFrame:
     return limiter.with_sessions(table(spark, d, "events").filter("event_type = 'signup'"), ttl=86_400.0, most=2)
 
 
+def bodies_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as bodies of five sources and one without a check, some of them of another order or a page of an error: counted by what they are."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.pmod("o_orderkey", F.lit(1_000)).cast("int").alias("n"), F.pmod("o_custkey", F.lit(4)).alias("kind"), F.pmod("o_orderkey", F.lit(6)).alias("source"))
+    told = F.col("n") + F.when(F.col("kind") == 1, 1).otherwise(0)  # what the body says
+    on = F.date_add("day", F.when(F.col("kind") == 1, 1).otherwise(0))
+    text = lambda c: c.cast("string")
+    dated = lambda prefix, day, n, form="yyyyMMdd": F.concat(F.lit(prefix), F.date_format(day, form), F.lit("-"), text(n))
+    xml = F.lit("<?xml version='1.0'?><documento>")
+    made = (
+        (F.concat(F.lit("BOA-"), text(F.col("n"))), F.concat(xml, _element("registro", _element("docn", text(told))), F.lit("</documento>"))),
+        (dated("BOCM-", "day", F.col("n")), _element("documento", _element("metadatos", _element("identificador", dated("BOCM-", "day", told))))),
+        (dated("BOCYL-D-", "day", F.col("n"), "ddMMyyyy"), F.concat(xml, _element("fechaPublicacion", F.date_format(on, "yyyy-MM-dd")), F.lit("</documento>"))),
+        (dated("BOPV-D-", "day", F.col("n")), _element("documento", _element("BOPVOrden", text(told)))),
+        (F.concat(F.lit("BON-D-2024-"), text(F.col("n")), F.lit("-1")), F.concat(F.lit("<h1>BOLETÍN N&ordm; "), text(told), F.lit("</h1> - 9 de enero de 2024 - <p>"))),
+        (F.concat(F.lit("DOC-"), text(F.col("n"))), F.lit("<documento/>")),
+    )
+    chosen = lambda i: F.element_at(F.array(*(m[i] for m in made)), F.col("source").cast("int") + 1)
+    name = F.when(F.col("kind") == 3, F.concat(chosen(0), F.lit("-x y"))).otherwise(chosen(0))
+    rows = orders.select(name.alias("identifier"), F.when(F.col("kind") == 2, "<html><p>not found").otherwise(chosen(1)).alias("body"))
+    return rows.groupBy(F.split_part("identifier", F.lit("-"), F.lit(1)).alias("prefix"), bodies.body_state(F.col("identifier"), F.col("body")).alias("state")).agg(F.count("*").alias("bodies"))
+
+
 def ledgered_run(spark: SparkSession, d: str) -> DataFrame:
     """All events through the incremental run, twice, the second time without its marks: counted by type from what the ledger names."""
     folder = f"{shared_top(spark)}/ledger-{uuid.uuid4().hex}"
@@ -275,7 +297,7 @@ QUERIES = {
     for f in (
         summary_nested_items, summary_positional, layout_bodies, issues_by_number, xml_body_parse, consolidated_versions, body_dispatch, html_container_text, html_article_crop, html_links_forward_fill, url_parts, quarantine_split,
         json_props, positional_pairs, flat_headers, config_load_validate, version_chain, lost_terms, latency_percentiles, carry_forward, sliding_window_count, rate_limiter, token_bucket, ttl_sessions,
-        ledgered_run, session_gaps, tumbling_windows, sliding_windows, display_formats,
+        bodies_checked, ledgered_run, session_gaps, tumbling_windows, sliding_windows, display_formats,
     )
 }
 
@@ -316,6 +338,8 @@ SELECT c.conv_id, coalesce(string_agg(term, ',' ORDER BY place), '') AS lost FRO
     "carry_forward": """WITH x AS (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS p FROM events)
 SELECT event_id, last_value(p IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase, lag(p) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS just_before FROM x""",
     "sliding_window_count": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS last_hour FROM events",
+    "bodies_checked": """WITH x AS (SELECT ['BOA', 'BOCM', 'BOCYL', 'BOPV', 'BON', 'DOC'][o_orderkey % 6 + 1] AS prefix, o_custkey % 4 AS kind FROM orders)
+SELECT prefix, CASE WHEN prefix = 'DOC' THEN NULL WHEN kind = 3 AND prefix <> 'BOA' THEN 'malformed' WHEN kind = 2 THEN 'unreadable' WHEN kind = 0 THEN 'right' ELSE 'another' END AS state, count(*) AS bodies FROM x GROUP BY ALL""",
     "ledgered_run": "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS ids, max(value) AS most FROM events GROUP BY event_type",
     "session_gaps": """WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOURS, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -13,7 +13,7 @@ from pyspark.sql.functions import arrow_udf
 
 from docstrata.functions.text import collapse, sniffed_format, strip_tags, unescape, verb_key
 from docstrata.sources.layouts import MOST_BYTES, MOST_DEPTH, MOST_ELEMENTS, Refused, walked
-from docstrata.sources.summaries import safe_xml
+from docstrata.sources.summaries import issue_header, safe_xml
 
 #: Text shorter than this is an error page's, not a document's.
 LEAST_TEXT = 200
@@ -195,6 +195,45 @@ def is_the_one(identifier: Column, body: Column, validators: dict[str, str] | No
     return out
 
 
+#: How the identifiers look whose bodies say what they are, by prefix; the groups are what a body must say.
+IDENTIFIED = {
+    "BOA": r"^BOA-(.+)\z",
+    "BOCM": r"^(BOCM-\d{8}-\d{1,6})\z",
+    "BOCYL": r"^BOCYL-D-(\d{2})(\d{2})(\d{4})-\d+\z",
+    "BOPV": r"^BOPV-D-\d{8}-(\d{1,6})\z",
+    "BON": r"^BON-D-(\d{4})-(\d{1,4})-\d{1,5}\z",
+}
+_SAID = "registro array<struct<docn:string>>, metadatos struct<identificador:string>, fechaPublicacion array<string>, BOPVOrden array<string>"
+
+
+def body_state(identifier: Column, body: Column) -> Column:
+    """Whether a body is the one of its identifier: right, another, unreadable (it says nothing of
+    the kind), or malformed (the identifier is); null where the source's bodies say nothing to compare.
+
+    By prefix: the only register's control number; the identifier in the metadata; the day of
+    publication; the order number; the number and year in the header of a page. Two of them must
+    begin with an XML declaration. A document type or an entity makes an XML body unreadable. A null body is unreadable.
+    """
+    part = lambda name, i=1: F.regexp_extract(identifier, IDENTIFIED[name], i)
+    said = F.from_xml(safe_xml(body), _SAID)
+    declared = body.startswith("<?xml")
+    first = lambda c: F.nullif(F.trim(F.get(c, F.lit(0))), F.lit(""))
+    header = issue_header(body)
+    number = lambda name, i: part(name, i).try_cast("int")
+    says = {
+        "BOA": (F.when(declared & (F.size(said["registro"]) == 1), first(F.transform(said["registro"], lambda r: r["docn"]))), part("BOA")),
+        "BOCM": (F.nullif(F.trim(said["metadatos"]["identificador"]), F.lit("")), part("BOCM")),
+        "BOCYL": (F.when(declared, first(said["fechaPublicacion"])), F.concat_ws("-", part("BOCYL", 3), part("BOCYL", 2), part("BOCYL", 1))),
+        "BOPV": (first(said["BOPVOrden"]), part("BOPV")),
+        "BON": (F.when(header.isNotNull(), F.concat_ws("/", header["number"], F.year(header["day"]))), F.concat_ws("/", number("BON", 2), number("BON", 1))),
+    }
+    out = F.lit(None).cast("string")
+    for name, (told, wanted) in says.items():
+        state = F.when(~identifier.rlike(IDENTIFIED[name]), "malformed").when(told.isNull(), "unreadable").when(told == wanted, "right").otherwise("another")
+        out = F.when(identifier.startswith(f"{name}-"), state).otherwise(out)
+    return out
+
+
 def recovery_candidates(rows: DataFrame) -> DataFrame:
     """Unreadable rows (id, url, state) with the address of another format; back to pending."""
     from docstrata.functions.identifiers import alternate_url

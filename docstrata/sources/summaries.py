@@ -180,7 +180,7 @@ def flat_items(rows: DataFrame, section: str, subsection: str, organ: str, title
 def issue_header(content: Column) -> Column:
     """Struct (number, day, extra) of a header such as ``BOLETÍN Nº 12 - 9 de enero de 2024 - EXTRAORDINARIO``."""
     text = collapse(strip_tags(content))
-    pattern = r"(?iu)BOLET[IÍ]N\s+N[º°o]\s*(\d+)\s*-\s*(\d{1,2} de \p{L}+ de \d{4})(\s*-\s*EXTRAORDINARIO)?"
+    pattern = r"(?iu)BOLET[IÍ]N\s*N(?:&\w{1,8};|\S{0,3})\s*(\d{1,4})\s*-\s*(\d{1,2} de \p{L}+ de \d{4})(\s*-\s*EXTRAORDINARIO)?"
     number = F.regexp_extract(text, pattern, 1)
     return F.when(number != "", F.struct(number.cast("int").alias("number"), long_date(F.regexp_extract(text, pattern, 2)).alias("day"), (F.regexp_extract(text, pattern, 3) != "").alias("extra")))
 

@@ -341,3 +341,20 @@ def test_a_ledger_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
     one = runner.committed(spark, folder).first()["batch"]
     spark.createDataFrame([(7, "x")], "k int, v string").write.mode("append").parquet(f"{folder}/data/batch={one}")
     assert states() == ["changed"] + ["verified"] * 3
+
+
+def test_body_states(spark):
+    xml = "<?xml version='1.0'?>"
+    cases = [
+        ("BOA-007", f"{xml}<r><registro><docn>007</docn></registro></r>", "right"), ("BOA-007", f" {xml}<r><registro><docn>007</docn></registro></r>", "unreadable"), ("BOA-007", f"{xml}<r><registro><docn>7</docn></registro></r>", "another"), ("BOA-007", "<r><registro><docn>007</docn></registro></r>", "unreadable"),
+        ("BOA-007", f"{xml}<r><registro><docn>007</docn></registro><registro><docn>007</docn></registro></r>", "unreadable"),
+        ("BOCM-20260105-3", "<d><metadatos><identificador> BOCM-20260105-3 </identificador><fecha_publicacion>20260104</fecha_publicacion></metadatos></d>", "right"), ("BOCM-20260105-3", "<d><metadatos><identificador>BOCM-20260105-30</identificador></metadatos></d>", "another"),
+        ("BOCM-2026-3", "<d/>", "malformed"), ("BOCM-20260105-3\n", "<d/>", "malformed"), ("BOCM-20260105-3", "<!DOCTYPE d><d><metadatos><identificador>BOCM-20260105-3</identificador></metadatos></d>", "unreadable"),
+        ("BOCYL-D-05012026-1", f"{xml}<d><fechaPublicacion>2026-01-05</fechaPublicacion></d>", "right"), ("BOCYL-D-05012026-1", f"{xml}<d><fechaPublicacion>2026-05-01</fechaPublicacion></d>", "another"), ("BOCYL-D-05012026-1", f"{xml}<d/>", "unreadable"),
+        ("BOPV-D-20260105-12", "<d><BOPVOrden>12</BOPVOrden><BOPVOrden>13</BOPVOrden></d>", "right"), ("BOPV-D-20260105-12", "<d><BOPVOrden>012</BOPVOrden></d>", "another"),
+        ("BON-D-2024-012-5", "<p>BOLETÍN Nº 12 - 9 de enero de 2024</p>", "right"), ("BON-D-2023-12-5", "<p>BOLETÍN Nº 12 - 9 de enero de 2024</p>", "another"), ("BON-D-2024-12-5", "<p>error</p>", "unreadable"), ("BON-D-2024-12-5", None, "unreadable"),
+        ("BOE-A-2024-1", "x", None), (None, "x", None), ("BOC-1", "x", None), ("", "", None),
+    ]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "k int, a string, b string")
+    got = {r["k"]: r["s"] for r in rows.select("k", bodies.body_state(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert [(c, got[i]) for i, c in enumerate(cases) if got[i] != c[2]] == []
