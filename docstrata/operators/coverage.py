@@ -85,3 +85,16 @@ def ranking(regions: DataFrame, alerts: str, name: str, n: int = MOST_RANKED) ->
     """
     spanish = F.collate(F.col(name), "es")
     return regions.filter(F.col(alerts) > 0).orderBy(F.desc(alerts), spanish.asc_nulls_last()).limit(n)
+
+
+def nested(levels: DataFrame, laws: DataFrame, region: str, level: str, law: str) -> DataFrame:
+    """(region, levels, laws) in order of region: its levels (structs of their columns) by name, its laws in force by identifier.
+
+    A region that only one side knows has an empty list of the other; rows without a region are left
+    out. Levels and laws are those of one region.
+    """
+    fields = lambda rows, first: F.struct(first, *(c for c in rows.columns if c not in (region, first)))
+    listed = lambda rows, first, name: rows.filter(F.col(region).isNotNull()).groupBy(region).agg(F.array_sort(F.collect_list(fields(rows, first))).alias(name))
+    both = listed(levels, level, "levels").join(listed(laws, law, "laws"), region, "full")
+    filled = lambda c: F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c)
+    return both.select(region, filled("levels"), filled("laws")).orderBy(region)

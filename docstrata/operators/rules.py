@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.config import MODIFYING
+from docstrata.config import MODIFYING, Versions
 from docstrata.functions.text import precept_numbers
 
 SETBACK, UNCLEAR, NEUTRAL, ADVANCE = "setback", "unclear", "neutral", "advance"
@@ -91,3 +91,42 @@ def corroborated(pointers: Column, evidence: Column) -> Column:
 def obsolete(now: DataFrame, before: DataFrame) -> DataFrame:
     """(id, old_rule, alerted) of rows that had a rule and have none now; ``alerted`` warns of those already published."""
     return before.filter("rule is not null").join(now.select("id", F.col("rule").alias("new_rule")), "id", "left").filter("new_rule is null").select("id", F.col("rule").alias("old_rule"), F.coalesce("alerted", F.lit(False)).alias("alerted"))
+
+
+#: What the evidence of a verdict holds, always all of it: a reader must be able to tell nothing from unknown.
+EVIDENCE = (
+    "rule string, rules_version string, text_version string, lexicon_version string, derivation string, watched array<string>, organs array<string>, "
+    "spans array<struct<start:int,finish:int,fragment:string>>, confirmed array<string>, unconfirmed array<string>, lost array<string>, changed bigint, classified_at string"
+)
+
+
+def with_evidence(verdicts: DataFrame, now: Column, versions: Versions = Versions()) -> DataFrame:
+    """``verdicts`` with ``evidence``, JSON that lets a third party refute a verdict without this code.
+
+    It has the keys of ``EVIDENCE``, null ones too. Lists and counts that ``verdicts`` has (watched, organs, spans,
+    confirmed, unconfirmed, lost, changed) are taken, missing or null ones are empty and 0. Offsets mean
+    something only with the version and the derivation of the text that they were measured on, hence those stand
+    beside them. Rows without a rule have no evidence.
+    """
+    types = {f.name: f.dataType for f in verdicts.sparkSession.createDataFrame([], EVIDENCE).schema}
+    told = {"rules_version": versions.rules, "text_version": versions.text, "lexicon_version": versions.lexicon}
+    given = lambda c: F.col(c) if c in verdicts.columns else F.lit(None)
+
+    def value(name: str) -> Column:
+        if name in told:
+            return F.lit(told[name])
+        if name == "classified_at":
+            return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss")
+        typed = given(name).cast(types[name])
+        if name == "changed":
+            return F.coalesce(typed, F.lit(0).cast("bigint"))
+        return typed if name in ("rule", "derivation") else F.coalesce(typed, F.array().cast(types[name]))
+
+    whole = F.to_json(F.struct(*(value(name).alias(name) for name in types)), {"ignoreNullFields": "false"})
+    return verdicts.withColumn("evidence", F.when(F.col("rule").isNotNull(), whole))
+
+
+def evidence_read(evidence: Column) -> Column:
+    """Evidence as a struct; spans that lack an end or the fragment are dropped."""
+    read = F.from_json(evidence, EVIDENCE)
+    return read.withField("spans", F.filter(read["spans"], lambda s: s["start"].isNotNull() & s["finish"].isNotNull() & s["fragment"].isNotNull()))

@@ -134,6 +134,28 @@ def sources_by_name(spark: SparkSession, d: str) -> DataFrame:
     return read.union(lost).groupBy("source", "state").agg(F.count("*").alias("rows"), F.min("identifier").alias("first"))
 
 
+def coverage_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Nations with their market segments as levels, by name, and their suppliers in credit as laws, by number."""
+    levels = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("region"), F.col("c_mktsegment").alias("level")).agg(F.count("*").alias("known"), F.count_if(F.col("c_acctbal") > 0).alias("watched"))
+    laws = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_nationkey").alias("region"), F.col("s_suppkey").alias("law"))
+    rows = coverage.nested(levels, laws, "region", "level", "law")
+    told = F.transform("levels", lambda x: F.concat_ws(":", x["level"], x["known"].cast("string"), x["watched"].cast("string")))
+    return rows.select("region", F.array_join(told, ",").alias("levels"), F.array_join(F.transform("laws", lambda x: x["law"].cast("string")), ",").alias("laws"))
+
+
+def verdict_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as verdicts, their lines as spans, a returned one has no end: written as evidence, and read back with all its keys."""
+    span = F.struct(F.col("l_linenumber").alias("start"), F.when(F.col("l_returnflag") != "A", F.col("l_partkey").cast("int")).alias("finish"), F.col("l_linestatus").alias("fragment"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("watched"))  # of one order
+    verdicts = _orders(spark, d).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "spans", "watched", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("rule"), F.lit("xml").alias("derivation"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    written = rules.with_evidence(verdicts, F.col("at"))
+    read = written.withColumn("e", rules.evidence_read(F.col("evidence")))
+    return read.select(
+        "o_orderkey", "e.rule", "e.rules_version", "e.text_version", "e.lexicon_version", F.size("e.spans").cast("long").alias("spans"), F.size("e.watched").cast("long").alias("watched"), F.size("e.organs").cast("long").alias("organs"),
+        F.array_join("e.watched", ",").alias("keys"), F.size(F.json_object_keys("evidence")).cast("long").alias("fields"), F.substring("e.classified_at", 1, 10).alias("day"),
+    )
+
+
 def page_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Orders as summary pages, a line an item: headings hold, titles are used up, links repeat and some are of another day."""
     number = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("string")
@@ -172,7 +194,7 @@ def region_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (citation_index, touched_items, watched_changes, gate_admissions, obsolete_verdicts, documents_filtered, coverage_legibility, map_every_region, map_silences, sources_by_name, page_summaries, deed_summaries, region_ranking)
+    for f in (citation_index, touched_items, watched_changes, gate_admissions, obsolete_verdicts, documents_filtered, coverage_legibility, map_every_region, map_silences, coverage_nested, verdict_evidence, sources_by_name, page_summaries, deed_summaries, region_ranking)
 }
 
 _SQL_EDGES = """w AS (SELECT p_partkey AS key, p_size <= 3 AS specific FROM part WHERE p_size <= 10),
@@ -213,6 +235,13 @@ x AS (SELECT 'gazette' AS source, 'good' AS state, 'CUS-' || CAST(c_custkey AS V
   UNION ALL SELECT 'open_data', CASE WHEN event_type <> 'error' THEN 'good' ELSE 'quarantined' END, lpad(CAST(event_id AS VARCHAR), 10, '0') FROM events
   UNION ALL SELECT CASE WHEN page_id % 2 = 0 THEN 'web' ELSE 'none' END, 'unknown', NULL FROM pages)
 SELECT source, state, count(*) AS rows, min(id) AS first FROM x GROUP BY source, state""",
+    "coverage_nested": """WITH l AS (SELECT c_nationkey AS region, c_mktsegment AS level, c_mktsegment || ':' || count(*) || ':' || count(*) FILTER (c_acctbal > 0) AS told FROM customer GROUP BY c_nationkey, c_mktsegment),
+x AS (SELECT region, string_agg(told, ',' ORDER BY level) AS levels FROM l GROUP BY 1), y AS (SELECT s_nationkey AS region, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS laws FROM supplier WHERE s_acctbal > 0 GROUP BY 1)
+SELECT region, coalesce(levels, '') AS levels, coalesce(laws, '') AS laws FROM x FULL JOIN y USING (region) ORDER BY region""",
+    "verdict_evidence": """WITH l AS (SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'A') AS spans, count(DISTINCT l_suppkey) AS watched, array_to_string(list_sort(list(DISTINCT CAST(l_suppkey AS VARCHAR))), ',') AS keys FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE WHEN f THEN o_orderpriority END AS rule, CASE WHEN f THEN '2026.1' END AS rules_version, CASE WHEN f THEN '2026.1' END AS text_version, CASE WHEN f THEN '2026.1' END AS lexicon_version, CASE WHEN f THEN coalesce(spans, 0) END AS spans,
+  CASE WHEN f THEN coalesce(watched, 0) END AS watched, CAST(CASE WHEN f THEN 0 END AS BIGINT) AS organs, CASE WHEN f THEN coalesce(keys, '') END AS keys, CAST(CASE WHEN f THEN 13 END AS BIGINT) AS fields, CASE WHEN f THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day
+FROM (SELECT *, o_orderstatus <> 'P' AS f FROM orders) LEFT JOIN l ON o_orderkey = l_orderkey""",
     "page_summaries": """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem GROUP BY 1, 2)
 SELECT 'BOCYL-D-' || strftime(DATE '2026-01-01' + CAST(o % 300 AS INTEGER), '%d%m%Y') || '-' || (o * 100 + n) AS identifier, CASE WHEN flag <> 'A' THEN 'The line with number ' || n END AS title,
   last_value(CASE WHEN status = 'O' THEN 'Open & ' || flag END IGNORE NULLS) OVER (PARTITION BY o ORDER BY n ROWS UNBOUNDED PRECEDING) AS section, CASE WHEN flag <> 'A' THEN 'good' ELSE 'untitled' END AS state FROM l""",

@@ -390,3 +390,23 @@ def test_verbs_before_a_citation(spark):
     assert all(r["distance"] == len(r["rest"]) for r in got)
     holding = [r for r in spark.createDataFrame(got).select("place", "verb", references.governs(F.col("rest")).alias("g"), F.array(*(F.when(x(F.col("rest")), k) for k, x in references.REJECTS.items())).alias("why")).collect()]
     assert all(r["g"] == (not any(r["why"])) for r in holding) and {r["place"] for r in holding if r["g"]} == {0, 1}
+
+
+def test_evidence_has_all_its_keys(spark):
+    span = "array<struct<start int, finish int, fragment string>>"
+    rows = [("R", [(1, 2, "a"), (None, 2, "b"), (3, None, "c"), (3, 4, None), (5, 6, "ñ")], None), (None, [], ["x"]), ("S", None, ["2", "1"])]
+    got = rules.with_evidence(spark.createDataFrame(rows, f"rule string, spans {span}, watched array<string>"), F.lit("2026-01-05 10:00:00").cast("timestamp_ntz"), Versions(rules="r", text="t", lexicon="l"))
+    found = [r for r in got.withColumn("e", rules.evidence_read(F.col("evidence"))).collect()]
+    assert [r["evidence"] is None for r in found] == [False, True, False]
+    whole = json.loads(found[0]["evidence"])
+    assert list(whole) == ["rule", "rules_version", "text_version", "lexicon_version", "derivation", "watched", "organs", "spans", "confirmed", "unconfirmed", "lost", "changed", "classified_at"]
+    assert (whole["rules_version"], whole["text_version"], whole["lexicon_version"], whole["derivation"], whole["watched"], whole["changed"], whole["classified_at"]) == ("r", "t", "l", None, [], 0, "2026-01-05T10:00:00")
+    assert [tuple(s) for s in found[0]["e"]["spans"]] == [(1, 2, "a"), (5, 6, "ñ")] and found[2]["e"]["spans"] == [] and found[2]["e"]["watched"] == ["2", "1"]
+
+
+def test_nested_coverage(spark):
+    levels = spark.createDataFrame([("B", "state", 1), ("A", "region", 2), ("A", "local", 3), (None, "local", 4)], "r string, level string, n int")
+    laws = spark.createDataFrame([("A", "L-2"), ("A", "L-1"), ("C", "L-3"), (None, "L-4")], "r string, law string")
+    got = [(r["r"], [tuple(x) for x in r["levels"]], [tuple(x) for x in r["laws"]]) for r in coverage.nested(levels, laws, "r", "level", "law").collect()]
+    assert got == [("A", [("local", 3), ("region", 2)], [("L-1",), ("L-2",)]), ("B", [("state", 1)], []), ("C", [], [("L-3",)])]
+    assert coverage.nested(levels.limit(0), laws.limit(0), "r", "level", "law").count() == 0
