@@ -168,10 +168,10 @@ def positional_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def flat_headers(spark: SparkSession, d: str) -> DataFrame:
     """Interleaved headers: sections reset subsections, titles are used up by the next number."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    lines = table(spark, d, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
     parts = F.concat(F.lit("<s>"), "flag", F.lit("</s>"), F.when(F.col("status") == "O", F.lit("<u>open</u>")).otherwise(""), F.lit("<t>title "), F.col("l_linenumber").cast("string"), F.lit("</t><n>"), F.col("l_linenumber").cast("string"), F.lit("</n><n>"), (F.col("l_linenumber") + 10).cast("string"), F.lit("</n>"))
     packed = lines.withColumn("x", parts).groupBy(F.col("l_orderkey").alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "x"))), lambda e: e["x"]), "").alias("content"))
-    items = summaries.flat_items(summaries.elements(packed, r"(?is)<([sutn])>(.*?)</[sutn]>"), "s", "u", "o", "t", "n")
+    items = packed.select("key", F.inline(summaries.flat_list(summaries.element_list(F.col("content"), r"(?is)<([sutn])>(.*?)</[sutn]>"), "s", "u", "o", "t", "n")))
     return items.select("key", F.col("number").cast("long").alias("number"), "section", F.coalesce("subsection", F.lit("")).alias("subsection"), F.coalesce("title", F.lit("")).alias("title"))
 
 

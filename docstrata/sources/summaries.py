@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docstrata.functions.dates import long_date
-from docstrata.functions.text import collapse, strip_tags, unescape
-from docstrata.operators.versions import carried_forward
+from docstrata.functions.text import bound, collapse, strip_tags, unescape
 
 _ITEM = "identificador:string,titulo:string,url_xml:string,url_pdf:string"
 NESTED_SCHEMA = (
@@ -149,32 +148,58 @@ def paired_by_position(raw: DataFrame, first: str, second: str) -> DataFrame:
     return lists.select("key", F.posexplode(zipped).alias("place", "z")).select("key", "place", "z.a", "z.b")
 
 
+def element_list(content: Column, pattern: str) -> Column:
+    """Array of (tag, value) of markup elements in document order, as `elements` gives them."""
+    tags, values = (F.regexp_extract_all(content, F.lit(pattern), F.lit(i)) for i in (1, 2))
+    zipped = F.arrays_zip(tags.alias("tag"), values.alias("value"))
+    return F.transform(zipped, lambda e: F.struct(F.lower(e["tag"]).alias("tag"), collapse(unescape(strip_tags(e["value"]))).alias("value")))
+
+
 def elements(raw: DataFrame, pattern: str) -> DataFrame:
     """(key, place, tag, value) of markup elements in document order.
 
     ``pattern`` has one group for the tag and one for the value. Values are cleaned: tags
     stripped, entities resolved, blanks collapsed.
     """
-    tags, values = (F.regexp_extract_all("content", F.lit(pattern), F.lit(i)) for i in (1, 2))
-    each = raw.select("key", F.posexplode(F.arrays_zip(tags.alias("tag"), values.alias("value"))).alias("place", "e"))
-    return each.select("key", "place", F.lower("e.tag").alias("tag"), collapse(unescape(strip_tags(F.col("e.value")))).alias("value"))
+    return raw.select("key", F.posexplode(element_list(F.col("content"), pattern)).alias("place", "e")).select("key", "place", "e.tag", "e.value")
+
+
+def _first_of_each(items: Column, key: str) -> Column:
+    """Of an array of structs that begin with ``key`` and a place, the first of each key; sorted, not compared in pairs."""
+    return bound(F.sort_array(items), lambda all_: F.filter(all_, lambda x, i: (i == 0) | ~F.get(all_, i - 1)[key].eqNullSafe(x[key])))
+
+
+_FLAT = "struct<section:string,subsection:string,organ:string,title:string,out:array<struct<number:int,place:int,section:string,subsection:string,organ:string,title:string>>>"
+
+
+def flat_list(listed: Column, section: str, subsection: str, organ: str, title: str, order: str) -> Column:
+    """Array of (number, place, section, subsection, organ, title) from one document's headers, an array of (tag, value) in order.
+
+    One walk that holds the headers and takes the title, so that no row of a document is sorted or shuffled.
+    """
+
+    def step(held: Column, e: Column) -> Column:
+        is_a = lambda tag: e["tag"] == tag
+        kept = lambda tag, name: F.when(is_a(tag), F.coalesce(e["value"], held[name])).otherwise(held[name]).alias(name)
+        below = F.when(is_a(section), F.lit(None)).when(is_a(subsection), F.coalesce(e["value"], held["subsection"])).otherwise(held["subsection"])
+        left = F.when(is_a(title), e["value"]).when(is_a(order), F.lit(None)).otherwise(held["title"])
+        one = F.struct(e["value"].cast("int").alias("number"), F.size(held["out"]).alias("place"), held["section"], held["subsection"], held["organ"], held["title"])
+        out = F.when(is_a(order) & e["value"].rlike(r"^\d{1,5}\z"), F.concat(held["out"], F.array(one))).otherwise(held["out"])
+        return F.struct(kept(section, "section"), below.alias("subsection"), kept(organ, "organ"), left.alias("title"), out.alias("out"))
+
+    nothing = F.lit(None).cast("string")
+    start = F.struct(nothing.alias("section"), nothing.alias("subsection"), nothing.alias("organ"), nothing.alias("title"), F.array().alias("out")).cast(_FLAT)
+    return _first_of_each(F.aggregate(listed, start, step, lambda held: held["out"]), "number")
 
 
 def flat_items(rows: DataFrame, section: str, subsection: str, organ: str, title: str, order: str) -> DataFrame:
     """(key, number, section, subsection, organ, title) from interleaved headers (key, place, tag, value).
 
     Headers hold until the next of their kind; a new section resets its subsection; a title
-    is used up by the first number after it.
+    is used up by the first number after it. Of a number that repeats, the first counts.
     """
-    value = lambda tag: F.when(F.col("tag") == tag, F.col("value"))
-    run = F.sum((F.col("tag") == section).cast("int")).over(Window.partitionBy("key").orderBy("place"))
-    held = rows.withColumn("run", run)
-    held = held.withColumn("section", carried_forward(held, value(section), ["place"], "key"))
-    held = held.withColumn("subsection", carried_forward(held, value(subsection), ["place"], "key", "run"))
-    held = held.withColumn("organ", carried_forward(held, value(organ), ["place"], "key"))
-    told = held.filter(F.col("tag").isin(title, order)).withColumn("title", F.lag(value(title)).over(Window.partitionBy("key").orderBy("place")))
-    items = told.filter((F.col("tag") == order) & F.col("value").rlike(r"^\d{1,5}\z")).select("key", F.col("value").cast("int").alias("number"), "section", "subsection", "organ", "title", "place")
-    return keep_first(items, "number", "place", within="key").drop("place")
+    lists = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "tag", "value"))).alias("all"))  # of one document
+    return lists.select("key", F.inline(flat_list(F.col("all"), section, subsection, organ, title, order))).drop("place")
 
 
 def issue_header(content: Column) -> Column:

@@ -67,6 +67,22 @@ def test_flat_items_reset_and_consume(spark):
     assert [(g["number"], g["section"], g["subsection"], g["title"]) for g in got] == [(1, "S1", "U1", "T1"), (2, "S1", "U1", None), (3, "S2", None, "T3")]
 
 
+def plans(df):
+    """The optimised plan of a DataFrame as text."""
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_headers_are_walked_without_sorting_rows(spark, small):
+    """One row per document until its items are out: no window, and no row of a header in a sort."""
+    from docstrata.plans import registry as queries
+
+    assert "Window" not in plans(queries.queries()["flat_headers"](spark, small))
+    content = "<s>A</s><u>u</u><t>t1</t><n>1</n><t>lost</t><t>t2</t><n>x</n><n>2</n><o>O</o><s>B</s><n>1</n><n>3</n>"
+    listed = spark.createDataFrame([(content,), ("",), (None,)], "content string").select(F.inline(summaries.flat_list(summaries.element_list(F.col("content"), r"(?is)<([soutn])>(.*?)</[soutn]>"), "s", "u", "o", "t", "n")))
+    told = [(r["number"], r["section"], r["subsection"], r["organ"], r["title"]) for r in listed.orderBy("number").collect()]
+    assert told == [(1, "A", "u", None, "t1"), (2, "A", "u", None, None), (3, "B", None, "O", None)]
+
+
 def test_issue_header_and_days(spark):
     row = spark.createDataFrame([("<b>BOLETÍN Nº 12</b> - 9 de enero de 2024 - EXTRAORDINARIO",)], "x string").select(summaries.issue_header(F.col("x")).alias("h")).first()["h"]
     assert tuple(row) == (12, datetime.date(2024, 1, 9), True)
