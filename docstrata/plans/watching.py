@@ -173,11 +173,11 @@ def deed_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Orders as nested summaries of deeds, a line a deed, all twice; every tenth summary is of another day."""
     day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("l_orderkey") % 300).cast("int"))
     issue = F.concat(F.lit("BOCM-"), F.date_format(F.when(F.col("l_orderkey") % 10 == 0, F.date_add(day, 1)).otherwise(day), "yyyyMMdd"))
-    keyed = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag")).select("*", day.alias("day"), issue.alias("issue"))
+    keyed = table(spark, d, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag")).select("*", day.alias("day"), issue.alias("issue"))
     identifier = F.concat("issue", F.lit("-"), (F.floor(F.col("l_orderkey") / 300) * 8 + F.col("l_linenumber")).cast("string"))
     one = _element("disposicion", _element("identificador", identifier), _element("titulo", F.concat(F.lit(" Line "), F.col("l_linenumber").cast("string"))), _element("url_xml", F.lit("u")))
     under = F.concat(F.lit("<organismo nombre='"), "flag", F.lit("'>"), one, F.lit("</organismo>"))
-    packed = keyed.groupBy("l_orderkey", "day", "issue").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", under.alias("x")))), lambda e: e["x"]), "").alias("all"))
+    packed = keyed.groupBy("l_orderkey", "day", "issue").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", under.alias("x")))), lambda e: e["x"]), "").alias("all"))
     section = lambda n: F.concat(F.lit(f"<seccion nombre='S{n}'><apartado nombre='H'>"), "all", F.lit("</apartado></seccion>"))
     content = F.concat(F.lit("<sumario><metadatos><identificador>"), "issue", F.lit("</identificador></metadatos><diario><secciones>"), section(1), section(2), F.lit("</secciones></diario></sumario>"))
     got = summaries.deeds(packed.select("day", content.alias("content")))

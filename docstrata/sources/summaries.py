@@ -112,24 +112,26 @@ def deeds(raw: DataFrame, prefix: str = "BOCM", most: int = MOST_ITEMS) -> DataF
     that repeat are taken once, the first in document order.
     """
     parsed = raw.select("day", F.from_xml(safe_xml(F.col("content")), DEEDS_SCHEMA).alias("r"))
-    none = F.array().cast("array<struct<section:string,heading:string,organ:string,i:struct<identificador:string,titulo:string,url_xml:string,url_pdf:string>>>")
+    none = F.array().cast("array<struct<identifier:string,title:string,section:string,heading:string,organ:string,url:string,url_pdf:string>>")
 
     def under(section: Column) -> Column:
-        of = lambda a, o: F.transform(o["disposicion"], lambda i: F.struct(section["_nombre"].alias("section"), a["_nombre"].alias("heading"), o["_nombre"].alias("organ"), i.alias("i")))
+        item = lambda a, o, i: F.struct(F.trim(i["identificador"]).alias("identifier"), F.trim(i["titulo"]).alias("title"), section["_nombre"].alias("section"), a["_nombre"].alias("heading"), o["_nombre"].alias("organ"), F.trim(i["url_xml"]).alias("url"), F.trim(i["url_pdf"]).alias("url_pdf"))
+        of = lambda a, o: F.transform(o["disposicion"], lambda i: item(a, o, i))
         return F.flatten(F.filter(F.flatten(F.transform(F.filter(section["apartado"], lambda a: a["organismo"].isNotNull()), lambda a: F.transform(a["organismo"], lambda o: of(a, o)))), lambda x: x.isNotNull()))
 
     sections = F.filter(F.transform("r.diario.secciones.seccion", under), lambda x: x.isNotNull())
     name = F.concat_ws("-", F.lit(prefix), F.date_format("day", "yyyyMMdd"))
     listed = parsed.select("day", name.alias("issue"), F.trim("r.metadatos.identificador").alias("summary"), F.coalesce(F.flatten(sections), none).alias("all"))
-    whole = lambda x: (F.trim(x["i"]["identificador"]).rlike(r"-\d{1,6}\z") & (F.substring_index(F.trim(x["i"]["identificador"]), "-", 2) == F.col("issue")) & (F.trim(x["i"]["titulo"]) != "") & (F.trim(x["i"]["url_xml"]) != ""))
-    different = F.size(F.array_distinct(F.transform("all", lambda x: F.trim(x["i"]["identificador"]))))
-    good = (F.col("summary") == F.col("issue")) & F.forall("all", lambda x: F.coalesce(whole(x), F.lit(False))) & (different.between(1, most))
+    whole = lambda x: (F.substring_index(x["identifier"], "-", 2) == F.col("issue")) & x["identifier"].rlike(r"-\d{1,6}\z") & (x["title"] != "") & (x["url"] != "")
+    good = (F.col("summary") == F.col("issue")) & F.forall("all", lambda x: F.coalesce(whole(x), F.lit(False))) & (F.size(F.array_distinct("all.identifier")).between(1, most))
     told = listed.select("day", "summary", F.coalesce(good, F.lit(False)).alias("good"), "all")
-    each = told.filter("good").select("day", F.posexplode("all").alias("place", "x"))
-    items = each.select("day", F.trim("x.i.identificador").alias("identifier"), F.substring(F.trim("x.i.titulo"), 1, 2000).alias("title"), "x.section", "x.heading", "x.organ", F.trim("x.i.url_xml").alias("url"), F.nullif(F.trim("x.i.url_pdf"), F.lit("")).alias("url_pdf"), F.lit(True).alias("good"), "place")
-    first = keep_first(items, "identifier", "place", within="day").drop("place")
-    nothing = [F.lit(None).cast("string").alias(c) for c in ("title", "section", "heading", "organ", "url", "url_pdf")]
-    return first.unionByName(told.filter("not good").select("day", F.col("summary").alias("identifier"), *nothing, "good"))
+    placed = lambda x, i: F.struct(x["identifier"], i.alias("place"), F.substring(x["title"], 1, 2000).alias("title"), x["section"], x["heading"], x["organ"], x["url"], F.nullif(x["url_pdf"], F.lit("")).alias("url_pdf"))
+    bad = F.struct(F.col("summary").alias("identifier"), F.lit(0).alias("place"), *(F.lit(None).cast("string").alias(c) for c in ("title", "section", "heading", "organ", "url", "url_pdf")))
+    own = F.when(F.col("good"), _first_of_each(F.transform("all", placed), "identifier")).otherwise(F.array(bad))
+    each = told.select("day", "good", F.inline(own), F.when(~F.col("good"), F.monotonically_increasing_id()).alias("alone"))  # a row that is not good repeats none
+    within = Window.partitionBy("day", "identifier", "alone").orderBy("place")
+    first = each.withColumn("__n", F.row_number().over(within)).filter("__n = 1")
+    return first.select("day", "identifier", "title", "section", "heading", "organ", "url", "url_pdf", "good")
 
 
 def keep_first(items: DataFrame, key: str, *order: Column | str, within: str | None = None) -> DataFrame:

@@ -83,6 +83,13 @@ def test_headers_are_walked_without_sorting_rows(spark, small):
     assert told == [(1, "A", "u", None, "t1"), (2, "A", "u", None, None), (3, "B", None, "O", None)]
 
 
+def test_summaries_of_deeds_are_parsed_once(spark):
+    raw = spark.createDataFrame([(DAY, "<sumario/>"), (DAY, "<sumario/>"), (DAY, None)], "day date, content string")
+    got = summaries.deeds(raw)
+    assert plans(got).count("from_xml") == 1
+    assert [(r["good"], r["identifier"]) for r in got.collect()] == [(False, None)] * 3  # bad ones are no repeats of each other
+
+
 def test_issue_header_and_days(spark):
     row = spark.createDataFrame([("<b>BOLETÍN Nº 12</b> - 9 de enero de 2024 - EXTRAORDINARIO",)], "x string").select(summaries.issue_header(F.col("x")).alias("h")).first()["h"]
     assert tuple(row) == (12, datetime.date(2024, 1, 9), True)
