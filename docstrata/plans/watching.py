@@ -159,13 +159,13 @@ def verdict_evidence(spark: SparkSession, d: str) -> DataFrame:
 def page_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Orders as summary pages, a line an item: headings hold, titles are used up, links repeat and some are of another day."""
     number = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("string")
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    lines = table(spark, d, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
     day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("l_orderkey") % 300).cast("int"))
     link = F.concat(F.lit("<a href='BOCYL-D-"), F.date_format(day, "ddMMyyyy"), F.lit("-"), number, F.lit(".pdf'>"))
     title = F.when(F.col("flag") != "A", F.concat(F.lit("<p>The line with number "), F.col("l_linenumber").cast("string"), F.lit("</p>"))).otherwise("")
     section = F.when(F.col("status") == "O", F.concat(F.lit("<h3>Open &amp; <b>"), "flag", F.lit("</b></h3>"))).otherwise("")
     one = F.concat(section, title, F.lit("<a href='BOCYL-D-01012022-1.pdf'>"), link, F.lit("<!-- "), link, F.lit(" -->"))
-    packed = lines.withColumn("x", one).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "x"))), lambda e: e["x"]), "").alias("content"))
+    packed = lines.withColumn("x", one).groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "x"))), lambda e: e["x"]), "").alias("content"))
     return scanner.page_items(packed.select(day.alias("day"), "content")).select("identifier", "title", "section", "state")
 
 

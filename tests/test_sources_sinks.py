@@ -90,6 +90,20 @@ def test_summaries_of_deeds_are_parsed_once(spark):
     assert [(r["good"], r["identifier"]) for r in got.collect()] == [(False, None)] * 3  # bad ones are no repeats of each other
 
 
+def test_pages_share_batches(spark, monkeypatch):
+    """Rows of many pages leave in one batch; a page of its own each took most of the time."""
+    sizes = []
+    made = scanner.pa.RecordBatch
+    one = "<p>The title of it</p><a href='BOCYL-D-05012026-1.pdf'>"
+    monkeypatch.setattr(scanner, "MOST_ROWS", 3)
+    frames = {}
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, kind: frames.setdefault("run", run))
+    scanner.page_items(spark.createDataFrame([(DAY, one)], "day date, content string"))
+    batch = made.from_pydict({"day": [DAY] * 7 + [None], "content": [one] * 7 + [one]})
+    sizes = [b.num_rows for b in frames["run"](iter([batch]))]
+    assert sizes == [3, 3, 1]
+
+
 def test_issue_header_and_days(spark):
     row = spark.createDataFrame([("<b>BOLETÍN Nº 12</b> - 9 de enero de 2024 - EXTRAORDINARIO",)], "x string").select(summaries.issue_header(F.col("x")).alias("h")).first()["h"]
     assert tuple(row) == (12, datetime.date(2024, 1, 9), True)
