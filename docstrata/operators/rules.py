@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.config import MODIFYING, Versions
-from docstrata.functions.text import precept_numbers
+from docstrata.functions.text import bound, precept_numbers
 
 SETBACK, UNCLEAR, NEUTRAL, ADVANCE = "setback", "unclear", "neutral", "advance"
 
@@ -128,5 +128,5 @@ def with_evidence(verdicts: DataFrame, now: Column, versions: Versions = Version
 
 def evidence_read(evidence: Column) -> Column:
     """Evidence as a struct; spans that lack an end or the fragment are dropped."""
-    read = F.from_json(evidence, EVIDENCE)
-    return read.withField("spans", F.filter(read["spans"], lambda s: s["start"].isNotNull() & s["finish"].isNotNull() & s["fragment"].isNotNull()))
+    whole = lambda read: F.filter(read["spans"], lambda s: s["start"].isNotNull() & s["finish"].isNotNull() & s["fragment"].isNotNull())
+    return bound(F.from_json(evidence, EVIDENCE), lambda read: read.withField("spans", whole(read)))

@@ -392,6 +392,12 @@ def test_verbs_before_a_citation(spark):
     assert all(r["g"] == (not any(r["why"])) for r in holding) and {r["place"] for r in holding if r["g"]} == {0, 1}
 
 
+def test_evidence_is_parsed_once(spark):
+    """Dropping spans from a parsed struct named the parse once for each of its fields."""
+    read = spark.createDataFrame([("{}",)], "evidence string").select(rules.evidence_read(F.col("evidence")).alias("e")).select("e.*")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_evidence_has_all_its_keys(spark):
     span = "array<struct<start int, finish int, fragment string>>"
     rows = [("R", [(1, 2, "a"), (None, 2, "b"), (3, None, "c"), (3, 4, None), (5, 6, "ñ")], None), (None, [], ["x"]), ("S", None, ["2", "1"])]
