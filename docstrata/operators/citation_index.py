@@ -15,10 +15,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -30,8 +33,8 @@ RUNS = (8, 4, 2, 1)
 MOST_PHRASES, MOST_BYTES = 100_000, 1 << 24
 #: Phrases without an inner token, which are sought one by one.
 MOST_SHORT = 10_000
-#: Bits of the bitmap for more of them (2 to this power: 1 MB), and of one of its pages.
-SCREEN_BITS, PAGE_BITS = 23, 15
+#: Bits of the bitmap for more of them (2 to this power: 1 MB, and 16 MB at most, 64 bits a phrase between), and of one of its pages.
+SCREEN_BITS, MOST_BITS, PAGE_BITS = 23, 27, 15
 #: Texts are hashed in slices of about so many bytes.
 SLICE_BYTES = 1 << 20
 #: What makes a citation that follows it another document's.
@@ -106,7 +109,11 @@ class Phrase:
         self.item, self.loose = item, loose
         self.text = re.sub(r"\s+", " ", plain(text, True)).strip() if loose else text
         self.size, self.hash, self.first = key_of(self.text)
-        self.pattern = re.compile(r"\s+".join(map(re.escape, self.text.split(" ")))) if loose else None
+
+    @cached_property
+    def pattern(self) -> re.Pattern[str]:
+        """Of a loose phrase, once it meets a text: most phrases meet none in a task."""
+        return re.compile(r"\s+".join(map(re.escape, self.text.split(" "))))
 
     def fits(self, text: str, start: int) -> tuple[int, int] | None:
         """Where it ends if it begins there; None otherwise, and behind the guard."""
@@ -188,25 +195,44 @@ def _texts(column: pa.Array) -> list[str | None]:
     return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _parts(column: pa.Array, loose: bool) -> Iterator[list[str]]:
+    """The texts of a batch as they are searched, about ``SLICE_BYTES`` at a time: no more of them are held as strings."""
+    raw = column.cast(pa.binary())
+    part = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+    for a, b in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(raw)]):
+        if b > a:
+            yield [plain(t or "", loose) for t in _texts(raw.slice(a, b - a))]
+
+
+def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _kind() -> pa.DataType:
     return pa.list_(pa.struct([("start", pa.int32()), ("finish", pa.int32()), ("item", pa.string())]))
 
 
-def _finder(phrases: Phrases, loose: bool, apart: bool):
-    @arrow_udf(FOUND)
-    def find(column: pa.Array) -> pa.Array:
-        texts = [plain(t or "", loose) for t in _texts(column)]
-        spans: list[set[tuple[int, int, str]]] = [set() for _ in texts]
-        for row, first_end, met in hits(texts, phrases.sizes, phrases.candidates):
+def _finder(spark: SparkSession, phrases: Phrases, loose: bool, apart: bool):
+    held = spark.sparkContext.broadcast(phrases)  # bounded, and read once by each worker, not by each task
+
+    def spans_of(texts: list[str]) -> pa.Array:
+        spans: dict[int, set[tuple[int, int, str]]] = {}
+        known = held.value
+        for row, first_end, met in hits(texts, known.sizes, known.candidates):
             for p in met:
                 if span := p.fits(texts[row], first_end - p.first):
-                    spans[row].add((*span, p.item))
-        for p in phrases.short:
+                    spans.setdefault(row, set()).add((*span, p.item))
+        for p in known.short:
             for row, text in enumerate(texts):
-                spans[row].update((*span, p.item) for span in p.anywhere(text))
-        return pa.array([_settled(s, apart) for s in spans], _kind())
+                for span in p.anywhere(text):
+                    spans.setdefault(row, set()).add((*span, p.item))
+        return pa.array([_settled(spans[row], apart) if row in spans else [] for row in range(len(texts))], _kind())
 
-    return find
+    @arrow_udf(FOUND)
+    def find(column: pa.Array) -> pa.Array:
+        return _joined([spans_of(texts) for texts in _parts(column, loose)], _kind())
+
+    return find.asNondeterministic()  # a filter on what is found must not search all texts a second time
 
 
 def _keyed(entries: DataFrame, loose: bool) -> DataFrame:
@@ -221,37 +247,43 @@ def _keyed(entries: DataFrame, loose: bool) -> DataFrame:
     return some.mapInArrow(run, "item string, phrase string, size int, hash bigint")
 
 
-def _screen(keyed: DataFrame) -> np.ndarray:
-    """Of each value of the low bits of a hash, whether a phrase has it; 1 MB as bits, however many phrases there are."""
-    bit, page = F.col("hash").bitwiseAND(F.lit((1 << SCREEN_BITS) - 1)), F.lit((1 << PAGE_BITS) - 1)
+def _screen(keyed: DataFrame, n: int) -> np.ndarray:
+    """Of each value of the low bits of a hash, whether a phrase has it, as bits: 1 to 16 MB, however many phrases there are."""
+    bits = min(MOST_BITS, max(SCREEN_BITS, (n * 64 - 1).bit_length()))
+    bit, page = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)), F.lit((1 << PAGE_BITS) - 1)
     pages = keyed.filter("size > 0").groupBy(F.shiftright(bit, PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(bit.bitwiseAND(page)).alias("bits")).collect()
-    out = np.zeros(1 << SCREEN_BITS, dtype=bool)
+    out = np.zeros(1 << bits >> 3, dtype=np.uint8)
     for r in pages:
-        out[r["page"] << PAGE_BITS : (r["page"] + 1) << PAGE_BITS] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        out[r["page"] << PAGE_BITS >> 3 : (r["page"] + 1) << PAGE_BITS >> 3] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _by_join(docs: DataFrame, keyed: DataFrame, loose: bool, apart: bool) -> DataFrame:
-    screen = docs.sparkSession.sparkContext.broadcast(np.packbits(_screen(keyed)))  # of a fixed size
+def _by_join(docs: DataFrame, keyed: DataFrame, n: int, loose: bool, apart: bool, all_rows: bool) -> DataFrame:
+    screen = docs.sparkSession.sparkContext.broadcast(_screen(keyed, n))  # of a bounded size
     sizes = [r["size"] for r in keyed.select("size").distinct().collect()]  # at most five
     runs = [s for s in sizes if s]
     short = [Phrase(r["item"], r["phrase"], loose) for r in keyed.filter("size = 0").limit(MOST_SHORT + 1).collect()] if 0 in sizes else []
     if len(short) > MOST_SHORT:
         raise ValueError("too many phrases of fewer than three tokens")
 
-    @arrow_udf("array<struct<size:int,hash:bigint,at:int>>")
-    def candidates(column: pa.Array) -> pa.Array:
-        bits = np.unpackbits(screen.value).view(bool)
-        texts = [plain(t or "", loose) for t in _texts(column)]
+    kind = pa.list_(pa.struct([("size", pa.int32()), ("hash", pa.int64()), ("at", pa.int32())]))
+
+    def candidates_of(texts: list[str]) -> pa.Array:
+        bits = screen.value
         out: list[list[dict]] = [[] for _ in texts]
 
         def meet(size: int, found: np.ndarray) -> Iterator[tuple[int, dict]]:
-            for i in np.flatnonzero(bits[found & ((1 << SCREEN_BITS) - 1)]).tolist():
+            low = found & (len(bits) * 8 - 1)
+            for i in np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).tolist():
                 yield i, {"size": size, "hash": int(found[i])}
 
         for row, at, what in hits(texts, runs, meet):
             out[row].append({**what, "at": at})
-        return pa.array(out, pa.list_(pa.struct([("size", pa.int32()), ("hash", pa.int64()), ("at", pa.int32())])))
+        return pa.array(out, kind)
+
+    @arrow_udf("array<struct<size:int,hash:bigint,at:int>>")
+    def candidates(column: pa.Array) -> pa.Array:
+        return _joined([candidates_of(texts) for texts in _parts(column, loose)], kind)
 
     @arrow_udf(FOUND)
     def verify(column: pa.Array, met: pa.Array) -> pa.Array:
@@ -267,20 +299,20 @@ def _by_join(docs: DataFrame, keyed: DataFrame, loose: bool, apart: bool) -> Dat
             out.append(_settled(spans, apart))
         return pa.array(out, _kind())
 
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_id"), candidates(F.col("text").cast("string")).alias("candidates"))
-    each = rows.select("doc", "row_id", F.explode_outer("candidates").alias("c")).select("doc", "row_id", "c.*")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_id"), candidates.asNondeterministic()(F.col("text").cast("string")).alias("candidates"))
+    each = rows.select("doc", "row_id", F.explode("candidates").alias("c")).select("doc", "row_id", "c.*")
     met = each.join(keyed.filter("size > 0"), ["size", "hash"]).select("doc", "row_id", F.struct("item", "phrase", "at").alias("m"))
     whole = rows.select("doc", "row_id", F.lit(None).cast(met.schema["m"].dataType).alias("m"))
     some = met.union(whole) if short else met
     gathered = some.groupBy("row_id").agg(F.first("doc").alias("doc"), F.collect_list("m").alias("met"))  # of one document
     told = gathered.select("doc.*", verify(F.col("doc.text").cast("string"), F.col("met")).alias("found"))
-    if short:
-        return told
+    if short or not all_rows:
+        return told.filter(F.size("found") > 0) if not all_rows else told
     lone = rows.join(met.select("row_id").distinct(), "row_id", "left_anti").select("doc.*", F.array().cast(FOUND).alias("found"))
     return told.union(lone)
 
 
-def find_phrases(docs: DataFrame, entries: DataFrame, loose: bool = False, apart: bool = False, most: int | None = None) -> DataFrame:
+def find_phrases(docs: DataFrame, entries: DataFrame, loose: bool = False, apart: bool = False, most: int | None = None, all_rows: bool = True) -> DataFrame:
     """``docs`` with ``found``: start, finish (code points) and item of every phrase of ``entries`` (item_id, text) in ``text``.
 
     A phrase is found as it is; ``loose``: whatever the case and the accents of its vowels, with
@@ -288,13 +320,15 @@ def find_phrases(docs: DataFrame, entries: DataFrame, loose: bool = False, apart
     ones the leftmost and of those the longest. Null ids and null or empty (``loose``: blank) phrases
     are not sought, a phrase with several ids is found for each (``apart``: the first as text), null
     texts hold none and repeated rows stay repeated. Any number of phrases gives the same result.
+    Without ``all_rows`` only rows that hold a phrase are given; the others are never shuffled then.
     """
     keyed = _keyed(entries, loose)
     n, size = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
     if n <= (MOST_PHRASES if most is None else most) and size <= MOST_BYTES:
         phrases = Phrases(Phrase(r["item"], r["phrase"], loose) for r in keyed.collect())
-        return docs.withColumn("found", _finder(phrases, loose, apart)(F.col("text").cast("string")))
-    return _by_join(docs, keyed, loose, apart)
+        found = docs.withColumn("found", _finder(docs.sparkSession, phrases, loose, apart)(F.col("text").cast("string")))
+        return found if all_rows else found.filter(F.size("found") > 0)
+    return _by_join(docs, keyed, n, loose, apart, all_rows)
 
 
 def items_of(found: Column) -> Column:

@@ -37,7 +37,7 @@ def watched_citations(docs: DataFrame, watched: DataFrame) -> DataFrame:
     """
     title = F.col("title") if "title" in docs.columns else None
     entries = watched.select("item_id", citation_key(long_citation(F.col("title"))).alias("text"))
-    found = find_phrases(docs, entries, loose=True, apart=True)
+    found = find_phrases(docs, entries, loose=True, apart=True, all_rows=False)
     each = found.select("doc_id", "text", *([title] if title is not None else []), F.explode("found").alias("f")).select("*", "f.*")
     citation = F.substring("text", F.col("start") + 1, F.col("finish") - F.col("start"))
     before = F.substring("text", F.greatest(F.lit(1), F.col("start") + 1 - REACH), F.least(F.col("start"), F.lit(REACH)))

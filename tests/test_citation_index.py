@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docstrata.operators import citation_index, references
 
@@ -98,3 +99,28 @@ def test_verbs_stop_at_marks(spark):
     verb = lambda before: spark.createDataFrame([(before,)], "b string").select(references.governing_verb(F.col("b")).alias("v")).first()["v"]
     assert verb("It amends as follows: the ") == "CITES" and verb('It amends "the ') == "CITES" and verb("It amends «the» ") == "CITES"
     assert verb("It amends the second part of the ") == "AMENDS"
+
+
+def test_texts_are_searched_once_and_in_slices(spark, monkeypatch):
+    """A filter on what is found named the search a second time; a batch's texts were all held as strings at once."""
+    docs = spark.createDataFrame([(1, "a one two three b"), (2, None)], "doc_id int, text string")
+    entries = spark.createDataFrame([(7, "one two three")], "item_id int, text string")
+    touched = references.with_touched(docs, entries).filter(F.size("touched") > 0).select("doc_id", F.explode("touched").alias("item_id"))
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+    assert [(r["doc_id"], r["item_id"]) for r in touched.collect()] == [(1, "7")]
+    monkeypatch.setattr(citation_index, "SLICE_BYTES", 64)
+    column = citation_index.pa.array(["x" * 40, None, "y" * 40, "", "z" * 200, "é"])
+    parts = list(citation_index._parts(column, False))
+    assert sum(parts, []) == ["x" * 40, "", "y" * 40, "", "z" * 200, "é"] and len(parts) > 2 and list(citation_index._parts(column[:0], False)) == []
+
+
+def test_screen_grows_with_its_phrases(spark, monkeypatch):
+    """With 1 MB for any number of them most runs of a text met some phrase by chance."""
+    keyed = spark.range(1000).select(F.xxhash64("id").alias("hash"), F.lit(2).alias("size"))
+    hashes = [r["hash"] for r in keyed.collect()]
+    for n, size in ((1000, 1 << 20), (1_000_000, 1 << 23), (10**9, 1 << 24)):
+        bits = citation_index._screen(keyed, n)
+        low = [h & (len(bits) * 8 - 1) for h in hashes]
+        assert len(bits) == size and all(bits[x >> 3] >> (x & 7) & 1 for x in low)
+        assert sum(int(b).bit_count() for b in bits[bits > 0]) == len(set(low))
