@@ -41,23 +41,31 @@ def _windows(fragment: Column, pattern: str) -> Column:
     return F.transform(found, window)
 
 
-def clauses(docs: DataFrame, pattern: ClausePattern) -> DataFrame:
-    """(doc_id, family, place, start, finish, fragment) of each clause of ``docs`` (doc_id, text).
+def clauses(docs: DataFrame, *patterns: ClausePattern) -> DataFrame:
+    """(doc_id, family, place, start, finish, fragment) of each clause of ``docs`` (doc_id, text), for all ``patterns`` in one pass.
 
     A sentence counts if the construction and the companion are both in it. Of one longer
     than ``LONGEST`` a piece around each construction is taken, if the companion is in that
     piece. Evidence with the same range counts once, and a document gives ``MOST_EVIDENCE``
-    at most, which is what the feature promises its readers.
+    of a family at most, which is what the feature promises its readers.
     """
-    construction, companion = f"(?iu){pattern.construction}", f"(?iu){pattern.companion}"
-    hinted = docs.filter(F.col("text").rlike(construction) & F.col("text").rlike(companion))  # cheap, before any splitting
-    each = hinted.select("doc_id", F.inline(sentences(F.col("text")))).filter(F.col("fragment").rlike(construction))
     whole = F.array(F.struct(F.lit(0).alias("first"), F.length("fragment").alias("last")))
-    pieces = each.select("doc_id", "start", "fragment", F.inline(F.when(F.length("fragment") > LONGEST, _windows(F.col("fragment"), construction)).otherwise(whole)))
-    cut = F.substring(F.col("fragment"), F.col("first") + 1, F.col("last") - F.col("first"))
-    ranged = pieces.select("doc_id", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("finish"), cut.alias("fragment")).filter(F.col("fragment").rlike(companion)).distinct()
-    listed = ranged.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("start", "finish", "fragment"))), 1, MOST_EVIDENCE).alias("evidence"))
-    return listed.select("doc_id", F.lit(pattern.name).alias("family"), F.posexplode("evidence").alias("place", "e")).select("doc_id", "family", "place", "e.*")
+    built, companion = (lambda p: f"(?iu){p.construction}"), (lambda p: f"(?iu){p.companion}")
+    hints = F.array_compact(F.array(*(F.when(F.col("text").rlike(built(p)) & F.col("text").rlike(companion(p)), F.lit(p.name)) for p in patterns)))  # cheap, before any splitting
+    hinted = docs.select("doc_id", "text", F.explode(F.array(hints)).alias("hints")).filter(F.size("hints") > 0)  # a generator: the filter does not repeat the hints
+    each = hinted.select("doc_id", "hints", F.inline(sentences(F.col("text"))))
+
+    def pieces(p: ClausePattern) -> Column:
+        ranges = F.when(F.length("fragment") > LONGEST, _windows(F.col("fragment"), built(p))).otherwise(whole)
+        cut = lambda w: F.substring(F.col("fragment"), w["first"] + 1, w["last"] - w["first"])
+        row = lambda w: F.struct(F.lit(p.name).alias("family"), (F.col("start") + w["first"]).alias("start"), (F.col("start") + w["last"]).alias("finish"), cut(w).alias("fragment"))
+        told = F.filter(F.transform(ranges, row), lambda x: x["fragment"].rlike(companion(p)))
+        return F.when(F.array_contains("hints", p.name) & F.col("fragment").rlike(built(p)), told)
+
+    found = F.flatten(F.array_compact(F.array(*(pieces(p) for p in patterns))))
+    ranged = each.select("doc_id", F.inline(found)).distinct()
+    listed = ranged.groupBy("doc_id", "family").agg(F.slice(F.array_sort(F.collect_list(F.struct("start", "finish", "fragment"))), 1, MOST_EVIDENCE).alias("evidence"))
+    return listed.select("doc_id", "family", F.posexplode("evidence").alias("place", "e")).select("doc_id", "family", "place", "e.*")
 
 
 def clause_at(text: Column, position: Column) -> Column:
@@ -65,13 +73,18 @@ def clause_at(text: Column, position: Column) -> Column:
     return F.element_at(F.filter(sentences(text), lambda s: (s["start"] <= position) & (position < s["finish"])), 1)
 
 
-def of_organ(evidence: DataFrame, organ: str, terms: tuple[str, ...]) -> DataFrame:
-    """Evidence that names an organ and a direct term in the same clause."""
+def names_organ(organ: str, terms: tuple[str, ...]) -> Column:
+    """Whether a ``fragment`` names an organ and a direct term."""
     low = normalise(F.col("fragment"))
     named = F.lit(False)
     for t in terms:
         named = named | contains_term(low, F.lit(t))
-    return evidence.filter(F.col("fragment").rlike(f"(?iu){organ}") & named)
+    return F.col("fragment").rlike(f"(?iu){organ}") & named
+
+
+def of_organ(evidence: DataFrame, organ: str, terms: tuple[str, ...]) -> DataFrame:
+    """Evidence that names an organ and a direct term in the same clause."""
+    return evidence.filter(names_organ(organ, terms))
 
 
 def verified(text: Column, start: Column, finish: Column, fragment: Column) -> Column:

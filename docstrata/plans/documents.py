@@ -107,7 +107,7 @@ def keyset_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def _clauses(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    return clauses.clauses(docs, LICENSE).union(clauses.clauses(docs, SECRET)).union(clauses.clauses(docs, CODE))
+    return clauses.clauses(docs, LICENSE, SECRET, CODE)
 
 
 def clauses_license(spark: SparkSession, d: str) -> DataFrame:
@@ -125,13 +125,12 @@ def clause_span_verify(spark: SparkSession, d: str) -> DataFrame:
 def rule_catalogue(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts over documents: license clauses stand for suppressions, secrets for repeals, shouting for changes."""
     found = _clauses(spark, d)
-    organ = clauses.of_organ(found, r"\bsrc\d|\bGNU\b|\bApache\b", ("the", "under", "license"))
-    families = found.groupBy("doc_id").agg(F.count_if(F.col("family") == "license").alias("n_suppressions"), F.count_if(F.col("family") == "secret").alias("n_repeals"), F.count_if(F.col("family") == "shouted").alias("n_modifications"))
-    organs = organ.groupBy("doc_id").agg(F.count("*").alias("n_organ"))
+    organ = clauses.names_organ(r"\bsrc\d|\bGNU\b|\bApache\b", ("the", "under", "license"))
+    families = found.groupBy("doc_id").agg(F.count_if(F.col("family") == "license").alias("n_suppressions"), F.count_if(F.col("family") == "secret").alias("n_repeals"), F.count_if(F.col("family") == "shouted").alias("n_modifications"), F.count_if(organ).alias("n_organ"))
     watched = table(spark, d, "benchmark").select("item_id", (F.length("text") >= 250).alias("specific"), "text")
     cited = references.cited_passages(spread(table(spark, d, "documents")), watched).join(watched.drop("text"), "item_id")
     ids = cited.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("suppressed"), F.array_sort(F.collect_set(F.when(F.col("specific"), F.col("item_id")))).alias("suppressed_specific"))
-    facts = families.join(organs, "doc_id", "left").join(ids, "doc_id", "left").withColumn("n_organ", F.coalesce("n_organ", F.lit(0)))
+    facts = families.join(ids, "doc_id", "left")
     none = F.array().cast("array<bigint>")
     facts = facts.withColumns({c: F.coalesce(c, none) for c in ("suppressed", "suppressed_specific")}).withColumns({"repealed": F.col("suppressed"), "modified": F.col("suppressed")})
     return rules.classify(facts, rules.catalogue()).select("doc_id", "n_suppressions", "n_repeals", "n_modifications", "rule", "verdict", "severity", "confidence")

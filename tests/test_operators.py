@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docstrata.config import CITES, LICENSE, ClausePattern, Lexicon, Versions
+from docstrata.config import CITES, CODE, LICENSE, SECRET, ClausePattern, Lexicon, Versions
 from docstrata.functions.text import normalise
 from docstrata.operators import anchors, citation_index, clauses, coverage, extraction, gate, measure, prefilter, queues, references, rules, versions
 
@@ -392,6 +392,17 @@ def test_verbs_before_a_citation(spark):
     assert all(r["g"] == (not any(r["why"])) for r in holding) and {r["place"] for r in holding if r["g"]} == {0, 1}
 
 
+def test_clauses_of_several_families_in_one_pass(spark):
+    """One scan and one splitting for all families, with the rows that each gives alone."""
+    text = "It is licensed under the MIT License. The password: x1 is SECRET!! " + "x" * 1200 + " licensed under MIT. Licensed under nothing."
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "password: y2."), (4, "ABC!! licensed under Apache."), (5, "licensed under. MIT")], "doc_id int, text string")
+    patterns = (LICENSE, SECRET, CODE)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    whole = clauses.clauses(rows, *patterns)
+    assert plain(whole) == sorted(sum((plain(clauses.clauses(rows, p)) for p in patterns), [])) and {r["family"] for r in whole.collect()} == {"license", "secret", "shouted"}
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + whole._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
 def test_evidence_is_parsed_once(spark):
     """Dropping spans from a parsed struct named the parse once for each of its fields."""
     read = spark.createDataFrame([("{}",)], "evidence string").select(rules.evidence_read(F.col("evidence")).alias("e")).select("e.*")
