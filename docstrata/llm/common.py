@@ -142,11 +142,11 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, row_id: str, how: s
     """Inner or left join on ``key`` where one key may have a large share of ``rows``, and few rows of ``table``.
 
     Rows are dealt to ``SALTS`` parts of their key by their ``row_id``; each part meets a copy of
-    the table's row.
+    the table's row. The copies, which Spark's estimate does not count, are never broadcast.
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int"))
     copied = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copied, [key, "__salt"], how).drop("__salt")
+    return salted.join(copied.hint("merge"), [key, "__salt"], how).drop("__salt")
 
 
 # -- bounded bitmaps ----------------------------------------------------------------------

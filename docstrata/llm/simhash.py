@@ -114,12 +114,16 @@ def _segment(first: int, bits: int) -> Column:
 
 
 def variants(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """``fps`` with ``variant``: for each bit of a segment, that bit's number and the segment without it."""
+    """``fps`` with ``variant``: for each bit of a segment, that bit's number and the segment without it.
+
+    Spark's estimate knows nothing of the many rows for each fingerprint, so that joins are told to merge: by
+    the size of ``fps`` alone it would broadcast all variants.
+    """
     out = []
     for first, bits in scheme.cuts():
         for i in range(bits):
             out.append(_segment(first, bits).bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << i))) + F.lit((first + i) << 32))
-    return fps.select("*", F.explode(F.array(*out)).alias("variant"))
+    return fps.select("*", F.explode(F.array(*out)).alias("variant")).hint("merge")
 
 
 def differing(scheme: Scheme) -> Column:

@@ -10,7 +10,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from docstrata.llm import chat, exact_dedup, language, media, mixing, near_copies, packing, quality, secrets, simhash, substring
+from docstrata.llm import chat, common, exact_dedup, language, media, mixing, near_copies, packing, quality, secrets, simhash, substring
 
 
 def order(row):
@@ -254,6 +254,23 @@ def test_a_dense_group_gives_one_link_for_each_print(spark):
     assert len(set(connected_prints(spark, values).values())) == 1
 
 
+def test_many_rows_of_a_small_table_are_never_broadcast(spark, tmp_path):
+    """Of a stored table Spark sees the compressed size: 128 variants for each of its rows were broadcast, and copies for each salt."""
+    names = [*near_copies._PRINT, *near_copies._CARRIED]
+    spark.range(200).select("id", F.col("id").alias("root"), *(F.xxhash64("id", F.lit(c)).alias(c) for c in names)).write.parquet(str(tmp_path / "fps"))
+    fps, scheme = spark.read.parquet(str(tmp_path / "fps")), near_copies.PROPOSED
+    links = fps.select(F.col("id").alias("u"), F.col("root").alias("v"))
+    joins = [
+        simhash.links_to_first(fps, scheme, None, near_copies._CARRIED), simhash.cross_pairs(fps, scheme, None, near_copies._CARRIED),
+        common.salted_join(links, fps.select(F.col("id").alias("u"), "root"), "u", "v"),
+    ]
+    for df in joins:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    near = near_copies.with_partners(fps)._jdf.queryExecution().executedPlan().toString()
+    assert near.count("Generate") and "SortMergeJoin [variant" in near
+
+
 def test_segments_cover_the_bits():
     for scheme in (simhash.FOUR_BITS, near_copies.PROPOSED):
         bits = [b for first, n in scheme.cuts() for b in range(first, first + n)]
