@@ -9,6 +9,9 @@ meets is verified. No text is searched once for each phrase.
 As many phrases as fit a bound go to the tasks as one sorted array of keys, and nothing is
 shuffled. With more, a bitmap of fixed size tells which runs may be keys, and those are joined
 with the table of phrases. Both give the same rows.
+
+Long citations need no index of tokens, as one pattern finds what may be one: `find_citations`
+joins them by what stands before the month, in DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 from itertools import pairwise
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,26 @@ _FOLD = str.maketrans(FOLD_FROM + _BLANKS, FOLD_TO + " " * len(_BLANKS))
 _POWERS: dict[int, np.ndarray] = {}
 
 
+#: Every blank of a loose phrase as ranges, and the letters that `plain` makes a given one (the Kelvin sign's small letter is k).
+_SPACE = "[ \t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LETTERS = {c: c + c.upper() + "".join(x for x, y in zip(FOLD_FROM, FOLD_TO, strict=True) if y.lower() == c) + "\u212a" * (c == "k") for c in ascii_lowercase}
+_LETTER = f"[a-zA-Z{FOLD_FROM}\u212a]"
+
+
+def _loosely(phrase: str) -> str:
+    """A pattern of whatever `plain` makes the phrase, with any blanks for each of its own."""
+    return "".join(f"{_SPACE}+" if c == " " else f"[{_LETTERS[c]}]" for c in phrase)
+
+
+#: A long citation up to its month.
+_HEAD = (
+    f"(?:{_loosely('ley')}(?:{_loosely(' organica')}|{_loosely(' foral')})?|(?:{_loosely('real ')})?{_loosely('decreto')})"
+    f"{_SPACE}+[0-9/]+,{_loosely(' de ')}[0-9]+{_loosely(' de ')}"
+)
+#: The first letter of one and, ahead of it, all of it with the letters of its month: another one may begin within either.
+_CITED = f"(?=[{_LETTERS['l']}{_LETTERS['r']}{_LETTERS['d']}])(?=({_HEAD}{_LETTER}+))(?<!{_loosely(GUARD.strip())}[ {_BLANKS}])."
+
+
 # -- tokens and keys ----------------------------------------------------------------------
 
 
@@ -331,6 +355,63 @@ def find_phrases(docs: DataFrame, entries: DataFrame, loose: bool = False, apart
     return _by_join(docs, keyed, n, loose, apart, all_rows)
 
 
+def _split_key(key: str) -> tuple[Column, Column, Column]:
+    """hash, head and month of a long citation as `citation_key` gives it; the head ends with a blank."""
+    filled = lambda c: F.coalesce(c, F.lit(""))  # noqa: E731  else the joins' checks for nulls would work the keys out once more
+    month = filled(F.substring_index(key, " ", -1))
+    head = filled(F.substring(key, F.lit(1), F.length(key) - F.length(month)))
+    return F.xxhash64(head).alias("hash"), head.alias("head"), month.alias("month")
+
+
+def _screened(met: DataFrame, keyed: DataFrame, n: int) -> DataFrame:
+    """``met`` without most rows whose hash no phrase of ``keyed`` has: pages of a bitmap of 1 to 16 MB are broadcast."""
+    bits = min(MOST_BITS, max(SCREEN_BITS, (n * 64 - 1).bit_length()))
+    bit, within = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)), F.lit((1 << PAGE_BITS) - 1)
+    pages = keyed.groupBy(F.shiftright(bit, PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(bit.bitwiseAND(within)).alias("bits"))
+    placed = met.withColumn("page", F.shiftright(bit, PAGE_BITS)).join(F.broadcast(pages), "page")  # a fixed number of pages
+    place = bit.bitwiseAND(within)
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.filter(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (place % 8).cast("int") + 1)) != 0).select(*met.columns)
+
+
+def _spans(text: Column, met: Column) -> Column:
+    """The found of a text from what it ``met`` (nth, size, item): offsets by the lengths of what lies between the first letters."""
+    between = F.transform(F.array(F.split(text, _CITED, -1)), lambda pieces: F.transform(pieces, F.length))  # split once
+    start = lambda lengths, m: F.aggregate(F.slice(lengths, F.lit(1), m["nth"] + 1), m["nth"], lambda s, x: s + x)
+    spans = F.transform(between, lambda lengths: F.transform(met, lambda m: F.struct(start(lengths, m).alias("start"), (-m["size"]).alias("back"), m["item"].alias("item"))))
+    found = lambda s: F.array(F.struct(s["start"].alias("start"), (s["start"] - s["back"]).alias("finish"), s["item"].alias("item")))
+    begun = F.struct(F.lit(0).alias("end"), F.array().cast(FOUND).alias("out"))
+    step = lambda a, s: F.when(s["start"] >= a["end"], F.struct((s["start"] - s["back"]).alias("end"), F.concat(a["out"], found(s)).alias("out"))).otherwise(a)
+    return F.aggregate(F.array_sort(F.element_at(spans, 1)), begun, step, lambda a: a["out"])
+
+
+def find_citations(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """What `find_phrases` gives for ``entries`` (item_id, text) that are long citations as `citation_key` gives them: loose, apart and without rows that hold none.
+
+    A pattern finds every place where such a citation may stand, up to its month. The heads meet those of
+    the entries by equality, and the text's month must begin with the entry's. The entries are
+    broadcast up to ``MOST_PHRASES``; with more, a bitmap leaves out most heads that no entry has before anything
+    is shuffled.
+    """
+    some = entries.filter(F.col("item_id").isNotNull() & (F.trim("text") != "")).select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("phrase"))
+    keyed = some.select("item", *_split_key("phrase")).groupBy("hash", "head", "month").agg(F.min("item").alias("item"))
+    n = keyed.count()
+    single = F.regexp_replace("raw", f"{_SPACE}+", " ")
+    folded = F.when(F.length("raw") == F.octet_length("raw"), single).otherwise(F.translate(single, FOLD_FROM + "\u212a", FOLD_TO + "k"))  # ASCII as it is
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_id"), F.regexp_extract_all(F.col("text").cast("string"), F.lit(_CITED), F.lit(1)).alias("raw"))
+    each = rows.select("doc", "row_id", F.posexplode("raw").alias("nth", "raw"))
+    keys = each.select("doc", "row_id", "nth", F.length("raw").alias("size"), F.lower(folded).alias("key"))
+    asked = keys.select("doc", "row_id", "nth", "size", *_split_key("key"))
+    if n <= MOST_PHRASES:
+        held = F.broadcast(keyed)
+    else:
+        asked, held = _screened(asked, keyed, n), keyed.hint("merge")  # the size of a stored table says little of its rows
+    a, b = asked.alias("a"), held.alias("b")
+    met = a.join(b, (F.col("a.hash") == F.col("b.hash")) & (F.col("a.head") == F.col("b.head")) & F.startswith("a.month", "b.month"))
+    told = met.groupBy("row_id").agg(F.first("doc").alias("doc"), F.collect_list(F.struct("nth", (F.col("size") - F.length("a.month") + F.length("b.month")).alias("size"), "item")).alias("met"))  # of one document
+    return told.select("doc.*", _spans(F.col("doc.text").cast("string"), F.col("met")).alias("found"))
+
+
 def items_of(found: Column) -> Column:
     """The different items of a ``found``, in order."""
     return F.array_sort(F.array_distinct(F.transform(found, lambda f: f["item"])))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docstrata.config import CITES, MODIFYING, VERB_FORMS
 from docstrata.functions.text import around, citation_key, long_citation
-from docstrata.operators.citation_index import find_phrases, items_of
+from docstrata.operators.citation_index import find_citations, find_phrases, items_of
 
 #: Characters before a citation in which its verb is looked for, and of a snippet's margins.
 REACH, MARGIN = 200, 80
@@ -37,13 +37,14 @@ def watched_citations(docs: DataFrame, watched: DataFrame) -> DataFrame:
     """
     title = F.col("title") if "title" in docs.columns else None
     entries = watched.select("item_id", citation_key(long_citation(F.col("title"))).alias("text"))
-    found = find_phrases(docs, entries, loose=True, apart=True, all_rows=False)
-    each = found.select("doc_id", "text", *([title] if title is not None else []), F.explode("found").alias("f")).select("*", "f.*")
+    found = find_citations(docs, entries)
+    each = found.select("doc_id", "text", *([title] if title is not None else []), F.explode_outer("found").alias("f")).select("*", "f.*")  # none is empty; a filter on it would work it out a second time
     citation = F.substring("text", F.col("start") + 1, F.col("finish") - F.col("start"))
     before = F.substring("text", F.greatest(F.lit(1), F.col("start") + 1 - REACH), F.least(F.col("start"), F.lit(REACH)))
-    return each.select(
-        "doc_id", F.col("item").cast(watched.schema["item_id"].dataType).alias("item_id"), "start", citation.alias("citation"),
-        governing_verb(before, title, citation).alias("verb"), around(F.col("text"), F.col("start"), F.col("finish"), MARGIN).alias("snippet"),
+    told = each.withColumn("citation", citation).withColumn("before", before)  # the verb names it once for each form
+    return told.select(
+        "doc_id", F.col("item").cast(watched.schema["item_id"].dataType).alias("item_id"), "start", "citation",
+        governing_verb(F.col("before"), title, F.col("citation")).alias("verb"), around(F.col("text"), F.col("start"), F.col("finish"), MARGIN).alias("snippet"),
     )
 
 
@@ -115,8 +116,8 @@ def governing_verb(before: Column, title: Column | None = None, citation: Column
     found = verb_occurrences(window)
     if title is not None and citation is not None:
         found = F.when(own_title(title, citation), verb_occurrences(window, named=True)).otherwise(found)
-    holding = F.filter(found, lambda f: governs(rest(f)))
-    return F.coalesce(F.when(F.size(holding) > 0, F.element_at(holding, -1)["verb"]), F.lit(CITES))
+    last = F.aggregate(F.reverse(found), F.lit(None).cast("string"), lambda verb, f: F.when(verb.isNotNull(), verb).when(governs(rest(f)), f["verb"]))  # each is judged once at most
+    return F.coalesce(last, F.lit(CITES))
 
 
 def citation_mentions(docs: DataFrame, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -57,6 +57,32 @@ def test_citations_equal_one_alternation(spark, most, monkeypatch):
     assert len(wanted) > 10 and {w[3] for w in wanted} >= {1, 2, 3, 4, 7}
 
 
+ODD = [
+    "ley 1/2, de 3 de eneroley 1/2, de 3 de eneroreal decreto 1/1999, de 1 de eneroleyley 1/2, de 3 de eneroleyes",
+    "decreto real decreto 1/1999, de 1 de enero; decreto decreto 1/1999, de 1 de enero; decreto\u00a0ley 1/2, de 3 de enero; decreto\n\x1cley 1/2, de 3 de enero",
+    "REAL \u2003 DECRETO\x1c1/1999,\x85de\u3000 1 DE Éñero, real\nReal Decreto 1/1999, de 1 de enero 😀 Lèy 1/2, de 3 de enero, léy\v1/2, de 3\u200ade enero",
+    "rEal decreto 1/1999, de 1 de enero, 😀ley or\u0301ganica 1/2, de 3 de enero, ley forál 7/7, de 7 de mar\u212aO ley 7/7, de 7 de mar",
+]
+ODD_WATCHED = [(1, "Ley 1/2, de 3 de enero"), (2, "Ley 1/2, de 3 de eneroley"), (12, "Ley 1/2, de 3 de enero"), (3, "Decreto 1/1999, de 1 de enero"), (5, "Ley foral 7/7, de 7 de marko"), (6, "Ley foral 7/7, de 7 de m")]
+
+
+@pytest.mark.parametrize("real", [[], [(4, "Real Decreto 1/1999, de 1 de enero")]])
+@pytest.mark.parametrize("most", [citation_index.MOST_PHRASES, 0])
+def test_citations_in_odd_places(spark, most, real, monkeypatch):
+    """Where one begins within another, blanks and letters beyond ASCII, a decree within a royal one."""
+    monkeypatch.setattr(citation_index, "MOST_PHRASES", most)
+    assert len(check(spark, ODD, ODD_WATCHED + real)) >= 10
+
+
+@pytest.mark.parametrize("most", [citation_index.MOST_PHRASES, 0])
+def test_citations_are_found_without_python(spark, most, monkeypatch):
+    """Every title went through Python four times, and each line that met one compiled a pattern for it."""
+    monkeypatch.setattr(citation_index, "MOST_PHRASES", most)
+    docs = spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string")
+    plan = references.watched_citations(docs, spark.createDataFrame(WATCHED, TITLES))._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and plan.count("regexp_extract_all") == 1
+
+
 def test_thousands_of_titles(spark, monkeypatch):
     rng = random.Random(6)
     months = "enero febrero marzo abril mayo junio julio".split()
